@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, packing, url_filter
+from . import ann, bpe, language, packing, url_filter
 
 QUERIES = {
     "op3_packing": packing.query,
     "op4_url_filter": url_filter.query,
+    "op7_language": language.query,
     "op8_bpe": bpe.query,
     "op10_ann": ann.query,
 }
