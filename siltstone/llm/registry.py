@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, language, packing, url_filter
+from . import ann, bpe, language, packing, substring_dedup, url_filter
 
 QUERIES = {
+    "op2_suffix_array": substring_dedup.query,
     "op3_packing": packing.query,
     "op4_url_filter": url_filter.query,
     "op7_language": language.query,
