@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, language, packing, substring_dedup, url_filter
+from . import ann, bpe, language, ngram_join, packing, substring_dedup, url_filter
 
 QUERIES = {
     "op2_suffix_array": substring_dedup.query,
     "op3_packing": packing.query,
     "op4_url_filter": url_filter.query,
+    "op6_ngram_join": ngram_join.query,
     "op7_language": language.query,
     "op8_bpe": bpe.query,
     "op10_ann": ann.query,
