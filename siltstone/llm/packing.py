@@ -12,19 +12,23 @@ then numbered in parallel, and their numbers are looked up in the plan.
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_right
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .bpe import byte_alphabet
 from .common import read_table, row_key, written
 
 CAPACITY = 4096
 END_ID = 1
 ROWS_PER_BUCKET = 50_000  # pieces numbered in one group at most, about
-CACHED = 500_000  # entries of a worker's memo of words, emptied when full
+CACHED = 1_000_000  # entries of a worker's memo of words, emptied when full
+LATIN_END = "\u0250"  # letters below are composed and have one lower case
+
+_memos: dict[str, WordIds] = {}  # of this worker, by vocabulary file
 
 
 def fill(counts: dict[int, int], room: int) -> list[int]:
@@ -107,12 +111,18 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = {b: c for c, b in byte_alphabet().items()}
 
     def __missing__(self, word: str) -> bytes:
         if len(word) > 1 and word[-1] in ".," and word[:-1].isalpha():
             ids = self[word[:-1]] + self[word[-1]]
+        elif word.isalpha() and max(word) < LATIN_END and (data := word.lower()).isalpha():  # composed letters of one word: all that the library's steps before the model do is known
+            if not data.isascii():
+                data = "".join(map(self.letters.__getitem__, data.encode()))
+            ids = array("I", [t.id for t in self.model.tokenize(data)]).tobytes()
         else:
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes() if word else b""
+            ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes() if word else b""
         if len(word) <= 48:
             if len(self) >= CACHED:
                 self.clear()
@@ -129,7 +139,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
     def run(batches):
         import pyarrow as pa
 
-        memo, size = WordIds(path), 4 * capacity
+        memo, size = _memos[path] if path in _memos else _memos.setdefault(path, WordIds(path)), 4 * capacity
         end = end_id.to_bytes(4, "little")
         for b in batches:
             rows, piece, start, length, crc = [], [], [], [], []
