@@ -44,31 +44,37 @@ _space = np.zeros(256, bool)
 _space[[0x20, *range(9, 14)]] = True
 
 
-def shingles(data: np.ndarray, bounds: np.ndarray, words: int = WORDS):
-    """Of each text ``data[bounds[i]:bounds[i + 1]]`` the sorted distinct hashes of its shingles.
+def word_hashes(data: np.ndarray, bounds: np.ndarray, solid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of the texts ``data[bounds[i]:bounds[i + 1]]``, A-Z lower-cased, and each text's first word.
 
-    Words are what lies between ASCII white space, A-Z lower-cased. A text with
-    fewer words has all of them as one shingle, one without words none.
+    Words are the longest stretches of bytes that ``solid`` (256 flags) allows.
     """
-    n, texts = len(data), len(bounds) - 1
-    none = np.zeros(0, np.uint64)
+    n = len(data)
     if not n:
-        return [none] * texts
+        return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
     up, down, values = _power(n)
     low = _lower[data]
-    solid = ~_space[low]
+    solid = solid[low]
     inside = bounds[(bounds > 0) & (bounds < n)]
     before = np.concatenate([[False], solid[:-1]])
     before[inside] = False
     start = np.flatnonzero(solid & ~before)
-    if not len(start):
-        return [none] * texts
     after = np.concatenate([solid[1:], [False]])
     after[inside - 1] = False
     end = np.flatnonzero(solid & ~after) + 1
     total = np.concatenate([[np.uint64(0)], np.cumsum(values[low] * up[:n], dtype=np.uint64)])
     word = splitmix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
-    first = np.searchsorted(start, bounds)  # word number at each text's start
+    return word, np.searchsorted(start, bounds)
+
+
+def shingles(data: np.ndarray, bounds: np.ndarray, words: int = WORDS):
+    """Of each text ``data[bounds[i]:bounds[i + 1]]`` the sorted distinct hashes of its shingles.
+
+    Words are what lies between ASCII white space, A-Z lower-cased. A text with
+    fewer words has all of them as one shingle, one without words none.
+    """
+    none = np.zeros(0, np.uint64)
+    word, first = word_hashes(data, bounds, ~_space)
     full = np.zeros(max(0, len(word) - words + 1), np.uint64)
     for k in range(words):
         full += word[k: k + len(full)] * _odd[k % 5]

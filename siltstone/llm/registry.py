@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, language, ngram_join, packing, substring_dedup, url_filter
+from . import ann, bm25, bpe, language, ngram_join, packing, substring_dedup, url_filter
 
 QUERIES = {
     "op2_suffix_array": substring_dedup.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_ngram_join": ngram_join.query,
     "op7_language": language.query,
     "op8_bpe": bpe.query,
+    "op9_bm25": bm25.query,
     "op10_ann": ann.query,
 }
 
