@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import ann, bm25, bpe, language, ngram_join, packing, substring_dedup, url_filter
+from . import ann, bm25, bpe, compaction, fixity, language, ngram_join, packing, substring_dedup, url_filter
 
 QUERIES = {
+    "op1_fixity": fixity.query,
     "op2_suffix_array": substring_dedup.query,
     "op3_packing": packing.query,
     "op4_url_filter": url_filter.query,
+    "op5_compaction": compaction.query,
     "op6_ngram_join": ngram_join.query,
     "op7_language": language.query,
     "op8_bpe": bpe.query,
@@ -16,5 +18,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_fixity": fixity.ORACLE_SQL,
     "op4_url_filter": url_filter.ORACLE_SQL,
 }
