@@ -5,8 +5,7 @@ that might be equal are first brought together. Every window of ``LENGTH``
 bytes has an anchor: its 64-byte gram of smallest hash, the first of several.
 Equal windows have equal anchors, so consecutive windows with one anchor travel
 as a piece under that anchor's hash. Anchors that occur once cannot lie in a
-repeat and are dropped, and equal pieces are counted and sent once (twice into
-the array, so that they meet there). Each shard then sorts the suffixes of its
+repeat and are dropped, and equal pieces are counted and sent once. Each shard then sorts the suffixes of its
 pieces by induction and reads off the permuted common prefixes which windows
 recur.
 
@@ -32,9 +31,9 @@ from .suffix_array import permuted_lcp, suffix_array
 LENGTH = 400
 GRAM = 64
 CHUNK = 1 << 20  # bytes hashed at once; longer texts are taken in overlapping stretches
-SHARD = 4 << 20  # bytes of pieces under one suffix array, about
+SHARD = 1 << 20  # bytes of pieces under one suffix array, about
 GROUP = 4096  # distinct pieces that one anchor may bring to a shard
-DIVISION = 64 << 20  # bytes of pieces a task sorts, in shards
+DIVISION = 16 << 20  # bytes of pieces a task sorts, in shards
 SEPARATOR = 0xFF  # never a byte of UTF-8
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -133,15 +132,15 @@ def _digests(data: bytes, starts, ends) -> np.ndarray:
 def recurring(pieces: list[tuple[bytes, bool]], length: int = LENGTH) -> list[list[tuple[int, int]]]:
     """Per piece the ranges (first, last) of starts of its windows that occur again among ``pieces``.
 
-    A piece marked True occurs more than once in the corpus and goes in twice.
+    A piece marked True occurs more than once in the corpus: its suffixes stand
+    for several, so that a window recurs even where no neighbour shares it.
     """
     parts, starts, at = [], [], 0
     mark = bytes([SEPARATOR])
-    for data, twice in pieces:
+    for data, _ in pieces:
         starts.append(at)
-        for _ in range(1 + twice):
-            parts += [data, mark]
-            at += len(data) + 1
+        parts += [data, mark]
+        at += len(data) + 1
     t = np.frombuffer(b"".join(parts), np.uint8)
     sa = suffix_array(t, 256)
     lcp = permuted_lcp(t, sa)
@@ -150,8 +149,8 @@ def recurring(pieces: list[tuple[bytes, bool]], length: int = LENGTH) -> list[li
     follow[sa[:-1]] = long[sa[1:]]
     again = long | follow
     out = []
-    for (data, _), s in zip(pieces, starts):
-        own = np.concatenate([[False], again[s: s + len(data) - length + 1], [False]])
+    for (data, several), s in zip(pieces, starts):
+        own = np.concatenate([[False], again[s: s + len(data) - length + 1] | several, [False]])
         edge = np.flatnonzero(own[1:] != own[:-1])
         out.append(list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist())))
     return out
@@ -260,7 +259,7 @@ def _sort_shards(pieces: DataFrame, length: int) -> DataFrame:
             nonlocal group, size
             if len(group) > 1 or group and group[0][3] > 1:
                 held.extend(group)
-                size += sum(len(p[4]) * (1 + (p[3] > 1)) for p in group)
+                size += sum(len(p[4]) for p in group)
             group = []
 
         for b in batches:

@@ -28,7 +28,7 @@ def _induce(t, small, lms, sizes):
     n, sigma = len(t), len(sizes)
     ends = np.cumsum(sizes)
     heads = ends - sizes
-    sa = np.empty(n, np.int64)
+    sa = np.empty(n, np.int32 if n < 1 << 30 else np.int64)
     first = t[lms]
     lms = lms[np.argsort(first, kind="stable")]
     bounds = np.concatenate([[0], np.cumsum(np.bincount(first, minlength=sigma))])
@@ -165,13 +165,21 @@ def permuted_lcp(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
     else it is one less than at the position before.
     """
     n = len(t)
-    phi = np.full(n, -1, np.int64)
+    kind = np.int32 if n < 1 << 30 else np.int64
+    before = np.concatenate([[0], t[:-1]]).astype(np.uint8)[sa]  # the byte before each suffix, in order
+    differs = np.ones(n, bool)
+    differs[1:] = before[1:] != before[:-1]
+    differs |= sa == 0
+    differs[1:] |= sa[:-1] == 0
+    compare = np.empty(n, bool)
+    compare[sa] = differs
+    phi = np.empty(n, kind)
     phi[sa[1:]] = sa[:-1]
-    prev = np.concatenate([[-1], t[:-1].astype(np.int16)])
-    compare = (phi < 0) | (prev != prev[phi]) | (phi == 0)
+    phi[sa[0]] = -1
     compare[0] = True
-    i = np.flatnonzero(compare & (phi >= 0))
-    j = phi[i]
+    i = np.flatnonzero(compare)
+    j = phi[i].astype(np.int64)
+    i, j = i[j >= 0], j[j >= 0]
     padded = np.concatenate([t, np.zeros(16, np.uint8)])
     words = np.ndarray((n + 8,), "<u8", padded.data, 0, (1,))
     length = np.zeros(len(i), np.int64)
@@ -184,7 +192,10 @@ def permuted_lcp(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
         equal = np.where(x == 0, 8, np.log2(np.maximum(low, 1).astype(np.float64)).astype(np.int64) // 8)
         length[live] += np.minimum(equal, room)
         live = live[(equal == 8) & (room > 8)]
-    out = np.zeros(n, np.int64)
-    out[i] = length
-    at = np.maximum.accumulate(np.where(compare, np.arange(n), 0))
-    return np.maximum(out[at] - (np.arange(n) - at), 0)
+    # prefix plus position is the same for all positions that follow from one comparison
+    place = np.arange(n, dtype=kind)
+    total = np.zeros(n, kind)
+    total[compare] = place[compare]
+    total[i] += length.astype(kind)
+    start = np.flatnonzero(compare)
+    return np.maximum(np.repeat(total[start], np.diff(np.concatenate([start, [n]]))) - place, 0)
