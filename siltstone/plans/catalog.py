@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import q_filters, q_retrieval
+
+_MODULES = (q_filters, q_retrieval)
+QUERIES: dict = {k: f for m in _MODULES for k, f in m.Q.items()}
+ORACLE_SQL: dict = {k: q for m in _MODULES for k, q in m.SQL.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    """Hybrid search, vectors and text fused, over the whole collection."""
+    return q_retrieval.hybrid(spark, sf_dir)
