@@ -50,10 +50,10 @@ def length_histogram(df: DataFrame, text: str = "document", bounds: list[int] =
 
 def upper_median(values: DataFrame, column: str, keys: list[str] = ()) -> DataFrame:
     """(keys, median): of n sorted values the one at n div 2. Counted by value, so a window sees distinct values only."""
-    counted = values.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("n"))
+    counted = values.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("_count"))
     own = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    run = counted.withColumn("upto", F.sum("n").over(own.orderBy(column))).withColumn("all", F.sum("n").over(own))
-    return run.where(F.col("upto") > F.floor(F.col("all") / 2)).groupBy(*keys).agg(F.min(column).alias("median"))
+    run = counted.withColumn("_upto", F.sum("_count").over(own.orderBy(column))).withColumn("_all", F.sum("_count").over(own))
+    return run.where(F.col("_upto") > F.floor(F.col("_all") / 2)).groupBy(*keys).agg(F.min(column).alias("median"))
 
 
 def duplicates(df: DataFrame, text: str = "document", files: str | None = None) -> DataFrame:

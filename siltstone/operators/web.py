@@ -270,7 +270,7 @@ def reflowed(lines: list[str]) -> str:
         if not s:
             out = out.rstrip() + "\n\n"
         elif re.match(r"([-*•–]|\d+[.)])\s", s):
-            out = out.rstrip() + "\n" + s + " "
+            out = (out if out.endswith("\n\n") else out.rstrip() + "\n") + s + " "
         elif out.endswith("- ") and out[-3:-2].isalpha():
             stem = re.search(r"(\w+)- $", out)[1]
             first = re.match(r"\w*", s)[0]
