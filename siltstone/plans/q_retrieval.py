@@ -254,7 +254,7 @@ def _(s, d):
 
 
 _HYBRID_SQL = f"""WITH {_text_sql([T.fold_word(w) for w in _WORDS]).replace("WHERE text IS NOT NULL", "WHERE text IS NOT NULL AND doc_id IN (SELECT vec_id FROM embeddings)")}, q AS (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1),
-near AS (SELECT v.vec_id AS id, row_number() OVER (ORDER BY round({_dist("cosine")}, 12), v.vec_id) AS position, round({_dist("cosine")}, 12) AS distance FROM embeddings v, q),
+near AS (SELECT v.vec_id AS id, row_number() OVER (ORDER BY round({_dist("cosine")}, 12), v.vec_id) AS position, round({_dist("cosine")}, 12) AS distance FROM embeddings v, q WHERE v.vec_id IN (SELECT doc_id FROM documents)),
 u AS (SELECT id, position, 0 AS list FROM near WHERE position <= 50 UNION ALL SELECT id, position, 1 FROM (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS position FROM scored WHERE score > 0) WHERE position <= 50),
 f AS (SELECT id, round(sum(1.0::DOUBLE / (60 + position)), 12) AS score, min(list * 1000000 + position) AS first FROM u GROUP BY id),
 r AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, first) AS position FROM f)
