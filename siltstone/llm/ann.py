@@ -174,7 +174,7 @@ def search(index: DataFrame, books: np.ndarray, queries: DataFrame, k: int = K)
     out = None
     for block in range(blocks):
         held = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).select("vec_id", "embedding").collect() if blocks > 1 else queries.select("vec_id", "embedding").collect()
-        sent = spark.sparkContext.broadcast((np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], float).reshape(len(held), -1)))
+        sent = spark.sparkContext.broadcast((np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], float).reshape(len(held), len(held[0][1]) if held else 0)))
 
         def run(batches, sent=sent):
             import pyarrow as pa

@@ -8,6 +8,7 @@ executor costs a reread and never a wrong or missing row.
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[str] = []
+_heavy = False
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,11 +36,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: the cut in the lineage."""
+    """``df`` written as Parquet to the shared folder and read back: the cut in the lineage.
+
+    What earlier tables were made from is garbage by then; the collection asked
+    for here lets Spark delete those shuffle files.
+    """
+    global _heavy
     spark = df.sparkSession
+    if _heavy:
+        spark.sparkContext._jvm.System.gc()
+    began = time.time()
     path = f"{shared_dir(spark)}/siltstone-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append(path)
+    _heavy = time.time() - began > 0.5
     return spark.read.schema(df.schema).parquet(path)
 
 

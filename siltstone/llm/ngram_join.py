@@ -3,7 +3,8 @@
 Shingles are hashed into ``GROUPS`` groups. The counts of a document's shingles
 by group are a point; two documents share at most the sum of the coordinates'
 minima, so an R-tree over the points, whose nodes hold the largest coordinates
-below them, finds who can be similar, and the sets themselves decide.
+below them, finds who can be similar; counts in more groups, as many as suit
+the sets' sizes, bound what is left once more, and the sets themselves decide.
 
 One tree over all documents would have to be searched everywhere, as most
 points lie close together. So points are first dealt to blocks in which similar
@@ -11,11 +12,12 @@ documents must meet: of two sets with a Jaccard similarity of 0.8 each shares a
 shingle among its first fifth (and one more) in any fixed order. The order puts
 frequent shingles last, so that common passages gather few documents.
 
-Copies are one class from the start. Links are found in two rounds. The first
-verifies each member of a block against one member; the second looks, with the
-trees, only for links between documents that the first left in different
-components. So a group of thousands of near copies costs a few pairs a member,
-and no link between groups is missed.
+Copies are one class from the start. Links are found in rounds. The first
+verifies each member of a block against one member; the next ones, with the
+trees, each against the closest in another component, until few are joined that
+way; the last looks for all links that are left between components. So a group
+of thousands of near copies costs a few pairs a member, and no link between
+groups is missed.
 """
 
 from __future__ import annotations
@@ -31,8 +33,10 @@ from .substring_dedup import _power
 WORDS = 5
 GROUPS = 32
 FAN = 16  # children of a tree's node
-SLICE = 2 << 20  # bytes of text hashed at once
-FREQUENT = 500  # shingles in more than one of so many documents come last in the order
+NODE = 8  # members of a block that needs no tree
+SLICE = 1 << 19  # bytes of text hashed at once
+FREQUENT = 32  # shingles in more documents than this come last in the order
+COUNTED = 0.4  # share of all hashes among which frequent shingles are looked for
 LIST = 400_000  # frequent shingles that are sent to the tasks, at most; all others only come earlier in the order
 BUCKET = 1_500_000  # block entries that a task sorts
 TILE = 20_000  # members of a block compared in one task
@@ -113,6 +117,22 @@ def group_counts(s: np.ndarray) -> np.ndarray:
     return np.bincount((s >> np.uint64(59)).astype(np.int64), minlength=GROUPS)
 
 
+def fine_counts(s: np.ndarray) -> np.ndarray:
+    """Counts, a byte each, in more groups the more shingles there are; each group of a coarser division is a run of these."""
+    bits = min(max(7, (len(s) // 8).bit_length()), 24)
+    while True:
+        counts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        if counts.max() < 256:
+            return counts.astype(np.uint8)
+        bits += 1
+
+
+def fine_bound(a: np.ndarray, b: np.ndarray) -> int:
+    """``bound`` at the coarser of two divisions."""
+    g = min(len(a), len(b))
+    return int(np.minimum(a.reshape(g, -1).sum(1), b.reshape(g, -1).sum(1)).sum())
+
+
 def bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Most shingles that sets with these group counts can share."""
     return np.minimum(a, b).sum(-1)
@@ -156,46 +176,107 @@ class Tree:
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """One row per document (set, n, point, row keys, doc_id), and rows (shingle, in_docs) of those frequent in some part of the table."""
+    """One row per document: its ids, set digest, size and count vectors."""
 
     def run(batches):
         import pyarrow as pa
         import xxhash
 
-        held, rows, none = [], 0, pa.nulls
-
-        def frequent():
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= max(8, rows / FREQUENT)
-            return pa.RecordBatch.from_arrays(
-                [none(often.sum(), pa.int64())] * 2 + [none(often.sum(), pa.int64()), none(often.sum(), pa.int64()), none(often.sum(), pa.int64()), none(often.sum(), pa.binary()), pa.array(h[often].view(np.int64)), pa.array(n[often])],
-                ["doc_id", "key_a", "key_b", "set", "n", "point", "shingle", "in_docs"])
-
-        size = 0
         for b in batches:
             for first, sets in _each_slice(b.column(3), words):
                 m = len(sets)
                 digest = np.frombuffer(b"".join(xxhash.xxh3_64_digest(s.tobytes()) for s in sets), ">u8").astype(np.uint64).view(np.int64)
-                point = [group_counts(s).astype("<u4").tobytes() for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [*(b.column(i).slice(first, m) for i in range(3)), pa.array(digest), pa.array([len(s) for s in sets], pa.int64()), pa.array(point, pa.binary()), none(m, pa.int64()), none(m, pa.int64())],
-                    ["doc_id", "key_a", "key_b", "set", "n", "point", "shingle", "in_docs"])
-                held += sets
-                rows += m
-                size += sum(map(len, sets))
-                if size > 4_000_000:
-                    yield frequent()
-                    held, rows, size = [], 0, 0
-        if held:
-            yield frequent()
+                    [*(b.column(i).slice(first, m) for i in range(3)), pa.array(digest), pa.array([len(s) for s in sets], pa.int64()), pa.array([group_counts(s).astype("<u4").tobytes() for s in sets], pa.binary()), pa.array([fine_counts(s).tobytes() for s in sets], pa.binary())],
+                    ["doc_id", "key_a", "key_b", "set", "n", "point", "fine"])
+
+    return docs.select("doc_id", "key_a", "key_b", "text").mapInArrow(run, "doc_id long, key_a long, key_b long, set long, n long, point binary, fine binary")
+
+
+class Order:
+    """The order of shingles: by hash, those in more than ``FREQUENT`` documents last.
+
+    Frequent shingles are told by the first ``bits + 32`` bits of their hash. Only
+    the lowest ``COUNTED`` of all hashes are counted: a prefix hardly ever
+    reaches beyond, and any fixed order is right.
+    """
+
+    def __init__(self, bits: int, listed: np.ndarray):
+        self.shift, self.listed = np.uint64(32 - bits), np.sort(listed)
+
+    def often(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.listed):
+            return np.zeros(len(h), bool)
+        top = h >> self.shift
+        return self.listed[np.minimum(np.searchsorted(self.listed, top), len(self.listed) - 1)] == top
+
+
+def _shingle_order(docs: DataFrame, total: int, words: int) -> Order:
+    """Count all documents' shingles, packed by ranges of their hashes, and list the frequent ones."""
+    bits = max(10, int(total / 500_000).bit_length())
+    shift = np.uint64(32 - bits)
+    limit = np.uint64(int(COUNTED * 2**64))
+
+    def deal(batches):
+        import pyarrow as pa
+
+        held, size = [], 0
+
+        def flush():
+            key, n = np.unique(np.concatenate(held), return_counts=True)
+            bucket = (key >> np.uint64(32)).astype(np.int64)
+            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            ends = [*cut[1:].tolist(), len(key)]
+            low, n = key.astype("<u4"), np.minimum(n, 255).astype(np.uint8)
+            return pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array([low[x:y].tobytes() for x, y in zip(cut.tolist(), ends)], pa.binary()), pa.array([n[x:y].tobytes() for x, y in zip(cut.tolist(), ends)], pa.binary())], ["bucket", "keys", "counts"])
+
+        for b in batches:
+            for _, sets in _each_slice(b.column(0), words):
+                for s in sets:
+                    low = s[: np.searchsorted(s, limit)] >> shift
+                    held.append(low)
+                    size += len(low)
+                if size > 1_000_000:
+                    yield flush()
+                    held, size = [], 0
+        if size:
+            yield flush()
 
-    return docs.select("doc_id", "key_a", "key_b", "text").mapInArrow(run, "doc_id long, key_a long, key_b long, set long, n long, point binary, shingle long, in_docs long")
+    def gather(batches):
+        import pyarrow as pa
 
+        def block(bucket, keys, counts):
+            k, n = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
+            order = np.argsort(k, kind="stable")
+            k, n = k[order], n[order]
+            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            n = np.add.reduceat(n, first)
+            many = n > FREQUENT
+            return pa.RecordBatch.from_arrays([pa.array((bucket << 32) + k[first][many].astype(np.int64)), pa.array(n[many])], ["top", "in_docs"])
 
-def _entries(docs: DataFrame, frequent, total: int, words: int) -> DataFrame:
+        bucket, keys, counts = None, [], []
+        for b in batches:
+            for at, x, y in zip(*(c.to_pylist() for c in b.columns)):
+                if at != bucket and keys:
+                    yield block(bucket, keys, counts)
+                    keys, counts = [], []
+                bucket = at
+                keys.append(np.frombuffer(x, "<u4"))
+                counts.append(np.frombuffer(y, np.uint8))
+        if keys:
+            yield block(bucket, keys, counts)
+
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // (4 * BUCKET)))
+    dealt = docs.select("text").mapInArrow(deal, "bucket long, keys binary, counts binary")
+    counted = dealt.repartition(int(tasks), "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "top long, in_docs long")
+    found = counted.orderBy(F.desc("in_docs"), "top").limit(LIST).select("top").collect()
+    return Order(bits, np.array([r[0] for r in found], np.int64).view(np.uint64))
+
+
+def _entries(docs: DataFrame, shingle_order: Order, total: int, words: int) -> DataFrame:
     """(h, set, spread): members of the blocks with more than one class; spread marks blocks of frequent shingles."""
     buckets = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // BUCKET))
-    sent = docs.sparkSession.sparkContext.broadcast(frequent)
+    sent = docs.sparkSession.sparkContext.broadcast(shingle_order)
 
     def deal(batches):
         import pyarrow as pa
@@ -206,7 +287,7 @@ def _entries(docs: DataFrame, frequent, total: int, words: int) -> DataFrame:
 
         def flush():
             h, c = np.concatenate(held_h), np.concatenate(held_c)
-            often = last[np.minimum(np.searchsorted(last, h), len(last) - 1)] == h if len(last) else np.zeros(len(h), bool)
+            often = last.often(h)
             # blocks of frequent shingles stay spread over the buckets by member
             to = (np.where(often, splitmix(c.view(np.uint64)), h) % np.uint64(buckets)).astype(np.int64) * 2 + often
             order = np.argsort(to, kind="stable")
@@ -226,13 +307,12 @@ def _entries(docs: DataFrame, frequent, total: int, words: int) -> DataFrame:
                         continue
                     seen.add(own)
                     p = prefix_length(len(s))
-                    if len(last):
-                        often = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
-                        s = np.concatenate([s[~often][:p], s[often][:p]]) if often.any() else s
+                    often = last.often(s)
+                    s = np.concatenate([s[~often][:p], s[often][:p]]) if often.any() else s
                     held_h.append(s[:p])
                     held_c.append(np.full(p, np.uint64(own)).view(np.int64))
                     size += p
-                if size > 2_000_000:
+                if size > 1_000_000:
                     yield flush()
                     held_h, held_c, size = [], [], 0
         if size:
@@ -295,64 +375,127 @@ def _may_be_similar(pairs: DataFrame, points: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64) for i in (2, 3))
-            n, m = x.sum(1), y.sum(1)
-            fits = (5 * n >= 4 * m) & (5 * m >= 4 * n) & (9 * bound(x, y) >= 4 * (n + m))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(fits)) for c in batch.columns[:2]], ["a", "b"])
-
-    a, b = points.select(F.col("set").alias("a"), F.col("point").alias("x")), points.select(F.col("set").alias("b"), F.col("point").alias("y"))
+            fits = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+                n, m = int(x.sum()), int(y.sum())
+                fits.append(5 * n >= 4 * m and 5 * m >= 4 * n and 9 * fine_bound(x, y) >= 4 * (n + m))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(fits, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+
+    a, b = points.select(F.col("set").alias("a"), F.col("fine").alias("x")), points.select(F.col("set").alias("b"), F.col("fine").alias("y"))
     return pairs.join(b, "b").join(a, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _between(entries: DataFrame) -> DataFrame:
+def _between(entries: DataFrame, points: DataFrame, best: bool = False) -> DataFrame:
     """Pairs (a, b) of classes of one block and different components that a tree does not rule out.
 
-    ``entries`` has h, set, component, point. Blocks beyond ``TILE`` members are
-    compared tile by tile.
+    With ``best`` only those in which one is, by the bound, the other's closest.
+
+    ``entries`` has h, set, component; ``points`` each set's counts. Blocks beyond
+    ``TILE`` members are compared tile by tile. Blocks that need a tree bring the
+    fine counts along, so that their pairs are bounded where they are found.
     """
-    sizes = entries.groupBy("h").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    own = entries.join(sizes, "h").withColumn("slot", F.pmod(F.xxhash64("set", "h"), "tiles").cast("int"))
-    tiled = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("h", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), "slot", "set", "component", "point")
+    sizes = entries.groupBy("h").agg(F.count("*").alias("members")).withColumn("tiles", F.ceil(F.col("members") / TILE).cast("int"))
+    sized = written(entries.join(sizes, "h"), "sized")
+    small = sized.where(F.col("members") <= NODE).join(points.select("set", "point", F.lit(None).cast("binary").alias("fine")), "set")
+    own = small.unionByName(sized.where(F.col("members") > NODE).join(points, "set"))
+    own = own.withColumn("slot", F.pmod(F.xxhash64("set", "h"), "tiles").cast("int"))
+    tiled = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("h", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), "slot", "set", "component", "point", "fine")
 
     def run(batches):
         import pyarrow as pa
 
-        def pairs(rows):
-            slot, ids, owner = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5))
-            points = np.frombuffer(b"".join(r[6] for r in rows), "<u4").reshape(-1, GROUPS).astype(np.int64)
-            i, j = rows[0][1], rows[0][2]
+        def of_tile(i, j, slot, owner, points):
+            """Pairs of rows of one large tile."""
             left, right = np.flatnonzero(slot == i), np.flatnonzero(slot == j)
-            if not len(left) or not len(right):
-                return
-            if i == j:  # the largest component has the tree to itself and need not ask
-                kinds, at, n = np.unique(owner, return_inverse=True, return_counts=True)
+            if i == j and len(left):  # the largest component has the tree to itself and need not ask
+                _, at, n = np.unique(owner, return_inverse=True, return_counts=True)
                 left = np.flatnonzero(at != n.argmax())
-            if not len(left):
-                return
+            if not len(left) or not len(right):
+                return left[:0], right[:0]
             q, r = Tree(points[right], owner[right]).search(points[left], owner[left])
-            a, b = ids[left[q]], ids[right[r]]
-            a, b = np.maximum(a, b), np.minimum(a, b)
-            return a[a != b], b[a != b]
+            return left[q], right[r]
+
+        def by_fine_counts(x, y, fine):
+            """Which pairs of members the fine counts allow, and the bounds."""
+            counts = [np.frombuffer(f, np.uint8) for f in fine]
+            groups, n = np.array([len(c) for c in counts]), np.array([c.sum(dtype=np.int64) for c in counts], np.int64)
+            most, common = np.zeros(len(x), np.int64), np.minimum(groups[x], groups[y])
+            for g in np.unique(common).tolist():
+                at = np.flatnonzero(groups >= g)
+                folded = np.stack([counts[k].reshape(g, -1).sum(1).astype(np.uint16) for k in at])
+                row = np.searchsorted(at, np.arange(len(groups)))
+                step = max(1, 4_000_000 // g)
+                own = np.flatnonzero(common == g)
+                for lo in range(0, len(own), step):
+                    k = own[lo: lo + step]
+                    most[k] = bound(folded[row[x[k]]], folded[row[y[k]]])
+            return 9 * most >= 4 * (n[x] + n[y]), most
+
+        def pairs(columns):
+            """Pairs (a, b) of ids of whole blocks."""
+            h, i, j, slot, ids, owner, points, fine = columns
+            n = points.sum(1, dtype=np.int64)
+            new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+            size = np.diff(np.concatenate([new, [len(h)]]))
+            left, right, most = [], [], []
+            # blocks that fill one node: every pair, all blocks at once
+            place = np.arange(len(h)) - np.repeat(new, size)
+            room = np.where(np.repeat(size, size) <= NODE, np.repeat(size, size) - place, 0)
+            for k in range(1, NODE):
+                x = np.flatnonzero(room > k)
+                if not len(x):
+                    break
+                y = x + k
+                fits = (owner[x] != owner[y]) & (5 * n[x] >= 4 * n[y]) & (5 * n[y] >= 4 * n[x])
+                x, y = x[fits], y[fits]
+                m = np.concatenate([bound(points[x[c: c + 65536]], points[y[c: c + 65536]]) for c in range(0, len(x), 65536)] or [np.zeros(0)]).astype(np.int64)
+                fits = 9 * m >= 4 * (n[x] + n[y])
+                for out, v in ((left, x), (right, y), (most, m)):
+                    out.append(v[fits])
+            for lo, k in zip(new[size > NODE].tolist(), size[size > NODE].tolist()):
+                own = slice(lo, lo + k)
+                x, y = of_tile(i[lo], j[lo], slot[own], owner[own], points[own].astype(np.int64))
+                fits, m = by_fine_counts(x, y, fine[own])
+                for out, v in ((left, x + lo), (right, y + lo), (most, m)):
+                    out.append(v[fits])
+            if not left:
+                return None
+            x, y, m = np.concatenate(left), np.concatenate(right), np.concatenate(most)
+            differ = ids[x] != ids[y]
+            x, y, m = x[differ], y[differ], m[differ]
+            both, first = np.unique(np.stack([np.maximum(ids[x], ids[y]), np.minimum(ids[x], ids[y])], 1), axis=0, return_index=True)
+            if best and len(both):
+                near = m[first] / (n[x[first]] + n[y[first]])
+                keep = np.zeros(len(both), bool)
+                for side in (0, 1):
+                    order = np.lexsort((-near, both[:, side]))
+                    own = both[order, side]
+                    keep[order[np.concatenate([[True], own[1:] != own[:-1]])]] = True
+                both = both[keep]
+            return both
 
         def emit(found):
-            a, b = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-            both = np.unique(np.stack([a, b], 1), axis=0)
+            both = np.unique(np.concatenate(found), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
 
-        group, key, found, size = [], None, [], 0
+        held, found, size = None, [], 0
         for b in batches:
-            for r in zip(*(c.to_pylist() for c in b.columns)):
-                if r[:3] != key and group:
-                    if got := pairs(group):
-                        found.append(got)
-                        size += len(got[0])
-                    group = []
-                    if size > 100_000:
-                        yield emit(found)
-                        found, size = [], 0
-                key = r[:3]
-                group.append(r)
-        if group and (got := pairs(group)):
+            columns = [np.asarray(b.column(k)) for k in range(6)] + [np.frombuffer(b"".join(b.column(6).to_pylist()), "<u4").reshape(-1, GROUPS), np.array(b.column(7).to_pylist() + [None], object)[:-1]]
+            if not b.num_rows:
+                continue
+            if held is not None:
+                columns = [np.concatenate([x, y]) for x, y in zip(held, columns)]
+            h, i, j = columns[:3]
+            last = int(np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))[-1])
+            held = [c[last:] for c in columns]  # the last block may go on
+            if last and (got := pairs([c[:last] for c in columns])) is not None:
+                found.append(got)
+                size += len(got)
+            if size > 500_000:
+                yield emit(found)
+                found, size = [], 0
+        if held is not None and (got := pairs(held)) is not None:
             found.append(got)
         if found:
             yield emit(found)
@@ -362,29 +505,36 @@ def _between(entries: DataFrame) -> DataFrame:
 
 def _placed(keyed: DataFrame, words: int) -> DataFrame:
     """(doc_id, key_a, key_b, n, set, component, component_id, links) of each row of ``keyed`` (doc_id, text, key_a, key_b)."""
-    scanned = written(_sets(keyed, words), "sets")
-    sets = scanned.where("set is not null")
-    classes = written(sets.where("n > 0").groupBy("set").agg(F.first("n").alias("n"), F.first("point").alias("point"), F.min("doc_id").alias("doc_id"), F.min(F.struct("key_a", "key_b")).alias("one")), "classes")
-    total, n = classes.agg(F.sum(F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1), F.count("*")).first()
-    often = scanned.where("shingle is not null").groupBy("shingle").agg(F.sum("in_docs").alias("d")).where(F.col("d") >= max(8, n // FREQUENT)).orderBy(F.desc("d"), "shingle").limit(LIST).select("shingle").collect()
-    frequent = np.sort(np.array([r[0] for r in often], np.int64).view(np.uint64))
-    entries = written(_entries(keyed, frequent, int(total or 0), words), "entries")
+    sets = written(_sets(keyed, words), "sets")
+    classes = written(sets.where("n > 0").groupBy("set").agg(F.first("n").alias("n"), F.first("point").alias("point"), F.first("fine").alias("fine"), F.min("doc_id").alias("doc_id"), F.min(F.struct("key_a", "key_b")).alias("one")), "classes")
+    first_ones, total = classes.agg(F.sum(F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1), F.sum("n")).first()
+    entries = written(_entries(keyed, _shingle_order(keyed, int(total or 0), words), int(first_ones or 0), words), "entries")
     # the texts of classes that meet another anywhere
     meeting = entries.select("set").distinct().join(classes, "set").select("set", "one.*")
     texts = written(keyed.join(meeting, ["key_a", "key_b"]).select("set", "text").dropDuplicates(["set"]), "texts")
-    points = classes.select("set", "point")
+    points = classes.select("set", "point", "fine")
 
     centre = entries.groupBy("h").agg(F.min("set").alias("b"))
     first = entries.join(centre, "h").where("set != b").select(F.col("set").alias("a"), "b").distinct()
     first = written(_verified(_may_be_similar(first, points), texts, words), "links")
     reached = components(first)
 
-    placed = entries.join(reached.withColumnRenamed("node", "set"), "set", "left").select("h", "set", F.coalesce("component", "set").alias("component"))
-    placed = written(placed, "placed")
-    split = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("h")
-    open_ = placed.join(split, "h", "left_semi").join(points, "set").select("h", "set", "component", "point")
-    more = written(_verified(_between(open_), texts, words), "links")
-    links = first.unionByName(more)
+    # then, as long as that joins many, each with its closest in another component
+    links, tried, last = first, [], False
+    while True:
+        placed = written(entries.join(reached.withColumnRenamed("node", "set"), "set", "left").select("h", "set", F.coalesce("component", "set").alias("component")), "placed")
+        split = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("h")
+        pairs = _between(placed.join(split, "h", "left_semi"), points, best=not last)
+        for old in tried:
+            pairs = pairs.join(old, ["a", "b"], "left_anti")
+        pairs = written(_may_be_similar(pairs, points), "pairs")
+        more = written(_verified(pairs, texts, words), "links")
+        links = links.unionByName(more)
+        if last:
+            break
+        tried.append(pairs)
+        last = 10 * more.count() <= pairs.count()
+        reached = components(links)
     whole = components(links)
 
     by_class = classes.join(whole.withColumnRenamed("node", "set"), "set", "left").select("set", "doc_id", F.coalesce("component", "set").alias("component"))
@@ -418,13 +568,13 @@ def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
     Of rows equal in id and text one stays if it is the component's. Documents
     with an empty set are similar to nothing, so all of them stay.
     """
-    keyed = docs.select("*", *row_key("doc_id", "text"))
-    found = _placed(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "key_a", "key_b"), words)
+    keyed = docs.select(F.struct("*").alias("row"), *row_key("doc_id", "text"))
+    found = _placed(keyed.select(F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text"), "key_a", "key_b"), words)
     ranked = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key_a", "key_b")
     winners = found.where("n > 0").groupBy("component").agg(F.min(ranked).alias("one")).select("one.key_a", "one.key_b")
     empty = found.where("n = 0").select("key_a", "key_b").distinct()
     one = keyed.join(winners, ["key_a", "key_b"], "left_semi").dropDuplicates(["key_a", "key_b"])
-    return one.unionByName(keyed.join(empty, ["key_a", "key_b"], "left_semi")).select(docs.columns)
+    return one.unionByName(keyed.join(empty, ["key_a", "key_b"], "left_semi")).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

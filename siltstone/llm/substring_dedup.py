@@ -24,6 +24,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import read_table, row_key, slices, splitmix, text_bytes, written
 from .suffix_array import permuted_lcp, suffix_array
@@ -330,10 +331,10 @@ def _merged(first: list[int], end: list[int]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _with_spans(docs: DataFrame, columns: list, length: int, gram: int) -> DataFrame:
-    """``columns`` and spans of each row."""
-    keyed = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *columns, *row_key("doc_id", "text"))
-    return keyed.join(repeated_spans(keyed, length, gram), ["key_a", "key_b"], "left").drop("key_a", "key_b")
+def _with_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """text (null: empty), row (all columns as a struct) and spans of each row."""
+    keyed = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct("*").alias("row"), *row_key("doc_id", "text"))
+    return keyed.join(repeated_spans(keyed, length, gram), ["key_a", "key_b"], "left").select("text", "row", "spans")
 
 
 def _kept(data: bytes, spans) -> tuple[bytes, list[tuple[int, int]]]:
@@ -365,7 +366,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
                 out.append((len(data), len(data) - len(kept), len(merged), hashlib.sha256(kept).hexdigest()))
             yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string())))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    rows = _with_spans(docs, ["doc_id"], length, gram)
+    rows = _with_spans(docs, length, gram).select("text", "row.doc_id", "spans")
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -375,8 +376,6 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     Bytes of a character that a cut has split are dropped. Every row stays, and
     a null text stays null.
     """
-    others = [c for c in docs.columns if c != "text"]
-
     def run(batches):
         import pyarrow as pa
 
@@ -384,16 +383,17 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
             text = []
             for i in range(b.num_rows):
                 whole = b.column(0)[i].as_py()
-                kept, merged = _kept(whole.encode(), b.column(b.num_columns - 1)[i].values)
+                kept, merged = _kept(whole.encode(), b.column(2)[i].values)
                 text.append(kept.decode("utf-8", "ignore") if merged else whole)
-            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), *b.columns[1:-1]], ["text", *b.schema.names[1:-1]])
-
-    rows = _with_spans(docs.select("text", *others), [*others, F.col("text").isNull().alias("_null")], length, gram)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "spans")
-    out = rows.mapInArrow(run, schema).withColumn("text", F.when(~F.col("_null"), F.col("text"))).drop("_null")
-    if "n_chars" in others:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), b.column(1)], ["text", "row"])
+
+    rows = _with_spans(docs, length, gram)
+    cut = rows.mapInArrow(run, T.StructType(rows.schema.fields[:2]))
+    row, text = F.col("row"), F.when(F.col("row")["text"].isNotNull(), F.col("text"))
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return cut.select(*[new.get(c, row[c]).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
