@@ -50,7 +50,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     _written.append(path)
     _heavy = time.time() - began > 0.5
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def written_by_key(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
+    """``df``, one row a ``key``, written in ``n`` buckets of it, so that joins on the key move only the other side."""
+    spark = df.sparkSession
+    n = max(n, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    table = f"siltstone_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table}"
+    once = df.repartition(n, key).dropDuplicates([key])
+    once.write.option("compression", "zstd").option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(table)
+    _written.append(path)
+    global _heavy
+    _heavy = True
+    return spark.table(table)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table from ``written`` that no result will read again."""
+    path = df.written_to
+    where = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _written:
+        _written.remove(path)
 
 
 def release(spark: SparkSession) -> None:

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, row_key, slices, splitmix, text_bytes, written
+from .common import drop, read_table, row_key, slices, splitmix, text_bytes, written, written_by_key
 from .graph import components
 from .substring_dedup import _power
 
@@ -35,10 +35,10 @@ GROUPS = 32
 FAN = 16  # children of a tree's node
 NODE = 8  # members of a block that needs no tree
 SLICE = 1 << 19  # bytes of text hashed at once
-FREQUENT = 32  # shingles in more documents than this come last in the order
-COUNTED = 0.4  # share of all hashes among which frequent shingles are looked for
-LIST = 400_000  # frequent shingles that are sent to the tasks, at most; all others only come earlier in the order
+FREQUENT = 8  # shingles in more documents than this come last in the order
+LIST = 1_000_000  # frequent shingles that are sent to the tasks, at most; all others only come earlier in the order
 BUCKET = 1_500_000  # block entries that a task sorts
+TEXT_SHINGLES = 4_000_000  # of the texts in one bucket, about
 TILE = 20_000  # members of a block compared in one task
 
 _odd = np.array([0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -153,9 +153,8 @@ class Tree:
             cut = np.arange(0, len(top), FAN)
             self.levels.append((np.maximum.reduceat(top, cut), np.minimum.reduceat(small, cut), np.maximum.reduceat(large, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)))
 
-    def search(self, points: np.ndarray, owner: np.ndarray, batch: int = 256):
-        """Pairs (query, item) of different owners that may be similar, by size and bound."""
-        out = []
+    def search(self, points: np.ndarray, owner: np.ndarray, batch: int = 64):
+        """Pairs (query, item) of different owners that may be similar, by size and bound, a batch of queries at a time."""
         for lo in range(0, len(points), batch):
             own, n = points[lo: lo + batch], points[lo: lo + batch].sum(1)
             q = np.repeat(np.arange(len(own)), len(self.levels[-1][0]))
@@ -171,8 +170,7 @@ class Tree:
                 parts = [9 * bound(own[q[i: i + 65536]], top[node[i: i + 65536]]) >= 4 * (n[q[i: i + 65536]] + small[node[i: i + 65536]]) for i in range(0, len(q), 65536)]
                 fits = np.concatenate(parts) if parts else np.zeros(0, bool)
                 q, node = q[fits], node[fits]
-            out.append((q + lo, self.items[node]))
-        return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+            yield q + lo, self.items[node]
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -196,9 +194,8 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 class Order:
     """The order of shingles: by hash, those in more than ``FREQUENT`` documents last.
 
-    Frequent shingles are told by the first ``bits + 32`` bits of their hash. Only
-    the lowest ``COUNTED`` of all hashes are counted: a prefix hardly ever
-    reaches beyond, and any fixed order is right.
+    Frequent shingles are told by the first ``bits + 32`` bits of their hash; any
+    fixed order is right.
     """
 
     def __init__(self, bits: int, listed: np.ndarray):
@@ -215,7 +212,6 @@ def _shingle_order(docs: DataFrame, total: int, words: int) -> Order:
     """Count all documents' shingles, packed by ranges of their hashes, and list the frequent ones."""
     bits = max(10, int(total / 500_000).bit_length())
     shift = np.uint64(32 - bits)
-    limit = np.uint64(int(COUNTED * 2**64))
 
     def deal(batches):
         import pyarrow as pa
@@ -233,9 +229,8 @@ def _shingle_order(docs: DataFrame, total: int, words: int) -> Order:
         for b in batches:
             for _, sets in _each_slice(b.column(0), words):
                 for s in sets:
-                    low = s[: np.searchsorted(s, limit)] >> shift
-                    held.append(low)
-                    size += len(low)
+                    held.append(s >> shift)
+                    size += len(s)
                 if size > 1_000_000:
                     yield flush()
                     held, size = [], 0
@@ -269,8 +264,8 @@ def _shingle_order(docs: DataFrame, total: int, words: int) -> Order:
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // (4 * BUCKET)))
     dealt = docs.select("text").mapInArrow(deal, "bucket long, keys binary, counts binary")
     counted = dealt.repartition(int(tasks), "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "top long, in_docs long")
-    found = counted.orderBy(F.desc("in_docs"), "top").limit(LIST).select("top").collect()
-    return Order(bits, np.array([r[0] for r in found], np.int64).view(np.uint64))
+    found = counted.orderBy(F.desc("in_docs"), "top").limit(LIST).select("top").toArrow()
+    return Order(bits, found.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
 def _entries(docs: DataFrame, shingle_order: Order, total: int, words: int) -> DataFrame:
@@ -386,17 +381,16 @@ def _may_be_similar(pairs: DataFrame, points: DataFrame) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _between(entries: DataFrame, points: DataFrame, best: bool = False) -> DataFrame:
+def _between(sized: DataFrame, points: DataFrame, best: bool = False) -> DataFrame:
     """Pairs (a, b) of classes of one block and different components that a tree does not rule out.
 
     With ``best`` only those in which one is, by the bound, the other's closest.
 
-    ``entries`` has h, set, component; ``points`` each set's counts. Blocks beyond
-    ``TILE`` members are compared tile by tile. Blocks that need a tree bring the
-    fine counts along, so that their pairs are bounded where they are found.
+    ``sized`` has h, set, component, and its block's members and tiles; ``points``
+    each set's counts. Blocks beyond ``TILE`` members are compared tile by tile.
+    Blocks that need a tree bring the fine counts along, so that their pairs are
+    bounded where they are found.
     """
-    sizes = entries.groupBy("h").agg(F.count("*").alias("members")).withColumn("tiles", F.ceil(F.col("members") / TILE).cast("int"))
-    sized = written(entries.join(sizes, "h"), "sized")
     small = sized.where(F.col("members") <= NODE).join(points.select("set", "point", F.lit(None).cast("binary").alias("fine")), "set")
     own = small.unionByName(sized.where(F.col("members") > NODE).join(points, "set"))
     own = own.withColumn("slot", F.pmod(F.xxhash64("set", "h"), "tiles").cast("int"))
@@ -411,26 +405,33 @@ def _between(entries: DataFrame, points: DataFrame, best: bool = False) -> DataF
             if i == j and len(left):  # the largest component has the tree to itself and need not ask
                 _, at, n = np.unique(owner, return_inverse=True, return_counts=True)
                 left = np.flatnonzero(at != n.argmax())
-            if not len(left) or not len(right):
-                return left[:0], right[:0]
-            q, r = Tree(points[right], owner[right]).search(points[left], owner[left])
-            return left[q], right[r]
+            if len(left) and len(right):
+                for q, r in Tree(points[right], owner[right]).search(points[left], owner[left]):
+                    yield left[q], right[r]
 
-        def by_fine_counts(x, y, fine):
-            """Which pairs of members the fine counts allow, and the bounds."""
+        def by_fine_counts(fine):
+            """A function of pairs of members: which ones the fine counts allow, and the bounds."""
             counts = [np.frombuffer(f, np.uint8) for f in fine]
             groups, n = np.array([len(c) for c in counts]), np.array([c.sum(dtype=np.int64) for c in counts], np.int64)
-            most, common = np.zeros(len(x), np.int64), np.minimum(groups[x], groups[y])
-            for g in np.unique(common).tolist():
-                at = np.flatnonzero(groups >= g)
-                folded = np.stack([counts[k].reshape(g, -1).sum(1).astype(np.uint16) for k in at])
-                row = np.searchsorted(at, np.arange(len(groups)))
-                step = max(1, 4_000_000 // g)
-                own = np.flatnonzero(common == g)
-                for lo in range(0, len(own), step):
-                    k = own[lo: lo + step]
-                    most[k] = bound(folded[row[x[k]]], folded[row[y[k]]])
-            return 9 * most >= 4 * (n[x] + n[y]), most
+            folds: dict[int, tuple] = {}
+
+            def fold(g):
+                if g not in folds:
+                    at = np.flatnonzero(groups >= g)
+                    folds[g] = np.stack([counts[k].reshape(g, -1).sum(1).astype(np.uint16) for k in at]), np.searchsorted(at, np.arange(len(groups)))
+                return folds[g]
+
+            def allowed(x, y):
+                most, common = np.zeros(len(x), np.int64), np.minimum(groups[x], groups[y])
+                for g in np.unique(common).tolist():
+                    folded, row = fold(g)
+                    step, own = max(1, 1_000_000 // g), np.flatnonzero(common == g)
+                    for lo in range(0, len(own), step):
+                        k = own[lo: lo + step]
+                        most[k] = bound(folded[row[x[k]]], folded[row[y[k]]])
+                return 9 * most >= 4 * (n[x] + n[y]), most
+
+            return allowed
 
         def pairs(columns):
             """Pairs (a, b) of ids of whole blocks."""
@@ -455,10 +456,11 @@ def _between(entries: DataFrame, points: DataFrame, best: bool = False) -> DataF
                     out.append(v[fits])
             for lo, k in zip(new[size > NODE].tolist(), size[size > NODE].tolist()):
                 own = slice(lo, lo + k)
-                x, y = of_tile(i[lo], j[lo], slot[own], owner[own], points[own].astype(np.int64))
-                fits, m = by_fine_counts(x, y, fine[own])
-                for out, v in ((left, x + lo), (right, y + lo), (most, m)):
-                    out.append(v[fits])
+                allowed = by_fine_counts(fine[own])
+                for x, y in of_tile(i[lo], j[lo], slot[own], owner[own], points[own].astype(np.int64)):
+                    fits, m = allowed(x, y)
+                    for out, v in ((left, x + lo), (right, y + lo), (most, m)):
+                        out.append(v[fits])
             if not left:
                 return None
             x, y, m = np.concatenate(left), np.concatenate(right), np.concatenate(most)
@@ -511,7 +513,8 @@ def _placed(keyed: DataFrame, words: int) -> DataFrame:
     entries = written(_entries(keyed, _shingle_order(keyed, int(total or 0), words), int(first_ones or 0), words), "entries")
     # the texts of classes that meet another anywhere
     meeting = entries.select("set").distinct().join(classes, "set").select("set", "one.*")
-    texts = written(keyed.join(meeting, ["key_a", "key_b"]).select("set", "text").dropDuplicates(["set"]), "texts")
+    # in buckets by set: every round joins pairs to them, and only the pairs move
+    texts = written_by_key(keyed.join(meeting, ["key_a", "key_b"]).select("set", "text"), "texts", "set", -(-int(total or 0) // TEXT_SHINGLES))
     points = classes.select("set", "point", "fine")
 
     centre = entries.groupBy("h").agg(F.min("set").alias("b"))
@@ -523,17 +526,20 @@ def _placed(keyed: DataFrame, words: int) -> DataFrame:
     links, tried, last = first, [], False
     while True:
         placed = written(entries.join(reached.withColumnRenamed("node", "set"), "set", "left").select("h", "set", F.coalesce("component", "set").alias("component")), "placed")
-        split = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("h")
-        pairs = _between(placed.join(split, "h", "left_semi"), points, best=not last)
+        blocks = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low != high")
+        sized = written(placed.join(blocks.select("h", "members", F.ceil(F.col("members") / TILE).cast("int").alias("tiles")), "h"), "sized")
+        drop(placed)
+        pairs = _may_be_similar(_between(sized, points, best=not last), points)
         for old in tried:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
-        pairs = written(_may_be_similar(pairs, points), "pairs")
+        pairs = written(pairs, "pairs")
+        drop(sized)
         more = written(_verified(pairs, texts, words), "links")
         links = links.unionByName(more)
         if last:
             break
         tried.append(pairs)
-        last = 10 * more.count() <= pairs.count()
+        last = 2 * more.count() <= pairs.count()
         reached = components(links)
     whole = components(links)
 

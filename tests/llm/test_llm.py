@@ -165,8 +165,7 @@ def test_tree_bound_is_safe():
     points = rng.poisson(9, (300, ngram_join.GROUPS))
     points[150:] = points[:150] + rng.integers(-1, 2, (150, ngram_join.GROUPS)).clip(-points[:150])
     tree = ngram_join.Tree(points, np.arange(300))
-    q, r = tree.search(points, np.arange(300))
-    got = set(zip(q.tolist(), r.tolist()))
+    got = {pair for q, r in tree.search(points, np.arange(300)) for pair in zip(q.tolist(), r.tolist())}
     n = points.sum(1)
     for a in range(0, 300, 7):
         for b in range(300):
