@@ -23,8 +23,7 @@ K1, B = 1.2, 0.75
 K = 10
 RANGE = 64  # documents under one bound
 SHARD_WORDS = 6_000_000  # words at which a shard is closed
-QUERY_BLOCK = 2048  # queries broadcast at once
-MIN_DF, MAX_TERMS = 5, 25  # of the terms that stand for a document used as a query
+QUERY_TERMS = 1_000_000  # terms of the queries broadcast at once, about
 
 #: Words are stretches of ASCII letters and digits and of all bytes beyond ASCII.
 SOLID = np.array([chr(c).isalnum() if c < 128 else True for c in range(256)])
@@ -116,11 +115,9 @@ def idf(df, n):
     return F.log1p((n - df + 0.5) / (df + 0.5))
 
 
-def characteristic_terms(counts: DataFrame, frequencies: DataFrame, n: int, most: int = MAX_TERMS, least_df: int = MIN_DF) -> DataFrame:
-    """(query_id, term, idf): the ``most`` terms of each query with the largest tf * idf, of those in ``least_df`` documents."""
-    weighed = counts.join(frequencies.where(F.col("df") >= least_df), "term").withColumn("idf", idf(F.col("df"), F.lit(n)))
-    by_query = W.partitionBy("query_id").orderBy(F.desc(F.col("tf") * F.col("idf")), "term")
-    return weighed.withColumn("place", F.row_number().over(by_query)).where(F.col("place") <= most).select("query_id", "term", "idf")
+def query_terms(counts: DataFrame, frequencies: DataFrame, n: int) -> DataFrame:
+    """(query_id, term, idf): every distinct term of each query that a document has."""
+    return counts.join(frequencies, "term").select("query_id", "term", idf(F.col("df"), F.lit(n)).alias("idf"))
 
 
 class Shard:
@@ -136,18 +133,18 @@ class Shard:
         self.held: dict[int, tuple | None] = {}
 
     def list_of(self, term: int):
-        """Documents, contributions, ranges of the postings, and the ranges met with the largest contribution in each."""
+        """Documents, contributions, and of the ranges met the number, first posting, postings and largest contribution."""
         if term not in self.held:
             i = int(np.searchsorted(self.terms, np.uint64(term)))
             if i == len(self.terms) or self.terms[i] != term:
                 self.held[term] = None
             else:
-                doc = self.doc[self.start[i]: self.start[i + 1]]
+                doc = self.doc[self.start[i]: self.start[i + 1]].astype(np.int64)
                 tf = self.tf[self.start[i]: self.start[i + 1]].astype(float)
                 part = tf * (K1 + 1) / (tf + self.norm[doc])
                 of = doc // RANGE
                 cut = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-                self.held[term] = doc, part, of, of[cut], np.maximum.reduceat(part, cut)
+                self.held[term] = doc, part, of[cut], cut, np.diff(np.concatenate([cut, [len(doc)]])), np.maximum.reduceat(part, cut)
         return self.held[term]
 
     def search(self, query: int, terms: np.ndarray, weights: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -156,13 +153,18 @@ class Shard:
         best_ids, best = np.zeros(0, np.int64), np.zeros(0)
         if not lists:
             return best_ids, best
-        bound = np.zeros(self.ranges)
-        for w, (_, _, _, of, most) in lists:
-            bound[of] += w * most
+        weight = np.array([w for w, _ in lists])
+        docs, parts, ofs, cuts, sizes, mosts = zip(*(found for _, found in lists))
+        met = np.array([len(of) for of in ofs])
+        of, size = np.concatenate(ofs), np.concatenate(sizes)
+        bound = np.bincount(of, np.repeat(weight, met) * np.concatenate(mosts), self.ranges)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         bound = bound * (1 + 1e-9)  # sums in another order may round up
-        score = np.zeros(len(self.ids))
+        length = np.array([len(d) for d in docs])
+        doc, part = np.concatenate(docs), np.concatenate(parts) * np.repeat(weight, length)
+        # where each range of each list begins in ``doc``
+        begin = np.concatenate(cuts) + np.repeat(np.cumsum(length) - length, met)
         at, step = 0, 4
         while at < len(order) and (len(best) < k or bound[order[at]] >= best[-1]):
             visit = np.zeros(self.ranges, bool)
@@ -170,15 +172,21 @@ class Shard:
             if len(best) == k:
                 chosen = chosen[bound[chosen] >= best[-1]]
             visit[chosen] = True
-            for w, (doc, part, of, _, _) in lists:
-                own = visit[of]
-                score[doc[own]] += w * part[own]
+            own = visit[of]
+            if 4 * size[own].sum() > len(doc):  # most postings: cheaper without picking
+                score = np.bincount(doc, part, len(self.ids))
+            else:
+                n = size[own]
+                pick = np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                score = np.bincount(doc[pick], part[pick], len(self.ids))
             found = np.flatnonzero(np.repeat(visit, RANGE)[: len(score)] & (score > 0) & self.known)
             found = found[self.ids[found] != query]
+            if len(best) == k:
+                found = found[score[found] >= best[-1]]
             ids, s = np.concatenate([best_ids, self.ids[found]]), np.concatenate([best, score[found]])
             best_ids, best = top(ids, s, k)
             at += step
-            step *= 2
+            step *= 8
         return best_ids, best
 
 
@@ -198,17 +206,18 @@ def search(index: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     returned, so a query may get fewer; a row with the query's id is not. Of
     rows that share an id the best counts; rows without one are counted in all
     statistics but not returned. Ties go to the smaller id. Queries are
-    broadcast in blocks of a bounded size.
+    broadcast in blocks of about ``QUERY_TERMS`` terms.
     """
     spark = index.sparkSession
     n, words = index.agg(F.sum("docs"), F.sum("words")).first()
     mean = max((words or 0) / n, 1e-9) if n else 1.0
     queries = written(queries, "queries")
-    blocks = max(1, -(-queries.select("query_id").distinct().count() // (QUERY_BLOCK * 3 // 4)))
+    blocks = max(1, -(-queries.count() // QUERY_TERMS))
     out = None
     for block in range(blocks):
-        held = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", "term", "idf").collect()
-        ids, term, weight = np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.int64).view(np.uint64), np.array([r[2] for r in held], float)
+        held = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", "term", "idf").toArrow()
+        ids, term, weight = (c.to_numpy() for c in held.columns)
+        term = term.view(np.uint64)
         order = np.lexsort((term, ids))
         sent = spark.sparkContext.broadcast((ids[order], term[order], weight[order]))
 
@@ -243,14 +252,13 @@ def search(index: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 def search_by_document(docs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """The ``k`` documents of ``docs`` most like each of ``queries`` (both doc_id, text).
 
-    A query is the terms of its whole text with the largest tf * idf, taken with
-    the whole corpus's frequencies. A null or empty text asks nothing and, among
-    ``docs``, is never found; rows of ``queries`` that share an id ask together,
-    each term with its largest count.
+    A query is every distinct term of its whole text, with the whole corpus's
+    frequencies. A null or empty text asks nothing and, among ``docs``, is never
+    found; rows of ``queries`` that share an id ask together, each term once.
     """
     index = build_index(docs)
     n = index.agg(F.sum("docs")).first()[0] or 0
-    terms = characteristic_terms(term_counts(queries.where("doc_id is not null")), document_frequencies(index), n)
+    terms = query_terms(term_counts(queries.where("doc_id is not null")), document_frequencies(index), n)
     return search(index, terms, k)
 
 

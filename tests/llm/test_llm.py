@@ -359,6 +359,19 @@ def test_bm25_by_document_and_empty(spark):
     assert bm25.search_by_document(none, none).count() == 0
 
 
+def test_bm25_asks_with_every_term(spark):
+    few = spark.createDataFrame([(0, "quartz lamp"), (1, "quartz lamp"), (2, "other words")], "doc_id long, text string")
+    assert [r["doc_id"] for r in bm25.search_by_document(few, few.where("doc_id = 0")).collect()] == [1]
+    # 40 terms in six documents and, by score first, one term that two documents share alone
+    many = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(i, many) for i in range(1, 6)] + [(0, many + " rare"), (6, "rare")], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in bm25.search_by_document(df, df.where("doc_id = 0")).collect()}
+    mean = (5 * 40 + 41 + 1) / 7
+    weigh = lambda df, n: np.log1p((7 - df + 0.5) / (df + 0.5)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * n / mean))
+    assert got.keys() == {1, 2, 3, 4, 5, 6}
+    assert abs(got[6] - weigh(2, 1)) < 1e-9 and abs(got[1] - 40 * weigh(6, 40)) < 1e-9
+
+
 def test_ann(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(600, 10))
