@@ -4,8 +4,10 @@ Each vector is coded with four bits for every pair of dimensions. Codebooks and
 codes minimise the anisotropic loss |r|^2 + (eta - 1) <r, x/|x|>^2 of the
 residual r, so that error parallel to the vector, which shifts high inner
 products most, costs eta times as much. A query scans tables of partial
-products, two codes to a byte, and the best rows of every block are scored
-again in double precision on the original vectors.
+products, two codes to a byte, and scores rows again in double precision on
+the original vectors: first the best of every block, then each row whose
+approximate score, plus the most that its residual can add, reaches the k-th
+best score so found. What is returned is therefore exact.
 
 The codebooks are fitted on a bounded sample (``TRAIN_ROWS``, spread over the
 whole table by a hash of the row); every row is indexed and scanned.
@@ -24,7 +26,7 @@ TRAIN_ROWS = 20_000  # bound of the sample that codebooks are fitted on
 CENTERS = 16  # four bits
 THRESHOLD = 0.2  # cosine from which a score counts as high; sets eta
 BLOCK_ROWS = 16_384  # rows scanned at once
-RERANK = 256  # rows of a block that are scored exactly
+RERANK = 256  # rows of a block that are scored first, for a score to beat
 QUERY_BLOCK = 4096  # queries broadcast at once
 K = 20
 
@@ -107,9 +109,18 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return ids[first[:k]], scores[first[:k]]
 
 
+def residual_norms(vectors: np.ndarray, books: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Lengths of what packed codes leave of their vectors."""
+    apart = np.stack([codes & 15, codes >> 4], 2).reshape(len(codes), -1)
+    return np.linalg.norm(_padded(vectors) - books[np.arange(len(books)), apart].reshape(len(codes), -1), axis=1)
+
+
 def scan(query_ids, queries, books, ids, vectors, codes, k=K, rerank=RERANK):
-    """Per query the ids and exact scores of its k nearest found in one block of rows."""
+    """Per query the ids and exact scores of its k nearest in one block of rows."""
     found = []
+    # a score is the table's sum and the residual's product, at most that of the lengths; the last terms cover rounding
+    left = residual_norms(vectors, books, codes)
+    size = np.linalg.norm(vectors, axis=1) + left
     for lo in range(0, len(query_ids), 128):
         q = queries[lo:lo + 128]
         t = tables(q, books)
@@ -117,11 +128,24 @@ def scan(query_ids, queries, books, ids, vectors, codes, k=K, rerank=RERANK):
         for b in range(codes.shape[1]):
             near += t[:, b].take(codes[:, b], axis=1)
         near[query_ids[lo:lo + 128, None] == ids[None]] = -np.inf
+        slack = np.abs(t).max(2).sum(1) * codes.shape[1] * 2.0**-22
         r = min(rerank, len(ids))
         rows = np.argpartition(-near, r - 1, axis=1)[:, :r]
+
+        def exact(i, own):
+            return (vectors[own] * q[i]).sum(1)  # row by row, so that equal vectors tie
+
         for i in range(len(q)):
             own = rows[i][ids[rows[i]] != query_ids[lo + i]]
-            found.append(_best(ids[own], vectors[own] @ q[i], k))
+            best = _best(ids[own], exact(i, own), k)
+            length = np.linalg.norm(q[i])
+            least = best[1][-1] if len(best[1]) == k else -np.inf
+            may = (near[i] + length * (left + 1e-12 * size) + slack[i] >= least) & (ids != query_ids[lo + i])
+            may[own] = False
+            more = np.flatnonzero(may)
+            if len(more):
+                best = _best(np.concatenate([best[0], ids[more]]), np.concatenate([best[1], exact(i, more)]), k)
+            found.append(best)
     return found
 
 
@@ -161,7 +185,7 @@ def build_index(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 
 
 def search(index: DataFrame, books: np.ndarray, queries: DataFrame, k: int = K) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` largest inner products found of every query.
+    """(query_id, rank, vec_id, score): the ``k`` largest inner products of every query.
 
     ``queries`` has columns vec_id and embedding. A row never finds its own id;
     an id that several rows share is returned once, with its best score. Ties

@@ -394,6 +394,23 @@ def test_ann(spark):
     assert hits >= 0.9 * 300 and set(got) == set(range(0, 600, 20))
 
 
+def test_ann_more_copies_than_are_scored_first(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 12))
+    x[rng.permutation(1500)[:700]] = x[0]  # equal vectors have equal codes
+    near = rng.permutation(1500)[:500]
+    x[near] = x[1] + rng.normal(size=(500, 12)) * 1e-3  # and so have many of these
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(1)
+    index, books = ann.build_index(df)
+    asked = [0, 1, int(near[7])]
+    got = collections.defaultdict(list)
+    for r in ann.search(index, books, index.where(F.col("vec_id").isin(asked)).select("vec_id", "embedding")).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"]))
+    for q in asked:
+        score = (x * x[q]).sum(1)
+        assert [v for _, v in sorted(got[q])] == [i for i in np.lexsort((np.arange(1500), -score)).tolist() if i != q][:20]
+
+
 def test_ann_few_candidates_and_empty(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.0, 1.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
     index, books = ann.build_index(df)
