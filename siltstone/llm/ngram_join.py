@@ -18,6 +18,10 @@ trees, each against the closest in another component, until few are joined that
 way; the last looks for all links that are left between components. So a group
 of thousands of near copies costs a few pairs a member, and no link between
 groups is missed.
+
+Every link lies within a component, so all of them are counted there: a tile of
+members is compared with another through an index of its shingles, and only
+each member's number of links leaves the task.
 """
 
 from __future__ import annotations
@@ -40,6 +44,7 @@ LIST = 1_000_000  # frequent shingles that are sent to the tasks, at most; all o
 BUCKET = 1_500_000  # block entries that a task sorts
 TEXT_SHINGLES = 4_000_000  # of the texts in one bucket, about
 TILE = 20_000  # members of a block compared in one task
+TILE_SHINGLES = 500_000  # of the members of a component compared in one task, about
 
 _odd = np.array([0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _lower = np.arange(256, dtype=np.uint8)
@@ -505,8 +510,84 @@ def _between(sized: DataFrame, points: DataFrame, best: bool = False) -> DataFra
     return tiled.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
-def _placed(keyed: DataFrame, words: int) -> DataFrame:
-    """(doc_id, key_a, key_b, n, set, component, component_id, links) of each row of ``keyed`` (doc_id, text, key_a, key_b)."""
+def tile_links(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each set of ``left`` how many of ``right`` it links with, and the reverse; without ``right``, of the other sets of ``left``."""
+    alone = right is None
+    right = left if alone else right
+    n, m = np.array([len(s) for s in right]), np.array([len(s) for s in left])
+    h = np.concatenate(right)
+    order = np.argsort(h, kind="stable")
+    h, owner = h[order], np.repeat(np.arange(len(right)), n)[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    ends = np.concatenate([first[1:], [len(h)]])
+    asked = np.concatenate(left)
+    at = np.minimum(np.searchsorted(h[first], asked), len(first) - 1)
+    hit = h[first][at] == asked
+    here, there = np.zeros(len(left), np.int64), np.zeros(len(right), np.int64)
+    upto = np.cumsum(m)
+    for x, (lo, hi) in enumerate(zip((upto - m).tolist(), upto.tolist())):
+        k = at[lo:hi][hit[lo:hi]]
+        if len(k):
+            shared = np.bincount(np.concatenate([owner[a:b] for a, b in zip(first[k].tolist(), ends[k].tolist())]), minlength=len(right))
+            similar = linked(shared, len(left[x]), n)
+            if alone:
+                similar[x] = False
+            here[x] = similar.sum()
+            there += similar
+    return here, there
+
+
+def _link_counts(whole: DataFrame, classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(set, links): of each class of ``whole`` (node, component) the number of classes it is similar to.
+
+    Components beyond ``TILE`` members or ``TILE_SHINGLES`` are compared tile by tile.
+    """
+    members = whole.withColumnRenamed("node", "set").join(classes.select("set", "n"), "set")
+    tiles = members.groupBy("component").agg(F.greatest(F.ceil(F.sum("n") / TILE_SHINGLES), F.ceil(F.count("*") / TILE)).cast("int").alias("tiles"))
+    own = members.join(tiles, "component").withColumn("slot", F.pmod(F.xxhash64("set", "component"), "tiles").cast("int")).join(texts, "set")
+    tiled = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("component", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), "slot", "set", "text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        key, held, found, size = None, [], [], 0
+
+        def counted():
+            i, j = key[1:]
+            left = [r for r in held if r[0] == i]
+            right = [r for r in held if r[0] == j]
+            if i == j:
+                return [r[1] for r in left], tile_links([r[2] for r in left])[0]
+            if not left or not right:
+                return [], np.zeros(0, np.int64)
+            return [r[1] for r in left + right], np.concatenate(tile_links([r[2] for r in left], [r[2] for r in right]))
+
+        def emit():
+            return pa.RecordBatch.from_arrays([pa.array([x for ids, _ in found for x in ids], pa.int64()), pa.array(np.concatenate([n for _, n in found]))], ["set", "links"])
+
+        for b in batches:
+            sets = (s for _, x in _each_slice(b.column(5), words) for s in x)
+            for *now, slot, own, s in zip(*(b.column(k).to_pylist() for k in range(5)), sets):
+                if now != key and held:
+                    found.append(counted())
+                    size += len(found[-1][0])
+                    held = []
+                    if size > 100_000:
+                        yield emit()
+                        found, size = [], 0
+                key = now
+                held.append((slot, own, s))
+        if held:
+            found.append(counted())
+        if found:
+            yield emit()
+
+    parts = tiled.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(run, "set long, links long")
+    return parts.groupBy("set").agg(F.sum("links").alias("links"))
+
+
+def _placed(keyed: DataFrame, words: int, count_links: bool = False) -> DataFrame:
+    """(doc_id, key_a, key_b, n, set, component, component_id) of each row of ``keyed`` (doc_id, text, key_a, key_b), and with ``count_links`` links."""
     sets = written(_sets(keyed, words), "sets")
     classes = written(sets.where("n > 0").groupBy("set").agg(F.first("n").alias("n"), F.first("point").alias("point"), F.first("fine").alias("fine"), F.min("doc_id").alias("doc_id"), F.min(F.struct("key_a", "key_b")).alias("one")), "classes")
     first_ones, total = classes.agg(F.sum(F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1), F.sum("n")).first()
@@ -542,11 +623,14 @@ def _placed(keyed: DataFrame, words: int) -> DataFrame:
         last = 2 * more.count() <= pairs.count()
         reached = components(links)
     whole = components(links)
+    for old in (entries, *tried, pairs):
+        drop(old)
 
     by_class = classes.join(whole.withColumnRenamed("node", "set"), "set", "left").select("set", "doc_id", F.coalesce("component", "set").alias("component"))
     smallest = by_class.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    ends = links.select(F.explode(F.array("a", "b")).alias("set")).groupBy("set").agg(F.count("*").alias("links"))
-    named = by_class.join(smallest, "component").join(ends, "set", "left").select("set", "component", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
+    named = by_class.join(smallest, "component").select("set", "component", "component_id")
+    if count_links:
+        named = named.join(written(_link_counts(whole, classes, texts, words), "counts"), "set", "left")
     out = sets.select("doc_id", "key_a", "key_b", "n", F.when(F.col("n") > 0, F.col("set")).alias("set"))
     return out.join(named, "set", "left")
 
@@ -556,14 +640,14 @@ def join(docs: DataFrame, words: int = WORDS, text_col: str = "text", id_col: st
 
     ``component_id`` is the smallest doc_id among the documents that links
     reach, the document included; null ids are passed over, and a component
-    without any id has null. ``links`` counts the verified links of its class
-    that were needed, a spanning set rather than all. A null text or one
+    without any id has null. ``links`` counts all sets other than the
+    document's own that are similar to it. A null text or one
     without words has an empty set and stands alone. Equal sets are similar
     whatever the texts. Repeated rows give one row each; other columns are
     ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = _placed(docs.select("doc_id", "text", *row_key("doc_id", "text")), words)
+    found = _placed(docs.select("doc_id", "text", *row_key("doc_id", "text")), words, count_links=True)
     empty = F.col("n") == 0
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
 

@@ -145,6 +145,16 @@ def test_ngram_join(spark, rows, monkeypatch, tile, node, frequent):
     assert got == sorted(((i, *r) for i, r in enumerate(brute_components(texts))), key=repr)
 
 
+@pytest.mark.parametrize("tile", [20_000, 3])
+def test_ngram_join_counts_all_links(spark, rows, monkeypatch, tile):
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    texts = sample_texts()
+    sets = [frozenset(s) for s in brute_sets(texts)]
+    want = [(i, len({b for b in sets if a and b and a != b and 100 * len(a & b) >= 80 * len(a | b)})) for i, a in enumerate(sets)]
+    assert max(n for _, n in want) > 3
+    assert rows(ngram_join.join(frame(spark, texts)), "doc_id", "links") == sorted(want, key=repr)
+
+
 def test_similarity_at_the_threshold(spark, rows):
     base = [f"a{i}" for i in range(49)]  # 45 shingles
     edge = base[:44] + [f"b{i}" for i in range(5)]  # 40 shared of 50: exactly 0.8
