@@ -8,15 +8,16 @@ executor costs a reread and never a wrong or missing row.
 from __future__ import annotations
 
 import tempfile
-import time
 import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Lets Spark delete a query's shuffle files as soon as its result is stored.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _written: list[str] = []
-_heavy = False
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,12 +25,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where none is set (local tests)."""
+    """The folder all executors share; one of our own only in local mode where none is set (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = held.get() if held.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='siltstone-')}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -38,37 +41,22 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: the cut in the lineage.
 
-    What earlier tables were made from is garbage by then; the collection asked
-    for here lets Spark delete those shuffle files.
+    Its shuffle files go as soon as the table is there.
     """
-    global _heavy
     spark = df.sparkSession
-    if _heavy:
-        spark.sparkContext._jvm.System.gc()
-    began = time.time()
     path = f"{shared_dir(spark)}/siltstone-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     _written.append(path)
-    _heavy = time.time() - began > 0.5
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
 
 
-def written_by_key(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
-    """``df``, one row a ``key``, written in ``n`` buckets of it, so that joins on the key move only the other side."""
-    spark = df.sparkSession
-    n = max(n, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    table = f"siltstone_{name}_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/{table}"
-    once = df.repartition(n, key).dropDuplicates([key])
-    once.write.option("compression", "zstd").option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(table)
-    _written.append(path)
-    global _heavy
-    _heavy = True
-    return spark.table(table)
-
-
 def drop(df: DataFrame) -> None:
     """Delete a table from ``written`` that no result will read again."""
     path = df.written_to

@@ -1,4 +1,4 @@
-"""Exact Jaccard self-join of documents on word shingles, to its components.
+"""Exact Jaccard self-join of documents on word shingles, with its components and link counts.
 
 Shingles are hashed into ``GROUPS`` groups. The counts of a document's shingles
 by group are a point; two documents share at most the sum of the coordinates'
@@ -12,25 +12,24 @@ documents must meet: of two sets with a Jaccard similarity of 0.8 each shares a
 shingle among its first fifth (and one more) in any fixed order. The order puts
 frequent shingles last, so that common passages gather few documents.
 
-Copies are one class from the start. Links are found in rounds. The first
-verifies each member of a block against one member; the next ones, with the
-trees, each against the closest in another component, until few are joined that
-way; the last looks for all links that are left between components. So a group
-of thousands of near copies costs a few pairs a member, and no link between
-groups is missed.
-
-Every link lies within a component, so all of them are counted there: a tile of
-members is compared with another through an index of its shingles, and only
-each member's number of links leaves the task.
+Copies are one class from the start. The bounds make clusters: who may be
+similar to whom, directly or through others. Of the pairs in a block that the
+bounds allow only a spanning tree leaves the task, so a cluster of thousands
+costs a row a member and not one a pair. Then each cluster's sets come together
+once, tile by tile where there are many, and an index of their shingles gives
+the exact similarities: the clusters' true components and each set's number of
+links. Sets of sizes too far apart to be similar never share a tile.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, read_table, row_key, slices, splitmix, text_bytes, written, written_by_key
+from .common import drop, read_table, row_key, slices, splitmix, text_bytes, written
 from .graph import components
 from .substring_dedup import _power
 
@@ -42,9 +41,10 @@ SLICE = 1 << 19  # bytes of text hashed at once
 FREQUENT = 8  # shingles in more documents than this come last in the order
 LIST = 1_000_000  # frequent shingles that are sent to the tasks, at most; all others only come earlier in the order
 BUCKET = 1_500_000  # block entries that a task sorts
-TEXT_SHINGLES = 4_000_000  # of the texts in one bucket, about
 TILE = 20_000  # members of a block compared in one task
-TILE_SHINGLES = 500_000  # of the members of a component compared in one task, about
+TILE_SHINGLES = 2_000_000  # of the members of a cluster compared in one task, about
+#: Sizes of similar sets differ by a factor of 1.25 at most, so by one step of this factor.
+STEP = 1.26
 
 _odd = np.array([0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _lower = np.arange(256, dtype=np.uint8)
@@ -178,33 +178,40 @@ class Tree:
             yield q + lo, self.items[node]
 
 
+def _names(sets: list[np.ndarray]) -> tuple[list[bytes], np.ndarray]:
+    """128-bit digests that name sets, and their first halves as numbers."""
+    import xxhash
+
+    names = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+    return names, np.frombuffer(b"".join(names), ">u8").astype(np.uint64)[::2].view(np.int64)
+
+
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """One row per document: its ids, set digest, size and count vectors."""
+    """One row per document: its ids, its set's name, node (half of the name), size and count vectors."""
 
     def run(batches):
         import pyarrow as pa
-        import xxhash
 
         for b in batches:
             for first, sets in _each_slice(b.column(3), words):
                 m = len(sets)
-                digest = np.frombuffer(b"".join(xxhash.xxh3_64_digest(s.tobytes()) for s in sets), ">u8").astype(np.uint64).view(np.int64)
+                names, nodes = _names(sets)
                 yield pa.RecordBatch.from_arrays(
-                    [*(b.column(i).slice(first, m) for i in range(3)), pa.array(digest), pa.array([len(s) for s in sets], pa.int64()), pa.array([group_counts(s).astype("<u4").tobytes() for s in sets], pa.binary()), pa.array([fine_counts(s).tobytes() for s in sets], pa.binary())],
-                    ["doc_id", "key_a", "key_b", "set", "n", "point", "fine"])
+                    [*(b.column(i).slice(first, m) for i in range(3)), pa.array(names, pa.binary()), pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), pa.array([group_counts(s).astype("<u4").tobytes() for s in sets], pa.binary()), pa.array([fine_counts(s).tobytes() for s in sets], pa.binary())],
+                    ["doc_id", "key_a", "key_b", "set", "node", "n", "point", "fine"])
 
-    return docs.select("doc_id", "key_a", "key_b", "text").mapInArrow(run, "doc_id long, key_a long, key_b long, set long, n long, point binary, fine binary")
+    return docs.select("doc_id", "key_a", "key_b", "text").mapInArrow(run, "doc_id long, key_a long, key_b long, set binary, node long, n long, point binary, fine binary")
 
 
 class Order:
     """The order of shingles: by hash, those in more than ``FREQUENT`` documents last.
 
-    Frequent shingles are told by the first ``bits + 32`` bits of their hash; any
+    Frequent shingles are told by the first ``bits + 24`` bits of their hash; any
     fixed order is right.
     """
 
     def __init__(self, bits: int, listed: np.ndarray):
-        self.shift, self.listed = np.uint64(32 - bits), np.sort(listed)
+        self.shift, self.listed = np.uint64(40 - bits), np.sort(listed)
 
     def often(self, h: np.ndarray) -> np.ndarray:
         if not len(self.listed):
@@ -216,7 +223,7 @@ class Order:
 def _shingle_order(docs: DataFrame, total: int, words: int) -> Order:
     """Count all documents' shingles, packed by ranges of their hashes, and list the frequent ones."""
     bits = max(10, int(total / 500_000).bit_length())
-    shift = np.uint64(32 - bits)
+    shift = np.uint64(40 - bits)
 
     def deal(batches):
         import pyarrow as pa
@@ -225,18 +232,20 @@ def _shingle_order(docs: DataFrame, total: int, words: int) -> Order:
 
         def flush():
             key, n = np.unique(np.concatenate(held), return_counts=True)
-            bucket = (key >> np.uint64(32)).astype(np.int64)
+            bucket = (key >> np.uint64(24)).astype(np.int64)
             cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             ends = [*cut[1:].tolist(), len(key)]
-            low, n = key.astype("<u4"), np.minimum(n, 255).astype(np.uint8)
-            return pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array([low[x:y].tobytes() for x, y in zip(cut.tolist(), ends)], pa.binary()), pa.array([n[x:y].tobytes() for x, y in zip(cut.tolist(), ends)], pa.binary())], ["bucket", "keys", "counts"])
+            low, n = key.astype("<u4").view(np.uint8).reshape(-1, 4), np.minimum(n, 255).astype(np.uint8)
+            # sorted numbers byte by byte: their high bytes run on and compress
+            keys = [low[x:y, 2::-1].T.tobytes() for x, y in zip(cut.tolist(), ends)]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array(keys, pa.binary()), pa.array([n[x:y].tobytes() for x, y in zip(cut.tolist(), ends)], pa.binary())], ["bucket", "keys", "counts"])
 
         for b in batches:
             for _, sets in _each_slice(b.column(0), words):
                 for s in sets:
                     held.append(s >> shift)
                     size += len(s)
-                if size > 1_000_000:
+                if size > 2_000_000:
                     yield flush()
                     held, size = [], 0
         if size:
@@ -252,7 +261,7 @@ def _shingle_order(docs: DataFrame, total: int, words: int) -> Order:
             first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             n = np.add.reduceat(n, first)
             many = n > FREQUENT
-            return pa.RecordBatch.from_arrays([pa.array((bucket << 32) + k[first][many].astype(np.int64)), pa.array(n[many])], ["top", "in_docs"])
+            return pa.RecordBatch.from_arrays([pa.array((bucket << 24) + k[first][many]), pa.array(n[many])], ["top", "in_docs"])
 
         bucket, keys, counts = None, [], []
         for b in batches:
@@ -261,26 +270,35 @@ def _shingle_order(docs: DataFrame, total: int, words: int) -> Order:
                     yield block(bucket, keys, counts)
                     keys, counts = [], []
                 bucket = at
-                keys.append(np.frombuffer(x, "<u4"))
+                high, middle, low = np.frombuffer(x, np.uint8).reshape(3, -1).astype(np.int64)
+                keys.append(high << 16 | middle << 8 | low)
                 counts.append(np.frombuffer(y, np.uint8))
         if keys:
             yield block(bucket, keys, counts)
 
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // (4 * BUCKET)))
     dealt = docs.select("text").mapInArrow(deal, "bucket long, keys binary, counts binary")
-    counted = dealt.repartition(int(tasks), "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "top long, in_docs long")
-    found = counted.orderBy(F.desc("in_docs"), "top").limit(LIST).select("top").toArrow()
+    counted = written(dealt.repartition(int(tasks), "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "top long, in_docs long"), "frequent")
+    # as many of the most frequent as the list holds, by a histogram of at most a few hundred rows
+    level = F.floor(F.log2("in_docs") * 8)
+    room, least = LIST, None
+    for r in counted.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        if r["count"] > room:
+            break
+        room, least = room - r["count"], r["level"]
+    if least is None:
+        return Order(bits, np.zeros(0, np.uint64))
+    found = counted.where(level >= least).select("top").toArrow()  # at most ``LIST`` numbers
     return Order(bits, found.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
 def _entries(docs: DataFrame, shingle_order: Order, total: int, words: int) -> DataFrame:
-    """(h, set, spread): members of the blocks with more than one class; spread marks blocks of frequent shingles."""
+    """The blocks with several members: a small one whole (h null, nodes), of others a member a row (h, nodes with one entry)."""
     buckets = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // BUCKET))
     sent = docs.sparkSession.sparkContext.broadcast(shingle_order)
 
     def deal(batches):
         import pyarrow as pa
-        import xxhash
 
         last = sent.value
         held_h, held_c, size, seen = [], [], 0, set()
@@ -295,43 +313,52 @@ def _entries(docs: DataFrame, shingle_order: Order, total: int, words: int) -> D
             cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
             ends = [*cut[1:].tolist(), len(to)]
             return pa.RecordBatch.from_arrays(
-                [pa.array(to[cut]), pa.array([h[a:b].tobytes() for a, b in zip(cut.tolist(), ends)], pa.binary()), pa.array([c[a:b].tobytes() for a, b in zip(cut.tolist(), ends)], pa.binary())], ["bucket", "h", "sets"])
+                [pa.array(to[cut]), pa.array([h[a:b].tobytes() for a, b in zip(cut.tolist(), ends)], pa.binary()), pa.array([c[a:b].tobytes() for a, b in zip(cut.tolist(), ends)], pa.binary())], ["bucket", "h", "nodes"])
 
         for b in batches:
             for _, sets in _each_slice(b.column(0), words):
-                for s in sets:
-                    if not len(s):
-                        continue
-                    own = int.from_bytes(xxhash.xxh3_64_digest(s.tobytes()), "big", signed=False)
-                    if own in seen:
+                for s, own in zip(sets, _names(sets)[1].tolist()):
+                    if not len(s) or own in seen:
                         continue
                     seen.add(own)
                     p = prefix_length(len(s))
                     often = last.often(s)
                     s = np.concatenate([s[~often][:p], s[often][:p]]) if often.any() else s
                     held_h.append(s[:p])
-                    held_c.append(np.full(p, np.uint64(own)).view(np.int64))
+                    held_c.append(np.full(p, own, np.int64))
                     size += p
                 if size > 1_000_000:
                     yield flush()
-                    held_h, held_c, size = [], [], 0
+                    held_h, held_c, size, seen = [], [], 0, set()
         if size:
             yield flush()
 
     def gather(batches):
         import pyarrow as pa
 
+        def emit(h, values, width):
+            for lo in range(0, len(values), 65_536 * width):
+                part = values[lo: lo + 65_536 * width]
+                rows = len(part) // width
+                nodes = pa.ListArray.from_arrays(pa.array(np.arange(0, len(part) + 1, width, np.int32)), pa.array(part))
+                yield pa.RecordBatch.from_arrays([pa.nulls(rows, pa.int64()) if h is None else pa.array(h[lo: lo + rows].view(np.int64)), nodes], ["h", "nodes"])
+
         def block(h, c, often):
             order = np.lexsort((c, h))
             h, c = h[order], c[order]
             new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
             h, c = h[new], c[new]
-            if not often:
-                start = np.concatenate([[True], h[1:] != h[:-1]])
-                lone = start & np.concatenate([start[1:], [True]])
-                h, c = h[~lone], c[~lone]
-            for lo in range(0, len(h), 65_536):
-                yield pa.RecordBatch.from_arrays([pa.array(h[lo: lo + 65_536].view(np.int64)), pa.array(c[lo: lo + 65_536]), pa.array([often] * len(h[lo: lo + 65_536]))], ["h", "set", "spread"])
+            if often:
+                yield from emit(h, c, 1)
+                return
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            size = np.diff(np.concatenate([first, [len(h)]]))
+            for k in range(2, NODE + 1):  # whole blocks; many have the same members, of which one is enough
+                lists = c[first[size == k][:, None] + np.arange(k)]
+                if len(lists):
+                    yield from emit(None, np.unique(lists, axis=0).ravel(), k)
+            large = np.repeat(size > NODE, size)
+            yield from emit(h[large], c[large], 1)
 
         bucket, h, c = None, [], []
         for b in batches:
@@ -345,27 +372,8 @@ def _entries(docs: DataFrame, shingle_order: Order, total: int, words: int) -> D
         if h:
             yield from block(np.concatenate(h), np.concatenate(c), bool(bucket % 2))
 
-    dealt = docs.select("text").mapInArrow(deal, "bucket long, h binary, sets binary")
-    return dealt.repartition(int(buckets), "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "h long, set long, spread boolean")
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            good = []
-            for lo in range(0, batch.num_rows, 64):
-                part = batch.slice(lo, 64)
-                left = [s for _, x in _each_slice(part.column(2), words) for s in x]
-                right = [s for _, x in _each_slice(part.column(3), words) for s in x]
-                good += [linked(len(np.intersect1d(x, y, True)), len(x), len(y)) for x, y in zip(left, right)]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
-
-    a, b = texts.select(F.col("set").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("set").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    dealt = docs.select("text").mapInArrow(deal, "bucket long, h binary, nodes binary")
+    return dealt.repartition(int(buckets), "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "h long, nodes array<long>")
 
 
 def _may_be_similar(pairs: DataFrame, points: DataFrame) -> DataFrame:
@@ -382,40 +390,64 @@ def _may_be_similar(pairs: DataFrame, points: DataFrame) -> DataFrame:
                 fits.append(5 * n >= 4 * m and 5 * m >= 4 * n and 9 * fine_bound(x, y) >= 4 * (n + m))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(fits, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
-    a, b = points.select(F.col("set").alias("a"), F.col("fine").alias("x")), points.select(F.col("set").alias("b"), F.col("fine").alias("y"))
+    a, b = points.select(F.col("node").alias("a"), F.col("fine").alias("x")), points.select(F.col("node").alias("b"), F.col("fine").alias("y"))
     return pairs.join(b, "b").join(a, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _between(sized: DataFrame, points: DataFrame, best: bool = False) -> DataFrame:
-    """Pairs (a, b) of classes of one block and different components that a tree does not rule out.
+def _tiled(members: DataFrame, key: str, weight: str, limit: int) -> DataFrame:
+    """``members`` (key, node, n, weight, ..) once for each tile (i, j) they belong to, with their own slot.
+
+    A group of at most ``limit`` weight is one tile. A larger one is split by
+    size and then by hash, and slots meet where their sizes can be similar.
+    """
+    total = members.groupBy(key).agg(F.sum(weight).alias("_total"))
+    sized = members.join(total, key)
+    zero = F.lit(0).cast("long")
+    one = sized.where(F.col("_total") <= limit).select("*", zero.alias("slot"), zero.alias("i"), zero.alias("j"))
+    large = sized.where(F.col("_total") > limit).withColumn("_step", F.floor(F.log("n") / math.log(STEP)))
+    steps = large.groupBy(key, "_step").agg(F.ceil(F.sum(weight) / limit).alias("slots"))
+    # at most a row for each step between the smallest and the largest set
+    steps = steps.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_step", "slots"))).alias("_slots"))
+    slots = lambda step: F.coalesce(F.try_element_at("_slots", step), F.lit(0)).cast("int")
+    own = large.join(steps, key).withColumn("slot", F.shiftleft("_step", 32) + F.pmod(F.xxhash64("node", key), slots(F.col("_step"))))
+
+    def of_step(step):
+        return F.transform(F.slice(F.sequence(F.lit(1), F.greatest(slots(step), F.lit(1))), 1, slots(step)), lambda k: F.shiftleft(step, 32) + k - 1)
+
+    beside = F.flatten(F.array(*(of_step(F.col("_step") + d) for d in (-1, 0, 1))))
+    other = own.withColumn("_other", F.explode(beside)).select("*", F.least("slot", "_other").alias("i"), F.greatest("slot", "_other").alias("j")).drop("_step", "_slots", "_other")
+    return one.unionByName(other).drop("_total")
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Rows (x, smallest that x reaches) that connect what the edges (a, b) connect."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a):]
+    label = np.arange(len(ids))
+    while True:
+        p, q = label[x], label[y]
+        if (p == q).all():
+            break
+        np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
+        while (label[label] != label).any():
+            label = label[label]
+    moved = label != np.arange(len(ids))
+    return np.stack([ids[moved], ids[label[moved]]], 1)
+
 
-    With ``best`` only those in which one is, by the bound, the other's closest.
+def _between(sized: DataFrame, points: DataFrame) -> DataFrame:
+    """Edges (a, b) between components that connect those with members in one block which the bounds allow to be similar.
 
-    ``sized`` has h, set, component, and its block's members and tiles; ``points``
-    each set's counts. Blocks beyond ``TILE`` members are compared tile by tile.
-    Blocks that need a tree bring the fine counts along, so that their pairs are
-    bounded where they are found.
+    ``sized`` has h, node, n and component; ``points`` each node's counts. Blocks beyond ``TILE`` members are compared tile by tile.
     """
-    small = sized.where(F.col("members") <= NODE).join(points.select("set", "point", F.lit(None).cast("binary").alias("fine")), "set")
-    own = small.unionByName(sized.where(F.col("members") > NODE).join(points, "set"))
-    own = own.withColumn("slot", F.pmod(F.xxhash64("set", "h"), "tiles").cast("int"))
-    tiled = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("h", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), "slot", "set", "component", "point", "fine")
+    tiles = _tiled(sized.withColumn("one", F.lit(1)), "h", "one", TILE)
+    tiled = tiles.join(points.select("node", "point", "fine"), "node").select("h", "i", "j", "slot", "component", "point", "fine")
 
     def run(batches):
         import pyarrow as pa
 
-        def of_tile(i, j, slot, owner, points):
-            """Pairs of rows of one large tile."""
-            left, right = np.flatnonzero(slot == i), np.flatnonzero(slot == j)
-            if i == j and len(left):  # the largest component has the tree to itself and need not ask
-                _, at, n = np.unique(owner, return_inverse=True, return_counts=True)
-                left = np.flatnonzero(at != n.argmax())
-            if len(left) and len(right):
-                for q, r in Tree(points[right], owner[right]).search(points[left], owner[left]):
-                    yield left[q], right[r]
-
         def by_fine_counts(fine):
-            """A function of pairs of members: which ones the fine counts allow, and the bounds."""
+            """A function of pairs of members: which ones the fine counts allow."""
             counts = [np.frombuffer(f, np.uint8) for f in fine]
             groups, n = np.array([len(c) for c in counts]), np.array([c.sum(dtype=np.int64) for c in counts], np.int64)
             folds: dict[int, tuple] = {}
@@ -434,17 +466,59 @@ def _between(sized: DataFrame, points: DataFrame, best: bool = False) -> DataFra
                     for lo in range(0, len(own), step):
                         k = own[lo: lo + step]
                         most[k] = bound(folded[row[x[k]]], folded[row[y[k]]])
-                return 9 * most >= 4 * (n[x] + n[y]), most
+                return (5 * n[x] >= 4 * n[y]) & (5 * n[y] >= 4 * n[x]) & (9 * most >= 4 * (n[x] + n[y]))
 
             return allowed
 
-        def pairs(columns):
-            """Pairs (a, b) of ids of whole blocks."""
-            h, i, j, slot, ids, owner, points, fine = columns
-            n = points.sum(1, dtype=np.int64)
+        def of_block(i, j, slot, owner, points, fine):
+            """Edges between the owners of one block or tile; who is joined already is not compared again."""
+            ids, label = np.unique(owner, return_inverse=True)
+            allowed, found = by_fine_counts(fine), []
+
+            def connect(x, y):
+                nonlocal label
+                if len(x):
+                    edges = spanning(label[x], label[y])
+                    if len(edges):
+                        found.append(np.stack([ids[edges[:, 0]], ids[edges[:, 1]]], 1))
+                        to = np.arange(len(ids))
+                        to[edges[:, 0]] = edges[:, 1]
+                        label = to[label]
+
+            def common():
+                return np.bincount(label, minlength=len(ids)).argmax()
+
+            centre = np.flatnonzero(label == common())[0]
+            rest = np.flatnonzero(label != label[centre])
+            fits = allowed(rest, np.full(len(rest), centre))
+            connect(rest[fits], np.full(fits.sum(), centre))
+            left, right = np.flatnonzero(slot == i), np.flatnonzero(slot == j)
+            if not len(left) or not len(right):
+                return found
+            at, step, tree = 0, 64, None
+            while at < len(left):
+                if label.min() == label.max():
+                    break
+                if tree is None or len(found) > seen:
+                    tree, seen = Tree(points[right], label[right]), len(found)
+                ask = left[at: at + step]
+                if i == j:  # the largest component has the tree to itself and need not ask
+                    ask = ask[label[ask] != common()]
+                for q, r in tree.search(points[ask], label[ask]):
+                    x, y = ask[q], right[r]
+                    fits = allowed(x, y)
+                    connect(x[fits], y[fits])
+                at += step
+                step = min(2 * step, 1024)
+            return found
+
+        def edges(columns):
+            """Edges of whole blocks."""
+            h, i, j, slot, owner, points, fine = columns
             new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
             size = np.diff(np.concatenate([new, [len(h)]]))
-            left, right, most = [], [], []
+            n = points.sum(1, dtype=np.int64)
+            left, right = [], []
             # blocks that fill one node: every pair, all blocks at once
             place = np.arange(len(h)) - np.repeat(new, size)
             room = np.where(np.repeat(size, size) <= NODE, np.repeat(size, size) - place, 0)
@@ -457,182 +531,205 @@ def _between(sized: DataFrame, points: DataFrame, best: bool = False) -> DataFra
                 x, y = x[fits], y[fits]
                 m = np.concatenate([bound(points[x[c: c + 65536]], points[y[c: c + 65536]]) for c in range(0, len(x), 65536)] or [np.zeros(0)]).astype(np.int64)
                 fits = 9 * m >= 4 * (n[x] + n[y])
-                for out, v in ((left, x), (right, y), (most, m)):
-                    out.append(v[fits])
+                left.append(x[fits])
+                right.append(y[fits])
+            out = []
+            if left and len(x := np.concatenate(left)):
+                y = np.concatenate(right)
+                used, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+                fits = by_fine_counts(fine[used])(at[: len(x)], at[len(x):])
+                out.append(spanning(owner[x[fits]], owner[y[fits]]))
             for lo, k in zip(new[size > NODE].tolist(), size[size > NODE].tolist()):
                 own = slice(lo, lo + k)
-                allowed = by_fine_counts(fine[own])
-                for x, y in of_tile(i[lo], j[lo], slot[own], owner[own], points[own].astype(np.int64)):
-                    fits, m = allowed(x, y)
-                    for out, v in ((left, x + lo), (right, y + lo), (most, m)):
-                        out.append(v[fits])
-            if not left:
-                return None
-            x, y, m = np.concatenate(left), np.concatenate(right), np.concatenate(most)
-            differ = ids[x] != ids[y]
-            x, y, m = x[differ], y[differ], m[differ]
-            both, first = np.unique(np.stack([np.maximum(ids[x], ids[y]), np.minimum(ids[x], ids[y])], 1), axis=0, return_index=True)
-            if best and len(both):
-                near = m[first] / (n[x[first]] + n[y[first]])
-                keep = np.zeros(len(both), bool)
-                for side in (0, 1):
-                    order = np.lexsort((-near, both[:, side]))
-                    own = both[order, side]
-                    keep[order[np.concatenate([[True], own[1:] != own[:-1]])]] = True
-                both = both[keep]
-            return both
+                out += of_block(i[lo], j[lo], slot[own], owner[own], points[own].astype(np.int64), fine[own])
+            return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
         def emit(found):
-            both = np.unique(np.concatenate(found), axis=0)
+            both = np.concatenate(found)
+            both = spanning(both[:, 0], both[:, 1])
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
 
         held, found, size = None, [], 0
         for b in batches:
-            columns = [np.asarray(b.column(k)) for k in range(6)] + [np.frombuffer(b"".join(b.column(6).to_pylist()), "<u4").reshape(-1, GROUPS), np.array(b.column(7).to_pylist() + [None], object)[:-1]]
             if not b.num_rows:
                 continue
+            columns = [np.asarray(b.column(k)) for k in range(5)] + [np.frombuffer(b"".join(b.column(5).to_pylist()), "<u4").reshape(-1, GROUPS), np.array([*b.column(6).to_pylist(), None], object)[:-1]]
             if held is not None:
                 columns = [np.concatenate([x, y]) for x, y in zip(held, columns)]
             h, i, j = columns[:3]
             last = int(np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))[-1])
             held = [c[last:] for c in columns]  # the last block may go on
-            if last and (got := pairs([c[:last] for c in columns])) is not None:
-                found.append(got)
-                size += len(got)
+            if last:
+                found.append(edges([c[:last] for c in columns]))
+                size += len(found[-1])
             if size > 500_000:
                 yield emit(found)
                 found, size = [], 0
-        if held is not None and (got := pairs(held)) is not None:
-            found.append(got)
+        if held is not None:
+            found.append(edges(held))
         if found:
             yield emit(found)
 
-    return tiled.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(run, "a long, b long").distinct()
-
-
-def tile_links(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """For each set of ``left`` how many of ``right`` it links with, and the reverse; without ``right``, of the other sets of ``left``."""
-    alone = right is None
-    right = left if alone else right
-    n, m = np.array([len(s) for s in right]), np.array([len(s) for s in left])
-    h = np.concatenate(right)
-    order = np.argsort(h, kind="stable")
-    h, owner = h[order], np.repeat(np.arange(len(right)), n)[order]
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    ends = np.concatenate([first[1:], [len(h)]])
-    asked = np.concatenate(left)
-    at = np.minimum(np.searchsorted(h[first], asked), len(first) - 1)
-    hit = h[first][at] == asked
-    here, there = np.zeros(len(left), np.int64), np.zeros(len(right), np.int64)
-    upto = np.cumsum(m)
-    for x, (lo, hi) in enumerate(zip((upto - m).tolist(), upto.tolist())):
-        k = at[lo:hi][hit[lo:hi]]
-        if len(k):
-            shared = np.bincount(np.concatenate([owner[a:b] for a, b in zip(first[k].tolist(), ends[k].tolist())]), minlength=len(right))
-            similar = linked(shared, len(left[x]), n)
-            if alone:
-                similar[x] = False
-            here[x] = similar.sum()
-            there += similar
-    return here, there
-
-
-def _link_counts(whole: DataFrame, classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """(set, links): of each class of ``whole`` (node, component) the number of classes it is similar to.
-
-    Components beyond ``TILE`` members or ``TILE_SHINGLES`` are compared tile by tile.
+    return tiled.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(run, "a long, b long")
+
+
+class Index:
+    """Which of some sets hold each shingle."""
+
+    def __init__(self, sets: list[np.ndarray], members: np.ndarray):
+        h = np.concatenate([sets[k] for k in members])
+        order = np.argsort(h, kind="stable")
+        self.h, self.total = h[order], len(sets)
+        self.owner = np.repeat(members, [len(sets[k]) for k in members])[order]
+        new = np.concatenate([[True], self.h[1:] != self.h[:-1]]) if len(h) else np.zeros(0, bool)
+        self.first = np.concatenate([np.flatnonzero(new), [len(h)]])
+        self.h = self.h[new]
+
+    def shared(self, s: np.ndarray) -> np.ndarray:
+        """How many shingles each set has in common with ``s``."""
+        at = np.searchsorted(self.h, s)
+        at[at == len(self.h)] = 0
+        at = at[self.h[at] == s] if len(self.h) else at[:0]
+        if not len(at):
+            return np.zeros(self.total, np.int64)
+        return np.bincount(np.concatenate([self.owner[a:b] for a, b in zip(self.first[at].tolist(), self.first[at + 1].tolist())]), minlength=self.total)
+
+
+def related(sets: list[np.ndarray], count: bool, apart: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Each set's component, by number of a member, and with ``count`` its number of links.
+
+    With ``apart`` the first so many sets are compared with the others alone.
+    Where links are not counted, a set that is placed is not looked up again.
     """
-    members = whole.withColumnRenamed("node", "set").join(classes.select("set", "n"), "set")
-    tiles = members.groupBy("component").agg(F.greatest(F.ceil(F.sum("n") / TILE_SHINGLES), F.ceil(F.count("*") / TILE)).cast("int").alias("tiles"))
-    own = members.join(tiles, "component").withColumn("slot", F.pmod(F.xxhash64("set", "component"), "tiles").cast("int")).join(texts, "set")
-    tiled = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("component", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), "slot", "set", "text")
+    m, n = len(sets), np.array([len(s) for s in sets])
+    label, links = np.arange(m), np.zeros(m, np.int64)
+    if m == 2:
+        if linked(len(np.intersect1d(sets[0], sets[1], True)), *n.tolist()):
+            label[:], links[:] = 0, 1
+    elif count:
+        index = Index(sets, np.arange(apart, m))
+        for x in range(apart or m):
+            similar = np.flatnonzero(linked(index.shared(sets[x]), n[x], n))
+            similar = similar[similar != x]
+            links[x] += len(similar)
+            if apart:
+                links[similar] += 1
+            if len(similar) and (label[similar] != label[x]).any():
+                joined = np.unique(np.append(label[similar], label[x]))
+                label[np.isin(label, joined)] = joined[0]
+    else:
+        left, held = np.ones(m, bool), m
+        index = Index(sets, np.arange(m))
+        for start in range(m):
+            if not left[start]:
+                continue
+            left[start], queue = False, [start]
+            while queue:
+                x = queue.pop()
+                fits = np.flatnonzero(left & linked(index.shared(sets[x]), n[x], n))
+                label[fits], left[fits] = start, False
+                queue += fits.tolist()
+                if 2 * left.sum() < held and left.any():
+                    index, held = Index(sets, np.flatnonzero(left)), int(left.sum())
+                if not left.any():
+                    break
+    return label, links
+
+
+def _compared(members: DataFrame, docs: DataFrame, words: int, count: bool) -> DataFrame:
+    """(set, label, links) of each member of a cluster, for each tile it is in: the smallest set its links reach there.
+
+    ``members`` has cluster, node, set, n and key_a, key_b of a row of ``docs`` with its text.
+    """
+    tiled = _tiled(members, "cluster", "n", TILE_SHINGLES)
+    # rows equal in id and text share a key; one of them is enough
+    texts = docs.select("key_a", "key_b", "text").join(members.select("key_a", "key_b"), ["key_a", "key_b"], "left_semi").dropDuplicates(["key_a", "key_b"])
+    own = tiled.join(texts, ["key_a", "key_b"]).select("cluster", "i", "j", "slot", "set", "text")
 
     def run(batches):
         import pyarrow as pa
 
         key, held, found, size = None, [], [], 0
 
-        def counted():
+        def compared():
             i, j = key[1:]
-            left = [r for r in held if r[0] == i]
-            right = [r for r in held if r[0] == j]
-            if i == j:
-                return [r[1] for r in left], tile_links([r[2] for r in left])[0]
-            if not left or not right:
-                return [], np.zeros(0, np.int64)
-            return [r[1] for r in left + right], np.concatenate(tile_links([r[2] for r in left], [r[2] for r in right]))
+            held.sort(key=lambda r: r[0] != i)
+            names, sets = [r[1] for r in held], [r[2] for r in held]
+            apart = sum(r[0] == i for r in held) if i != j else 0
+            if i != j and apart in (0, len(held)):  # nobody on one side
+                return
+            label, links = related(sets, count, apart)
+            least: dict[int, bytes] = {}
+            for k, name in zip(label.tolist(), names):
+                least[k] = min(name, least.get(k, name))
+            found.append((names, [least[k] for k in label.tolist()], links))
 
         def emit():
-            return pa.RecordBatch.from_arrays([pa.array([x for ids, _ in found for x in ids], pa.int64()), pa.array(np.concatenate([n for _, n in found]))], ["set", "links"])
+            return pa.RecordBatch.from_arrays([pa.array([x for f in found for x in f[0]], pa.binary()), pa.array([x for f in found for x in f[1]], pa.binary()), pa.array(np.concatenate([f[2] for f in found]))], ["set", "label", "links"])
 
         for b in batches:
             sets = (s for _, x in _each_slice(b.column(5), words) for s in x)
-            for *now, slot, own, s in zip(*(b.column(k).to_pylist() for k in range(5)), sets):
+            for *now, slot, name, s in zip(*(b.column(k).to_pylist() for k in range(5)), sets):
                 if now != key and held:
-                    found.append(counted())
-                    size += len(found[-1][0])
+                    compared()
+                    size += len(held)
                     held = []
-                    if size > 100_000:
+                    if found and size > 100_000:
                         yield emit()
                         found, size = [], 0
                 key = now
-                held.append((slot, own, s))
+                held.append((slot, name, s))
         if held:
-            found.append(counted())
+            compared()
         if found:
             yield emit()
 
-    parts = tiled.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(run, "set long, links long")
-    return parts.groupBy("set").agg(F.sum("links").alias("links"))
+    return own.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(run, "set binary, label binary, links long")
 
 
-def _placed(keyed: DataFrame, words: int, count_links: bool = False) -> DataFrame:
-    """(doc_id, key_a, key_b, n, set, component, component_id) of each row of ``keyed`` (doc_id, text, key_a, key_b), and with ``count_links`` links."""
+def _placed(keyed: DataFrame, words: int, count: bool = False) -> DataFrame:
+    """(doc_id, key_a, key_b, n, set, component, component_id) of each row of ``keyed`` (doc_id, text, key_a, key_b), and with ``count`` links."""
     sets = written(_sets(keyed, words), "sets")
-    classes = written(sets.where("n > 0").groupBy("set").agg(F.first("n").alias("n"), F.first("point").alias("point"), F.first("fine").alias("fine"), F.min("doc_id").alias("doc_id"), F.min(F.struct("key_a", "key_b")).alias("one")), "classes")
+    classes = written(sets.where("n > 0").groupBy("set").agg(F.first("node").alias("node"), F.first("n").alias("n"), F.first("point").alias("point"), F.first("fine").alias("fine"), F.min("doc_id").alias("doc_id"), F.min(F.struct("key_a", "key_b")).alias("one")), "classes")
     first_ones, total = classes.agg(F.sum(F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1), F.sum("n")).first()
     entries = written(_entries(keyed, _shingle_order(keyed, int(total or 0), words), int(first_ones or 0), words), "entries")
-    # the texts of classes that meet another anywhere
-    meeting = entries.select("set").distinct().join(classes, "set").select("set", "one.*")
-    # in buckets by set: every round joins pairs to them, and only the pairs move
-    texts = written_by_key(keyed.join(meeting, ["key_a", "key_b"]).select("set", "text"), "texts", "set", -(-int(total or 0) // TEXT_SHINGLES))
-    points = classes.select("set", "point", "fine")
-
-    centre = entries.groupBy("h").agg(F.min("set").alias("b"))
-    first = entries.join(centre, "h").where("set != b").select(F.col("set").alias("a"), "b").distinct()
-    first = written(_verified(_may_be_similar(first, points), texts, words), "links")
-    reached = components(first)
-
-    # then, as long as that joins many, each with its closest in another component
-    links, tried, last = first, [], False
-    while True:
-        placed = written(entries.join(reached.withColumnRenamed("node", "set"), "set", "left").select("h", "set", F.coalesce("component", "set").alias("component")), "placed")
-        blocks = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low != high")
-        sized = written(placed.join(blocks.select("h", "members", F.ceil(F.col("members") / TILE).cast("int").alias("tiles")), "h"), "sized")
-        drop(placed)
-        pairs = _may_be_similar(_between(sized, points, best=not last), points)
-        for old in tried:
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        drop(sized)
-        more = written(_verified(pairs, texts, words), "links")
-        links = links.unionByName(more)
-        if last:
-            break
-        tried.append(pairs)
-        last = 2 * more.count() <= pairs.count()
-        reached = components(links)
-    whole = components(links)
-    for old in (entries, *tried, pairs):
+    points = classes.select("node", "n", "point", "fine")
+
+    # most clusters show when each member of a block is compared with the first one
+    small = written(entries.where("h is null").select("nodes").distinct(), "small")
+    large = entries.where("h is not null").select("h", F.col("nodes")[0].alias("node"))
+    centre = large.groupBy("h").agg(F.min("node").alias("b"), F.count("*").alias("members")).where("members > 1")
+    pairs = small.select(F.explode(F.slice("nodes", 2, NODE)).alias("a"), F.col("nodes")[0].alias("b"))
+    pairs = pairs.unionByName(large.join(centre, "h").where("node != b").select(F.col("node").alias("a"), "b")).distinct()
+    reached = components(written(_may_be_similar(pairs, points), "near"))
+
+    # then only blocks with members of several clusters are searched
+    member = small.select(F.xxhash64("nodes").alias("h"), F.explode("nodes").alias("node")).unionByName(large)
+    known = points.select("node", "n").join(reached, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"))
+    placed = written(member.join(known, "node"), "placed")
+    several = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("h")
+    edges = written(_between(placed.join(several, "h", "left_semi"), points), "near")
+    further = components(edges).select(F.col("node").alias("component"), F.col("component").alias("further"))
+    for old in (entries, small, placed):
         drop(old)
 
-    by_class = classes.join(whole.withColumnRenamed("node", "set"), "set", "left").select("set", "doc_id", F.coalesce("component", "set").alias("component"))
+    named = classes.select("set", "node", "n", "doc_id", "one.*").join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = written(named.join(further, "component", "left").withColumn("cluster", F.coalesce("further", "component")).drop("component", "further"), "clusters")
+    lone = named.groupBy("cluster").agg(F.count("*").alias("sets")).where("sets > 1").select("cluster")
+    found = written(_compared(named.join(lone, "cluster", "left_semi"), keyed, words, count), "compared")
+    by_tile = found.groupBy("set").agg(F.sum("links").alias("links"), F.min("label").alias("component"), F.count_distinct("label").alias("labels"))
+    # sets of one tile are placed by it; those that met others in several need the tiles put together
+    across = found.where("set != label").select(F.col("set").alias("a"), F.col("label").alias("b"))
+    if by_tile.where("labels > 1").isEmpty():
+        placed_sets = by_tile.select("set", "links", "component")
+    else:
+        whole = components(across)
+        placed_sets = by_tile.select("set", "links").join(whole.select(F.col("node").alias("set"), "component"), "set", "left")
+    by_class = named.select("set", "doc_id").join(placed_sets, "set", "left").select("set", "doc_id", "links", F.coalesce("component", "set").alias("component"))
     smallest = by_class.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = by_class.join(smallest, "component").select("set", "component", "component_id")
-    if count_links:
-        named = named.join(written(_link_counts(whole, classes, texts, words), "counts"), "set", "left")
+    told = by_class.join(smallest, "component").select("set", "component", "component_id", "links")
     out = sets.select("doc_id", "key_a", "key_b", "n", F.when(F.col("n") > 0, F.col("set")).alias("set"))
-    return out.join(named, "set", "left")
+    return out.join(told, "set", "left")
 
 
 def join(docs: DataFrame, words: int = WORDS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -647,7 +744,7 @@ def join(docs: DataFrame, words: int = WORDS, text_col: str = "text", id_col: st
     ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = _placed(docs.select("doc_id", "text", *row_key("doc_id", "text")), words, count_links=True)
+    found = _placed(docs.select("doc_id", "text", *row_key("doc_id", "text")), words, count=True)
     empty = F.col("n") == 0
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
 

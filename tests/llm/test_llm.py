@@ -145,14 +145,48 @@ def test_ngram_join(spark, rows, monkeypatch, tile, node, frequent):
     assert got == sorted(((i, *r) for i, r in enumerate(brute_components(texts))), key=repr)
 
 
-@pytest.mark.parametrize("tile", [20_000, 3])
+@pytest.mark.parametrize("tile", [2_000_000, 700])
 def test_ngram_join_counts_all_links(spark, rows, monkeypatch, tile):
-    monkeypatch.setattr(ngram_join, "TILE", tile)
+    monkeypatch.setattr(ngram_join, "TILE_SHINGLES", tile)
     texts = sample_texts()
     sets = [frozenset(s) for s in brute_sets(texts)]
     want = [(i, len({b for b in sets if a and b and a != b and 100 * len(a & b) >= 80 * len(a | b)})) for i, a in enumerate(sets)]
     assert max(n for _, n in want) > 3
-    assert rows(ngram_join.join(frame(spark, texts)), "doc_id", "links") == sorted(want, key=repr)
+    got = ngram_join.join(frame(spark, texts)).collect()
+    assert sorted(((r["doc_id"], r["links"]) for r in got), key=repr) == sorted(want, key=repr)
+    assert [(r["n_shingles"], r["component_id"]) for r in sorted(got)] == brute_components(texts)
+
+
+@pytest.mark.parametrize("tile", [2_000_000, 700])
+def test_keep_one_of_each_component(spark, monkeypatch, tile):
+    monkeypatch.setattr(ngram_join, "TILE_SHINGLES", tile)
+    texts = sample_texts()
+    kept = sorted(r["doc_id"] for r in ngram_join.keep_one(frame(spark, texts)).collect())
+    assert kept == [i for i, (n, c) in enumerate(brute_components(texts)) if not n or c == i]
+
+
+def test_spanning_rows_never_exceed_members():
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 300, 5000), rng.integers(0, 300, 5000)
+    edges = ngram_join.spanning(a, b)
+    assert len(edges) < 300
+    root = dict(edges.tolist())
+    assert all(root.get(x, x) == root.get(y, y) for x, y in zip(a.tolist(), b.tolist()))
+
+
+def test_related_with_and_without_counts():
+    rng = np.random.default_rng(6)
+    base = [np.unique(rng.integers(0, 1 << 60, 80).astype(np.uint64)) for _ in range(4)]
+    sets = []
+    for k in range(60):
+        s = base[k % 4].copy()
+        s[: rng.integers(0, 18)] += np.uint64(1 + k)
+        sets.append(np.unique(s))
+    full, links = ngram_join.related(sets, True)
+    quick, _ = ngram_join.related(sets, False)
+    same = lambda x: {frozenset(np.flatnonzero(x == k).tolist()) for k in set(x.tolist())}
+    assert same(full) == same(quick)
+    assert links.tolist() == [sum(i != j and ngram_join.linked(len(np.intersect1d(x, y)), len(x), len(y)) for j, y in enumerate(sets)) for i, x in enumerate(sets)]
 
 
 def test_similarity_at_the_threshold(spark, rows):
@@ -533,12 +567,13 @@ def test_pipeline(spark, sf, tmp_path):
     path, library = tokenizers_of("word_bpe_49k.json")
     want = {}
     data = [texts[i].encode() for i in firsts]
-    seen = collections.Counter(b[i: i + 400] for b in data for i in range(len(b) - 399))
+    size = P.PASSAGE_BYTES
+    seen = collections.Counter(b[i: i + size] for b in data for i in range(len(b) - size + 1))
     for d, b in zip(firsts, data):
         cover = bytearray(len(b))
-        for i in range(len(b) - 399):
-            if seen[b[i: i + 400]] > 1:
-                cover[i: i + 400] = b"\1" * 400
+        for i in range(len(b) - size + 1):
+            if seen[b[i: i + size]] > 1:
+                cover[i: i + size] = b"\1" * size
         left = bytes(x for x, c in zip(b, cover) if not c).decode("utf-8", "ignore")
         want[d] = len(library.encode(left, add_special_tokens=False).ids) + 1
     got = collections.Counter()
