@@ -1,15 +1,16 @@
-"""Suffix arrays by induced sorting, and permuted common prefixes, on numpy arrays.
+"""Suffix arrays by induced sorting, and permuted common prefixes.
 
-The classical scans run bucket by bucket: everything in a bucket that is known
-when the scan reaches it induces its predecessors at once.
+On bytes the scans run bucket by bucket on numpy arrays: everything in a bucket
+that is known when the scan reaches it induces its predecessors at once. A
+string of names has nearly as many buckets as symbols, so there the scans step
+from suffix to suffix.
 """
 
 from __future__ import annotations
 
-import numpy as np
+from array import array
 
-#: Reduced strings with fewer symbols to a name than this are sorted by doubling instead of a further recursion.
-PER_NAME = 64
+import numpy as np
 
 
 def suffix_types(t: np.ndarray) -> np.ndarray:
@@ -23,7 +24,7 @@ def suffix_types(t: np.ndarray) -> np.ndarray:
     return sign[decided] > 0
 
 
-def _induce(t, small, lms, sizes):
+def _induce_bytes(t, small, lms, sizes):
     """All suffixes in order, from leftmost-smaller ones that stand in order within each bucket."""
     n, sigma = len(t), len(sizes)
     ends = np.cumsum(sizes)
@@ -86,36 +87,73 @@ def _induce(t, small, lms, sizes):
     return sa
 
 
-def _doubling(names: np.ndarray) -> np.ndarray:
-    """Suffix array of a string of dense names: groups of equal prefixes split by the group a doubled distance on."""
-    m = len(names)
-    sa = np.argsort(names, kind="stable")
-    ordered = names[sa]
-    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    start = np.maximum.accumulate(np.where(new, np.arange(m), 0))
-    rank = np.empty(m, np.int64)
-    rank[sa] = start
-    k = 1
-
-    def shared(new):
-        return ~(new & np.concatenate([new[1:], [True]]))
-
-    open_ = sa[shared(new)]
-    while len(open_):
-        group = rank[open_]
-        then = np.where(open_ + k < m, rank[np.minimum(open_ + k, m - 1)] + 1, 0)
-        order = np.argsort(group * (m + 1) + then, kind="stable")
-        open_, group, then = open_[order], group[order], then[order]
-        n = len(open_)
-        fresh = np.concatenate([[True], group[1:] != group[:-1]])
-        within = np.arange(n) - np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-        sa[group + within] = open_
-        new = fresh | np.concatenate([[True], then[1:] != then[:-1]])
-        at = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        rank[open_] = group + within[at]
-        open_ = open_[shared(new)]
-        k *= 2
-    return sa
+def _induce_names(t, small, lms, sizes):
+    """As ``_induce_bytes``, a suffix a step, for strings with many symbols."""
+    n = len(t)
+    ends = np.cumsum(sizes)
+    # the symbol that a suffix induces, by its place: none before the first one, nor for an empty slot (-1)
+    larger, smaller = np.full(n + 1, -1, "q"), np.full(n + 1, -1, "q")
+    larger[1:n] = np.where(small[:-1], -1, t[:-1])
+    smaller[1:n] = np.where(small[:-1], t[:-1], -1)
+    larger, smaller = array("q", larger.tobytes()), array("q", smaller.tobytes())
+    first = t[lms]
+    order = np.argsort(first, kind="stable")
+    count = np.bincount(first, minlength=len(sizes))
+    slot = np.full(n, -1, "q")
+    slot[np.repeat(ends - count, count) + np.arange(len(lms)) - np.repeat(np.cumsum(count) - count, count)] = lms[order]
+    sa, at = array("q", slot.tobytes()), array("q", (ends - sizes).tobytes())
+    last = int(t[n - 1])
+    sa[at[last]] = n - 1
+    at[last] += 1
+    for j in sa:  # what is written ahead is met later
+        c = larger[j]
+        if c >= 0:
+            k = at[c]
+            sa[k] = j - 1
+            at[c] = k + 1
+    at = array("q", (ends - 1).tobytes())
+    for j in reversed(sa):
+        c = smaller[j]
+        if c >= 0:
+            k = at[c]
+            sa[k] = j - 1
+            at[c] = k - 1
+    return np.frombuffer(sa, "q")
+
+
+def _induce(t, small, lms, sizes):
+    return (_induce_bytes if len(sizes) <= 256 else _induce_names)(t, small, lms, sizes)
+
+
+def _name_substrings(t, lms, sigma):
+    """Names, in order and equal for equal ones, of the leftmost-smaller substrings; each reaches to the first symbol of the next.
+
+    They are sorted by as many symbols as fit a word at a time. One that is the
+    beginning of another comes after it, as there the other falls on; only the
+    last one, which meets the string's end, comes before.
+    """
+    m, n = len(lms), len(t)
+    bits = (sigma + 1).bit_length()
+    step = 63 // bits
+    length = np.append(np.diff(lms) + 1, n - lms[-1])
+    rank, live, k = np.zeros(m, np.int64), np.arange(m), 0
+    while len(live):
+        key = np.zeros(len(live), np.int64)
+        for d in range(k, k + step):
+            within = d < length[live]
+            symbol = t[np.minimum(lms[live] + d, n - 1)].astype(np.int64) + 1
+            key = key << bits | np.where(within, symbol, np.where(live == m - 1, 0, sigma + 1))
+        order = np.lexsort((key, rank[live])) if k else np.argsort(key, kind="stable")
+        live, key = live[order], key[order]
+        of = rank[live]
+        fresh = np.concatenate([[True], of[1:] != of[:-1]])
+        new = fresh | np.concatenate([[True], key[1:] != key[:-1]])
+        place = np.arange(len(live))
+        start = np.maximum.accumulate(np.where(new, place, 0))
+        rank[live] = of + start - np.maximum.accumulate(np.where(fresh, place, 0))
+        k += step
+        live = live[~(new & np.concatenate([new[1:], [True]])) & (length[live] >= k)]
+    return np.unique(rank, return_inverse=True)[1]
 
 
 def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
@@ -127,33 +165,13 @@ def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
     sizes = np.bincount(t, minlength=sigma)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     if len(lms) > 1:
-        sorted_ = _induce(t, small, lms, sizes)
-        is_lms = np.zeros(n, bool)
-        is_lms[lms] = True
-        sorted_ = sorted_[is_lms[sorted_]]
-        length = np.zeros(n, np.int64)  # of leftmost-smaller substrings; the last one meets the end and equals none
-        length[lms[:-1]] = np.diff(lms) + 1
-        a, b = sorted_[:-1], sorted_[1:]
-        same = (length[a] == length[b]) & (length[a] > 0)
-        live = np.flatnonzero(same)
-        k = 0
-        while len(live):
-            differs = t[a[live] + k] != t[b[live] + k]
-            same[live[differs]] = False
-            live = live[~differs]
-            k += 1
-            live = live[length[a[live]] > k]
-        names = np.empty(n, np.int64)
-        names[sorted_] = np.concatenate([[0], np.cumsum(~same)])
-        reduced = names[lms]
+        reduced = _name_substrings(t, lms, sigma)
         count = int(reduced.max()) + 1
         if count == len(lms):
             order = np.empty(count, np.int64)
             order[reduced] = np.arange(count)
-        elif len(lms) >= PER_NAME * count:
-            order = suffix_array(reduced, count)
         else:
-            order = _doubling(reduced)
+            order = suffix_array(reduced, count)
         lms = lms[order]
     return _induce(t, small, lms, sizes)
 
