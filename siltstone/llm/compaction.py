@@ -5,7 +5,7 @@ size, a tier, are merged in the order they came into files of a target size. A
 snapshot is a manifest, a list of shards; each commit writes the next version
 under its final name in one step, so readers see a version whole or not at all,
 and of two writers one fails. Merging moves no row between tasks: each merged
-file is read and written by one task.
+file is read and written by one task, and a job has as many tasks as files.
 """
 
 from __future__ import annotations
@@ -25,7 +25,9 @@ TARGET_BYTES = 128 << 20  # text bytes that a merged shard should hold
 TIER_BASE = 1 << 20  # shards below this size are the lowest tier
 TIER_FAN = 4  # sizes of a tier differ by less than this factor
 LEAST_RUNS = 4  # shards of a tier that are worth merging
-JOB_MERGES = 64  # merged files written by one job
+JOB_MERGES = 64  # merged files written by one job, each by a task of its own
+#: Off while merging: a union would otherwise put inputs of one partition each into one task.
+UNION = "spark.sql.unionOutputPartitioning"
 ARRIVAL_ROWS = 4096  # ids of one arrival in the query
 
 
@@ -152,17 +154,27 @@ class ShardStore:
         own = rows.select("*", F.regexp_extract("_metadata.file_path", "([^/]+/[^/]+)/[^/]+$", 1).alias("_path"))
         return own.join(named, "_path").drop("_path")
 
+    def _one_task_each(self, groups: list[list[dict]], shard_col: str) -> DataFrame:
+        """The rows of each group, where ``UNION`` is off in a partition of its own, numbered in ``shard_col``."""
+        schema = self._schema(self.manifest())
+        return reduce(DataFrame.unionByName, [self._read(schema, g).coalesce(1).withColumn(shard_col, F.lit(i).cast("long")) for i, g in enumerate(groups)])
+
+    def _merge(self, groups: list[list[dict]]) -> list[dict]:
+        """Write each group as one shard in place of its parts."""
+        name, batch = self._fresh(self._read(self._schema(self.manifest()), groups[0])), uuid.uuid4().hex
+        before = self.spark.conf.get(UNION, "true")
+        self.spark.conf.set(UNION, "false")
+        try:
+            self._one_task_each(groups, name).write.option("compression", "zstd").partitionBy(name).parquet(f"{self.root}/data/{batch}")
+        finally:
+            self.spark.conf.set(UNION, before)
+        return [{"shard": f"{batch}/{name}={i}", "order": g[0]["order"], "rows": sum(s["rows"] for s in g), "bytes": sum(s["bytes"] for s in g)} for i, g in enumerate(groups)]
+
     def compact(self, target: int = TARGET_BYTES) -> int:
         """Merge until no tier has enough shards; the number of commits. Each round is one commit."""
         commits = 0
         while groups := merges((base := self.manifest())["shards"], target):
-            schema, new = self._schema(base), []
-            for at in range(0, len(groups), JOB_MERGES):
-                part = groups[at: at + JOB_MERGES]
-                name = self._fresh(self._read(schema, part[0]))
-                one = [self._read(schema, g).coalesce(1).withColumn(name, F.lit(i).cast("long")) for i, g in enumerate(part)]
-                for s in self._write(reduce(DataFrame.unionByName, one), name):
-                    new.append({"shard": s["shard"], "order": part[s["value"]][0]["order"], "rows": s["rows"], "bytes": s["bytes"]})
+            new = [s for at in range(0, len(groups), JOB_MERGES) for s in self._merge(groups[at: at + JOB_MERGES])]
             gone = {s["shard"] for g in groups for s in g}
             self.commit(base, base["schema"], [s for s in base["shards"] if s["shard"] not in gone] + new)
             commits += 1
