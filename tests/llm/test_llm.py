@@ -45,15 +45,13 @@ def sample_texts(seed=5):
 # ---- suffix arrays and repeated passages
 
 
-def test_suffix_array_and_prefixes(monkeypatch):
+def test_suffix_array_and_prefixes():
     rng = random.Random(3)
     for _ in range(300):
         b = bytes(rng.randrange(rng.choice([1, 2, 3, 26])) for _ in range(rng.randrange(1, 60))) * rng.choice([1, 1, 3])
         want = sorted(range(len(b)), key=lambda i: b[i:])
         t = np.frombuffer(b, np.uint8)
-        for per in (1, 64):
-            monkeypatch.setattr(suffix_array, "PER_NAME", per)
-            assert suffix_array.suffix_array(t, 256).tolist() == want
+        assert suffix_array.suffix_array(t, 256).tolist() == want
         lcp = suffix_array.permuted_lcp(t, np.array(want))
         for r in range(1, len(b)):
             x, y = b[want[r]:], b[want[r - 1]:]
@@ -61,6 +59,17 @@ def test_suffix_array_and_prefixes(monkeypatch):
             assert lcp[want[r]] == n
 
 
+def test_suffix_array_recurses_until_names_are_unique(monkeypatch):
+    depths, sort = [], suffix_array.suffix_array
+    monkeypatch.setattr(suffix_array, "suffix_array", lambda t, sigma: depths.append(len(t)) or sort(t, sigma))
+    rng = random.Random(2)
+    part = bytes(rng.randrange(97, 123) for _ in range(300))
+    b = b"".join(part + bytes([rng.randrange(97, 123)]) for _ in range(40))
+    got = suffix_array.suffix_array(np.frombuffer(b, np.uint8), 256)
+    assert got.tolist() == sorted(range(len(b)), key=lambda i: b[i:])
+    assert len(depths) > 2 and all(2 * y <= x for x, y in zip(depths, depths[1:]))
+
+
 def brute_repeats(texts, length):
     data = [(t or "").encode() for t in texts]
     seen = collections.Counter(b[i: i + length] for b in data for i in range(len(b) - length + 1))
@@ -513,6 +522,24 @@ def test_fixity(spark, rows):
     assert fixity.audit(empty, a.limit(3), "page_id", ["url", "html"]).count() == 3
 
 
+def test_fixity_of_repeated_and_missing_ids(spark, rows):
+    schema = "page_id long, url string, html string, archive string"
+    a = spark.createDataFrame([(5, "a", "m", "x"), (6, "b", "b", "x"), (6, "b", "b", "x"), (None, "n", None, "x"), (None, "o", "", "x"), (8, None, None, "x"), (9, "z" * 100_000, "y", "x")], schema)
+    audit = lambda b: rows(fixity.audit(a, b, "page_id", ["url", "html"]), "record_id", "damage", "offset")
+    assert audit(a.unionByName(spark.createDataFrame([(5, "a", "a", "x")], schema))) == [(5, "extra", None)]
+    assert audit(a.where("page_id is null or page_id != 6").unionByName(a.where("page_id = 6").limit(1))) == [(6, "missing", 6)]
+    assert audit(a.withColumn("url", F.when(F.col("page_id") == 5, "longer than before").otherwise(F.col("url")))) == [(5, "changed", 0)]
+    assert audit(a.withColumn("url", F.when(F.col("url") == "n", "N").otherwise(F.col("url")))) == [(None, "extra", None), (None, "missing", None)]
+    assert audit(a.where("page_id is null or page_id < 9")) == [(9, "missing", 10)]
+
+
+def test_fixity_reads_only_differing_ranges(spark):
+    a = spark.createDataFrame([(i, f"u{i}") for i in range(4000)], "page_id long, url string")
+    b = a.withColumn("url", F.when(F.col("page_id") == 777, "a longer text").otherwise(F.col("url")))
+    x, y = (fixity.tree(fixity.records(t, "page_id", ["url"])) for t in (a, b))
+    assert [(r["archive"], r["range"]) for r in fixity.damaged_ranges(x, y).collect()] == [(777 // 512, 777 % 512 // 16)]
+
+
 def test_compaction_round_trip(spark, rows):
     df = frame(spark, sample_texts() * 4, [*range(len(sample_texts()) * 4 - 2), None, 1]).withColumn("shard", F.lit("own")).withColumn("Tier", F.lit(1))
     got = compaction.compacted(df, 10, 40_000)
@@ -521,6 +548,58 @@ def test_compaction_round_trip(spark, rows):
     assert compaction.compacted(df.limit(0)).count() == 0
 
 
+def simulated_store(sizes, target):
+    """(order, tier) of the shard that each arrival of so many bytes ends in."""
+    tier = lambda n: next(k for k in range(60) if n <= compaction.TIER_BASE * 4**k)
+    shards = [(k, n, [k]) for k, n in enumerate(sizes)]
+    while True:
+        merged, gone = [], set()
+        for level in sorted({tier(n) for _, n, _ in shards}):
+            runs = [s for s in sorted(shards) if tier(s[1]) == level and s[1] < target / 2]
+            if len(runs) < compaction.LEAST_RUNS:
+                continue
+            group = []
+            for s in runs:
+                if group and sum(x[1] for x in group) + s[1] > target:
+                    merged.append(group)
+                    group = []
+                group.append(s)
+            merged.append(group)
+        merged = [g for g in merged if len(g) > 1]
+        if not merged:
+            return {a: (k, tier(n)) for k, n, held in shards for a in held}
+        for g in merged:
+            gone |= {s[0] for s in g}
+        shards = [s for s in shards if s[0] not in gone] + [(g[0][0], sum(s[1] for s in g), [a for s in g for a in s[2]]) for g in merged]
+
+
+@pytest.mark.parametrize("target", [9_000, 60_000])
+def test_compaction_places_rows_by_size_tiers(spark, monkeypatch, target):
+    monkeypatch.setattr(compaction, "TIER_BASE", 1_000)
+    rng = random.Random(12)
+    texts = [rng.choice([None, "", "x" * rng.randrange(1, 900)]) for _ in range(400)]
+    sizes = [sum(len(t or "") + 1 for t in texts[k: k + 10]) for k in range(0, 400, 10)]  # a source of one byte each
+    want = simulated_store(sizes, target)
+    got = compaction.compacted(frame(spark, texts), 10, target).collect()
+    assert sorted((r["doc_id"], r["shard"], r["tier"]) for r in got) == [(i, *want[i // 10]) for i in range(400)]
+    assert len({r["shard"] for r in got}) < 40
+
+
+def test_each_merged_file_has_its_task(spark, tmp_path):
+    store = compaction.ShardStore(spark, str(tmp_path))
+    store.append(frame(spark, ["t" * 100] * 40), F.col("doc_id"))
+    groups = compaction.merges(store.manifest()["shards"], 1000)
+    spark.conf.set(compaction.UNION, "false")
+    try:
+        assert len(groups) > 3 and store._one_task_each(groups, "shard").rdd.getNumPartitions() == len(groups)
+    finally:
+        spark.conf.set(compaction.UNION, "true")
+    merged = store._merge(groups)
+    assert all(len(list((tmp_path / "data" / s["shard"]).glob("*.parquet"))) == 1 for s in merged)
+    # a task's files carry its number
+    assert len({f.name.split("-")[1] for s in merged for f in (tmp_path / "data" / s["shard"]).glob("*.parquet")}) == len(groups)
+
+
 def test_store_versions(spark, rows, tmp_path):
     store = compaction.ShardStore(spark, str(tmp_path))
     for i in range(5):
