@@ -1,29 +1,41 @@
 """Exact top-k search by BM25 over sharded inverted indexes with block-max pruning.
 
 Each task turns its documents into shards: posting lists by term, document
-lengths, ids. Document frequencies, the number of documents and their mean
-length are taken over all shards, so scores are those of one index. A shard is
-searched range by range: the sum of the query terms' largest contributions in a
-range bounds every score in it, ranges are visited by falling bound, and the
-search ends where no bound reaches the k-th best score found. What the shards
-return is merged by score.
+lengths, ids, and for each list and block of ``RANGE`` documents the largest
+count and the shortest document, from which follows the most that the term can
+add to a score there. Document frequencies, the number of documents and their
+mean length are taken over all shards, so scores are those of one index.
+
+A shard is searched in document order. The pivot is the next block whose summed
+maxima over the query's lists reach the k-th best score so far: all lists skip
+to it, and only its postings are scored. Instead of one posting, as many blocks
+from the pivot on as double the last step are judged and scored at once, since
+cursors moved posting by posting do not vectorise; the blocks with the highest
+sums come before all others, for a score to beat. What the shards return is
+merged by score.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import read_table, slices, text_bytes, written
+from .common import drop, read_table, slices, text_bytes, written
 from .ngram_join import SLICE, word_hashes
 
 K1, B = 1.2, 0.75
 K = 10
-RANGE = 64  # documents under one bound
+RANGE = 64  # documents of a block, under one bound
 SHARD_WORDS = 6_000_000  # words at which a shard is closed
-QUERY_TERMS = 1_000_000  # terms of the queries broadcast at once, about
+QUERY_TERMS = 1_000_000  # terms of the queries held by the driver and broadcast at once, about
+FIRST = 4  # blocks scored before the others
+
+#: What a shard is stored as.
+ARRAYS = ["ids", "known", "lengths", "terms", "start", "doc", "tf", "block", "block_from", "block_tf", "block_length", "list_from"]
 
 #: Words are stretches of ASCII letters and digits and of all bytes beyond ASCII.
 SOLID = np.array([chr(c).isalnum() if c < 128 else True for c in range(256)])
@@ -42,6 +54,19 @@ def _postings(hashes: list[np.ndarray], lengths: np.ndarray):
     return h[first], np.concatenate([first, [len(h)]]).astype(np.uint32), doc, tf.astype(np.uint32)
 
 
+def _blocks(start: np.ndarray, doc: np.ndarray, tf: np.ndarray, lengths: np.ndarray):
+    """Of each list's blocks the number, first posting, largest count and shortest document, and where each list's blocks begin."""
+    if not len(doc):
+        none = np.zeros(0, np.uint32)
+        return none, none, none, none, np.zeros(len(start), np.uint32)
+    of = doc // RANGE
+    new = np.concatenate([[True], of[1:] != of[:-1]])
+    new[start[:-1]] = True
+    cut = np.flatnonzero(new)
+    least = np.minimum.reduceat(lengths[doc], cut)
+    return tuple(x.astype(np.uint32) for x in (of[cut], cut, np.maximum.reduceat(tf, cut), least, np.searchsorted(cut, start)))
+
+
 def build_index(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per shard, written to shared storage: documents and words in it, and its arrays."""
 
@@ -55,9 +80,8 @@ def build_index(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
             terms, start, doc, tf = _postings(hashes, n)
             all_ids = pa.chunked_array(ids).combine_chunks()
             known = np.asarray(all_ids.is_valid())
-            arrays = [np.asarray(all_ids.fill_null(0)), known, n.astype(np.uint32), terms, start, doc, tf]
-            return pa.RecordBatch.from_arrays([pa.array([len(n)], pa.int64()), pa.array([int(n.sum())], pa.int64()), *(pa.array([a.tobytes()], pa.binary()) for a in arrays)],
-                                              ["docs", "words", "ids", "known", "lengths", "terms", "start", "doc", "tf"])
+            arrays = [np.asarray(all_ids.fill_null(0)), known, n.astype(np.uint32), terms, start, doc, tf, *_blocks(start, doc, tf, n.astype(np.uint32))]
+            return pa.RecordBatch.from_arrays([pa.array([len(n)], pa.int64()), pa.array([int(n.sum())], pa.int64()), *(pa.array([a.tobytes()], pa.binary()) for a in arrays)], ["docs", "words", *ARRAYS])
 
         for b in batches:
             data, bounds = text_bytes(b.column(1))
@@ -74,7 +98,7 @@ def build_index(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
             yield close()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = "docs long, words long, ids binary, known binary, lengths binary, terms binary, start binary, doc binary, tf binary"
+    schema = "docs long, words long, " + ", ".join(f"{name} binary" for name in ARRAYS)
     return written(rows.mapInArrow(run, schema), "bm25")
 
 
@@ -120,73 +144,66 @@ def query_terms(counts: DataFrame, frequencies: DataFrame, n: int) -> DataFrame:
     return counts.join(frequencies, "term").select("query_id", "term", idf(F.col("df"), F.lit(n)).alias("idf"))
 
 
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges [lo, hi), one range after the other."""
+    n = hi - lo
+    return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
 class Shard:
     def __init__(self, row: dict, mean: float):
+        small = lambda name: np.frombuffer(row[name], np.uint32)
         self.ids = np.frombuffer(row["ids"], np.int64)
         self.known = np.frombuffer(row["known"], bool)
         self.terms = np.frombuffer(row["terms"], np.uint64)
-        self.start = np.frombuffer(row["start"], np.uint32)
-        self.doc = np.frombuffer(row["doc"], np.uint32)
-        self.tf = np.frombuffer(row["tf"], np.uint32)
-        self.norm = K1 * (1 - B + B * np.frombuffer(row["lengths"], np.uint32) / mean)
-        self.ranges = -(-len(self.ids) // RANGE)
-        self.held: dict[int, tuple | None] = {}
-
-    def list_of(self, term: int):
-        """Documents, contributions, and of the ranges met the number, first posting, postings and largest contribution."""
-        if term not in self.held:
-            i = int(np.searchsorted(self.terms, np.uint64(term)))
-            if i == len(self.terms) or self.terms[i] != term:
-                self.held[term] = None
-            else:
-                doc = self.doc[self.start[i]: self.start[i + 1]].astype(np.int64)
-                tf = self.tf[self.start[i]: self.start[i + 1]].astype(float)
-                part = tf * (K1 + 1) / (tf + self.norm[doc])
-                of = doc // RANGE
-                cut = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-                self.held[term] = doc, part, of[cut], cut, np.diff(np.concatenate([cut, [len(doc)]])), np.maximum.reduceat(part, cut)
-        return self.held[term]
+        self.doc = small("doc")
+        norm = lambda length: K1 * (1 - B + B * length / mean)
+        # what a term of weight one adds to a score: at a posting, and at most in a block
+        self.part = small("tf") * (K1 + 1) / (small("tf") + norm(small("lengths"))[self.doc])
+        self.most = small("block_tf") * (K1 + 1) / (small("block_tf") + norm(small("block_length")))
+        self.block, self.list_from = small("block"), small("list_from").astype(np.int64)
+        self.block_from = np.append(small("block_from"), len(self.doc)).astype(np.int64)
+        self.blocks = -(-len(self.ids) // RANGE)
 
     def search(self, query: int, terms: np.ndarray, weights: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best documents but the query's own; terms in rising order, ties to the smaller id."""
-        lists = [(w, found) for t, w in zip(terms.tolist(), weights.tolist()) if (found := self.list_of(t)) is not None]
         best_ids, best = np.zeros(0, np.int64), np.zeros(0)
-        if not lists:
+        at = np.searchsorted(self.terms, terms)
+        at[at == len(self.terms)] = 0
+        met = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
+        at, weights = at[met], weights[met]
+        if not len(at):
             return best_ids, best
-        weight = np.array([w for w, _ in lists])
-        docs, parts, ofs, cuts, sizes, mosts = zip(*(found for _, found in lists))
-        met = np.array([len(of) for of in ofs])
-        of, size = np.concatenate(ofs), np.concatenate(sizes)
-        bound = np.bincount(of, np.repeat(weight, met) * np.concatenate(mosts), self.ranges)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        bound = bound * (1 + 1e-9)  # sums in another order may round up
-        length = np.array([len(d) for d in docs])
-        doc, part = np.concatenate(docs), np.concatenate(parts) * np.repeat(weight, length)
-        # where each range of each list begins in ``doc``
-        begin = np.concatenate(cuts) + np.repeat(np.cumsum(length) - length, met)
-        at, step = 0, 4
-        while at < len(order) and (len(best) < k or bound[order[at]] >= best[-1]):
-            visit = np.zeros(self.ranges, bool)
-            chosen = order[at: at + step]
-            if len(best) == k:
-                chosen = chosen[bound[chosen] >= best[-1]]
+        lists = _ranges(self.list_from[at], self.list_from[at + 1])  # all blocks of the query's lists
+        weight = np.repeat(weights, self.list_from[at + 1] - self.list_from[at])
+        of = self.block[lists]
+        bound = np.bincount(of, weight * self.most[lists], self.blocks) * (1 + 1e-9)  # sums in another order may round up
+
+        def score(chosen):
+            nonlocal best_ids, best
+            visit = np.zeros(self.blocks, bool)
             visit[chosen] = True
             own = visit[of]
-            if 4 * size[own].sum() > len(doc):  # most postings: cheaper without picking
-                score = np.bincount(doc, part, len(self.ids))
-            else:
-                n = size[own]
-                pick = np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                score = np.bincount(doc[pick], part[pick], len(self.ids))
-            found = np.flatnonzero(np.repeat(visit, RANGE)[: len(score)] & (score > 0) & self.known)
+            lo, hi = self.block_from[lists[own]], self.block_from[lists[own] + 1]
+            pick = _ranges(lo, hi)
+            total = np.bincount(self.doc[pick], self.part[pick] * np.repeat(weight[own], hi - lo), len(self.ids))
+            found = np.flatnonzero((total > 0) & self.known)
             found = found[self.ids[found] != query]
             if len(best) == k:
-                found = found[score[found] >= best[-1]]
-            ids, s = np.concatenate([best_ids, self.ids[found]]), np.concatenate([best, score[found]])
-            best_ids, best = top(ids, s, k)
-            at += step
-            step *= 8
+                found = found[total[found] >= best[-1]]
+            best_ids, best = top(np.concatenate([best_ids, self.ids[found]]), np.concatenate([best, total[found]]), k)
+
+        highest = np.argpartition(-bound, min(FIRST, self.blocks) - 1)[:FIRST]
+        score(highest)
+        left = bound > 0
+        left[highest] = False
+        ahead, step = np.flatnonzero(left), 16
+        while len(ahead):
+            if len(best) == k:  # skip to the pivots
+                ahead = ahead[bound[ahead] >= best[-1]]
+            if len(ahead):
+                score(ahead[:step])
+            ahead, step = ahead[step:], 2 * step
         return best_ids, best
 
 
@@ -205,17 +222,19 @@ def search(index: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     ``queries`` has query_id, term, idf. Only documents with a query term are
     returned, so a query may get fewer; a row with the query's id is not. Of
     rows that share an id the best counts; rows without one are counted in all
-    statistics but not returned. Ties go to the smaller id. Queries are
-    broadcast in blocks of about ``QUERY_TERMS`` terms.
+    statistics but not returned. Ties go to the smaller id. Queries are taken
+    in blocks of about ``QUERY_TERMS`` terms, one after the other, each
+    broadcast and searched in all shards.
     """
     spark = index.sparkSession
     n, words = index.agg(F.sum("docs"), F.sum("words")).first()
     mean = max((words or 0) / n, 1e-9) if n else 1.0
-    queries = written(queries, "queries")
     blocks = max(1, -(-queries.count() // QUERY_TERMS))
-    out = None
+    # a file a block, so that each is read alone
+    queries = written(queries.select("query_id", "term", "idf", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).repartitionByRange(blocks, "block"), "queries")
+    parts = []
     for block in range(blocks):
-        held = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", "term", "idf").toArrow()
+        held = queries.where(F.col("block") == block).select("query_id", "term", "idf").toArrow()
         ids, term, weight = (c.to_numpy() for c in held.columns)
         term = term.view(np.uint64)
         order = np.lexsort((term, ids))
@@ -242,9 +261,11 @@ def search(index: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
                     [pa.array(np.repeat(np.array(list(best), np.int64), [len(a) for a, _ in best.values()])), pa.array(np.concatenate([a for a, _ in best.values()])), pa.array(np.concatenate([s for _, s in best.values()]))],
                     ["query_id", "doc_id", "score"])
 
-        one = index.drop("docs", "words").mapInArrow(run, "query_id long, doc_id long, score double")
-        out = one if out is None else out.unionByName(one)
-    merged = out.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
+        # stored before the next block is read, so that the driver never holds two
+        parts.append(written(index.drop("docs", "words").mapInArrow(run, "query_id long, doc_id long, score double"), "hits"))
+        sent.destroy()
+    drop(queries)
+    merged = reduce(DataFrame.unionByName, parts).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
     by_query = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return merged.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
@@ -264,4 +285,18 @@ def search_by_document(docs: DataFrame, queries: DataFrame, k: int = K) -> DataF
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return search_by_document(docs, docs.where("doc_id % 100 = 0"))
+    found = search_by_document(docs, docs.where("doc_id % 100 = 0"))
+    return found.withColumn("score", F.round("score", 6))
+
+
+ORACLE_SQL = r"""
+WITH word AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS w FROM documents),
+tf AS (SELECT doc_id, w, count(*)::DOUBLE AS tf FROM word GROUP BY doc_id, w),
+len AS (SELECT doc_id, count(*) AS n FROM word GROUP BY doc_id),
+n AS (SELECT count(*)::DOUBLE AS docs, (SELECT count(*) FROM word) / count(*)::DOUBLE AS mean FROM documents),
+df AS (SELECT w, count(*) AS df FROM tf GROUP BY w),
+s AS (SELECT q.doc_id AS query_id, t.doc_id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * t.tf * 2.2 / (t.tf + 1.2 * (0.25 + 0.75 * len.n / mean))) AS score
+  FROM tf q JOIN df USING (w) JOIN tf t USING (w) JOIN len ON len.doc_id = t.doc_id CROSS JOIN n WHERE q.doc_id % 100 = 0 AND t.doc_id <> q.doc_id GROUP BY q.doc_id, t.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s)
+SELECT query_id, rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= 10
+"""

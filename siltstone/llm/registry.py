@@ -20,4 +20,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_fixity": fixity.ORACLE_SQL,
     "op4_url_filter": url_filter.ORACLE_SQL,
+    "op9_bm25": bm25.ORACLE_SQL,
 }
