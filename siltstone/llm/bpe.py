@@ -30,6 +30,7 @@ RUNS = [regex.compile(x) for x in (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+", r"
 BLOCK = 4096  # bytes or characters handled at once beyond the lookahead
 CACHED = 500_000  # entries of a worker's memo of words, emptied when full
 LONGEST = 48  # characters of a memoised word
+PART = 65_536  # characters of a text coded at once
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -249,23 +250,25 @@ class ByteToText:
 
 
 class WordMemo(dict):
-    """Little-endian ids of words that the transducer has met, as they follow a single space.
+    """Little-endian ids that the transducer gives for words, as they follow a single space.
 
     A word holds no space at its ends, so the pre-tokens before and after it
-    are split from it whatever they are.
+    are split from it whatever they are. The memo has a bounded number of
+    entries, each of a bounded length.
     """
 
     def __init__(self, merges: Merges):
         super().__init__()
-        self.merges = merges
+        self.merges, self.transducer = merges, Transducer(merges)
+        self.cuts = not any(c.isspace() for token in merges.special for c in token)
 
     def __missing__(self, word: str) -> bytes:
         if not word or word[0].isspace() or word[-1].isspace():
             raise KeyError(word)
         if len(word) > 1 and word[-1] in ".," and word[:-1].isalpha():
             ids = self[word[:-1]] + self.plain(word[-1])
-        elif word.isalpha() and len(word) <= LONGEST:  # one pre-token, shorter than any block
-            ids = np.array(self.merges.merge(b" " + word.encode()), "<u4").tobytes()
+        elif word.isalpha():  # one pre-token
+            ids = np.array(self.transducer.feed(b" " + word.encode()) + self.transducer.finish(), "<u4").tobytes()
         else:
             ids = self.plain(" " + word)
         if len(word) <= LONGEST:
@@ -278,22 +281,55 @@ class WordMemo(dict):
         encoder = StreamEncoder(self.merges)
         return np.array(encoder.feed(text) + encoder.finish(), "<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian ids of a text."""
-        words = text.split(" ")
-        first = words[0]
-        if first and not first[-1].isspace():
-            try:
-                return self.plain(first) + b"".join(map(self.__getitem__, words[1:]))
-            except KeyError:  # several spaces in a row, or other space beside one
-                pass
-        return self.plain(text)
+    def _end(self, text: str, lo: int) -> int:
+        """Where a part from ``lo`` of about ``PART`` characters ends: before a single space between two words."""
+        if not self.cuts or len(text) - lo <= PART:
+            return len(text)
+
+        def splits(c):
+            return not text[c - 1].isspace() and c + 1 < len(text) and not text[c + 1].isspace()
+
+        c = text.rfind(" ", lo + 1, lo + PART)
+        while c >= 0 and not splits(c):
+            c = text.rfind(" ", lo + 1, c)
+        if c < 0:
+            c = text.find(" ", lo + PART)
+            while c >= 0 and not splits(c):
+                c = text.find(" ", c + 1)
+        return c if c >= 0 else len(text)
+
+    def encode(self, text: str):
+        """Little-endian ids of a text, part by part; a part is of a bounded length whatever the text."""
+        lo = 0
+        while lo < len(text):
+            hi = self._end(text, lo)
+            if hi - lo > 2 * PART:  # nowhere to split: the stream goes through it
+                encoder = StreamEncoder(self.merges)
+                for at in range(lo, hi, PART):
+                    yield np.array(encoder.feed(text[at: min(hi, at + PART)]), "<u4").tobytes()
+                yield np.array(encoder.finish(), "<u4").tobytes()
+            else:
+                part = text[lo:hi]
+                words = part.split(" ")
+                try:
+                    first = b"" if lo and not words[0] else self._first(words[0])
+                    yield first + b"".join(map(self.__getitem__, words[1:]))
+                except KeyError:  # several spaces in a row, or other space beside one
+                    yield self.plain(part)
+            lo = hi
+
+    def _first(self, word: str) -> bytes:
+        if not word or word[-1].isspace():
+            raise KeyError(word)
+        return self.plain(word)
 
 
 def encode_documents(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) per row; a null text counts as empty.
 
-    Repeated rows and null ids give one row each; other columns are ignored.
+    Repeated rows and null ids give one row each; other columns are ignored; an
+    empty table gives no rows. Ids are hashed and decoded as they are emitted:
+    beside the row's own text a task holds a part of it and a bounded memo.
     ``path`` is the vocabulary file, read once by the driver and broadcast (its
     size does not depend on the data).
     """
@@ -308,15 +344,15 @@ def encode_documents(docs: DataFrame, path: str, text_col: str = "text", id_col:
         for b in batches:
             counts, ids_hash, text_hash = [], [], []
             for value in b.column(1):
-                ids = memo.encode(value.as_py() or "")
-                out, back = hashlib.sha256(), ByteToText(merges)
-                numbers = np.frombuffer(ids, "<u4")
-                for lo in range(0, len(numbers), 65_536):
-                    out.update(back.feed(numbers[lo:lo + 65_536].tolist()).encode())
-                out.update(back.finish().encode())
-                counts.append(len(numbers))
-                ids_hash.append(hashlib.sha256(ids).hexdigest())
-                text_hash.append(out.hexdigest())
+                n, ids, decoded, back = 0, hashlib.sha256(), hashlib.sha256(), ByteToText(merges)
+                for part in memo.encode(value.as_py() or ""):
+                    n += len(part) // 4
+                    ids.update(part)
+                    decoded.update(back.feed(np.frombuffer(part, "<u4").tolist()).encode())
+                decoded.update(back.finish().encode())
+                counts.append(n)
+                ids_hash.append(ids.hexdigest())
+                text_hash.append(decoded.hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
