@@ -9,12 +9,16 @@ the original vectors: first the best of every block, then each row whose
 approximate score, plus the most that its residual can add, reaches the k-th
 best score so found. What is returned is therefore exact.
 
-The codebooks are fitted on a bounded sample (``TRAIN_ROWS``, spread over the
-whole table by a hash of the row); every row is indexed and scanned.
+The codebooks are fitted on a bounded sample (``TRAIN_ROWS``, those with the
+smallest hashes of the whole table, so always the same); every row is indexed
+and scanned. Vectors of different dimensions have no inner product: each
+dimension has its own codebooks, and a query searches among its own.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,12 +26,12 @@ from pyspark.sql import Window as W
 
 from .common import read_table, written
 
-TRAIN_ROWS = 20_000  # bound of the sample that codebooks are fitted on
+TRAIN_ROWS = 20_000  # bound of the sample that a dimension's codebooks are fitted on
 CENTERS = 16  # four bits
 THRESHOLD = 0.2  # cosine from which a score counts as high; sets eta
 BLOCK_ROWS = 16_384  # rows scanned at once
 RERANK = 256  # rows of a block that are scored first, for a score to beat
-QUERY_BLOCK = 4096  # queries broadcast at once
+QUERY_BLOCK = 4096  # queries held by the driver and broadcast at once, about
 K = 20
 
 
@@ -160,81 +164,99 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     )
 
 
-def build_index(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, np.ndarray]:
-    """The coded table (vec_id, embedding, code), written to shared storage, and the codebooks."""
-    spark = df.sparkSession
-    rows = usable(df, id_col, vector_col)
-    common = rows.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    dim, n = (common["dim"], common["count"]) if common else (4, 0)
-    rows = rows.where(F.size("embedding") == dim)
-    share = max(1, n // TRAIN_ROWS)
-    sample = rows.where(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(share)) == 0).select("embedding").limit(TRAIN_ROWS).collect() if n else []
-    books = fit(np.array([r[0] for r in sample]).reshape(-1, dim))
+def build_index(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, dict[int, np.ndarray]]:
+    """The coded table (vec_id, dim, embedding, code), written to shared storage, and each dimension's codebooks."""
+    rows = usable(df, id_col, vector_col).withColumn("dim", F.size("embedding"))
+    counts = {r["dim"]: r["count"] for r in rows.groupBy("dim").count().collect()}  # a row a dimension
+    books = {}
+    for dim, n in sorted(counts.items()):
+        # about twice as many as are needed, of which the first in the order of another hash are taken
+        near = rows.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("embedding", "vec_id"), F.lit(max(1, n // (2 * TRAIN_ROWS)))) == 0))
+        sample = near.orderBy(F.xxhash64("vec_id", "embedding"), "vec_id").limit(TRAIN_ROWS).select("embedding").toArrow().column(0).combine_chunks()
+        books[dim] = fit(np.asarray(sample.flatten()).reshape(-1, dim))
+    sent = df.sparkSession.sparkContext.broadcast(books)
 
     def encode(batches):
         import pyarrow as pa
 
         for b in batches:
-            x = np.asarray(b.column(1).flatten()).reshape(-1, dim)
-            for lo in range(0, len(x), 2048):
-                code = pack(assign(_padded(x[lo:lo + 2048]), books))
-                part = b.slice(lo, 2048)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in code], pa.binary())], ["vec_id", "embedding", "code"])
+            dims = np.asarray(b.column(1))
+            for dim in np.unique(dims).tolist():
+                own = b.filter(pa.array(dims == dim))
+                for lo in range(0, own.num_rows, 2048):
+                    part = own.slice(lo, 2048)
+                    code = pack(assign(_padded(np.asarray(part.column(2).flatten()).reshape(-1, dim)), sent.value[dim]))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in code], pa.binary())], ["vec_id", "dim", "embedding", "code"])
+
+    return written(rows.select("vec_id", "dim", "embedding").mapInArrow(encode, "vec_id long, dim int, embedding array<double>, code binary"), "ann"), books
+
+
+def _search_block(index: DataFrame, books: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the ``k`` best that each task has for one block of queries, written."""
+    sent = index.sparkSession.sparkContext.broadcast((query_ids, vectors, books))
+
+    def run(batches):
+        import pyarrow as pa
+
+        query_ids, vectors, books = sent.value
+        best = [(np.zeros(0, np.int64), np.zeros(0))] * len(query_ids)
+
+        def take(part):
+            nonlocal best
+            ids = np.concatenate([np.asarray(b.column(0)) for b in part])
+            x = np.concatenate([np.asarray(b.column(1).flatten()) for b in part]).reshape(len(ids), -1)
+            codes = np.frombuffer(b"".join(c for b in part for c in b.column(2).to_pylist()), np.uint8).reshape(len(ids), -1)
+            for lo in range(0, len(ids), BLOCK_ROWS):
+                hi = lo + BLOCK_ROWS
+                found = scan(query_ids, vectors, books, ids[lo:hi], x[lo:hi], codes[lo:hi], k)
+                best = [_best(np.concatenate([a[0], f[0]]), np.concatenate([a[1], f[1]]), k) for a, f in zip(best, found)]
+
+        part, n = [], 0
+        for b in batches:
+            if b.num_rows:
+                part.append(b)
+                n += b.num_rows
+            if n >= BLOCK_ROWS:
+                take(part)
+                part, n = [], 0
+        if part:
+            take(part)
+        ids = [a[0] for a in best]
+        if sum(map(len, ids)):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(query_ids, [len(i) for i in ids])), pa.array(np.concatenate(ids)), pa.array(np.concatenate([a[1] for a in best]))],
+                ["query_id", "vec_id", "score"])
 
-    return written(rows.mapInArrow(encode, "vec_id long, embedding array<double>, code binary"), "ann"), books
+    out = written(index.select("vec_id", "embedding", "code").mapInArrow(run, "query_id long, vec_id long, score double"), "hits")
+    sent.destroy()
+    return out
 
 
-def search(index: DataFrame, books: np.ndarray, queries: DataFrame, k: int = K) -> DataFrame:
+def search(index: DataFrame, books: dict[int, np.ndarray], queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` largest inner products of every query.
 
     ``queries`` has columns vec_id and embedding. A row never finds its own id;
     an id that several rows share is returned once, with its best score. Ties
-    go to the smaller id; a query with fewer candidates gets all. Queries are
-    taken in blocks of a bounded size, each broadcast and scanned against all
-    rows; a task returns at most ``k`` rows a query.
+    go to the smaller id; a query with fewer candidates of its dimension gets
+    all. Queries are taken in blocks of about ``QUERY_BLOCK``, one after the
+    other, each scanned against all rows; a task returns at most ``k`` rows a
+    query. Dimensions that the index lacks find nothing.
     """
-    spark = index.sparkSession
-    blocks = max(1, -(-queries.count() // (QUERY_BLOCK * 3 // 4)))
-    out = None
-    for block in range(blocks):
-        held = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).select("vec_id", "embedding").collect() if blocks > 1 else queries.select("vec_id", "embedding").collect()
-        sent = spark.sparkContext.broadcast((np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], float).reshape(len(held), len(held[0][1]) if held else 0)))
-
-        def run(batches, sent=sent):
-            import pyarrow as pa
-
-            query_ids, vectors = sent.value
-            best = [(np.zeros(0, np.int64), np.zeros(0))] * len(query_ids)
-
-            def take(part):
-                nonlocal best
-                ids = np.concatenate([np.asarray(b.column(0)) for b in part])
-                x = np.concatenate([np.asarray(b.column(1).flatten()) for b in part]).reshape(len(ids), -1)
-                codes = np.frombuffer(b"".join(c for b in part for c in b.column(2).to_pylist()), np.uint8).reshape(len(ids), -1)
-                for lo in range(0, len(ids), BLOCK_ROWS):
-                    hi = lo + BLOCK_ROWS
-                    found = scan(query_ids, vectors, books, ids[lo:hi], x[lo:hi], codes[lo:hi], k)
-                    best = [_best(np.concatenate([a[0], f[0]]), np.concatenate([a[1], f[1]]), k) for a, f in zip(best, found)]
-
-            part, n = [], 0
-            for b in batches:
-                if b.num_rows:
-                    part.append(b)
-                    n += b.num_rows
-                if n >= BLOCK_ROWS:
-                    take(part)
-                    part, n = [], 0
-            if part:
-                take(part)
-            ids = [a[0] for a in best]
-            if sum(map(len, ids)):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(query_ids, [len(i) for i in ids])), pa.array(np.concatenate(ids)), pa.array(np.concatenate([a[1] for a in best]))],
-                    ["query_id", "vec_id", "score"])
-
-        one = index.mapInArrow(run, "query_id long, vec_id long, score double")
-        out = one if out is None else out.unionByName(one)
-    merged = out.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    asked = queries.select("vec_id", "embedding", F.size("embedding").alias("dim"))
+    counts = {r["dim"]: r["count"] for r in asked.groupBy("dim").count().collect() if r["dim"] in books}
+    blocks = {dim: -(-n // QUERY_BLOCK) for dim, n in counts.items()}
+    number = F.lit(0)
+    for dim, n in blocks.items():
+        number = F.when(F.col("dim") == dim, F.pmod(F.xxhash64("vec_id"), F.lit(n))).otherwise(number)
+    # a file a block, so that each is read alone
+    asked = written(asked.withColumn("block", number.cast("long")).repartitionByRange(max(1, sum(blocks.values())), "dim", "block"), "queries")
+    parts = [asked.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("score")).limit(0)]
+    for dim, n in sorted(blocks.items()):
+        for block in range(n):
+            held = asked.where((F.col("dim") == dim) & (F.col("block") == block)).select("vec_id", "embedding").toArrow()
+            vectors = np.asarray(held.column(1).combine_chunks().flatten()).reshape(-1, dim)
+            parts.append(_search_block(index.where(F.col("dim") == dim), books[dim], held.column(0).to_numpy(), vectors, k))
+    merged = reduce(DataFrame.unionByName, parts).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     by_query = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return merged.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

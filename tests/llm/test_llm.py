@@ -257,7 +257,7 @@ def test_transducer_equals_the_library():
     memo = bpe.WordMemo(merges)
     for t in odd_texts():
         want = library.encode(t, add_special_tokens=False).ids
-        assert np.frombuffer(memo.encode(t), "<u4").tolist() == want
+        assert np.frombuffer(b"".join(memo.encode(t)), "<u4").tolist() == want
         for block in (1, 7):
             e = bpe.StreamEncoder(merges, block)
             ids = e.feed(t[: len(t) // 2]) + e.feed(t[len(t) // 2:]) + e.finish()
@@ -298,6 +298,28 @@ def test_encode_documents(spark, rows):
 # ---- packing
 
 
+def test_texts_are_coded_in_bounded_memory(monkeypatch):
+    import tracemalloc
+
+    path, library = tokenizers_of("byte_bpe_50k.json")
+    memo = bpe.WordMemo(bpe.Merges.load(path))
+    rng = random.Random(3)
+    run = "".join(rng.choice("abcdefgh") for _ in range(500_000))
+    want = library.encode(run, add_special_tokens=False).ids
+    tracemalloc.start()
+    digest, n = hashlib.sha256(), 0
+    for part in memo.encode(run):
+        digest.update(part)
+        n += len(part) // 4
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(want) and digest.hexdigest() == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
+    assert peak < 4_000_000 < 36 * n  # all ids as a list would take more
+    monkeypatch.setattr(bpe, "PART", 60)
+    for t in [*odd_texts(), words(rng, 500), "a  b c   d " * 40, "x" * 100 + " y"]:
+        assert np.frombuffer(b"".join(memo.encode(t)), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
 def test_fill_is_optimal():
     rng = random.Random(6)
     for _ in range(200):
@@ -432,7 +454,7 @@ def test_ann(spark):
     data = [(i, v.tolist()) for i, v in enumerate(x)] + [(600, None), (601, [0.0] * 10), (602, [float("nan")] + [1.0] * 9), (603, [None] + [1.0] * 9), (604, [1.0, 2.0]), (None, [1.0] * 10), (5, x[5].tolist())]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
     index, books = ann.build_index(df)
-    assert index.count() == 601
+    assert index.count() == 602 and set(books) == {2, 10}
     asked = index.where("vec_id % 20 = 0").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     got = collections.defaultdict(list)
     for r in ann.search(index, books, asked, 10).collect():
@@ -464,6 +486,29 @@ def test_ann_more_copies_than_are_scored_first(spark):
         assert [v for _, v in sorted(got[q])] == [i for i in np.lexsort((np.arange(1500), -score)).tolist() if i != q][:20]
 
 
+def test_ann_dimensions_ties_and_clashing_columns(spark):
+    rows = [(0, [1.0, 0.0]), (20, [0.0, 1.0, 1.0]), (7, [2.0, 0.0]), (5, [2.0, 0.0]), (8, [0.5] * 3), (40, [1.0] * 3000), (41, [2.0] * 3000), (60, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    df = df.unionByName(df).withColumn("code", F.lit(1)).withColumn("DIM", F.lit("x")).withColumn("score", F.lit(None))
+    index, books = ann.build_index(df)
+    asked = index.where("vec_id % 20 = 0").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.search(index, books, asked).collect())
+    assert got == [(0, 1, 5, 2.0), (0, 2, 7, 2.0), (20, 1, 8, 1.0), (40, 1, 41, 6000.0)]
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+def test_ann_recall_on_the_embeddings_table(spark, sf, monkeypatch, block):
+    monkeypatch.setattr(ann, "QUERY_BLOCK", block)
+    data = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    ids, x = np.array([r["vec_id"] for r in data]), np.array([r["embedding"] for r in data], float)
+    got = {(r["query_id"], r["vec_id"]) for r in ann.query(spark, sf).collect()}
+    want = set()
+    for i in np.flatnonzero(ids % 20 == 0):
+        order = [j for j in np.lexsort((ids, -(x * x[i]).sum(1))) if j != i][:20]
+        want |= {(ids[i], ids[j]) for j in order}
+    assert len(got & want) >= 0.99 * len(want) and len(got) == len(want)
+
+
 def test_ann_few_candidates_and_empty(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.0, 1.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
     index, books = ann.build_index(df)
@@ -626,7 +671,11 @@ def test_merges_by_tier():
 def test_empty_documents(spark):
     none = frame(spark, [])
     assert substring_dedup.deduplicate(none).count() == 0
-    assert ngram_join.join(none).count() == 0
+    assert ngram_join.join(none).count() == 0 and ngram_join.keep_one(none).count() == 0
+    assert bpe.encode_documents(none, tokenizers_of("byte_bpe_50k.json")[0]).count() == 0
+    assert packing.pack_documents(none, tokenizers_of("word_bpe_49k.json")[0]).count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert url_filter.filter_urls(pages, url_filter.rules_frame(spark, url_filter.RULES)).count() == 0
     assert language.identify(none, language.fit(none)).count() == 0
 
 
