@@ -51,7 +51,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_c
     A null url, or one without ``://``, has an empty host and path, so no rule
     fits it and ``default`` holds. A rule with a null host or path fits nothing.
     Of rules equally long the blocking one wins; repeated rules count once.
-    Repeated pages and null ids give one row each; other columns are ignored.
+    Repeated pages and null ids give one row each; other columns are ignored;
+    an empty table of pages gives no rows, one of rules the default for all.
     """
     rules = (
         rules.where("rule_host is not null and rule_path is not null and rule_verdict is not null")
@@ -66,7 +67,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_c
         F.array_sort(F.collect_set(F.size(F.split("rule_host", r"\.")))).alias("host_labels"),
         F.count("*").alias("n"),
     ).first()
-    parsed = pages.select(F.col(id_col).alias("page_id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
+    url = F.col(url_col)
+    every = pages.select(F.col(id_col).alias("page_id"), url_host(url).alias("host"), url_path(url).alias("path"), F.coalesce(url.contains("://"), F.lit(False)).alias("whole"))
+    # broken urls, however many, need no rule and stay where they are
+    parsed, broken = every.where("whole").drop("whole"), every.where("not whole")
     # urls repeat (same page fetched again) and many share host and path: judge each once
     distinct = parsed.select("host", "path").distinct()
     lengths, labels = F.array(*map(F.lit, shape.path_lengths)), F.array(*map(F.lit, shape.host_labels))
@@ -92,9 +96,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_c
         .groupBy("host", "path")
         .agg(F.max(rank).alias("best"))
     )
-    return parsed.join(decided, ["host", "path"], "left").select(
-        "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
-    )
+    judged = parsed.join(decided, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    return judged.unionByName(broken.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
