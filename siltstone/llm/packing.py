@@ -11,10 +11,11 @@ then numbered in parallel, and their numbers are looked up in the plan.
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
-from bisect import bisect_right
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -77,7 +78,7 @@ class Slots:
     """Sequence and offset of the i-th piece of each length, by a plan."""
 
     def __init__(self, bins: list[tuple[int, list[int]]]):
-        self.of: dict[int, tuple[list[int], list]] = {}
+        runs: dict[int, list] = {}
         first = 0
         for times, lengths in bins:
             at: dict[int, list[int]] = {}
@@ -86,30 +87,44 @@ class Slots:
                 at.setdefault(k, []).append(offset)
                 offset += k
             for k, offsets in at.items():
-                starts, runs = self.of.setdefault(k, ([0], []))
-                runs.append((first, offsets))
-                starts.append(starts[-1] + times * len(offsets))
+                runs.setdefault(k, []).append((first, times, offsets))
             first += times
+        #: Of each length, run by run: its first piece's number, first bin, pieces in a bin, and where its offsets begin in the last array.
+        self.of = {}
+        for k, own in runs.items():
+            uses = np.array([len(o) for _, _, o in own])
+            pieces = uses * np.array([t for _, t, _ in own])
+            self.of[k] = np.cumsum(pieces) - pieces, np.array([f for f, _, _ in own]), uses, np.cumsum(uses) - uses, np.array([x for _, _, o in own for x in o])
 
-    def __call__(self, length: int, i: int) -> tuple[int, int]:
-        starts, runs = self.of[length]
-        run = bisect_right(starts, i) - 1
-        first, offsets = runs[run]
-        times, use = divmod(i - starts[run], len(offsets))
-        return first + times, offsets[use]
+    def __call__(self, length: int, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sequence, offset) of the pieces numbered ``i`` of one length."""
+        starts, first, uses, begin, offsets = self.of[length]
+        run = np.searchsorted(starts, i, "right") - 1
+        times, use = np.divmod(i - starts[run], uses[run])
+        return first[run] + times, offsets[begin[run] + use]
 
 
 class WordIds(dict):
     """Little-endian ids of the stretches between spaces, as the library gives them.
 
     For tokenizers that drop white space and split at it, a text's ids are those
-    of its stretches end to end.
+    of its stretches end to end. Vocabularies of which that is not known, or
+    that prepare words in another way, are refused.
     """
 
+    #: How a vocabulary must prepare texts (fixed values).
+    NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+    PRE_TOKENIZERS = ["Split", "ByteLevel"]
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])], [x["type"] for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        if steps != (self.NORMALIZERS, self.PRE_TOKENIZERS) or not spec["pre_tokenizer"]["pretokenizers"][0]["invert"] or spec["pre_tokenizer"]["pretokenizers"][1]["add_prefix_space"]:
+            raise ValueError(f"{path} does not prepare words as these pieces need")
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = {b: c for c, b in byte_alphabet().items()}
@@ -183,8 +198,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     def place(length, i):
         import pandas as pd
 
-        slots = sent.value
-        return pd.DataFrame([slots(a, b) for a, b in zip(length.tolist(), i.tolist())], columns=["sequence_id", "offset"])
+        length, i = length.to_numpy(), i.to_numpy()
+        sequence, offset = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
+        for k in np.unique(length).tolist():
+            own = np.flatnonzero(length == k)
+            sequence[own], offset[own] = sent.value(k, i[own])
+        return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
     return (
         numbered.withColumn("at", place("length", "i"))

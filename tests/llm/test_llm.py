@@ -390,6 +390,55 @@ def test_language(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_language_by_brute_force(spark, monkeypatch):
+    """Profiles and distances by plain dictionaries, with all letters told apart."""
+    monkeypatch.setattr(language, "PROFILE", 40)
+    df, n = language_docs(spark)
+    data = df.collect()
+    learned = [r for r in data if r["lang"] and r["text"] and r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    alphabet = sorted({c for r in learned for c in r["text"].lower() if c.isalpha()})
+
+    def grams(text):
+        c = [alphabet.index(x) + 1 if x in alphabet else len(alphabet) + 1 if x.isalpha() else 0 for x in (text[k].lower() if len(text[k].lower()) == 1 else text[k] for k in range(len(text)))]
+        c, a = [0, *c, 0], len(alphabet) + 2
+        out = collections.Counter(x for x in c if x)
+        out.update(a + x * a + y for x, y in zip(c, c[1:]) if x or y)
+        out.update(a + a * a + (x * a + y) * a + z for x, y, z in zip(c, c[1:], c[2:]) if y)
+        return out
+
+    def first(counts):
+        return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:40]]
+
+    totals = collections.defaultdict(collections.Counter)
+    for r in learned:
+        totals[r["lang"]].update(grams(r["text"]))
+    profiles = {lang: {g: i for i, g in enumerate(first(c))} for lang, c in totals.items()}
+    got = {r["doc_id"]: r for r in language.identify(df, language.fit(df, 40)).collect()}
+    for r in data:
+        own = first(grams(r["text"] or ""))
+        if not own:
+            assert (got[r["doc_id"]]["lang_pred"], got[r["doc_id"]]["score"]) == ("und", 0)
+            continue
+        distance = {lang: sum(abs(p.get(g, 40) - i) for i, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(sorted(distance), key=distance.get)
+        assert got[r["doc_id"]]["lang_pred"] == best and abs(got[r["doc_id"]]["score"] - (1 - distance[best] / (40 * len(own)))) < 1e-12
+
+
+def test_language_of_held_out_documents(spark):
+    out = language.query(spark, "/root/testdata/sf0.01").where("held_out")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null")
+    right = out.join(docs, "doc_id").agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("double"))).first()[0]
+    assert right > 0.99
+
+
+def test_language_replaces_columns_of_its_names(spark):
+    df, _ = language_docs(spark)
+    df = df.withColumn("Lang_Pred", F.lit("mine")).withColumn("a.b", F.lit(1))
+    out = language.identify(df, language.fit(df))
+    assert out.columns == [c for c in df.columns if c != "Lang_Pred"] + ["lang_pred", "score"]
+    assert out.where("lang_pred = 'xx'").count()
+
+
 def test_language_learns_only_from_its_fold(spark):
     df, n = language_docs(spark)
     held = df.where(language.held_out(F.col("doc_id"))).select("doc_id")
