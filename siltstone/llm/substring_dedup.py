@@ -3,8 +3,8 @@
 A corpus has no single suffix array that one machine could hold, so the strings
 that might be equal are first brought together. Every window of ``LENGTH``
 bytes has an anchor: its 64-byte gram of smallest hash, the first of several.
-Equal windows have equal anchors, so consecutive windows with one anchor travel
-as a piece under that anchor's hash. Anchors that occur once cannot lie in a
+Equal windows have equal anchors, so consecutive windows with one anchor, or
+with equal ones as in periodic text, travel as a piece under its hash. Anchors that occur once cannot lie in a
 repeat and are dropped, and equal pieces are counted and sent once. Each shard then sorts the suffixes of its
 pieces by induction and reads off the permuted common prefixes which windows
 recur.
@@ -31,6 +31,7 @@ from .suffix_array import permuted_lcp, suffix_array
 
 LENGTH = 400
 GRAM = 64
+RUN = 4  # windows of a piece at most, in lengths
 CHUNK = 1 << 20  # bytes hashed at once; longer texts are taken in overlapping stretches
 SHARD = 1 << 20  # bytes of pieces under one suffix array, about
 GROUP = 4096  # distinct pieces that one anchor may bring to a shard
@@ -70,30 +71,38 @@ def _smallest(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1: n])
 
 
-def anchors(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """Pieces of the texts ``data[bounds[i]:bounds[i + 1]]``.
-
-    Returns arrays: text number, anchor hash, first byte, end, and the anchor's
-    place, all in ``data``. Each window lies in exactly one piece.
-    """
+def _anchored(data: np.ndarray, bounds: np.ndarray, length: int, gram: int):
+    """Of the windows within the texts ``data[bounds[i]:bounds[i + 1]]``: text number, first byte, place and hash of the anchor."""
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, none.view(np.uint64), none, none, none
+        return none, none, none, none.view(np.uint64)
     hashes = gram_hashes(data, gram)
     place = np.arange(len(hashes), dtype=np.uint64)
     bits = np.uint64((1 << 28) - 1)
     least = _smallest(hashes & ~bits | place, length - gram + 1) & bits
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[: len(least)]
-    valid = np.arange(len(least)) + length <= bounds[text + 1]
-    at = np.flatnonzero(valid)
-    if not len(at):
-        return none, none.view(np.uint64), none, none, none
+    at = np.flatnonzero(np.arange(len(least)) + length <= bounds[text + 1])
     anchor = least[at].astype(np.int64)
-    new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[at[1:]] != text[at[:-1]])])
-    first = np.flatnonzero(new)
-    last = np.concatenate([first[1:], [len(at)]]) - 1
-    where = anchor[first]
-    return text[at[first]], hashes[where], at[first], at[last] + length, where
+    return text[at], at, anchor, hashes[anchor]
+
+
+def anchors(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: int = GRAM):
+    """Pieces of the texts ``data[bounds[i]:bounds[i + 1]]``.
+
+    Returns arrays: text number, anchor hash, first byte and end in ``data``,
+    and how many anchors the piece has. Each window lies in exactly one piece; a piece has at most ``RUN`` times
+    ``length`` windows.
+    """
+    text, at, anchor, h = _anchored(data, bounds, length, gram)
+    if not len(at):
+        return text, h, at, at, at
+    place = np.arange(len(at))
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (text[1:] != text[:-1])])
+    within = place - np.maximum.accumulate(np.where(new, place, 0))
+    first = np.flatnonzero(within % (RUN * length) == 0)
+    last = np.append(first[1:], len(at)) - 1
+    moved = np.concatenate([[0], np.cumsum(anchor[1:] != anchor[:-1])])
+    return text[first], h[first], at[first], at[last] + length, moved[last] - moved[first] + 1
 
 
 def stretches(bounds: np.ndarray, length: int, chunk: int = CHUNK):
@@ -111,15 +120,15 @@ def stretches(bounds: np.ndarray, length: int, chunk: int = CHUNK):
 
 
 def batch_pieces(column, length: int, gram: int):
-    """For each stretch of an Arrow string column: row, hash, and first byte, end and anchor within the row, and the bytes of the pieces."""
+    """For each stretch of an Arrow string column: row, hash, first byte and end within the row, number of anchors, and the bytes of the pieces."""
     data, bounds = text_bytes(column)
     for first, last, lo, hi in stretches(bounds, length):
         base = bounds[first] + lo
         part = data[base: bounds[first] + hi]
         own = np.clip(bounds[first: last + 1] - base, 0, len(part))
-        text, h, start, end, at = anchors(part, own, length, gram)
+        text, h, start, end, n = anchors(part, own, length, gram)
         shift = own[text] - (lo if last - first == 1 else 0)
-        yield text + first, h.view(np.int64), start - shift, end - shift, at - shift, part, start, end
+        yield text + first, h.view(np.int64), start - shift, end - shift, n, part, start, end
 
 
 def _digests(data: bytes, starts, ends) -> np.ndarray:
@@ -164,32 +173,32 @@ def _count_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            for _, h, *_ in batch_pieces(b.column(0), length, gram):
-                yield pa.RecordBatch.from_arrays([pa.array(h)], ["h"])
+            for _, h, _, _, n, *_ in batch_pieces(b.column(0), length, gram):
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], ["h", "n"])
 
-    return docs.select("text").mapInArrow(run, "h long").groupBy("h").count().where("count > 1").select("h")
+    return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
 
 
 def _occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(key_a, key_b, h, start, size, at, c_a, c_b): where each piece lies, its anchor within it and its digest."""
+    """(key_a, key_b, h, start, size, c_a, c_b): where each piece lies, and its digest."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            for row, h, start, end, at, data, lo, hi in batch_pieces(b.column(2), length, gram):
+            for row, h, start, end, _, data, lo, hi in batch_pieces(b.column(2), length, gram):
                 c = _digests(data.tobytes(), lo.tolist(), hi.tolist())
                 rows = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(rows), b.column(1).take(rows), *map(pa.array, (h, start, (end - start).astype(np.int32), (at - start).astype(np.int32), c[:, 0].copy(), c[:, 1].copy()))],
-                    ["key_a", "key_b", "h", "start", "size", "at", "c_a", "c_b"])
+                    [b.column(0).take(rows), b.column(1).take(rows), *map(pa.array, (h, start, (end - start).astype(np.int32), c[:, 0].copy(), c[:, 1].copy()))],
+                    ["key_a", "key_b", "h", "start", "size", "c_a", "c_b"])
 
-    return docs.select("key_a", "key_b", "text").mapInArrow(run, "key_a long, key_b long, h long, start long, size int, at int, c_a long, c_b long")
+    return docs.select("key_a", "key_b", "text").mapInArrow(run, "key_a long, key_b long, h long, start long, size int, c_a long, c_b long")
 
 
 def _cut_out(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Bytes of the pieces ``wanted`` from the texts."""
-    per_text = wanted.groupBy("key_a", "key_b").agg(F.collect_list(F.struct("h", "c_a", "c_b", "start", "size", "at", "copies")).alias("pieces"))
+    per_text = wanted.groupBy("key_a", "key_b").agg(F.collect_list(F.struct("h", "c_a", "c_b", "start", "size", "copies")).alias("pieces"))
     # rows equal in id and text share a key; one of them is enough
     joined = docs.select("key_a", "key_b", "text").join(per_text, ["key_a", "key_b"])
 
@@ -200,15 +209,15 @@ def _cut_out(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for i in range(b.num_rows):
                 data = b.column(2)[i].as_py().encode()
                 pieces = b.column(3)[i].values
-                f = {n: pieces.field(n) for n in ("h", "c_a", "c_b", "start", "size", "at", "copies")}
+                f = {n: pieces.field(n) for n in ("h", "c_a", "c_b", "start", "size", "copies")}
                 cut = [data[s: s + n] for s, n in zip(f["start"].to_pylist(), f["size"].to_pylist())]
-                yield pa.RecordBatch.from_arrays([f["h"], f["c_a"], f["c_b"], f["at"], f["copies"], pa.array(cut, pa.binary())], ["h", "c_a", "c_b", "at", "copies", "data"])
+                yield pa.RecordBatch.from_arrays([f["h"], f["c_a"], f["c_b"], f["copies"], pa.array(cut, pa.binary())], ["h", "c_a", "c_b", "copies", "data"])
 
-    out = joined.mapInArrow(run, "h long, c_a long, c_b long, at int, copies long, data binary")
+    out = joined.mapInArrow(run, "h long, c_a long, c_b long, copies long, data binary")
     return out
 
 
-def _divide(hot: DataFrame, width: int, length: int) -> DataFrame:
+def _divide(hot: DataFrame, width: int, length: int, gram: int) -> DataFrame:
     """Pieces of crowded anchors by place of their windows around the anchor, ``width`` places together."""
 
     def run(batches):
@@ -217,26 +226,29 @@ def _divide(hot: DataFrame, width: int, length: int) -> DataFrame:
 
         for b in batches:
             rows, lo, keys, digests, parts = [], [], [], [], []
-            for i, (at, old, h, data) in enumerate(zip(*(b.column(n).to_pylist() for n in ("at", "lo", "h", "data")))):
-                last = len(data) - length  # windows 0..last; window w has the anchor at - w places in
-                for q in range((at - last) // width, at // width + 1):
-                    first, end = max(0, at - (q + 1) * width + 1), min(last, at - q * width)
-                    if first > end:
-                        continue
-                    own = data[first: end + length]
-                    core = data[at - q * width: at - (q + 1) * width + 1 + length]  # in every window of this place
-                    keys.append(xxhash.xxh3_64_intdigest(core, h & (2**64 - 1) ^ (q * 1_000_003 + width)) - 2**63)
-                    digests.append(xxhash.xxh3_128_digest(own))
-                    rows.append(i)
-                    lo.append(old + first)
-                    parts.append((own, at - first))
+            for i, (old, h, data) in enumerate(zip(*(b.column(n).to_pylist() for n in ("lo", "h", "data")))):
+                # a piece of periodic text has several anchors; in each range of windows under one of them, window w has it ``at - w`` places in
+                _, at, anchor, _ = _anchored(np.frombuffer(data, np.uint8), np.array([0, len(data)]), length, gram)
+                cut = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+                for a, z, at_ in zip(at[cut].tolist(), at[np.append(cut[1:], len(at)) - 1].tolist(), anchor[cut].tolist()):
+                    for q in range((at_ - z) // width, (at_ - a) // width + 1):
+                        first, end = max(a, at_ - (q + 1) * width + 1), min(z, at_ - q * width)
+                        if first > end:
+                            continue
+                        own = data[first: end + length]
+                        core = data[max(0, at_ - q * width): max(0, at_ - (q + 1) * width + 1 + length)]  # in every window of this place
+                        keys.append(xxhash.xxh3_64_intdigest(core, h & (2**64 - 1) ^ (q * 1_000_003 + width)) - 2**63)
+                        digests.append(xxhash.xxh3_128_digest(own))
+                        rows.append(i)
+                        lo.append(old + first)
+                        parts.append(own)
             c = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             take = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(n).take(take) for n in ("h", "c_a", "c_b", "copies")), pa.array(lo, pa.int32()), pa.array([a for _, a in parts], pa.int32()), pa.array(keys, pa.int64()), pa.array(c[:, 0].copy()), pa.array(c[:, 1].copy()), pa.array([p for p, _ in parts], pa.binary())],
-                ["h", "c_a", "c_b", "copies", "lo", "at", "key", "d_a", "d_b", "data"])
+                [*(b.column(n).take(take) for n in ("h", "c_a", "c_b", "copies")), pa.array(lo, pa.int32()), pa.array(keys, pa.int64()), pa.array(c[:, 0].copy()), pa.array(c[:, 1].copy()), pa.array(parts, pa.binary())],
+                ["h", "c_a", "c_b", "copies", "lo", "key", "d_a", "d_b", "data"])
 
-    return hot.mapInArrow(run, "h long, c_a long, c_b long, copies long, lo int, at int, key long, d_a long, d_b long, data binary")
+    return hot.mapInArrow(run, "h long, c_a long, c_b long, copies long, lo int, key long, d_a long, d_b long, data binary")
 
 
 def _sort_shards(pieces: DataFrame, length: int) -> DataFrame:
@@ -254,24 +266,14 @@ def _sort_shards(pieces: DataFrame, length: int) -> DataFrame:
                 [*(pa.array([p[i] for p, _ in keep], pa.int64()) for i in range(3)), pa.array([[{"first": a, "last": b} for a, b in r] for _, r in keep], pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))],
                 ["key", "d_a", "d_b", "runs"])
 
-        held, group, size = [], [], 0
-
-        def close():  # a piece alone under its key, and once in the corpus, repeats nothing
-            nonlocal group, size
-            if len(group) > 1 or group and group[0][3] > 1:
-                held.extend(group)
-                size += sum(len(p[4]) for p in group)
-            group = []
-
+        held, size = [], 0
         for b in batches:
             for p in zip(*(c.to_pylist() for c in b.columns)):
-                if group and group[0][0] != p[0]:
-                    close()
-                    if size >= SHARD:
-                        yield sort(held)
-                        held, size = [], 0
-                group.append(p)
-        close()
+                if size >= SHARD and p[0] != held[-1][0]:  # between two keys
+                    yield sort(held)
+                    held, size = [], 0
+                held.append(p)
+                size += len(p[4])
         if held:
             yield sort(held)
 
@@ -286,17 +288,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     """
     repeated = written(_count_anchors(docs, length, gram), "anchors")
     found = written(_occurrences(docs, length, gram).join(repeated, "h", "left_semi"), "pieces")
-    distinct = found.groupBy("h", "c_a", "c_b").agg(F.count("*").alias("copies"), F.min_by(F.struct("key_a", "key_b", "start", "size", "at"), F.struct("key_a", "key_b", "start")).alias("one"))
+    distinct = found.groupBy("h", "c_a", "c_b").agg(F.count("*").alias("copies"), F.min_by(F.struct("key_a", "key_b", "start", "size"), F.struct("key_a", "key_b", "start")).alias("one"))
     wanted = distinct.select("h", "c_a", "c_b", "copies", "one.*")
     # equal rows share a key and would each give the piece
     pieces = written(_cut_out(docs, wanted).dropDuplicates(["h", "c_a", "c_b"]), "bytes")
-    rest = pieces.select("h", "c_a", "c_b", "copies", F.lit(0).alias("lo"), "at", F.col("h").alias("key"), F.col("c_a").alias("d_a"), F.col("c_b").alias("d_b"), "data")
+    rest = pieces.select("h", "c_a", "c_b", "copies", F.lit(0).alias("lo"), F.col("h").alias("key"), F.col("c_a").alias("d_a"), F.col("c_b").alias("d_b"), "data")
     settled, width = [], length // 4
     crowded = rest.groupBy("key").count().where(F.col("count") > GROUP).select("key")
     while width and not crowded.isEmpty():
         crowded = written(crowded, "crowded")
         settled.append(rest.join(crowded, "key", "left_anti"))
-        rest = written(_divide(rest.join(crowded, "key", "left_semi"), width, length), "divided")
+        rest = written(_divide(rest.join(crowded, "key", "left_semi"), width, length, gram), "divided")
         # what no other piece shares is unique from here on
         several = rest.groupBy("key").agg(F.sum("copies").alias("n")).where("n > 1").select("key")
         rest = written(rest.join(several, "key", "left_semi"), "divided")

@@ -104,6 +104,17 @@ def test_repeated_passages_in_one_text_and_repeated_rows(spark, rows, monkeypatc
     assert rows(substring_dedup.deduplicate(df)) == sorted(((i, *r) for i, r in zip([1, 2, None, None, 7, 7], want)), key=repr)
 
 
+@pytest.mark.parametrize(("group", "run"), [(4096, 4), (3, 4), (4096, 1)])
+def test_repeated_passages_of_periodic_texts(spark, rows, monkeypatch, group, run):
+    monkeypatch.setattr(substring_dedup, "GROUP", group)
+    monkeypatch.setattr(substring_dedup, "RUN", run)
+    rng = random.Random(5)
+    texts = ["ab" * 700, "abc" * 60 + words(rng, 20), "x" * 99, "x" * 101, words(rng, 30) + "-=" * 400 + words(rng, 30), "-=" * 90 + words(rng, 9)] + [words(rng, 15) + "12345678" * rng.randrange(10, 60) + words(rng, 5) for _ in range(8)]
+    assert rows(substring_dedup.deduplicate(frame(spark, texts), 100, 25)) == sorted(((i, *r) for i, r in enumerate(brute_repeats(texts, 100))), key=repr)
+    alone = texts[:1]
+    assert rows(substring_dedup.deduplicate(frame(spark, alone), 100, 25)) == [(0, *brute_repeats(alone, 100)[0])]
+
+
 def test_strip_repeats_keeps_rows_and_columns(spark):
     texts = sample_texts()
     out = substring_dedup.strip_repeats(frame(spark, texts).withColumn("spans", F.lit("mine")).withColumn("Key_A", F.lit(1)))
