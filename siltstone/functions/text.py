@@ -3,13 +3,33 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters with marks and what they fold to (fixed values).
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿё"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyе"
+
+def _bare(letter: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", letter) if not unicodedata.combining(c))
+
+
+#: Lower-case Latin, Greek and Cyrillic letters with marks, what they are without, and the marks that stand alone, which go.
+_MARKED = [chr(c) for r in (range(0xC0, 0x530), range(0x1E00, 0x2000)) for c in r if chr(c).lower() == chr(c) and len(_bare(chr(c))) == 1 and _bare(chr(c)) != chr(c)]
+MARKED = "".join(_MARKED) + "".join(map(chr, range(0x300, 0x370)))
+BARE = "".join(map(_bare, _MARKED))
+
+
+#: Signs that begin a list item (fixed values).
+BULLETS = "•●○◦▪▫‣·§–—−"
+#: Letters that a text needs before its language is guessed, and each language's commonest words.
+LEAST_LETTERS = 12
+COMMON_WORDS = {
+    "de": ["der", "die", "das", "und", "ist", "nicht", "ein", "eine", "mit", "den", "von", "zu"],
+    "en": ["the", "and", "of", "to", "in", "is", "that", "for", "with", "on", "was", "it"],
+    "es": ["el", "los", "las", "una", "que", "por", "con", "para", "del", "y", "es", "un"],
+    "fr": ["le", "les", "des", "et", "est", "une", "dans", "pour", "que", "qui", "du", "au"],
+    "ru": ["и", "в", "не", "на", "что", "с", "по", "это", "как", "для", "из", "он"],
+}
 
 
 def collapsed(text: Column) -> Column:
@@ -19,11 +39,17 @@ def collapsed(text: Column) -> Column:
 
 def folded(text: Column) -> Column:
     """Collapsed, lower case, without marks on letters."""
-    return F.translate(F.lower(collapsed(text)), ACCENTED, PLAIN)
+    return unmarked(collapsed(text), text)
+
+
+def unmarked(text: Column, source: Column | None = None) -> Column:
+    """Lower case without marks; ``source``, by default the text, tells whether there can be any."""
+    source, low = text if source is None else source, F.lower(text)
+    return F.when(F.octet_length(source) == F.length(source), low).otherwise(F.translate(low, MARKED, BARE))
 
 
 def fold_word(word: str) -> str:
-    return word.lower().translate(str.maketrans(ACCENTED, PLAIN))
+    return _bare(word.lower())
 
 
 def query_terms(query: str, whole: bool = False) -> list[str]:
@@ -97,3 +123,32 @@ def masked(text: Column) -> Column:
     """Keys, tokens and passwords hidden."""
     out = F.regexp_replace(text, r"(?i)(bearer\s+)[A-Za-z0-9._~+/=-]+", "$1***")
     return F.regexp_replace(out, r"(?i)((?:api[_-]?key|token|password|secret)\s*[=:]\s*\"?)[^\s\",;]+", "$1***")
+
+
+def list_marker(line: Column) -> Column:
+    """Whether a line begins a list item: a bullet, ``-``, ``+`` or ``*`` and a space, or a number with its dots and a bracket or space."""
+    number = line.rlike(r"^\p{N}[\p{N}.]{0,10}\)") | (line.rlike(r"^\p{N}[\p{N}.]{0,10} ") & line.rlike(r"^\p{N}+\."))
+    return line.rlike("^[" + BULLETS + "]") | line.rlike(r"^[-+*] ") | number
+
+
+def table_row(line: Column) -> Column:
+    """Whether a line is a row of a Markdown table: framed by bars."""
+    return F.regexp_replace(line, r"^[ \t]+|[ \t]+$", "").rlike(r"^\|.+\|$")
+
+
+def table_separator(line: Column) -> Column:
+    """Whether a line is what stands below the head of a Markdown table."""
+    return line.rlike(r"^[ \t]*\|([ \t]*[-:]+[ \t]*\|)+[ \t]*$")
+
+
+def language_of(text: Column) -> Column:
+    """A guess at the language by its commonest words, null below twelve letters or without any of them; ties by name."""
+    words = F.split(F.lower(text), r"[^\p{L}]+")
+
+    def held(common):
+        return F.size(F.filter(words, lambda w: w.isin(common)))
+
+    counts = [F.struct(held(common).alias("n"), F.lit(-i).alias("order"), F.lit(lang).alias("lang")) for i, (lang, common) in enumerate(sorted(COMMON_WORDS.items()))]
+    best = F.greatest(*counts)
+    enough = F.length(F.regexp_replace(text, r"[^\p{L}]", "")) >= LEAST_LETTERS
+    return F.when(enough & (best["n"] > 0), best["lang"])

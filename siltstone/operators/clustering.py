@@ -122,7 +122,9 @@ def outlier_threshold(assigned: DataFrame) -> DataFrame:
 
 def topics(df: DataFrame, centroids: np.ndarray, examples: int = 3) -> DataFrame:
     """(cluster, size, share, avg_distance, outliers, examples) of the assigned rows; outliers belong to no topic."""
-    found = assign(df, centroids).join(F.broadcast(outlier_threshold(assign(df, centroids))), "cluster")
+    # assigned once: thresholds and topics read one exchange
+    assigned = assign(df, centroids).repartition("id")
+    found = assigned.join(outlier_threshold(assigned), "cluster")
     inside = F.col("threshold").isNull() | (F.col("distance") <= F.col("threshold"))
     place = F.row_number().over(W.partitionBy("cluster").orderBy(F.round("distance", 12), "id"))
     near = found.where(inside).withColumn("_n", place).where(F.col("_n") <= examples).groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("_n", "id"))).alias("_e"))
@@ -138,7 +140,7 @@ def silhouette(df: DataFrame, assigned: DataFrame, most: int = SILHOUETTE_SAMPLE
         return 0.0
     x = unit(np.array([r["embedding"] for r in sample], float))
     c = np.array([r["cluster"] for r in sample])
-    d = 1 - x @ x.T
+    d = np.maximum(1 - x @ x.T, 0)
     out = []
     for i in range(len(c)):
         own = (c == c[i]) & (np.arange(len(c)) != i)

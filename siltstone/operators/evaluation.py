@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .inspection import upper_median
 
 
 def graded(hits: DataFrame, documents: DataFrame, fragments: DataFrame | None = None) -> DataFrame:
@@ -102,3 +103,88 @@ def coverage(hits: DataFrame, keys: list[str] = ("variant",)) -> DataFrame:
     """(keys, hits, graded, relevant, partial, irrelevant)."""
     g = F.col("gain")
     return hits.groupBy(*keys).agg(F.count("*").alias("hits"), F.count(g).alias("graded"), F.count_if(g >= 1).alias("relevant"), F.count_if((g > 0) & (g < 1)).alias("partial"), F.count_if(g == 0).alias("irrelevant"))
+
+
+def containing(docs: DataFrame, fragments: DataFrame) -> DataFrame:
+    """(item_id, doc_id): which documents (doc_id, t) contain which fragments (item_id, f), both folded.
+
+    A fragment's longest inner word stands whole in whatever contains it, so
+    they meet on it and only then are compared. Fragments without an inner word
+    are compared with every document.
+    """
+    inner = F.slice(F.split("f", " "), 2, F.greatest(F.size(F.split("f", " ")) - 2, F.lit(0)))
+    asked = fragments.withColumn("word", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    words = docs.select("doc_id", "t", F.explode(F.array_distinct(F.split("t", " "))).alias("word"))
+    wanted = asked.where("word is not null").select("word").distinct()
+    met = words.join(wanted, "word", "left_semi").join(asked, "word")
+    bare = docs.join(asked.where("word is null"), F.contains("t", "f"))
+    return met.where(F.contains("t", "f")).select("item_id", "doc_id").unionByName(bare.select("item_id", "doc_id"))
+
+
+def median_lengths(hits: DataFrame) -> DataFrame:
+    """(variant, median): the upper median of the lengths of a variant's texts."""
+    return upper_median(hits.where(F.col("text").isNotNull()).select("variant", F.length("text").alias("length")), "length", ["variant"])
+
+
+def length_caveat(medians: DataFrame, ratio: float = 2.0) -> DataFrame:
+    """One row (shortest, longest, caveat) where the variants' median lengths differ by the ratio or more, else none."""
+    ends = medians.agg(F.min_by("variant", F.struct("median", "variant")).alias("shortest"), F.min("median").alias("_low"), F.max_by("variant", F.struct("median", "variant")).alias("longest"), F.max("median").alias("_high"), F.count("*").alias("_n"))
+    much = (F.col("_n") > 1) & (F.col("_low") > 0) & (F.col("_high") >= ratio * F.col("_low"))
+    return ends.where(much).select("shortest", "longest", F.format_string("median lengths from %d to %d: longer texts contain a fragment more often", "_low", "_high").alias("caveat"))
+
+
+def judge_coverage(hits: DataFrame, judgements: DataFrame) -> DataFrame:
+    """One row (hits, judged, left, relevant, partial, irrelevant): how far a judge's grades (query_id, variant, id, grade) cover the hits."""
+    own = judgements.groupBy("query_id", "variant", "id").agg(F.max("grade").alias("grade"))
+    both = hits.select("query_id", "variant", "id").join(own, ["query_id", "variant", "id"], "left")
+    grades = [F.count_if(F.col("grade") == g).alias(g) for g in ("relevant", "partial", "irrelevant")]
+    return both.agg(F.count("*").alias("hits"), F.count("grade").alias("judged"), F.count_if(F.col("grade").isNull()).alias("left"), *grades)
+
+
+def strict(graded_hits: DataFrame, marked: DataFrame, short: int = 200) -> DataFrame:
+    """Each marked query of each variant: (query_id, variant, answerable, rr, hit_1, hit_3, junk_3, short_5, unmarked).
+
+    ``graded_hits`` have gain (1 relevant, 0.5 partial, 0 irrelevant, null not
+    marked) and n_chars, ``marked`` (query_id, answerable). Only a fully
+    relevant hit counts for ``rr``, its reciprocal rank.
+    """
+    at, gain = F.col("position"), F.col("gain")
+    per = graded_hits.join(marked, "query_id").groupBy("query_id", "variant", "answerable")
+    return per.agg(
+        F.coalesce(1 / F.min(F.when(gain == 1, at)), F.lit(0.0)).alias("rr"), F.max(F.when((at == 1) & (gain > 0), 1).otherwise(0)).alias("hit_1"), F.max(F.when((at <= 3) & (gain > 0), 1).otherwise(0)).alias("hit_3"),
+        F.count_if((at <= 3) & (gain == 0)).alias("junk_3"), F.count_if((at <= 5) & (F.col("n_chars") < short)).alias("short_5"), F.count_if(gain.isNull()).alias("unmarked"))
+
+
+def strict_summary(per_query: DataFrame) -> DataFrame:
+    """(variant, mrr, hit_1, hit_3, junk_3, short_5, unmarked): means; the first three over answerable queries."""
+    good = F.col("answerable")
+    return per_query.groupBy("variant").agg(*[F.avg(F.when(good, F.col(c))).alias(n) for c, n in (("rr", "mrr"), ("hit_1", "hit_1"), ("hit_3", "hit_3"))], *[F.avg(c).alias(c) for c in ("junk_3", "short_5", "unmarked")])
+
+
+def pairwise(per_query: DataFrame, base: str) -> DataFrame:
+    """(variant, better, worse, same): answerable queries by reciprocal rank against the base variant."""
+    own = per_query.where("answerable").select("query_id", "variant", "rr")
+    was = own.where(F.col("variant") == base).select("query_id", F.col("rr").alias("was"))
+    both = own.where(F.col("variant") != base).join(was, "query_id", "left").withColumn("was", F.coalesce("was", F.lit(0.0)))
+    return both.groupBy("variant").agg(F.count_if(F.col("rr") > F.col("was")).alias("better"), F.count_if(F.col("rr") < F.col("was")).alias("worse"), F.count_if(F.col("rr") == F.col("was")).alias("same"))
+
+
+def simulated(outcomes: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """(rule, value): the mean over queries (on, off: outcomes with and without a stage) if the rule decides which one counts."""
+    each = F.array(*[F.struct(F.lit(name).alias("rule"), F.when(use, F.col("on")).otherwise(F.col("off")).alias("value")) for name, use in rules.items()])
+    return outcomes.select(F.explode(each).alias("r")).groupBy("r.rule").agg(F.avg("r.value").alias("value"))
+
+
+def report(summary: DataFrame, title: str) -> tuple[str, dict]:
+    """A table of metrics (variant, metric, k, value), as Markdown with the best of each row in bold, and as a dictionary for JSON."""
+    rows = summary.orderBy("metric", "k", "variant").collect()  # a row a metric and variant
+    variants = list(dict.fromkeys(r["variant"] for r in rows))
+    table: dict[tuple, dict] = {}
+    for r in rows:
+        table.setdefault((r["metric"], r["k"]), {})[r["variant"]] = r["value"]
+    lines = [f"# {title}", "", "| metric | " + " | ".join(v.replace("|", "\\|") for v in variants) + " |", "|---|" + "---|" * len(variants)]
+    for (metric, k), cells in table.items():
+        best = max((v for v in cells.values() if v is not None), default=None)
+        shown = ["" if cells.get(v) is None else f"**{cells[v]:.3f}**" if cells[v] == best else f"{cells[v]:.3f}" for v in variants]
+        lines.append(f"| {metric}{f'@{k}' if k else ''} | " + " | ".join(shown) + " |")
+    return "\n".join(lines) + "\n", {"title": title, "variants": variants, "metrics": [{"metric": m, "k": k, "values": c} for (m, k), c in table.items()]}

@@ -155,3 +155,15 @@ def folder_levels(paths: DataFrame, path: str = "path") -> DataFrame:
     parts = F.split(path, "/")
     each = paths.select(F.posexplode(F.slice(parts, F.lit(1), F.size(parts) - 1)).alias("level", "folder"))
     return each.groupBy("level").agg(F.count_distinct("folder").alias("folders"), F.count("*").alias("files"), F.min("folder").alias("first"))
+
+
+def substituted(chunks: DataFrame, note: str = "chunk_note", file: str = "file") -> DataFrame:
+    """(file, notes): files that were cut by another strategy than asked for, with the distinct notes."""
+    own = F.coalesce(F.col(file), F.col("id").cast("string"))
+    return chunks.where(F.col(note).isNotNull()).groupBy(own.alias("file")).agg(F.array_join(F.array_sort(F.collect_set(note)), "; ").alias("notes"))
+
+
+def gone_from_disk(chunks: DataFrame, listing: DataFrame) -> DataFrame:
+    """Chunks whose file is not among ``listing`` (source, file), of sources that could be listed."""
+    known = listing.select("source").distinct()
+    return chunks.where(F.col("file").isNotNull()).join(known, "source", "left_semi").join(listing.select("source", "file"), ["source", "file"], "left_anti")

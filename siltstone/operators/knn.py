@@ -1,8 +1,8 @@
-"""Exact nearest neighbours: queries in blocks of bounded size against all rows, merged by distance.
+"""Exact nearest neighbours: parts of the rows of bounded size, each met by all queries, merged by distance.
 
-Each task multiplies its rows with a block of queries, keeps the best per
-query, and one window merges what the tasks kept. No pair of rows is ever
-shuffled.
+A part's rows are held by one task while the queries stream past; it keeps the
+best of the part for each query, and one window a query merges what the parts
+kept. Rows are shuffled once, queries once a part; nothing is collected.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 2048  # queries broadcast at once
-ROW_BLOCK = 8192
+PART_ROWS = 16_384  # rows that a task holds, about
+QUERY_BATCH = 512  # queries multiplied at once
 
 
 def distances(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
@@ -30,48 +30,62 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
     """(query_id, id, distance, position): the ``k`` nearest rows of every query, ties by id.
 
     Both frames have ``id_col`` (long) and ``vector_col``; rows whose vector is
-    null or of another dimension than the queries' are passed over. Distances are
-    rounded to twelve digits, so that equal vectors tie.
+    null are passed over, and a query is compared with rows of its dimension.
+    Distances are rounded to twelve digits, so that equal vectors tie.
     """
-    spark = rows.sparkSession
-    kept = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("v is not null and id is not null")
-    asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("v is not null and id is not null")
-    blocks = max(1, -(-asked.count() // (QUERY_BLOCK * 3 // 4)))
-    out = None
-    for block in range(blocks):
-        held = (asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block) if blocks > 1 else asked).collect()
-        dim = len(held[0]["v"]) if held else 0
-        ids = np.array([r["id"] for r in held], np.int64)
-        sent = spark.sparkContext.broadcast((ids, np.array([r["v"] for r in held], float).reshape(len(held), dim)))
-
-        def run(batches, sent=sent, dim=dim):
-            import pyarrow as pa
-
-            ids, vectors = sent.value
-            best_d = np.full((len(ids), 0), np.inf)
-            best_i = np.zeros((len(ids), 0), np.int64)
-            for b in batches:
-                if not b.num_rows or not len(ids):
-                    continue
-                own, x = np.asarray(b.column(0)), np.asarray(b.column(1).flatten(), float).reshape(b.num_rows, dim)
-                for lo in range(0, len(own), ROW_BLOCK):
-                    part = own[lo: lo + ROW_BLOCK]
-                    d = np.round(distances(vectors, x[lo: lo + ROW_BLOCK], metric), 12)
-                    if skip_self:
-                        d[ids[:, None] == part[None]] = np.inf
-                    d, i = np.concatenate([best_d, d], 1), np.concatenate([best_i, np.broadcast_to(part, d.shape)], 1)
-                    order = np.lexsort((i, d), axis=1)[:, :k]
-                    best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-            good = np.isfinite(best_d)
+    def usable(df):
+        return df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("v is not null and id is not null")
+
+    kept, asked = usable(rows), usable(queries)
+    parts = max(1, -(-kept.count() // PART_ROWS))
+    own = kept.select(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"), F.lit(0).alias("asks"), "id", "v")
+    sent = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), F.lit(1).alias("asks"), "id", "v")
+
+    def run(batches):
+        import pyarrow as pa
+
+        part, held, matrices = None, {}, {}
+
+        def best_of(ids, vectors, own, x):
+            d = np.round(distances(vectors, x, metric), 12)
+            if skip_self:
+                d[ids[:, None] == own[None]] = np.inf
+            if k < len(own):  # all that tie with the k-th stay until ids decide
+                limit = np.partition(d, k - 1, axis=1)[:, k - 1: k]
+                row, at = np.nonzero((d <= limit) & np.isfinite(d))
+            else:
+                row, at = np.nonzero(np.isfinite(d))
+            d, i = d[row, at], own[at]
             if max_distance is not None:
-                good &= best_d <= max_distance
-            if good.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], good.shape)[good]), pa.array(best_i[good]), pa.array(best_d[good])], ["query_id", "id", "distance"])
+                row, d, i = row[d <= max_distance], d[d <= max_distance], i[d <= max_distance]
+            order = np.lexsort((i, d, row))
+            row, d, i = row[order], d[order], i[order]
+            new = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
+            rank = np.arange(len(row)) - np.repeat(new, np.diff(np.append(new, len(row))))
+            return ids[row[rank < k]], i[rank < k], d[rank < k]
+
+        for b in batches:
+            number, asks, size = (np.asarray(x) for x in (b.column(0), b.column(1), b.column(3).value_lengths()))
+            cut = np.flatnonzero(np.concatenate([[True], (number[1:] != number[:-1]) | (asks[1:] != asks[:-1])])) if len(number) else []
+            for lo, hi in zip(cut, [*cut[1:], len(number)]):
+                if number[lo] != part:
+                    part, held, matrices = number[lo], {}, {}
+                for dim in np.unique(size[lo:hi]).tolist():
+                    of = b.slice(lo, hi - lo).filter(pa.array(size[lo:hi] == dim))
+                    ids, v = np.asarray(of.column(2)), np.asarray(of.column(3).flatten(), float).reshape(-1, dim)
+                    if not asks[lo]:
+                        held.setdefault(dim, []).append((ids, v))
+                        continue
+                    if dim in held and dim not in matrices:
+                        matrices[dim] = tuple(np.concatenate(x) for x in zip(*held[dim]))
+                    for at in range(0, len(ids) if dim in matrices else 0, QUERY_BATCH):
+                        found = best_of(ids[at: at + QUERY_BATCH], v[at: at + QUERY_BATCH], *matrices[dim])
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "id", "distance"])
 
-        one = kept.where(F.size("v") == dim).mapInArrow(run, "query_id long, id long, distance double")
-        out = one if out is None else out.unionByName(one)
+    both = own.unionByName(sent).repartition(parts, "part").sortWithinPartitions("part", "asks")
+    found = both.mapInArrow(run, "query_id long, id long, distance double")
     place = W.partitionBy("query_id").orderBy("distance", "id")
-    return out.withColumn("position", F.row_number().over(place)).where(F.col("position") <= k)
+    return found.withColumn("position", F.row_number().over(place)).where(F.col("position") <= k)
 
 
 def near_duplicate_pairs(rows: DataFrame, neighbours: int = 5, within: float = 0.05, acknowledged: DataFrame | None = None, **named) -> DataFrame:

@@ -33,35 +33,40 @@ def text_candidates(docs: DataFrame, query: str, pool: int | None = None, whole:
     A term's weight is its inverse document frequency among the matches (1 for a
     single term). A document scores its occurrences, a heading that holds the
     term counts twice, over the square root of the length; a term asked twice
-    counts twice. All matches are ranked before the pool is cut.
+    counts twice. All matches are ranked before the pool is cut; without a pool
+    whoever reads ``position`` has all of them numbered in one task.
     """
     words = T.query_terms(query, whole)
     if not words:
         return docs.select(F.lit(query_id).alias("query_id"), "id", F.lit(0.0).alias("score"), F.lit(0.0).alias("relevance"), F.lit(1).alias("position")).limit(0)
     distinct = list(dict.fromkeys(T.fold_word(w) for w in words))
-    body = T.folded(F.col("document"))
-    head = T.folded(F.col(headings)) if headings else F.lit("")
-    counted = docs.where(F.col("document").isNotNull())
-    if headings:
-        counted = counted.withColumn("_head", F.coalesce(head, F.lit("")))
-    else:
-        counted = counted.withColumn("_head", F.lit(""))
-    counted = counted.select("id", F.length("document").alias("n"), *[T.occurrences(body, F.lit(w)).alias(f"o{i}") for i, w in enumerate(distinct)], *[F.contains("_head", F.lit(w)).alias(f"h{i}") for i, w in enumerate(distinct)])
-    hit = reduce(lambda a, b: a | b, [(F.col(f"o{i}") > 0) | F.col(f"h{i}") for i in range(len(distinct))])
-    matched = counted.where(hit)
+    head = F.coalesce(T.folded(F.col(headings)), F.lit("")) if headings else F.lit("")
+    # white space matters only to terms that hold some
+    body = T.folded(F.col("document")) if any(w.split() != [w] for w in distinct) else T.unmarked(F.col("document"))
+    texts = F.array(F.struct(body.alias("body"), head.alias("head"), F.sqrt(F.length("document").cast("double")).alias("n")))
+
+    def counted(t):
+        return F.array(*[(T.occurrences(t["body"], F.lit(w)) + 2 * F.contains(t["head"], F.lit(w)).cast("int")) / t["n"] for w in distinct])
+
+    # a generator folds each text once and gives a row only where a term occurs
+    found = F.explode(F.filter(F.transform(texts, counted), lambda c: F.exists(c, lambda x: x > 0)))
+    # statistics and scores read one exchange of what matched
+    matched = docs.where(F.col("document").isNotNull()).select("id", found.alias("parts")).repartition("id")
     if len(distinct) > 1:
-        stats = matched.agg(F.count("*").alias("_n"), *[F.count_if((F.col(f"o{i}") > 0) | F.col(f"h{i}")).alias(f"_d{i}") for i in range(len(distinct))])
+        stats = matched.agg(F.count("id").alias("_n"), *[F.count_if(F.col("parts")[i] > 0).alias(f"_d{i}") for i in range(len(distinct))])
         matched = matched.crossJoin(F.broadcast(stats))  # one row
         weight = [F.greatest(F.lit(0.05), F.log(1 + (F.col("_n") - F.col(f"_d{i}") + 0.5) / (F.col(f"_d{i}") + 0.5))) for i in range(len(distinct))]
     else:
         weight = [F.lit(1.0)]
-    part = {w: (F.col(f"o{i}") + 2 * F.col(f"h{i}").cast("int")) * weight[i] for i, w in enumerate(distinct)}
-    score = reduce(lambda a, b: a + b, [part[T.fold_word(w)] for w in words]) / F.sqrt(F.col("n").cast("double"))
+    part = {w: F.col("parts")[i] * weight[i] for i, w in enumerate(distinct)}
+    score = reduce(lambda a, b: a + b, [part[T.fold_word(w)] for w in words])
     scored = matched.select(F.lit(query_id).alias("query_id"), "id", score.alias("score")).where("score > 0")
-    best = scored.orderBy(F.desc("score"), "id")
-    best = best.limit(pool) if pool else best
-    out = ranked(best, F.desc("score"), "id")
-    return out.withColumn("relevance", F.col("score") / F.max("score").over(W.partitionBy("query_id")))
+    if pool:
+        best = ranked(scored.orderBy(F.desc("score"), "id").limit(pool), F.desc("score"), "id")
+        return best.withColumn("relevance", F.col("score") / F.max("score").over(W.partitionBy("query_id")))
+    most = scored.agg(F.max("score").alias("_most"))
+    out = ranked(scored, F.desc("score"), "id").crossJoin(F.broadcast(most))  # one row
+    return out.withColumn("relevance", F.col("score") / F.col("_most")).drop("_most")
 
 
 def fuse(lists: list[tuple[DataFrame, float]], k: int = RRF_K, key: list[str] | None = None) -> DataFrame:
@@ -150,10 +155,30 @@ def with_neighbours(hits: DataFrame, chunks: DataFrame, window: int = 1, file: s
 
 def apply_marks(hits: DataFrame, mark: str = "mark") -> DataFrame:
     """Pinned hits first, then unmarked, demoted and stale ones, each group in its order."""
-    group = F.when(F.col(mark) == "pinned", 0).when(F.col(mark) == "demoted", 2).when(F.col(mark) == "stale", 3).otherwise(1)
+    return regrouped(hits, F.when(F.col(mark) == "pinned", 0).when(F.col(mark) == "demoted", 2).when(F.col(mark) == "stale", 3).otherwise(1))
+
+
+def regrouped(hits: DataFrame, group: Column) -> DataFrame:
+    """Hits by group, within a group in the order they had."""
     return ranked(hits, group, "position")
 
 
+def changed_nothing(stages: DataFrame) -> DataFrame:
+    """One row (unchanged): whether none of the optional stages that ran (stage, ran, rows_in, rows_out) can have changed the result.
+
+    Collapsing and marks that kept every row changed nothing; any other stage that ran may have moved rows.
+    """
+    idle = ~F.col("ran") | (F.col("stage").isin("collapse", "marks") & (F.col("rows_in") == F.col("rows_out")))
+    return stages.agg(F.coalesce(F.bool_and(idle), F.lit(True)).alias("unchanged"))
+
+
+def in_context(hits: DataFrame, chunks: DataFrame, window: int, file: str = "file") -> DataFrame:
+    """Hits with ``context``: the neighbouring chunks (offset, id, document) up to ``window`` on each side."""
+    near = with_neighbours(hits, chunks, window, file).join(chunks.select("id", "document"), "id")
+    held = near.groupBy("query_id", F.col("hit_id").alias("_hit")).agg(F.array_sort(F.collect_list(F.struct("offset", "id", "document"))).alias("context"))
+    return hits.join(held.withColumnRenamed("_hit", "id"), ["query_id", "id"], "left")
+
+
 def pinned_beyond(hits: DataFrame, docs: DataFrame, most: int = 20, mark: str = "mark") -> DataFrame:
     """The first ``most`` pinned documents that are not hits, behind each query's hits."""
     first = docs.where(F.col(mark) == "pinned").orderBy("id").limit(most)

@@ -32,30 +32,39 @@ def kind_of(value) -> str:
     return "text"
 
 
-def is_header(row: list) -> bool:
-    """Three quarters of the cells are text and none is typed."""
-    kinds = [kind_of(c) for c in row]
-    full = [k for k in kinds if k != "empty"]
-    return bool(full) and all(k == "text" for k in full) and len(full) >= 0.75 * len(kinds)
+def is_header(row: list, columns: list[int]) -> bool:
+    """Whether no cell of the columns is typed and three quarters of them are text."""
+    kinds = [kind_of(row[c]) if c < len(row) else "empty" for c in columns]
+    return len(columns) > 1 and set(kinds) <= {"text", "empty"} and kinds.count("text") >= 0.75 * len(columns)
 
 
-def sheet_mode(rows: list[list]) -> dict:
-    """{mode: skip, document or data_table, header: row number or None} from the first rows that are not empty."""
-    full = [(i, r) for i, r in enumerate(rows) if any(kind_of(c) != "empty" for c in r)][:SAMPLE_ROWS]
+def sheet_mode(rows: list[list], hidden: bool = False) -> dict:
+    """{mode: skip, document or data_table, header: index of its row or None, reason} from the first rows that are not empty.
+
+    Columns that are empty everywhere are no part of the table. A sheet of which
+    this is not sure is a document, which loses nothing.
+    """
+    def said(mode, header, reason):
+        return {"mode": mode, "header": header, "reason": reason}
+
+    if hidden:
+        return said("skip", None, "hidden")
+    full = [(i, r) for i, r in enumerate(rows) if any(kind_of(c) != "empty" for c in r)][: SAMPLE_ROWS + 1]
     if not full:
-        return {"mode": "skip", "header": None}
-    width = max(len(r) for _, r in full)
-    for at, (i, row) in enumerate(full[:5]):
-        below = [r for _, r in full[at + 1:]]
-        if width < 2 or not below or not is_header(row + [None] * (width - len(row))):
-            continue
-        alike = 0
-        for c in range(width):
-            kinds = {kind_of(r[c]) for r in below if c < len(r)} - {"empty"}
-            alike += len(kinds) <= 1
-        if alike >= 0.75 * width:
-            return {"mode": "data_table", "header": i}
-    return {"mode": "document", "header": None}
+        return said("skip", None, "empty")
+    (at, header), below = full[0], [r for _, r in full[1:]]
+    seen = [{kind_of(r[c]) for r in below if c < len(r)} - {"empty"} for c in range(max(len(r) for _, r in full))]
+    used = [c for c, kinds in enumerate(seen) if kinds or c < len(header) and kind_of(header[c]) != "empty"]
+    if len(used) < 2:
+        return said("document", None, "one column")
+    if not is_header(header, used):
+        return said("document", None, "no header row")
+    if not below:
+        return said("document", at, "no rows")
+    judged = [kinds for kinds in seen if kinds]
+    if sum(len(kinds) == 1 for kinds in judged) < 0.75 * len(judged):
+        return said("document", at, "mixed columns")
+    return said("data_table", at, "rows of one kind")
 
 
 def titles(row: list) -> list[str]:
@@ -80,18 +89,18 @@ def keys(names: list[str]) -> list[str]:
     return out
 
 
-def suggested_roles(names: list[str]) -> dict[str, str]:
-    """text, metadata or key by a column's name."""
-    out = {}
-    for n in names:
-        low = n.lower()
-        if re.search(r"(^|_| )(id|code|sku|key|number|no|article)$", low) and "key" not in out.values():
-            out[n] = "key"
-        elif re.search(r"(name|title|text|description|comment|note|question|answer|content)", low):
-            out[n] = "text"
-        else:
-            out[n] = "metadata"
-    return out
+#: Words in titles of columns that hold text, and titles of columns that hold keys (fixed values).
+TEXT_WORDS = ["название", "наименование", "описание", "текст", "комментарий", "примечание", "name", "title", "description", "text", "comment", "summary", "body"]
+KEY_TITLES = ["id", "код", "артикул", "sku", "uuid", "ключ", "key", "email", "номер"]
+
+
+def suggested_roles(names: list[str]) -> tuple[dict[str, str], str | None]:
+    """(text or metadata of each column, the key column or None) by their titles; the first column is text if no other is."""
+    roles = {n: "text" if any(w in n.lower() for w in TEXT_WORDS) else "metadata" for n in names}
+    if names and "text" not in roles.values():
+        roles[names[0]] = "text"
+    is_key = re.compile("|".join(f"{w}|{w} .*|.* {w}" for w in KEY_TITLES))
+    return roles, next((n for n in names if is_key.fullmatch(n.lower())), None)
 
 
 @dataclass
@@ -213,3 +222,17 @@ def run_estimate(rows: DataFrame, m: Mapping, seconds_per_row: float) -> DataFra
 
 def content_id(*parts: str) -> str:
     return hashlib.sha256("\0".join(parts).encode()).hexdigest()
+
+
+def manifest_after(manifest: DataFrame, plan: DataFrame, retired: DataFrame | None = None) -> DataFrame:
+    """The manifest (identity, document_id, row_number, text_hash, metadata_hash) once a plan is carried out.
+
+    ``plan`` has the same columns and status: new, changed and metadata rows
+    replace what stood under their identity, ``retired`` identities go, and rows
+    that are merely gone stay until somebody decides.
+    """
+    wrote = plan.where(F.col("status").isin("new", "changed", "metadata")).select(*manifest.columns)
+    kept = manifest.join(wrote.select("identity"), "identity", "left_anti")
+    if retired is not None:
+        kept = kept.join(retired.select("identity"), "identity", "left_anti")
+    return kept.unionByName(wrote)

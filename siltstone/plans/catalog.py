@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_analytics, q_filters, q_retrieval, q_text
+from . import q_analytics, q_filters, q_more, q_retrieval, q_text
 
-_MODULES = (q_filters, q_retrieval, q_analytics, q_text)
+_MODULES = (q_filters, q_retrieval, q_analytics, q_text, q_more)
 QUERIES: dict = {k: f for m in _MODULES for k, f in m.Q.items()}
 ORACLE_SQL: dict = {k: q for m in _MODULES for k, q in m.SQL.items()}
 

@@ -13,7 +13,7 @@ from . import tables as B
 Q: dict = {}
 SQL: dict = {}
 
-#: Query vectors are the ones of the benchmark's item ids; each is searched in all embeddings.
+#: Query vectors are those whose id is divisible by 100; each is searched in all embeddings.
 K = 10
 WORDS = "tion erth onth"
 
@@ -29,7 +29,7 @@ def add(name, sql=None):
 
 
 def _queries(s, d):
-    return B.vectors(s, d).join(B.table(s, d, "benchmark").select(F.col("item_id").alias("id")), "id", "left_semi")
+    return B.vectors(s, d).where("id % 100 = 0")
 
 
 def _hits(s, d, k=K):
@@ -47,7 +47,7 @@ def _dist(metric):
 def _knn_sql(metric="cosine", k=K):
     return f"""hits AS (SELECT * FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, v.label, round({_dist(metric)}, 12) AS distance,
       row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_dist(metric)}, 12), v.vec_id) AS position
-      FROM embeddings q JOIN benchmark b ON q.vec_id = b.item_id CROSS JOIN embeddings v) WHERE position <= {k})"""
+      FROM embeddings q CROSS JOIN embeddings v WHERE q.vec_id % 100 = 0) WHERE position <= {k})"""
 
 
 for _m in ("cosine", "l2", "ip"):
@@ -74,9 +74,9 @@ def _(s, d):
     return a.join(b, "id").select(F.col("id").alias("vec_id"), F.round(c, 6).alias("cos"), F.round(X.similarity(1 - c), 6).alias("similarity"))
 
 
-@add("v06_rendering")
+@add("v06_rendering", f"WITH {_knn_sql(k=3)} SELECT query_id, id, printf('%d%% · d=%.4f', round(greatest(0, least(1, 1 - distance)) * 100)::INT, distance + 0.0) AS shown FROM hits")
 def _(s, d):
-    return _hits(s, d, 3).select("query_id", "id", X.rendered(F.col("distance")).alias("shown"))
+    return _hits(s, d, 3).select("query_id", "id", X.rendered(F.col("distance") + 0.0).alias("shown"))
 
 
 @add("v08_usable_vectors", "SELECT label, count(*) AS n FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) = 64 AND list_dot_product(embedding, embedding) > 0 GROUP BY label")
@@ -96,7 +96,7 @@ def _(s, d):
 
 
 _WORDS = T.query_terms(WORDS)
-_FOLD = f"translate(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), '{T.ACCENTED}', '{T.PLAIN}')"
+_FOLD = "strip_accents(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))))"
 
 
 def _text_sql(words, heading=None):
@@ -107,7 +107,7 @@ def _text_sql(words, heading=None):
     df = ", ".join(f"count(*) FILTER (o{i} > 0 OR h{i} > 0) AS d{i}" for i in range(len(distinct)))
     w = [f"greatest(0.05, ln(1 + (n - d{i} + 0.5) / (d{i} + 0.5)))" if len(distinct) > 1 else "1.0" for i in range(len(distinct))]
     score = " + ".join(f"(o{distinct.index(x)} + 2 * h{distinct.index(x)}) * {w[distinct.index(x)]}" for x in words)
-    head = f"translate(lower(trim(regexp_replace({heading}, '\\s+', ' ', 'g'))), '{T.ACCENTED}', '{T.PLAIN}')" if heading else "''"
+    head = f"strip_accents(lower(trim(regexp_replace({heading}, '\\s+', ' ', 'g'))))" if heading else "''"
     return f"""folded AS (SELECT doc_id AS id, length(text) AS len, {_FOLD} AS f, {head} AS h FROM documents WHERE text IS NOT NULL),
 counted AS (SELECT id, len, {o}, {h} FROM folded), matched AS (SELECT * FROM counted WHERE {hit}),
 stats AS (SELECT count(*) AS n, {df} FROM matched),
@@ -241,7 +241,9 @@ def _(s, d):
     return retrieval.is_hierarchical(B.table(s, d, "conversations"), "turn")
 
 
-@add("r27_query_history")
+@add("r27_query_history", r"""WITH h AS (SELECT text, item_id % 7 = 0 AS pinned, item_id AS "at" FROM benchmark), e AS (SELECT * FROM h UNION ALL SELECT upper(text), pinned, "at" + 1000 FROM h WHERE "at" % 5 = 0),
+k AS (SELECT *, strip_accents(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS key FROM e), l AS (SELECT text, max(pinned) OVER (PARTITION BY key) AS pinned, "at", row_number() OVER (PARTITION BY key ORDER BY "at" DESC, text) AS n FROM k),
+o AS (SELECT text, pinned, "at", row_number() OVER (PARTITION BY pinned ORDER BY "at" DESC, text) AS n FROM l WHERE n = 1) SELECT text, pinned, "at" FROM o WHERE pinned OR n <= 10""")
 def _(s, d):
     old = B.table(s, d, "benchmark").select("text", (F.col("item_id") % 7 == 0).alias("pinned"), F.col("item_id").alias("at"))
     return retrieval.history_after(old, old.where("at % 5 = 0").withColumn("at", F.col("at") + 1000).withColumn("text", F.upper("text")), 10)
@@ -253,7 +255,7 @@ def _(s, d):
     return retrieval.within_budget(_hits(s, d).join(docs, "id"), 4000).select("query_id", "id", F.length("document").alias("n"))
 
 
-_HYBRID_SQL = f"""WITH {_text_sql([T.fold_word(w) for w in _WORDS]).replace("WHERE text IS NOT NULL", "WHERE text IS NOT NULL AND doc_id IN (SELECT vec_id FROM embeddings)")}, q AS (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1),
+_HYBRID_SQL = f"""WITH {_text_sql([T.fold_word(w) for w in _WORDS])}, q AS (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1),
 near AS (SELECT v.vec_id AS id, row_number() OVER (ORDER BY round({_dist("cosine")}, 12), v.vec_id) AS position, round({_dist("cosine")}, 12) AS distance FROM embeddings v, q WHERE v.vec_id IN (SELECT doc_id FROM documents)),
 u AS (SELECT id, position, 0 AS list FROM near WHERE position <= 50 UNION ALL SELECT id, position, 1 FROM (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS position FROM scored WHERE score > 0) WHERE position <= 50),
 f AS (SELECT id, round(sum(1.0::DOUBLE / (60 + position)), 12) AS score, min(list * 1000000 + position) AS first FROM u GROUP BY id),
@@ -264,7 +266,7 @@ SELECT id, round(score, 6) AS score, position FROM r WHERE position <= 10"""
 @add("hybrid_search", _HYBRID_SQL)
 def hybrid(s, d):
     docs = B.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("document"), "lang")
-    both = docs.join(B.vectors(s, d).select("id", "embedding"), "id")
+    both = docs.join(B.vectors(s, d).select("id", "embedding"), "id", "left")  # a document without a vector is found by its text
     query = B.vectors(s, d).orderBy("id").limit(1)
     return search.hybrid_search(both, WORDS, query, search.SearchProfile()).select("id", F.round("score", 6).alias("score"), "position")
 

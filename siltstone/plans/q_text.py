@@ -293,7 +293,14 @@ def _(s, d):
 
 
 # event streams, here over the stored events
-@add("t03_rate_limit")
+_RATE = "(0.05::DOUBLE / 60)"
+
+
+@add("t03_rate_limit", f"""WITH RECURSIVE o AS (SELECT event_id, user_id AS client, epoch_us(ts)::DOUBLE / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT event_id, client, n, t AS last, 2.0::DOUBLE AS tokens, true AS allowed FROM o WHERE n = 1
+  UNION ALL SELECT o.event_id, o.client, o.n, greatest(r.last, o.t), least(3.0::DOUBLE, r.tokens + greatest(0.0::DOUBLE, o.t - r.last) * {_RATE}) - (least(3.0::DOUBLE, r.tokens + greatest(0.0::DOUBLE, o.t - r.last) * {_RATE}) >= 1)::INT,
+    least(3.0::DOUBLE, r.tokens + greatest(0.0::DOUBLE, o.t - r.last) * {_RATE}) >= 1 FROM r JOIN o ON o.client = r.client AND o.n = r.n + 1)
+SELECT event_id, client, allowed FROM r""")
 def _(s, d):
     return E.rate_limited(B.table(s, d, "events"), "user_id", 0.05, 3)
 

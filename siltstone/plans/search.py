@@ -32,7 +32,8 @@ class SearchProfile:
     context_window: int = 0
     use_marks: bool = False
     level_scope: str = "all"
-    query_prefix: str = ""
+    query_prefix: str = ""  # put before the query's text where it is embedded
+    rerank_head: int = 0  # hits that a judge puts in order
     pool_multiplier: int = 5
     where: dict | None = None
 
@@ -40,7 +41,7 @@ class SearchProfile:
         on = {
             "candidates": True, "length": self.minimum_length or self.length_target, "fusion": self.use_text,
             "collapse": self.collapse_parents or self.collapse_copies, "diversity": self.diversity is not None,
-            "promote": self.promotion != "child", "context": self.context_window > 0, "marks": self.use_marks, "truncate": True,
+            "promote": self.promotion != "child", "context": self.context_window > 0, "rerank": self.rerank_head > 0, "marks": self.use_marks, "truncate": True,
         }
         return [k for k, v in on.items() if v]
 
@@ -53,11 +54,18 @@ class SearchProfile:
         return self.use_text and (self.text_max_words is None or T.word_count(query) <= self.text_max_words)
 
 
-def hybrid_search(docs: DataFrame, query_text: str, query_vector: DataFrame | None, profile: SearchProfile = SearchProfile(), parents: DataFrame | None = None, query_id: int = 0) -> DataFrame:
+def hybrid_search(docs: DataFrame, query_text: str, query_vector: DataFrame | None, profile: SearchProfile = SearchProfile(), parents: DataFrame | None = None, query_id: int = 0, embed=None, judge=None) -> DataFrame:
     """Ranked hits of one query over ``docs`` (id, document, embedding, metadata): query_id, position, id, document, distance, relevance, sources.
 
-    ``query_vector`` has id and embedding (one row), or is None for text only.
+    ``query_vector`` has id and embedding (one row). Without it ``embed``, a
+    function of a list of texts, is asked for the vector of the query behind the
+    profile's prefix; without either only the text is searched. ``judge`` turns
+    the first hits (query_id, id, document) into their scores (query_id, id,
+    score). Context needs the columns file and chunk_index.
     """
+    if query_vector is None and embed is not None:
+        vector = [float(x) for x in embed([profile.query_prefix + query_text])[0]]
+        query_vector = docs.sparkSession.createDataFrame([(query_id, vector)], "id long, embedding array<double>")
     rows = docs.where(filters.where(profile.where))
     if "chunk_level" in docs.columns:
         rows = rows.where(filters.level_scope(profile.level_scope, F.col("chunk_level")))
@@ -87,6 +95,10 @@ def hybrid_search(docs: DataFrame, query_text: str, query_vector: DataFrame | No
         hits = hits.drop("position").join(chosen, ["query_id", "id"])
     if profile.promotion != "child" and parents is not None:
         hits = retrieval.promote(hits, parents, profile.promotion)
+    if profile.context_window > 0 and {"file", "chunk_index"} <= set(hits.columns):
+        hits = retrieval.in_context(hits, rows, profile.context_window)
+    if profile.rerank_head > 0 and judge is not None:
+        hits = retrieval.reorder(hits, judge(retrieval.first_n(hits, profile.rerank_head).select("query_id", "id", "document")), profile.rerank_head)
     if profile.use_marks and "mark" in hits.columns:
         hits = retrieval.apply_marks(hits)
     sources = F.transform("placements", lambda p: F.when(p["list"] == 0, F.lit("vector" if query_vector is not None else "text")).otherwise("text"))

@@ -8,12 +8,17 @@ job leaves the collection as it was.
 from __future__ import annotations
 
 import json
+import unicodedata
 import uuid
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from ..functions import text as T
 
 METRICS = ("cosine", "l2", "ip")
 
@@ -169,24 +174,121 @@ def missing_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return ids.select("id").distinct().join(rows.select("id"), "id", "left_anti")
 
 
-def batches(rows: DataFrame, most_rows: int, most_bytes: int, size, order: str = "id", buckets: int = 64) -> DataFrame:
-    """``rows`` with a batch number so that no batch has more rows or, but for one row, bytes than allowed.
+def json_bytes(text):
+    """Bytes of a text as a JSON string: quotes and backslashes take two, control characters six."""
+    own = F.coalesce(text, F.lit(""))
+    doubled = F.octet_length(own) - F.octet_length(F.regexp_replace(own, r'["\\]', ""))
+    control = F.octet_length(own) - F.octet_length(F.regexp_replace(own, r"[\x00-\x1F]", ""))
+    return F.octet_length(own) + 2 + doubled + 5 * control
 
-    Rows are cut in order within buckets of the id; a batch is the running total
-    over half the limits, so that two halves never exceed one.
-    """
-    own = W.partitionBy("_bucket").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    out = rows.withColumn("_bucket", F.pmod(F.xxhash64(order), F.lit(buckets))).withColumn("_size", size)
-    out = out.withColumn("_rows", F.count("*").over(own)).withColumn("_bytes", F.coalesce(F.sum("_size").over(own), F.lit(0)))
-    by_rows, by_bytes = F.floor(F.col("_rows") / max(1, most_rows)), F.floor(F.col("_bytes") / max(1, most_bytes - 0))
-    return out.withColumn("batch", F.dense_rank().over(W.partitionBy("_bucket").orderBy(by_rows, by_bytes)) + F.col("_bucket") * 1_000_000).drop("_bucket", "_rows", "_bytes", "_size")
+
+def record_bytes(id_col, document, numbers, metadata: dict | None = None):
+    """About the bytes of a record on the wire: ``numbers`` is the vector's length, ``metadata`` columns by key."""
+    out = json_bytes(id_col.cast("string")) + 1 + json_bytes(document) + 1 + F.coalesce(numbers, F.lit(0)) * 25 + 2 + 2
+    for key, value in (metadata or {}).items():
+        out = out + len(key.encode()) + 4 + F.when(value.isNull(), 4).otherwise(json_bytes(value.cast("string")))
+    return out.cast("long")
 
 
-def keep_newest(rows: DataFrame, at: str, size: str, most_bytes: int, oldest=None, keys: list[str] = ()) -> DataFrame:
-    """Retention: rows from ``oldest`` on, newest first until the bytes are used up."""
+def batches(rows: DataFrame, most_rows: int, most_bytes: int, size, order: str = "id", bucket=None, envelope: int = 128) -> DataFrame:
+    """``rows`` with ``batch``: no batch has more rows than allowed or, with its envelope, more bytes.
+
+    Rows are taken in order within each bucket (a column of small non-negative
+    numbers, by default a hash of the order) and open a new batch where they no
+    longer fit; a row too large for any batch gets none (null). A task passes
+    through its buckets and holds one batch's totals.
+    """
+    bucket = F.pmod(F.xxhash64(order), F.lit(64)) if bucket is None else bucket
+    keyed = rows.select("*", bucket.cast("long").alias("_bucket"), size.cast("long").alias("_size"))
+
+    def run(parts):
+        import pyarrow as pa
+
+        now, number, n, used = None, 0, 0, envelope
+        for b in parts:
+            out = []
+            for k, own in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+                if k != now:
+                    now, number, n, used = k, 0, 0, envelope
+                if own + envelope > most_bytes:
+                    out.append(None)
+                    continue
+                if n and (n >= most_rows or used + own > most_bytes):
+                    number, n, used = number + 1, 0, envelope
+                n, used = n + 1, used + own
+                out.append((k << 32) + number)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(out, pa.int64())], [*b.schema.names[:-2], "batch"])
+
+    kinds = StructType([*rows.schema.fields, StructField("batch", LongType())])
+    return keyed.repartition("_bucket").sortWithinPartitions("_bucket", order).mapInArrow(run, kinds)
+
+
+def keep_newest(rows: DataFrame, at: str, size: str, most_bytes: int, oldest=None, keys: list[str] = (), spans: int = 1024) -> DataFrame:
+    """Retention: rows from ``oldest`` on, newest first until the bytes are used up.
+
+    Time is cut into ``spans``; a row's running total is what all later spans
+    hold and what precedes it in its own, so no task orders all rows.
+    """
     out = rows if oldest is None else rows.where(F.col(at) >= oldest)
-    order = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy(F.desc(at), "id").rowsBetween(W.unboundedPreceding, 0)
-    return out.withColumn("_used", F.sum(size).over(order)).where(F.col("_used") <= most_bytes).drop("_used")
+    seconds = F.col(at).cast("timestamp").cast("double") if dict(rows.dtypes)[at] in ("date", "timestamp", "timestamp_ntz") else F.col(at).cast("double")
+    ends = out.agg(F.min(seconds).alias("_low"), F.max(seconds).alias("_high"))  # one row
+    placed = out.crossJoin(F.broadcast(ends)).withColumn("_span", F.when(F.col("_high") > F.col("_low"), F.floor((seconds - F.col("_low")) / (F.col("_high") - F.col("_low")) * spans)).otherwise(0)).drop("_low", "_high")
+    totals = placed.groupBy(*keys, "_span").agg(F.sum(size).alias("_total"))
+    own = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))  # over at most ``spans`` rows
+    later = totals.withColumn("_later", F.coalesce(F.sum("_total").over(own.orderBy(F.desc("_span")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_total")
+    order = W.partitionBy(*keys, "_span").orderBy(F.desc(at), "id").rowsBetween(W.unboundedPreceding, 0)
+    summed = placed.withColumn("_used", F.sum(size).over(order)).join(later, [*keys, "_span"])
+    return summed.where(F.col("_used") + F.col("_later") <= most_bytes).select(*rows.columns)
+
+
+def file_chunks(chunks: DataFrame, file: str | None = None, file_id: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
+    """A file's chunks by its fingerprint or, without one, its path in any spelling of marks, in order; chunks without an index last."""
+    if file_id is not None:
+        own = chunks.where(F.col("file_id") == file_id)
+    else:
+        own = chunks.where(F.col("file").isin(sorted({unicodedata.normalize(form, file or "") for form in ("NFC", "NFD")} | {file or ""})))
+    return own.orderBy(F.col("chunk_index").asc_nulls_last(), "id").offset(offset).limit(limit)
+
+
+def similar_files(chunks: DataFrame, path: str, most: int = 5) -> DataFrame:
+    """(file, n): files whose name, case and marks aside, is that of ``path``, or holds it; what to offer where a path was not found."""
+    name = T.fold_word(path.rsplit("/", 1)[-1])
+    own = T.unmarked(F.regexp_extract("file", r"[^/]*$", 0))
+    found = chunks.where(own.contains(name)).groupBy("file").agg(F.count("*").alias("n"), F.min(own != name).alias("_part"))
+    return found.orderBy("_part", "file").limit(most).drop("_part")
+
+
+def fingerprint(path):
+    """Sixteen digits that stand for a path in its composed spelling."""
+    return F.substring(F.sha2(nfc(path), 256), 1, 16)
+
+
+def nfc(text):
+    """Marks composed with their letters; Spark has no function for it, and texts of plain ASCII do not need it."""
+
+    @F.pandas_udf("string")
+    def compose(values: pd.Series) -> pd.Series:
+        return values.str.normalize("NFC")
+
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(compose(text))
+
+
+def path_repairs(chunks: DataFrame) -> DataFrame:
+    """(id, source_file, file_id): chunks whose path is not in composed spelling, or whose fingerprint is missing or another's, as they should be."""
+    right = chunks.where(F.col("source_file").isNotNull()).withColumn("_path", nfc(F.col("source_file"))).withColumn("_print", fingerprint(F.col("source_file")))
+    wrong = (F.col("_path") != F.col("source_file")) | ~F.col("file_id").eqNullSafe(F.col("_print"))
+    return right.where(wrong).select("id", F.col("_path").alias("source_file"), F.col("_print").alias("file_id"))
+
+
+def named(collections: DataFrame, search: str) -> DataFrame:
+    """Collections whose name holds ``search``, case and marks aside; all of them if it is blank."""
+    return collections.where(F.contains(T.unmarked(F.trim("name")), F.lit(T.fold_word(search.strip())))) if search.strip() else collections
+
+
+def with_saved(filters: DataFrame, new: DataFrame) -> DataFrame:
+    """Saved filters (collection, name, filter, saved_at) with ``new`` ones, the latest of each collection and trimmed name."""
+    both = filters.unionByName(new).withColumn("name", F.trim("name"))
+    return both.groupBy("collection", "name").agg(F.max_by(F.struct("filter", "saved_at"), F.struct("saved_at", "filter")).alias("_f")).select("collection", "name", "_f.*")
 
 
 def cache_key(model, text):

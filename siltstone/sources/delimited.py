@@ -18,7 +18,6 @@ DELIMITERS = ",;\t|"
 SIGNATURES = {b"PK\x03\x04": "zip", b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1": "ole2", b"%PDF": "pdf", b"\x1f\x8b": "gzip"}
 #: Built-in spreadsheet number formats that show dates (fixed values).
 DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
-MOST_ROWS = 200_000
 
 
 def container(head: bytes) -> str | None:
@@ -180,8 +179,6 @@ def read_xlsx(data: bytes, epoch_1904: bool | None = None) -> dict[str, list[tup
         rows: dict[int, dict[int, object]] = {}
         for row in sheet.iterfind("m:sheetData/m:row", n):
             number = int(row.get("r", len(rows) + 1))
-            if len(rows) >= MOST_ROWS:
-                break
             cells = rows.setdefault(number, {})
             for c in row.iterfind("m:c", n):
                 kind, v = c.get("t"), c.find("m:v", n)
@@ -235,19 +232,23 @@ def read_ods(data: bytes) -> dict[str, list[tuple[int, dict[int, object]]]]:
                 elif kind == "string":
                     value = "\n".join("".join(p.itertext()) for p in c.iter(f"{x}p"))
                 if value is not None:
-                    for i in range(min(again, 1000)):
+                    for i in range(again):
                         cells[col + i] = value
                 col += again
             if cells:
-                for i in range(min(times, MOST_ROWS - len(rows))):
+                for i in range(times):
                     rows.append((number + 1 + i, dict(cells)))
             number += times
         out[sheet.get(f"{t}name")] = rows
     return out
 
 
-def sheet_cells(files: DataFrame, kind: str = "xlsx") -> DataFrame:
-    """(path, sheet, row_number, col, kind, value) of the cells of spreadsheet files (path, content), read file by file where they are."""
+def sheet_cells(files: DataFrame, kind: str = "xlsx", most_rows: int | None = None) -> DataFrame:
+    """(path, sheet, row_number, col, kind, value) of the cells of spreadsheet files (path, content), read file by file where they are.
+
+    With ``most_rows`` only so many rows of a sheet are taken, and where there
+    are more a row of kind ``rows_left`` without a number says how many.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -255,7 +256,11 @@ def sheet_cells(files: DataFrame, kind: str = "xlsx") -> DataFrame:
         read = read_xlsx if kind == "xlsx" else read_ods
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                rows = [(path, s, n, c, type(v).__name__, str(v)) for s, rs in read(content).items() for n, cells in rs for c, v in sorted(cells.items())]
+                rows = []
+                for sheet, own in read(content).items():
+                    rows += [(path, sheet, n, c, type(v).__name__, str(v)) for n, cells in own[:most_rows] for c, v in sorted(cells.items())]
+                    if most_rows is not None and len(own) > most_rows:
+                        rows.append((path, sheet, None, None, "rows_left", str(len(own) - most_rows)))
                 cols = list(zip(*rows)) or [[]] * 6
                 types = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(cols, types)], ["path", "sheet", "row_number", "col", "kind", "value"])

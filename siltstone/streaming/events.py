@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,16 +23,31 @@ def bucket(times: list[float], tokens: float, last: float | None, rate: float, b
 
 
 def rate_limited(events: DataFrame, key: str, per_minute: float = RATE_PER_MINUTE, burst: float = BURST, id_col: str = "event_id", at: str = "ts") -> DataFrame:
-    """(event_id, key, allowed) of a batch: every client's events replayed in order of time."""
-    rate = per_minute / 60
+    """(event_id, key, allowed) of a batch: every client's events replayed in order of time.
 
-    def run(pdf):
-        pdf = pdf.sort_values(["t", "event_id"])
-        pdf["allowed"] = bucket(pdf["t"].tolist(), burst, None, rate, burst)[0]
-        return pdf[["event_id", "client", "allowed"]]
+    A task passes through its clients' events and holds one bucket's state,
+    however long a client's history is. Each client has a bucket of its own;
+    there is none over all clients.
+    """
+    rate = per_minute / 60
 
-    rows = events.select(F.col(id_col).cast("long").alias("event_id"), F.col(key).cast("long").alias("client"), F.unix_micros(F.col(at).cast("timestamp")).cast("double").alias("t"))
-    return rows.withColumn("t", F.col("t") / 1e6).groupBy("client").applyInPandas(run, "event_id long, client long, allowed boolean")
+    def run(batches):
+        import pyarrow as pa
+
+        client, tokens, last = None, burst, None
+        for b in batches:
+            out: list[bool] = []
+            clients, times = b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_pylist()
+            cut = [0, *(np.flatnonzero(clients[1:] != clients[:-1]) + 1).tolist(), len(clients)] if len(clients) else []
+            for lo, hi in zip(cut, cut[1:]):
+                if clients[lo] != client:
+                    client, tokens, last = clients[lo], burst, None
+                allowed, tokens, last = bucket(times[lo:hi], tokens, last, rate, burst)
+                out += allowed
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.bool_())], ["event_id", "client", "allowed"])
+
+    rows = events.select(F.col(id_col).cast("long").alias("event_id"), F.coalesce(F.col(key).cast("long"), F.lit(-1)).alias("client"), (F.unix_micros(F.col(at).cast("timestamp")).cast("double") / 1e6).alias("t"))
+    return rows.repartition("client").sortWithinPartitions("client", "t", "event_id").mapInArrow(run, "event_id long, client long, allowed boolean")
 
 
 def rate_limited_stream(events: DataFrame, key: str, per_minute: float = RATE_PER_MINUTE, burst: float = BURST, id_col: str = "event_id", at: str = "ts") -> DataFrame:

@@ -1,6 +1,8 @@
 """Operators on hand-made rows with results worked out by hand."""
 
+import collections
 import datetime
+import hashlib
 import io
 import zipfile
 
@@ -12,6 +14,7 @@ from siltstone.functions import text as T
 from siltstone.functions import values as V
 from siltstone.functions import vectors as X
 from siltstone.operators import chunking, clustering, diversity, evaluation, filters, retrieval, sync, tabular, web
+from siltstone.plans import search
 from siltstone.sources import collections as C
 from siltstone.sources import delimited as D
 from siltstone.sources import transfer
@@ -196,12 +199,18 @@ def test_sync_names(spark):
 
 def test_tabular(spark, rows):
     sheet = [["Name", "Age"], ["Ann", 3], ["Bob", 4]]
-    assert tabular.sheet_mode(sheet) == {"mode": "data_table", "header": 0}
+    assert tabular.sheet_mode(sheet) == {"mode": "data_table", "header": 0, "reason": "rows of one kind"}
+    assert tabular.sheet_mode(sheet, hidden=True)["mode"] == "skip"
+    spaced = [[], ["Name", None, "Age", ""], ["Ann", None, 3], ["Bob", None, 4]]  # an empty column between
+    assert tabular.sheet_mode(spaced) == {"mode": "data_table", "header": 1, "reason": "rows of one kind"}
+    assert tabular.sheet_mode([["Report", 2024], ["a", "b"]])["reason"] == "no header row"
+    assert tabular.sheet_mode([["a", "b"], ["x", 1], [2, "y"]]) == {"mode": "document", "header": 0, "reason": "mixed columns"}
     assert tabular.sheet_mode([["just text"]])["mode"] == "document"
     assert tabular.sheet_mode([[None, ""]])["mode"] == "skip"
     assert tabular.titles(["A", None, "A"]) == ["A", "B", "A (2)"]
     assert tabular.keys(["Full Name", "full-name", "row_number", "1st"]) == ["full_name", "full_name_2", "col_row_number", "col_1st"]
-    assert tabular.suggested_roles(["id", "Title", "price"]) == {"id": "key", "Title": "text", "price": "metadata"}
+    assert tabular.suggested_roles(["id", "Title", "price"]) == ({"id": "metadata", "Title": "text", "price": "metadata"}, "id")
+    assert tabular.suggested_roles(["Цена", "код товара"]) == ({"Цена": "text", "код товара": "metadata"}, "код товара")
     assert tabular.unknown_placeholders(tabular.Mapping({"a": "Name"}, [], template="{Name} {Nope}")) == ["Nope"]
     cells = spark.createDataFrame([(1, 1, "x"), (2, 3, "y")], "row int, col int, value string")
     merged = spark.createDataFrame([(1, 1, 2, 2)], "r0 int, c0 int, r1 int, c1 int")
@@ -312,3 +321,83 @@ def test_streams(spark, rows, sf, tmp_path):
     seen = []
     E.watch_folder(spark, str(tmp_path / "in"), ev.schema, lambda df, n: seen.append(df.count()), str(tmp_path / "c2"), once=True).awaitTermination(120)
     assert sum(seen) == 50
+
+
+def test_sheet_rows_beyond_a_limit_are_counted(spark):
+    files = spark.createDataFrame([("a.xlsx", bytearray(xlsx()))], "path string, content binary")
+    got = [(r["row_number"], r["kind"], r["value"]) for r in D.sheet_cells(files, "xlsx", 1).collect()]
+    assert (None, "rows_left", "1") in got and all(n in (2, None) for n, _, _ in got)
+    assert {r["row_number"] for r in D.sheet_cells(files).collect()} == {2, 3}
+
+
+def test_code_blocks_of_one_kind():
+    text = "import x\n\ndef f():\n    pass\n\nclass A:\n    def g(self):\n        pass\n"
+    assert len(chunking.code_sections(text)) == 3
+    assert [s.split("\n")[0] for s in chunking.code_sections(text, "classes")] == ["import x", "class A:"]
+    assert [s.split("\n")[0] for s in chunking.code_sections(text, "functions")] == ["import x", "def f():"]
+
+
+def test_sentences():
+    assert chunking.sentences("One. Two!  \n.\nA? b... c") == ["One.", "Two!", ".\nA?", "b.", "..", "c"]
+
+
+def test_batches_hold_their_limits(spark):
+    df = spark.createDataFrame([(i, 60) for i in range(10)] + [(10, 500)], "id long, n long")
+    got = collections.defaultdict(list)
+    for r in C.batches(df, 3, 128 + 130, F.col("n"), bucket=F.lit(0)).collect():
+        got[r["batch"]].append(r["id"])
+    assert got == {0: [0, 1], 1: [2, 3], 2: [4, 5], 3: [6, 7], 4: [8, 9], None: [10]}
+    few = C.batches(df, 3, 1000, F.col("n")).groupBy("batch").agg(F.count("*").alias("n"), F.sum("n").alias("bytes")).collect()
+    assert all(r["n"] <= 3 and r["bytes"] + 128 <= 1000 for r in few)
+    row = spark.createDataFrame([("i", 'a"b\\\n', None)], "id string, document string, m string")
+    assert row.select(C.record_bytes(F.col("id"), F.col("document"), F.lit(2), {"m": F.col("m")})).first()[0] == 3 + 1 + (5 + 2 + 2 + 5) + 1 + 50 + 4 + (1 + 4 + 4)
+
+
+def test_search_profile_stages(spark):
+    rows = [(i, f"text number {i} {'needle' if i == 3 else ''}", [float(i == k) for k in range(4)], "f", i) for i in range(4)]
+    docs = spark.createDataFrame(rows, "id long, document string, embedding array<double>, file string, chunk_index long")
+    asked = []
+
+    def embed(texts):
+        asked.extend(texts)
+        return [[0.0, 1.0, 0.0, 0.0]]
+
+    profile = search.SearchProfile(query_prefix="query: ", context_window=1, rerank_head=4, n_results=4)
+    judge = lambda hits: hits.select("query_id", "id", F.col("id").cast("double").alias("score"))
+    got = search.hybrid_search(docs, "needle", None, profile, embed=embed, judge=judge).orderBy("position").collect()
+    assert asked == ["query: needle"] and [r["id"] for r in got] == [3, 2, 1, 0]
+    assert "rerank" in profile.stages() and "context" in profile.stages()
+    first = docs.where("id = 1").select("id", "embedding")
+    alone = search.hybrid_search(docs, "x", first, search.SearchProfile(context_window=1, n_results=1, use_text=False)).select("id", "context").first()
+    assert alone["id"] == 1 and [(c["offset"], c["id"]) for c in alone["context"]] == []  # all neighbours are hits themselves
+
+
+def test_stages_that_changed_nothing(spark):
+    one = lambda *rows: retrieval.changed_nothing(spark.createDataFrame(list(rows), "stage string, ran boolean, rows_in long, rows_out long")).first()[0]
+    assert one(("collapse", True, 9, 9), ("diversity", False, 9, 9)) and not one(("collapse", True, 9, 8)) and not one(("rerank", True, 9, 9))
+
+
+def test_path_repair(spark):
+    import unicodedata
+
+    decomposed = unicodedata.normalize("NFD", "Отчёт й.pdf")
+    good = hashlib.sha256("a.txt".encode()).hexdigest()[:16]
+    df = spark.createDataFrame([(1, decomposed, None), (2, "a.txt", good), (3, "a.txt", "other"), (4, None, None)], "id long, source_file string, file_id string")
+    got = {r["id"]: (r["source_file"], r["file_id"]) for r in C.path_repairs(df).collect()}
+    composed = unicodedata.normalize("NFC", decomposed)
+    assert got == {1: (composed, hashlib.sha256(composed.encode()).hexdigest()[:16]), 3: ("a.txt", good)}
+
+
+def test_evaluation_report(spark):
+    df = spark.createDataFrame([("a|b", "hit_rate", 1, 0.5), ("c", "hit_rate", 1, 0.25), ("a|b", "mrr", 0, 0.1), ("c", "mrr", 0, 0.2)], "variant string, metric string, k int, value double")
+    text, data = evaluation.report(df, "Run")
+    assert "| metric | a\\|b | c |" in text and "| hit_rate@1 | **0.500** | 0.250 |" in text and "| mrr | 0.100 | **0.200** |" in text
+    assert data["metrics"][0] == {"metric": "hit_rate", "k": 1, "values": {"a|b": 0.5, "c": 0.25}}
+
+
+def test_sheet_manifest_after_a_plan(spark, rows):
+    cols = "identity string, document_id string, row_number int, text_hash string, metadata_hash string"
+    old = spark.createDataFrame([("a", "d1", 1, "t", "m"), ("b", "d2", 2, "t", "m"), ("c", "d3", 3, "t", "m")], cols)
+    plan = spark.createDataFrame([("a", "d1", 1, "t2", "m", "changed"), ("b", "d2", 2, "t", "m", "gone"), ("d", "d4", 4, "t", "m", "new")], cols + ", status string")
+    got = rows(tabular.manifest_after(old, plan, spark.createDataFrame([("c",)], "identity string")), "identity", "text_hash")
+    assert got == [("a", "t2"), ("b", "t"), ("d", "t")]
