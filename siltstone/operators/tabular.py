@@ -227,12 +227,36 @@ def content_id(*parts: str) -> str:
 def manifest_after(manifest: DataFrame, plan: DataFrame, retired: DataFrame | None = None) -> DataFrame:
     """The manifest (identity, document_id, row_number, text_hash, metadata_hash) once a plan is carried out.
 
-    ``plan`` has the same columns and status: new, changed and metadata rows
-    replace what stood under their identity, ``retired`` identities go, and rows
-    that are merely gone stay until somebody decides.
+    ``plan`` has the same columns and status: added, re_embedded and
+    metadata_only rows replace what stood under their identity, ``retired``
+    identities go, and rows that disappeared stay until somebody decides.
     """
-    wrote = plan.where(F.col("status").isin("new", "changed", "metadata")).select(*manifest.columns)
+    wrote = plan.where(F.col("status").isin("added", "re_embedded", "metadata_only")).select(*manifest.columns)
     kept = manifest.join(wrote.select("identity"), "identity", "left_anti")
     if retired is not None:
         kept = kept.join(retired.select("identity"), "identity", "left_anti")
     return kept.unionByName(wrote)
+
+
+def sheet_sync(rows: DataFrame, m: Mapping, manifest: DataFrame, source: str, sheet: str) -> dict[str, DataFrame]:
+    """What a sheet's rows ask of a collection that holds ``manifest`` (id, row_number, row_key, text_hash, metadata_hash).
+
+    write: documents to embed and store; refresh: documents of which only
+    metadata changed; disappeared: ids whose rows are gone, to be deleted once
+    somebody confirms; plan: each row's status; manifest: what to keep for the
+    next run if write and refresh are carried out.
+    """
+    from .sync import row_diff
+
+    fresh = row_documents(rows, m, source, sheet)
+    plan = row_diff(fresh, manifest)
+    told = fresh.join(plan.where("row_number is not null"), "row_number")
+    gone = manifest.join(plan.where("status = 'disappeared'").select(F.col("old_row").alias("row_number")), "row_number", "left_semi")
+    kept = told.where("status != 'duplicate'").select(*manifest.columns)
+    return {
+        "write": told.where(F.col("status").isin("added", "re_embedded")).drop("status", "old_row"),
+        "refresh": told.where("status = 'metadata_only'").drop("status", "old_row"),
+        "disappeared": gone.select("id"),
+        "plan": plan,
+        "manifest": kept.unionByName(gone.select(*manifest.columns)),
+    }

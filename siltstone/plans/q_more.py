@@ -326,7 +326,7 @@ def _(s, d):
 def _(s, d):
     part = B.table(s, d, "part").select(F.col("p_partkey").alias("identity"))
     old = part.withColumn("text_hash", F.lit("old"))
-    plan = part.where("identity % 4 in (1, 2)").select("identity", F.when(F.col("identity") % 4 == 1, "new").otherwise("kept").alias("text_hash"), F.when(F.col("identity") % 4 == 1, "changed").otherwise("gone").alias("status"))
+    plan = part.where("identity % 4 in (1, 2)").select("identity", F.when(F.col("identity") % 4 == 1, "new").otherwise("kept").alias("text_hash"), F.when(F.col("identity") % 4 == 1, "re_embedded").otherwise("disappeared").alias("status"))
     return tabular.manifest_after(old, plan, part.where("identity % 4 = 3"))
 
 
@@ -369,3 +369,40 @@ def _(s, d):
     vec = B.vectors(s, d)
     value = clustering.silhouette(vec, clustering.assign(vec, clustering.fit(vec, 4, 64)))
     return s.range(1).select(F.round(F.lit(value), 9).alias("silhouette"))
+
+
+def _sheet(s, d):
+    """Parts as a sheet now, and the manifest of an earlier run in which other rows stood."""
+    part = B.table(s, d, "part").select(F.col("p_partkey").alias("row_number"), "p_partkey", "p_name", "p_brand", "p_size")
+    m = tabular.Mapping({"p_partkey": "Number", "p_name": "Name", "p_brand": "Brand"}, ["p_name"], {"p_brand": "brand"}, "p_partkey")
+    old = part.where("p_partkey % 5 != 0").withColumn("p_name", F.when(F.col("p_partkey") % 5 == 1, "other").otherwise(F.col("p_name"))).withColumn("p_brand", F.when(F.col("p_partkey") % 5 == 2, "other").otherwise(F.col("p_brand")))
+    manifest = tabular.row_documents(old, m, "s", "t").select("id", "row_number", "row_key", "text_hash", "metadata_hash")
+    return tabular.sheet_sync(part.where("p_partkey % 7 != 0"), m, manifest, "s", "t")
+
+
+@add("b18_sheet_sync", "SELECT p_partkey AS row_number, CASE WHEN p_partkey % 7 = 0 THEN 'disappeared' WHEN p_partkey % 5 = 0 THEN 'added' WHEN p_partkey % 5 = 1 THEN 're_embedded' WHEN p_partkey % 5 = 2 THEN 'metadata_only' ELSE 'unchanged' END AS status FROM part WHERE p_partkey % 7 <> 0 OR p_partkey % 5 <> 0")
+def _(s, d):
+    return _sheet(s, d)["plan"].select(F.coalesce("row_number", "old_row").alias("row_number"), "status")
+
+
+@add("b18_sheet_manifest", "SELECT p_partkey AS row_number FROM part WHERE p_partkey % 7 <> 0 OR p_partkey % 5 <> 0")
+def _(s, d):
+    return _sheet(s, d)["manifest"].select("row_number")
+
+
+@add("s35_extracted", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'html' WHEN 1 THEN 'plain' END AS extractor, CASE WHEN page_id % 3 = 2 THEN 'no extractor' END AS problem FROM pages WHERE html IS NOT NULL AND length(regexp_replace(html, '<[^>]*>', '', 'g')) > 100")
+def _(s, d):
+    from ..sources import extract
+
+    kind = F.element_at(F.array(F.lit("html"), F.lit("txt"), F.lit("pdf")), (F.col("page_id") % 3 + 1).cast("int"))
+    pages = B.table(s, d, "pages").where("html is not null").where(F.length(F.regexp_replace("html", "<[^>]*>", "")) > 100)
+    files = pages.select(F.concat_ws(".", "page_id", kind).alias("path"), F.encode("html", "UTF-8").alias("content"))
+    return extract.extracted(files).select(F.substring_index("path", ".", 1).cast("long").alias("page_id"), "extractor", "problem")
+
+
+@add("v12_embedded", "SELECT item_id AS id, 64 AS n FROM benchmark")
+def _(s, d):
+    from ..operators import embedding
+
+    rows = B.table(s, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("document"))
+    return embedding.embedded(rows, chunking.hashing_embedder(64)).select("id", F.size("embedding").alias("n"))

@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from siltstone.functions import text as T
 from siltstone.functions import values as V
 from siltstone.functions import vectors as X
-from siltstone.operators import chunking, clustering, diversity, evaluation, filters, retrieval, sync, tabular, web
+from siltstone.operators import chunking, clustering, diversity, embedding, evaluation, filters, retrieval, sync, tabular, web
 from siltstone.plans import search
 from siltstone.sources import collections as C
 from siltstone.sources import delimited as D
-from siltstone.sources import transfer
+from siltstone.sources import extract, transfer
 from siltstone.streaming import events as E
 
 
@@ -369,7 +369,7 @@ def test_search_profile_stages(spark):
     assert "rerank" in profile.stages() and "context" in profile.stages()
     first = docs.where("id = 1").select("id", "embedding")
     alone = search.hybrid_search(docs, "x", first, search.SearchProfile(context_window=1, n_results=1, use_text=False)).select("id", "context").first()
-    assert alone["id"] == 1 and [(c["offset"], c["id"]) for c in alone["context"]] == []  # all neighbours are hits themselves
+    assert alone["id"] == 1 and [(c["offset"], c["id"]) for c in alone["context"]] == [(-1, 0), (1, 2)]
 
 
 def test_stages_that_changed_nothing(spark):
@@ -398,6 +398,62 @@ def test_evaluation_report(spark):
 def test_sheet_manifest_after_a_plan(spark, rows):
     cols = "identity string, document_id string, row_number int, text_hash string, metadata_hash string"
     old = spark.createDataFrame([("a", "d1", 1, "t", "m"), ("b", "d2", 2, "t", "m"), ("c", "d3", 3, "t", "m")], cols)
-    plan = spark.createDataFrame([("a", "d1", 1, "t2", "m", "changed"), ("b", "d2", 2, "t", "m", "gone"), ("d", "d4", 4, "t", "m", "new")], cols + ", status string")
+    plan = spark.createDataFrame([("a", "d1", 1, "t2", "m", "re_embedded"), ("b", "d2", 2, "t", "m", "disappeared"), ("d", "d4", 4, "t", "m", "added")], cols + ", status string")
     got = rows(tabular.manifest_after(old, plan, spark.createDataFrame([("c",)], "identity string")), "identity", "text_hash")
     assert got == [("a", "t2"), ("b", "t"), ("d", "t")]
+
+
+def zipped(parts):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+def test_extractors(spark):
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    word = zipped({"word/document.xml": f'<w:document {w}><w:body><w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>Head</w:t></w:r></w:p><w:p><w:r><w:t>one </w:t><w:tab/><w:t>two</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>b</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>'})
+    assert extract.docx(word) == "## Head\n\none \ttwo\n\n| a | b |\n| --- | --- |"
+    t = 'xmlns:office="o" xmlns:text="t"'
+    assert extract.odt(zipped({"content.xml": f'<office:d {t}><text:h text:outline-level="2">Head</text:h><text:p>some  <text:span>text</text:span></text:p></office:d>'})) == "## Head\n\nsome text"
+    book = zipped({"META-INF/container.xml": '<container><rootfiles><rootfile full-path="o/b.opf"/></rootfiles></container>', "o/b.opf": '<package><manifest><item id="x" href="c%202.html"/><item id="y" href="c1.html"/></manifest><spine><itemref idref="y"/><itemref idref="x"/></spine></package>', "o/c1.html": "<p>first</p>", "o/c 2.html": "<p>second</p>"})
+    assert extract.epub(book) == "first\n\nsecond"
+    show = zipped({f"ppt/slides/slide{n}.xml": f"<s><p><t>slide</t><t> {n}</t></p></s>" for n in (10, 2)} | {"ppt/slides/slide3.xml": "<s/>"})
+    assert extract.slides(show) == ["slide 2", "", "slide 10"]
+    files = spark.createDataFrame([("a.docx", bytearray(word)), ("b.docx", bytearray(b"broken")), ("c.txt", bytearray(b" \n")), ("d.pdf", bytearray(b"x")), ("e.xlsx", bytearray(xlsx()))], "path string, content binary")
+    got = {r["path"]: (r["extractor"], r["problem"] and r["problem"].split(":")[0]) for r in extract.extracted(files).collect()}
+    assert got == {"a.docx": ("docx", None), "b.docx": ("docx", "BadZipFile"), "c.txt": ("plain", "no text"), "d.pdf": (None, "no extractor"), "e.xlsx": ("xlsx", None)}
+    chunks = extract.slide_chunks(spark.createDataFrame([("s.pptx", bytearray(show))], "path string, content binary")).collect()
+    assert [(r["slide"], r["document"]) for r in chunks] == [(1, "slide 2"), (3, "slide 10")]
+    scanned = [("picture", ("pdf",), lambda data: (_ for _ in ()).throw(extract.NoText())), ("reader", ("pdf",), lambda data: "read")]
+    assert extract.extract("d.pdf", b"x", scanned) == ("reader", "read", None)
+
+
+def test_reembedding_goes_on_where_it_stopped(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(40)] + [(40, None)], "id long, document string")
+    embed = chunking.hashing_embedder(8)
+    out = embedding.reembed(rows, str(tmp_path / "v"), embed, 4)
+    assert out.count() == 41 and out.where("embedding is null").count() == 1
+    import shutil
+
+    shutil.rmtree(tmp_path / "v" / "part=2")
+    before = {k: (tmp_path / "v" / f"part={k}" / "_SUCCESS").stat().st_mtime_ns for k in (0, 1, 3)}
+    again = embedding.reembed(rows, str(tmp_path / "v"), embed, 4)
+    assert {r["id"]: r["embedding"] for r in again.collect()}.keys() == set(range(41))
+    assert before == {k: (tmp_path / "v" / f"part={k}" / "_SUCCESS").stat().st_mtime_ns for k in (0, 1, 3)}
+    with pytest.raises(ValueError, match="41 of 39"):
+        embedding.reembed(rows.where("id < 39"), str(tmp_path / "v"), embed, 4)
+
+
+def test_input_limit_and_context(spark):
+    seen = lambda texts: [[float(len(t[:37])), 1.0] for t in texts]
+    assert abs(embedding.input_limit(seen, "x" * 200, 0.9999999999) - 37) <= 1
+    df = spark.createDataFrame([("whole", "good"), ("whole", "bad"), ("whole", None)], "whole string, document string")
+
+    def complete(whole, text):
+        if text == "bad":
+            raise OSError
+        return f"of  {whole}"
+
+    assert [r["document"] for r in embedding.with_context(df, complete).collect()] == ["of whole\n\ngood", "bad", None]
