@@ -32,9 +32,9 @@ from .suffix_array import permuted_lcp, suffix_array
 LENGTH = 400
 GRAM = 64
 RUN = 4  # windows of a piece at most, in lengths
-CHUNK = 1 << 20  # bytes hashed at once; longer texts are taken in overlapping stretches
+CHUNK = 1 << 19  # bytes hashed at once; longer texts are taken in overlapping stretches
 SHARD = 1 << 20  # bytes of pieces under one suffix array, about
-GROUP = 4096  # distinct pieces that one anchor may bring to a shard
+GROUP = 1 << 20  # bytes of distinct pieces that one anchor may bring to a shard
 DIVISION = 16 << 20  # bytes of pieces a task sorts, in shards
 SEPARATOR = 0xFF  # never a byte of UTF-8
 
@@ -294,7 +294,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     pieces = written(_cut_out(docs, wanted).dropDuplicates(["h", "c_a", "c_b"]), "bytes")
     rest = pieces.select("h", "c_a", "c_b", "copies", F.lit(0).alias("lo"), F.col("h").alias("key"), F.col("c_a").alias("d_a"), F.col("c_b").alias("d_b"), "data")
     settled, width = [], length // 4
-    crowded = rest.groupBy("key").count().where(F.col("count") > GROUP).select("key")
+    crowded = rest.groupBy("key").agg(F.sum(F.length("data")).alias("bytes")).where(F.col("bytes") > GROUP).select("key")
     while width and not crowded.isEmpty():
         crowded = written(crowded, "crowded")
         settled.append(rest.join(crowded, "key", "left_anti"))
@@ -302,7 +302,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         # what no other piece shares is unique from here on
         several = rest.groupBy("key").agg(F.sum("copies").alias("n")).where("n > 1").select("key")
         rest = written(rest.join(several, "key", "left_semi"), "divided")
-        crowded = rest.groupBy("key").agg(F.count_distinct("d_a", "d_b").alias("count")).where(F.col("count") > GROUP).select("key")
+        once = rest.groupBy("key", "d_a", "d_b").agg(F.first(F.length("data")).alias("bytes"))
+        crowded = once.groupBy("key").agg(F.sum("bytes").alias("bytes")).where(F.col("bytes") > GROUP).select("key")
         width //= 2
     settled.append(rest)
     every = settled[0]
