@@ -30,9 +30,11 @@ from .ngram_join import SLICE, word_hashes
 K1, B = 1.2, 0.75
 K = 10
 RANGE = 64  # documents of a block, under one bound
-SHARD_WORDS = 6_000_000  # words at which a shard is closed
+SHARD_WORDS = 3_000_000  # words at which a shard is closed
 QUERY_TERMS = 1_000_000  # terms of the queries held by the driver and broadcast at once, about
 FIRST = 4  # blocks scored before the others
+#: While shards are searched each comes to the task alone.
+RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 #: What a shard is stored as.
 ARRAYS = ["ids", "known", "lengths", "terms", "start", "doc", "tf", "block", "block_from", "block_tf", "block_length", "list_from"]
@@ -248,8 +250,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
             ends = [*cut[1:].tolist(), len(ids)]
             best: dict[int, tuple] = {}
             for b in batches:
-                for row in b.to_pylist():
-                    shard = Shard(row, mean)
+                for i in range(b.num_rows):
+                    shard = Shard({name: b.column(name)[i].as_buffer() for name in ARRAYS}, mean)
                     for lo, hi in zip(cut.tolist(), ends):
                         q = int(ids[lo])
                         found = shard.search(q, term[lo:hi], weight[lo:hi], k)
@@ -262,7 +264,12 @@ def search(index: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
                     ["query_id", "doc_id", "score"])
 
         # stored before the next block is read, so that the driver never holds two
-        parts.append(written(index.drop("docs", "words").mapInArrow(run, "query_id long, doc_id long, score double"), "hits"))
+        records = spark.conf.get(RECORDS)
+        spark.conf.set(RECORDS, "1")
+        try:
+            parts.append(written(index.select(ARRAYS).mapInArrow(run, "query_id long, doc_id long, score double"), "hits"))
+        finally:
+            spark.conf.set(RECORDS, records)
         sent.destroy()
     drop(queries)
     merged = reduce(DataFrame.unionByName, parts).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
