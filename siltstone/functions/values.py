@@ -136,6 +136,22 @@ def next_run(after: datetime.datetime, every: str, hour: int = 0, minute: int =
     return at if at > after else at + datetime.timedelta(days=1)
 
 
+def next_fire(after: Column, every: Column, hour: Column, minute: Column, weekday: Column) -> Column:
+    """As ``next_run`` for columns: the next hourly, daily or weekly (0 for Monday) time later than ``after``; null for any other schedule."""
+    at_minute = F.date_trunc("hour", after) + F.make_dt_interval(mins=minute)
+    at_hour = F.date_trunc("day", after) + F.make_dt_interval(hours=hour, mins=minute)
+    on_day = at_hour + F.make_dt_interval(days=F.pmod(weekday - F.weekday(after), F.lit(7)))
+
+    def later(at, step):
+        return F.when(at > after, at).otherwise(at + step)
+
+    return (
+        F.when(every == "hourly", later(at_minute, F.make_dt_interval(hours=F.lit(1))))
+        .when(every == "daily", later(at_hour, F.make_dt_interval(days=F.lit(1))))
+        .when(every == "weekly", later(on_day, F.make_dt_interval(days=F.lit(7))))
+    )
+
+
 def identifier(title: str, taken: set[str] = frozenset(), reserved: set[str] = frozenset()) -> str:
     """A key from a title: lower case, letters, digits and underscores, unique among ``taken``."""
     key = re.sub(r"_+", "_", re.sub(r"[^\w]", "_", title.strip().lower())).strip("_") or "column"

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import values as V
+
 MTIME_TOLERANCE = 1.0  # seconds
 GUARD_LEAST, GUARD_SHARE = 10, 0.5
 
@@ -134,3 +136,20 @@ def schema_coverage(required: list[str], provided: list[str], defaults: dict[str
 def source_chunks(paths: DataFrame, chunks: DataFrame) -> DataFrame:
     """Chunks whose file is no longer listed."""
     return chunks.join(paths.select("path"), "path", "left_anti")
+
+
+def due(sources: DataFrame, now: Column, started: Column, settle: int = 5) -> DataFrame:
+    """(source, reason): which sources should be synchronised now, and by which trigger.
+
+    ``sources``: source, paused, running, last_run, on_launch, every, hour,
+    minute, weekday, changed_at. A paused source, or one that is running, never
+    is due. The launch counts before the schedule, the schedule before a change
+    of files, which must have been left alone for ``settle`` seconds.
+    """
+    ran = F.col("last_run")
+    launch = F.col("on_launch") & (ran.isNull() | (ran < started))
+    schedule = V.next_fire(F.coalesce(ran, F.lit("1970-01-01").cast("timestamp_ntz")), F.col("every"), F.col("hour"), F.col("minute"), F.col("weekday")) <= now
+    changed = (ran.isNull() | (F.col("changed_at") > ran)) & (F.col("changed_at") <= now - F.make_dt_interval(secs=F.lit(settle)))
+    reason = F.when(launch, "launch").when(schedule, "schedule").when(changed, "watch")
+    free = ~F.coalesce(F.col("paused"), F.lit(False)) & ~F.coalesce(F.col("running"), F.lit(False))
+    return sources.where(free).select("source", reason.alias("reason")).where("reason is not null")

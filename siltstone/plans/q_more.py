@@ -406,3 +406,26 @@ def _(s, d):
 
     rows = B.table(s, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("document"))
     return embedding.embedded(rows, chunking.hashing_embedder(64)).select("id", F.size("embedding").alias("n"))
+
+
+_FIRE = "CASE every WHEN 'hourly' THEN CASE WHEN date_trunc('hour', ts) + INTERVAL (m) MINUTE > ts THEN date_trunc('hour', ts) + INTERVAL (m) MINUTE ELSE date_trunc('hour', ts) + INTERVAL (m) MINUTE + INTERVAL 1 HOUR END WHEN 'daily' THEN CASE WHEN date_trunc('day', ts) + INTERVAL (h * 60 + m) MINUTE > ts THEN date_trunc('day', ts) + INTERVAL (h * 60 + m) MINUTE ELSE date_trunc('day', ts) + INTERVAL (h * 60 + m) MINUTE + INTERVAL 1 DAY END WHEN 'weekly' THEN CASE WHEN date_trunc('day', ts) + INTERVAL (h * 60 + m + ((w - isodow(ts) + 8) % 7) * 1440) MINUTE > ts THEN date_trunc('day', ts) + INTERVAL (h * 60 + m + ((w - isodow(ts) + 8) % 7) * 1440) MINUTE ELSE date_trunc('day', ts) + INTERVAL (h * 60 + m + ((w - isodow(ts) + 8) % 7 + 7) * 1440) MINUTE END END"
+_PLANS = "SELECT event_id, ts, user_id, CASE event_id % 4 WHEN 0 THEN 'hourly' WHEN 1 THEN 'daily' WHEN 2 THEN 'weekly' END AS every, (event_id % 24)::INT AS h, (event_id % 60)::INT AS m, (event_id % 7)::INT AS w FROM events"
+
+
+def _planned(s, d):
+    kind = F.when(F.col("event_id") % 4 == 0, "hourly").when(F.col("event_id") % 4 == 1, "daily").when(F.col("event_id") % 4 == 2, "weekly")
+    number = lambda n: (F.col("event_id") % n).cast("int")
+    return B.table(s, d, "events").select("event_id", "ts", "user_id", kind.alias("every"), number(24).alias("hour"), number(60).alias("minute"), number(7).alias("weekday"))
+
+
+@add("n10_next_fire", f"WITH p AS ({_PLANS}) SELECT event_id, epoch_us({_FIRE}) AS fires FROM p")
+def _(s, d):
+    at = V.next_fire(F.col("ts"), F.col("every"), F.col("hour"), F.col("minute"), F.col("weekday"))
+    return _planned(s, d).select("event_id", F.unix_micros(at.cast("timestamp")).alias("fires"))
+
+
+@add("t02_due", f"WITH p AS ({_PLANS}), n AS (SELECT TIMESTAMP '2024-01-16' AS now, TIMESTAMP '2024-01-02' AS started) SELECT event_id AS source, CASE WHEN event_id % 3 = 0 AND ts < started THEN 'launch' WHEN ({_FIRE}) <= now THEN 'schedule' WHEN event_id % 2 = 0 THEN 'watch' END AS reason FROM p, n WHERE user_id % 5 <> 0 AND ((event_id % 3 = 0 AND ts < started) OR coalesce(({_FIRE}) <= now, false) OR (event_id % 2 = 0 AND ts < now - INTERVAL 6 SECOND AND ts + INTERVAL 1 SECOND <= now - INTERVAL 5 SECOND))")
+def _(s, d):
+    sources = _planned(s, d).withColumnRenamed("event_id", "source").withColumnRenamed("ts", "last_run").withColumn("paused", F.col("user_id") % 5 == 0).withColumn("running", F.lit(False))
+    sources = sources.withColumn("on_launch", F.col("source") % 3 == 0).withColumn("changed_at", F.when(F.col("source") % 2 == 0, F.col("last_run") + F.expr("interval 1 second")))
+    return sync.due(sources, F.expr("timestamp_ntz '2024-01-16'"), F.expr("timestamp_ntz '2024-01-02'"))

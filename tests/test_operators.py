@@ -457,3 +457,25 @@ def test_input_limit_and_context(spark):
         return f"of  {whole}"
 
     assert [r["document"] for r in embedding.with_context(df, complete).collect()] == ["of whole\n\ngood", "bad", None]
+
+
+def test_chunkers_by_hand():
+    assert chunking.fixed("abcdefghij", 4, 1) == ["abcd", "defg", "ghij"]
+    assert chunking.recursive("one two three. four five six. seven", 15, 0) == ["one two three.", "four five six.", "seven"]
+    small = chunking.Config(size_tokens=10, chars_per_token=4, child_tokens=8, overlap_percent=0)
+    got = chunking.hierarchical("alpha beta gamma delta. " * 3, small)
+    parents = [c for c in got if c.level == 1]
+    assert all(len(c.text) <= 40 for c in parents) and all(c.parent is not None and got[c.parent].text.find(c.text) >= 0 for c in got if c.level == 0)
+    outline = chunking.outline_sections("intro A one B two", [(1, "A", 6), (1, "B", 12), (3, "deep", 14)], 2)
+    assert outline == [("", "intro "), ("A", "A one "), ("B", "B two")]
+    dense, plain = "1,2;3.4:5/6\n7-8=9", "Words that make up plain prose and go on for quite a while in one line of it."
+    assert chunking.density(dense) > chunking.density(plain)
+    blocks = "\n\n".join([plain] * 4)
+    merged = chunking.adaptive(blocks, chunking.Config(size_tokens=50, chars_per_token=4, minimum_tokens=8))
+    assert "\n\n".join(merged) == blocks and len(merged) in (2, 3)
+
+
+def test_semantic_chunks_turn_where_the_meaning_does():
+    text = "Cats purr. Cats sleep. Cats eat. Stars shine. Stars burn. Stars fade."
+    embed = lambda parts: [[1.0, 0.0] if "Cats" in p else [0.0, 1.0] for p in parts]
+    assert chunking.semantic(text, embed, 5, 200, 0.9, 0) == ["Cats purr. Cats sleep. Cats eat.", "Stars shine. Stars burn. Stars fade."]
