@@ -10,6 +10,8 @@ from ..functions import values as V
 from ..functions import vectors as X
 from ..operators import chunking, clustering, evaluation, inspection, knn, retrieval, sync, tabular, web
 from ..sources import collections as C
+from ..sources import delimited as D
+from ..streaming import events as E
 from . import q_analytics as A
 from . import q_retrieval as R
 from . import tables as B
@@ -429,3 +431,137 @@ def _(s, d):
     sources = _planned(s, d).withColumnRenamed("event_id", "source").withColumnRenamed("ts", "last_run").withColumn("paused", F.col("user_id") % 5 == 0).withColumn("running", F.lit(False))
     sources = sources.withColumn("on_launch", F.col("source") % 3 == 0).withColumn("changed_at", F.when(F.col("source") % 2 == 0, F.col("last_run") + F.expr("interval 1 second")))
     return sync.due(sources, F.expr("timestamp_ntz '2024-01-16'"), F.expr("timestamp_ntz '2024-01-02'"))
+
+
+# ---- readers of small texts, a file a row
+
+
+def _of(kind, f):
+    """A function of texts or bytes as an Arrow-batched column function."""
+
+    @F.pandas_udf(kind)
+    def run(values):
+        return values.map(f)
+
+    return run
+
+
+@add("s15_delimited", "SELECT p_partkey, ';' AS sep, ['id', 'column2', 'name'] AS names, [p_partkey::VARCHAR, 'a;b \"' || p_brand || '\"', p_name] AS cells FROM part")
+def _(s, d):
+    quoted = F.concat(F.lit('"a;b ""'), "p_brand", F.lit('"""'))
+    text = F.concat(F.lit("id;;name\r\n"), F.col("p_partkey").cast("string"), F.lit(";"), quoted, F.lit(";"), "p_name", F.lit("\r\n\r\n"), F.lit("1;2;3\n"))
+
+    def read(t):
+        names, rows = D.table(t)
+        return {"sep": D.sniff(t), "names": names, "cells": rows[0]}
+
+    @F.pandas_udf("struct<sep:string,names:array<string>,cells:array<string>>")
+    def tables(texts):
+        import pandas as pd
+
+        return pd.DataFrame([read(t) for t in texts])
+
+    return B.table(s, d, "part").withColumn("t", tables(text)).select("p_partkey", "t.sep", "t.names", "t.cells")
+
+
+@add("s17_json_records", "SELECT p_partkey, 'a,b,c' AS names, p_name || '|' || p_size AS first FROM part")
+def _(s, d):
+    text = F.to_json(F.struct(F.array(F.struct(F.col("p_name").alias("b"), F.col("p_size").alias("a")), F.struct(F.lit("x").alias("b"), F.lit(1).alias("a"))).alias("items")))
+    text = F.replace(text, F.lit("]}"), F.lit(',{"c":null}]}'))
+
+    def read(t):
+        names, rows = D.json_records(t)
+        return ",".join(names) + "\n" + rows[0]["b"] + "|" + rows[0]["a"]
+
+    out = B.table(s, d, "part").withColumn("t", F.split(_of("string", read)(text), "\n"))
+    return out.select("p_partkey", F.col("t")[0].alias("names"), F.col("t")[1].alias("first"))
+
+
+@add("s19_encodings", "SELECT p_partkey, 'при ' || p_name AS text FROM part")
+def _(s, d):
+    text = F.concat(F.lit("при "), "p_name")
+    coded = F.when(F.col("p_partkey") % 3 == 0, F.encode(text, "UTF-8")).when(F.col("p_partkey") % 3 == 1, F.concat(F.unhex(F.lit("EFF0E820")), F.encode("p_name", "UTF-8"))).otherwise(F.concat(F.unhex(F.lit("EFBBBF")), F.encode(text, "UTF-8")))
+    return B.table(s, d, "part").select("p_partkey", _of("string", lambda x: D.decode(bytes(x)))(coded).alias("text"))
+
+
+@add("s36_plain_texts", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN NULL WHEN p_partkey % 3 = 1 THEN 'ä' || p_name ELSE p_name END AS text FROM part")
+def _(s, d):
+    data = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.unhex(F.lit("00" * 6)), F.encode("p_name", "UTF-8"))).when(F.col("p_partkey") % 3 == 1, F.encode(F.concat(F.lit("ä"), "p_name"), "UTF-16")).otherwise(F.encode("p_name", "UTF-8"))
+    return B.table(s, d, "part").select("p_partkey", _of("string", lambda x: D.plain_text(bytes(x)))(data).alias("text"))
+
+
+@add("s40_sitemaps", "SELECT page_id, 'https://e.org/' || page_id || '?a=1&b=2' AS page, 'https://e.org/' || page_id || '.xml' AS map FROM pages")
+def _(s, d):
+    text = F.concat(F.lit("<x><url><priority>1</priority><loc> https://e.org/"), "page_id", F.lit("?a=1&amp;b=2 </loc></url><sitemap><loc>https://e.org/"), "page_id", F.lit(".xml</loc></sitemap></x>"))
+    found = F.split(_of("string", lambda t: " ".join(x[0] for x in web.sitemap_urls(t)))(text), " ")
+    return B.table(s, d, "pages").select("page_id", found[0].alias("page"), found[1].alias("map"))
+
+
+@add("u18_robots", "WITH p AS (SELECT page_id, regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1) AS path FROM pages) SELECT page_id, CASE WHEN starts_with(path, '/de/1') THEN true WHEN regexp_matches(path, '^/[a-z]+/2') THEN false WHEN starts_with(path, '/de/') THEN false ELSE true END AS allowed FROM p WHERE NOT regexp_matches(path, '^/de/2')")
+def _(s, d):
+    rules = web.robots_rules("User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /de/  # all\nAllow: /de/1\nDisallow: /*/2\nDisallow:\n")
+    pages = B.table(s, d, "pages").select("page_id", F.regexp_extract("url", "^[^:]+://[^/?#]*([^?#]*)", 1).alias("path"))
+    return pages.where(~F.col("path").rlike("^/de/2")).select("page_id", _of("boolean", lambda p: web.robots_allows(rules, p))("path").alias("allowed"))
+
+
+@add("c08_formats", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'markdown' WHEN 1 THEN 'html' WHEN 2 THEN 'code' WHEN 3 THEN 'code' END AS format FROM part")
+def _(s, d):
+    kinds = F.element_at(F.array(*map(F.lit, ("MD", "htm", "py", "Swift", "bin"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    formats = F.create_map(*[F.lit(x) for pair in sorted(chunking.FORMATS.items()) for x in pair])
+    return B.table(s, d, "part").select("p_partkey", F.try_element_at(formats, F.lower(kinds)).alias("format"))
+
+
+@add("b08_metadata_values", "SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN NULL WHEN p_partkey % 4 = 1 THEN repeat('x', 2000) ELSE p_size::VARCHAR END AS value FROM part")
+def _(s, d):
+    # a long text, white space, and a whole number held as a double
+    text = F.when(F.col("p_partkey") % 4 == 0, F.lit("  ")).when(F.col("p_partkey") % 4 == 1, F.repeat(F.lit("x"), F.lit(2100)))
+    own = B.table(s, d, "part").select("p_partkey", text.alias("t"), F.col("p_size").cast("double").alias("n"))
+    return own.select("p_partkey", F.when(F.col("p_partkey") % 4 < 2, tabular.metadata_value(F.col("t"))).otherwise(tabular.metadata_value(F.col("n"))).alias("value"))
+
+
+@add("b16_merged_cells", "SELECT p_partkey AS row, 1 AS col, p_name AS value FROM part UNION ALL SELECT p_partkey, c, p_name FROM part, (VALUES (2), (3)) x(c) WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, 2, p_brand FROM part WHERE p_partkey % 3 <> 0")
+def _(s, d):
+    part = B.table(s, d, "part").select(F.col("p_partkey").alias("row"), "p_name", "p_brand")
+    cells = part.select("row", F.lit(1).alias("col"), F.col("p_name").alias("value")).unionByName(part.where("row % 3 != 0").select("row", F.lit(2).alias("col"), F.col("p_brand").alias("value")))
+    merged = part.where("row % 3 = 0").select(F.col("row").alias("r0"), F.lit(1).alias("c0"), F.col("row").alias("r1"), F.lit(3).alias("c1"))
+    return tabular.spread_merged(cells, merged)
+
+
+@add("b07_unknown_placeholders", "SELECT p_partkey, 'x' || p_partkey AS unknown FROM part WHERE p_partkey < 200")
+def _(s, d):
+    template = F.concat(F.lit("{Name} of {x"), "p_partkey", F.lit("} and {Name}"))
+    m = tabular.Mapping({"p_name": "Name"}, ["p_name"])
+    find = _of("string", lambda t: ",".join(tabular.unknown_placeholders(tabular.Mapping(m.titles, m.text, template=t))))
+    return B.table(s, d, "part").where("p_partkey < 200").select("p_partkey", find(template).alias("unknown"))
+
+
+@add("r01_pool", "SELECT DISTINCT least(greatest(p_size, 1), 100) AS n, greatest(least(greatest(p_size, 1), 100), 20, least(greatest(p_size, 1), 100) * 5) AS pool, least(greatest(p_size, 1), 100) AS plain FROM part")
+def _(s, d):
+    sizes = B.table(s, d, "part").select(F.least(F.greatest("p_size", F.lit(1)), F.lit(100)).alias("n")).distinct()
+    return sizes.select("n", _of("int", lambda n: retrieval.pool_size(n, True))("n").alias("pool"), _of("int", lambda n: retrieval.pool_size(n, False))("n").alias("plain"))
+
+
+@add("r10_text_gate", "SELECT item_id, len(list_filter(regexp_split_to_array(trim(text[1:40]), '\\s+'), lambda w: regexp_matches(w, '[\\p{L}\\p{N}]'))) <= 5 AS runs FROM benchmark")
+def _(s, d):
+    from . import search
+
+    profile = search.SearchProfile(text_max_words=5)
+    return B.table(s, d, "benchmark").select("item_id", _of("boolean", profile.text_runs)(F.substring("text", 1, 40)).alias("runs"))
+
+
+@add("j15_deleted", "SELECT doc_id AS id, 'kept' AS what FROM documents WHERE doc_id NOT IN (SELECT c_custkey * 3 FROM customer) UNION ALL SELECT c_custkey * 3, 'missing' FROM customer WHERE c_custkey * 3 NOT IN (SELECT doc_id FROM documents)")
+def _(s, d):
+    rows = B.table(s, d, "documents").select(F.col("doc_id").alias("id"))
+    asked = B.table(s, d, "customer").select((F.col("c_custkey") * 3).alias("id"))
+    return C.deleted(rows, asked).withColumn("what", F.lit("kept")).unionByName(C.missing_ids(rows, asked).withColumn("what", F.lit("missing")))
+
+
+@add("t06_running_totals", "SELECT event_type, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY 1")
+def _(s, d):
+    out = E.running_totals(B.table(s, d, "events"), "event_type", "value")
+    return out.select("event_type", F.col("n").alias("events"), F.round("total", 4).alias("value"))
+
+
+@add("v18_default_k", "SELECT n_nationkey, least(24, greatest(4, floor(sqrt(n_nationkey * 400) / 3 + 0.5)))::INT AS k FROM nation")
+def _(s, d):
+    return B.table(s, d, "nation").select("n_nationkey", _of("int", lambda n: clustering.default_k(n * 400))("n_nationkey").alias("k"))
