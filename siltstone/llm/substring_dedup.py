@@ -33,8 +33,8 @@ LENGTH = 400
 GRAM = 64
 RUN = 4  # windows of a piece at most, in lengths
 CHUNK = 1 << 19  # bytes hashed at once; longer texts are taken in overlapping stretches
-SHARD = 1 << 20  # bytes of pieces under one suffix array, about
-GROUP = 1 << 20  # bytes of distinct pieces that one anchor may bring to a shard
+SHARD = 1 << 19  # bytes of pieces under one suffix array, about
+GROUP = 1 << 19  # bytes of distinct pieces that one anchor may bring to a shard
 DIVISION = 16 << 20  # bytes of pieces a task sorts, in shards
 SEPARATOR = 0xFF  # never a byte of UTF-8
 
