@@ -8,11 +8,11 @@ mean length are taken over all shards, so scores are those of one index.
 
 A shard is searched in document order. The pivot is the next block whose summed
 maxima over the query's lists reach the k-th best score so far: all lists skip
-to it, and only its postings are scored. Instead of one posting, as many blocks
-from the pivot on as double the last step are judged and scored at once, since
-cursors moved posting by posting do not vectorise; the blocks with the highest
-sums come before all others, for a score to beat. What the shards return is
-merged by score.
+to it, and only its postings are scored. Instead of one posting, a growing
+number of blocks from the pivot on is judged and scored at once, since cursors
+moved posting by posting do not vectorise; the blocks with the highest sums come
+before all others, for a score to beat, and where that leaves most blocks to
+visit they are scored in one go. What the shards return is merged by score.
 """
 
 from __future__ import annotations
@@ -153,46 +153,53 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    def __init__(self, row: dict, mean: float):
+    """One shard's lists, weighed for the terms that any query asks for (``terms`` in order, ``idf``)."""
+
+    def __init__(self, row: dict, mean: float, terms: np.ndarray, idf: np.ndarray):
         small = lambda name: np.frombuffer(row[name], np.uint32)
         self.ids = np.frombuffer(row["ids"], np.int64)
         self.known = np.frombuffer(row["known"], bool)
         self.terms = np.frombuffer(row["terms"], np.uint64)
-        self.doc = small("doc")
-        norm = lambda length: K1 * (1 - B + B * length / mean)
-        # what a term of weight one adds to a score: at a posting, and at most in a block
-        self.part = small("tf") * (K1 + 1) / (small("tf") + norm(small("lengths"))[self.doc])
-        self.most = small("block_tf") * (K1 + 1) / (small("block_tf") + norm(small("block_length")))
-        self.block, self.list_from = small("block"), small("list_from").astype(np.int64)
-        self.block_from = np.append(small("block_from"), len(self.doc)).astype(np.int64)
+        self.start, self.list_from = small("start").astype(np.int64), small("list_from").astype(np.int64)
+        weight = np.zeros(len(self.terms))
+        if len(terms):
+            at = np.minimum(np.searchsorted(terms, self.terms), len(terms) - 1)
+            weight = np.where(terms[at] == self.terms, idf[at], 0.0)
+        doc, norm = small("doc"), lambda length: K1 * (1 - B + B * length / mean)
+        # what a term adds to a score: at a posting, and at most in a block
+        self.doc = doc.astype(np.int64)
+        self.part = small("tf") * (K1 + 1) / (small("tf") + norm(small("lengths"))[doc]) * np.repeat(weight, np.diff(self.start))
+        self.most = small("block_tf") * (K1 + 1) / (small("block_tf") + norm(small("block_length"))) * np.repeat(weight, np.diff(self.list_from))
+        self.block = small("block").astype(np.int64)
+        self.block_from = np.append(small("block_from"), len(doc)).astype(np.int64)
         self.blocks = -(-len(self.ids) // RANGE)
 
-    def search(self, query: int, terms: np.ndarray, weights: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, query: int, terms: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best documents but the query's own; terms in rising order, ties to the smaller id."""
         best_ids, best = np.zeros(0, np.int64), np.zeros(0)
         at = np.searchsorted(self.terms, terms)
         at[at == len(self.terms)] = 0
-        met = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
-        at, weights = at[met], weights[met]
+        at = at[self.terms[at] == terms] if len(self.terms) else at[:0]
         if not len(at):
             return best_ids, best
-        lists = _ranges(self.list_from[at], self.list_from[at + 1])  # all blocks of the query's lists
-        weight = np.repeat(weights, self.list_from[at + 1] - self.list_from[at])
-        of = self.block[lists]
-        bound = np.bincount(of, weight * self.most[lists], self.blocks) * (1 + 1e-9)  # sums in another order may round up
+        spans = list(zip(self.list_from[at].tolist(), self.list_from[at + 1].tolist()))
+        of = np.concatenate([self.block[lo:hi] for lo, hi in spans])  # the blocks of the query's lists
+        bound = np.bincount(of, np.concatenate([self.most[lo:hi] for lo, hi in spans]), self.blocks) * (1 + 1e-9)  # sums in another order may round up
 
         def score(chosen):
             nonlocal best_ids, best
             visit = np.zeros(self.blocks, bool)
             visit[chosen] = True
-            own = visit[of]
-            lo, hi = self.block_from[lists[own]], self.block_from[lists[own] + 1]
-            pick = _ranges(lo, hi)
-            total = np.bincount(self.doc[pick], self.part[pick] * np.repeat(weight[own], hi - lo), len(self.ids))
-            found = np.flatnonzero((total > 0) & self.known)
-            found = found[self.ids[found] != query]
-            if len(best) == k:
-                found = found[total[found] >= best[-1]]
+            if 3 * len(chosen) > self.blocks:  # much of every list: cheaper taken whole
+                whole = list(zip(self.start[at].tolist(), self.start[at + 1].tolist()))
+                doc, part = np.concatenate([self.doc[lo:hi] for lo, hi in whole]), np.concatenate([self.part[lo:hi] for lo, hi in whole])
+            else:
+                lists = np.concatenate([np.arange(lo, hi) for lo, hi in spans])[visit[of]]
+                pick = _ranges(self.block_from[lists], self.block_from[lists + 1])
+                doc, part = self.doc[pick], self.part[pick]
+            total = np.bincount(doc, part, len(self.ids))
+            found = np.flatnonzero(total >= (best[-1] if len(best) == k else 1e-300))
+            found = found[visit[found // RANGE] & self.known[found] & (self.ids[found] != query)]
             best_ids, best = top(np.concatenate([best_ids, self.ids[found]]), np.concatenate([best, total[found]]), k)
 
         highest = np.argpartition(-bound, min(FIRST, self.blocks) - 1)[:FIRST]
@@ -203,9 +210,11 @@ class Shard:
         while len(ahead):
             if len(best) == k:  # skip to the pivots
                 ahead = ahead[bound[ahead] >= best[-1]]
+            if 2 * len(ahead) > self.blocks:  # little can be skipped
+                step = len(ahead)
             if len(ahead):
                 score(ahead[:step])
-            ahead, step = ahead[step:], 2 * step
+            ahead, step = ahead[step:], 4 * step
         return best_ids, best
 
 
@@ -221,7 +230,7 @@ def top(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
 def search(index: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, doc_id, score): the ``k`` best documents of every query.
 
-    ``queries`` has query_id, term, idf. Only documents with a query term are
+    ``queries`` has query_id, term, idf, the same for a term in every query. Only documents with a query term are
     returned, so a query may get fewer; a row with the query's id is not. Of
     rows that share an id the best counts; rows without one are counted in all
     statistics but not returned. Ties go to the smaller id. Queries are taken
@@ -248,13 +257,14 @@ def search(index: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
             ids, term, weight = sent.value
             cut = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
             ends = [*cut[1:].tolist(), len(ids)]
+            asked, first = np.unique(term, return_index=True)
             best: dict[int, tuple] = {}
             for b in batches:
                 for i in range(b.num_rows):
-                    shard = Shard({name: b.column(name)[i].as_buffer() for name in ARRAYS}, mean)
+                    shard = Shard({name: b.column(name)[i].as_buffer() for name in ARRAYS}, mean, asked, weight[first])
                     for lo, hi in zip(cut.tolist(), ends):
                         q = int(ids[lo])
-                        found = shard.search(q, term[lo:hi], weight[lo:hi], k)
+                        found = shard.search(q, term[lo:hi], k)
                         if len(found[0]):
                             old = best.get(q)
                             best[q] = found if old is None else top(np.concatenate([old[0], found[0]]), np.concatenate([old[1], found[1]]), k)
