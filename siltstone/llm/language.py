@@ -108,16 +108,26 @@ def fit(docs: DataFrame, size: int = PROFILE) -> Profiles:
     first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"))
     sample = written(near.withColumn("n", F.row_number().over(first)).where(F.col("n") <= TRAIN_PER_LANG).select("text", "lang"), "labelled")
 
+    def by_language(batches, most=500_000):
+        """(language, texts) of a language at a time, of about ``most`` characters together."""
+        held: dict[str, list[str]] = {}
+        size: dict[str, int] = {}
+        for b in batches:
+            for text, lang in zip(b.column(0), b.column(1)):
+                text, lang = text.as_py(), lang.as_py()
+                held.setdefault(lang, []).append(text)
+                size[lang] = size.get(lang, 0) + len(text)
+                if size[lang] > most:
+                    yield lang, held.pop(lang)
+                    del size[lang]
+        yield from held.items()
+
     def letters(batches):
         import pyarrow as pa
 
-        for b in batches:
-            texts: dict[str, list[str]] = {}
-            for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                texts.setdefault(lang, []).append(text.lower())
-            for lang, own in texts.items():
-                c, n = np.unique(code_points("".join(own)), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array([chr(x) for x in c], pa.string()), pa.array(n, pa.int64())], ["lang", "letter", "n"])
+        for lang, own in by_language(batches):
+            c, n = np.unique(code_points("".join(own).lower()), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array([chr(x) for x in c], pa.string()), pa.array(n, pa.int64())], ["lang", "letter", "n"])
 
     found: dict[str, list] = {}
     for r in sample.mapInArrow(letters, "lang string, letter string, n long").groupBy("lang", "letter").agg(F.sum("n").alias("n")).collect():
@@ -129,14 +139,9 @@ def fit(docs: DataFrame, size: int = PROFILE) -> Profiles:
     def count(batches):
         import pyarrow as pa
 
-        table = sent.value
-        for b in batches:
-            texts: dict[str, list] = {}
-            for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                texts.setdefault(lang, []).append(sequences(text, table))
-            for lang, own in texts.items():
-                at, n = counted(np.concatenate(own))
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "sequence", "n"])
+        for lang, own in by_language(batches):
+            at, n = counted(np.concatenate([sequences(text, sent.value) for text in own]))
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "sequence", "n"])
 
     totals = sample.mapInArrow(count, "lang string, sequence long, n long").groupBy("lang", "sequence").agg(F.sum("n").alias("n"))
     # a profile a language is collected
