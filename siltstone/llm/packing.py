@@ -26,7 +26,7 @@ from .common import read_table, row_key, written
 CAPACITY = 4096
 END_ID = 1
 ROWS_PER_BUCKET = 50_000  # pieces numbered in one group at most, about
-CACHED = 1_000_000  # entries of a worker's memo of words, emptied when full
+CACHED = 300_000  # entries of a worker's memo of words, emptied when full
 LATIN_END = "\u0250"  # letters below are composed and have one lower case
 
 _memos: dict[str, WordIds] = {}  # of this worker, by vocabulary file
