@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bm25, bpe, compaction, fixity, language, ngram_join, packing, substring_dedup, url_filter
+from . import alignment, ann, bm25, bpe, compaction, fixity, language, ngram_join, packing, substring_dedup, url_filter
 
 QUERIES = {
     "op1_fixity": fixity.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_bpe": bpe.query,
     "op9_bm25": bm25.query,
     "op10_ann": ann.query,
+    "op11_alignment": alignment.query,
 }
 
 ORACLE_SQL = {
