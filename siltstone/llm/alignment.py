@@ -25,13 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .bpe import byte_alphabet
-from .common import drop, read_table, row_key, written
+from .common import drop, join_unevenly, read_table, repeated, row_key, written
 
 BLOCK_BYTES = 16_000_000  # of text in a block, about
 LEAST_BYTES = 1_000_000  # of text in a block, if there are fewer blocks than tasks
-LOT = 4096  # copies of a row that one task makes at once
-#: Pairs in more than this share of all links are broadcast: fewer than its inverse.
-COMMON_SHARE = 1e-4
 #: A single space between two characters that no tokenizer takes for white space.
 SPLIT_AT = r"(?U) (?<=[^\s\x1c-\x1f\u0085\u180e\u200b\ufeff] )(?=[^\s\x1c-\x1f\u0085\u180e\u200b\ufeff])"
 SPACE_MARK = "▁"
@@ -146,17 +143,10 @@ def grouped(ends: DataFrame) -> DataFrame:
 
 
 def scores(entries: DataFrame, counts: DataFrame) -> DataFrame:
-    """(s_a, s_b, n_best, count_sum) by the links of ``entries`` and counts (pair, docs, best).
-
-    A pair in many stretches is found in a broadcast table, which the share of
-    all links that makes it common bounds; the others meet by shuffle.
-    """
+    """(s_a, s_b, n_best, count_sum) by the links of ``entries`` and counts (pair, docs, best)."""
     links = entries.select("s_a", "s_b", F.explode("links").alias("pair"))
     n = entries.agg(F.sum("n_links")).first()[0] or 0
-    common = F.broadcast(written(links.groupBy("pair").count().where(F.col("count") > max(1, int(n * COMMON_SHARE))).select("pair"), "common"))
-    here = links.join(F.broadcast(counts.join(common, "pair", "left_semi")), "pair")
-    there = links.join(common, "pair", "left_anti").join(counts, "pair")
-    return here.unionByName(there).groupBy("s_a", "s_b").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("docs").alias("count_sum"))
+    return join_unevenly(links, counts, "pair", n).groupBy("s_a", "s_b").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("docs").alias("count_sum"))
 
 
 def align_documents(docs: DataFrame, path_a: str, path_b: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -206,13 +196,6 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, text_col: str = "
     return repeated(whole.select(without.columns).unionByName(without), "copies")
 
 
-def repeated(rows: DataFrame, times: str) -> DataFrame:
-    """Each row as often as its column ``times`` says, without that column; many copies are made in many tasks."""
-    parts = rows.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1, F.lit(LOT).cast("long"))))
-    parts = parts.repartition(F.xxhash64(*rows.columns, "lot"))
-    return parts.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(LOT), F.col(times) - F.col("lot")))).alias("copy")).drop("lot", "copy", times)
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 #: Lets Spark delete a query's shuffle files as soon as its result is stored.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+FREQUENT = 10_000  # a key on more than one row in so many is frequent
+LOT = 4096  # copies of a row that one task makes
+
 _written: list[str] = []
 
 
@@ -90,6 +93,25 @@ def row_key(*columns: str) -> list[Column]:
     return [part(11).alias("key_a"), part(29).alias("key_b")]
 
 
+def join_unevenly(rows: DataFrame, other: DataFrame, key: str, n: int) -> DataFrame:
+    """Inner join of ``n`` rows with ``other``, which has each ``key`` once, however many rows share a key.
+
+    Keys of more than one row in 10 000, so fewer than 10 000 of them, are found
+    in a broadcast table; the others meet by shuffle.
+    """
+    frequent = written(rows.groupBy(key).count().where(F.col("count") > max(1, n // FREQUENT)).select(key), "frequent")
+    here = rows.join(F.broadcast(other.join(F.broadcast(frequent), key, "left_semi")), key)
+    there = rows.join(F.broadcast(frequent), key, "left_anti").join(other, key)
+    return here.unionByName(there)
+
+
+def repeated(rows: DataFrame, times: str) -> DataFrame:
+    """Each row as often as its column ``times`` says, without that column; many copies are made in many tasks."""
+    lots = rows.withColumn("lot_", F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1, F.lit(LOT).cast("long"))))
+    lots = lots.repartition(F.xxhash64(*lots.columns))
+    return lots.withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(LOT).cast("long"), F.col(times) - F.col("lot_"))))).drop("lot_", "copy_", times)
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """A strong 64-bit finaliser, elementwise."""
     x = x + np.uint64(0x9E3779B97F4A7C15)
