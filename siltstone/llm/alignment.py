@@ -56,7 +56,7 @@ def _load(path_a: str, path_b: str) -> tuple:
         held.ParseFromString(f.read())
     rules, pieces = held.normalizer_spec, [p.piece for p in held.pieces]
     across = any(x != SPACE_MARK and y == SPACE_MARK for p in pieces for x, y in zip(p, p[1:]))
-    if rules.precompiled_charsmap or rules.remove_extra_whitespaces or not rules.add_dummy_prefix or not rules.escape_whitespaces or held.trainer_spec.treat_whitespace_as_suffix or across:
+    if not held.trainer_spec.byte_fallback or rules.precompiled_charsmap or rules.remove_extra_whitespaces or not rules.add_dummy_prefix or not rules.escape_whitespaces or held.trainer_spec.treat_whitespace_as_suffix or across:
         raise ValueError(f"{path_b} does not code words on their own")
     b = sentencepiece.SentencePieceProcessor(model_file=path_b)
     b_bytes = [bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace(SPACE_MARK, " ").encode() for i, p in enumerate(pieces)]

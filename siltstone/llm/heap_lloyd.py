@@ -307,11 +307,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql(rounds: int = ROUNDS) -> str:
     """The same rounds in SQL, each with all parts compared with all entries."""
-    out = f"""WITH kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, list_transform(embedding, x -> floor({SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    out = f"""WITH kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 parts AS MATERIALIZED (SELECT r, p, v[p * len(v) // {PARTS} + 1:(p + 1) * len(v) // {PARTS}] AS v FROM kept, range({PARTS}) t(p)),
 c0 AS MATERIALIZED (SELECT p, r - 1 AS e, v FROM parts WHERE r <= {ENTRIES})"""
-    nearest = "(SELECT r, p, arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT parts.r, parts.p, c.e, list_sum(list_transform(list_zip(parts.v, c.v), z -> (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM parts JOIN c{i} c ON parts.p = c.p) GROUP BY r, p)"
+    nearest = "(SELECT r, p, arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT parts.r, parts.p, c.e, list_sum(list_transform(list_zip(parts.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM parts JOIN c{i} c ON parts.p = c.p) GROUP BY r, p)"
     for i in range(rounds):
         out += f""",
 a{i} AS MATERIALIZED {nearest.format(i=i)},

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, ann, bm25, bpe, compaction, fixity, language, ngram_join, packing, substring_dedup, url_filter
+from . import alignment, ann, bm25, bpe, compaction, fixity, heap_lloyd, language, mixing, ngram_join, packing, substring_dedup, url_filter
 
 QUERIES = {
     "op1_fixity": fixity.query,
@@ -16,10 +16,14 @@ QUERIES = {
     "op9_bm25": bm25.query,
     "op10_ann": ann.query,
     "op11_alignment": alignment.query,
+    "op12_heap_lloyd": heap_lloyd.query,
+    "op13_mixing": mixing.query,
 }
 
 ORACLE_SQL = {
     "op1_fixity": fixity.ORACLE_SQL,
     "op4_url_filter": url_filter.ORACLE_SQL,
     "op9_bm25": bm25.ORACLE_SQL,
+    "op12_heap_lloyd": heap_lloyd.ORACLE_SQL,
+    "op13_mixing": mixing.ORACLE_SQL,
 }
