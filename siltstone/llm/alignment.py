@@ -17,9 +17,11 @@ block, and a block's documents meet its own small table of stretches.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -59,7 +61,7 @@ def _load(path_a: str, path_b: str) -> tuple:
     if not held.trainer_spec.byte_fallback or rules.precompiled_charsmap or rules.remove_extra_whitespaces or not rules.add_dummy_prefix or not rules.escape_whitespaces or held.trainer_spec.treat_whitespace_as_suffix or across:
         raise ValueError(f"{path_b} does not code words on their own")
     b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-    b_bytes = [bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace(SPACE_MARK, " ").encode() for i, p in enumerate(pieces)]
+    b_bytes = {i: bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace(SPACE_MARK, " ").encode() for i, p in enumerate(pieces)}
     return a, a_bytes, b, b_bytes
 
 
@@ -72,57 +74,69 @@ def encoded(stretches: DataFrame, path_a: str, path_b: str) -> DataFrame:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         key = path_a, path_b
         a, a_bytes, b, b_bytes = _coders[key] if key in _coders else _coders.setdefault(key, _load(*key))
-
-        def column(found, table):
-            ids, offsets = [i for x in found for i in x], [0]
-            for x in found:
-                offsets.append(offsets[-1] + len(x))
-            parts = pa.StructArray.from_arrays([pa.array(ids, pa.int32()), pa.array([len(table[i]) for i in ids], pa.int32())], ["id", "len"])
-            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), parts)
+        sizes = [np.zeros(max(t) + 1, np.int32) for t in (a_bytes, b_bytes)]
+        for size, table in zip(sizes, (a_bytes, b_bytes)):
+            for i, x in table.items():
+                size[i] = len(x)
+
+        def column(texts, wants, found, table, size):
+            ids = list(itertools.chain.from_iterable(found))
+            bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
+            own = size[ids]
+            ends = np.concatenate([[0], np.cumsum(own, dtype=np.int64)])[bounds]
+            if b"".join(map(table.__getitem__, ids)) != b"".join(wants) or (np.diff(ends) != np.fromiter(map(len, wants), np.int64, len(wants))).any():
+                raise ValueError(f"the tokens do not give back all of {[t[:40] for t in texts[:9]]}")
+            parts = pa.StructArray.from_arrays([pa.array(ids, pa.int32()), pa.array(own)], ["id", "len"])
+            return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), parts)
 
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.column(0).slice(lo, 1000)
                 texts = part.to_pylist()
-                own_a = [x.ids for x in a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+                spaced = [" " + t for t in texts]
+                wants = [t.encode() for t in spaced]
+                own_a = [x.ids for x in a.encode_batch_fast(spaced, add_special_tokens=False)]
                 own_b = b.encode(texts, num_threads=1)
-                for t, x, y in zip(texts, own_a, own_b):
-                    want = b" " + t.encode()
-                    if b"".join(map(a_bytes.__getitem__, x)) != want or b"".join(map(b_bytes.__getitem__, y)) != want:
-                        raise ValueError(f"the tokens do not give back {t[:80]!r}")
-                yield pa.RecordBatch.from_arrays([part, column(own_a, a_bytes), column(own_b, b_bytes)], ["stretch", "a", "b"])
+                yield pa.RecordBatch.from_arrays([part, column(texts, wants, own_a, a_bytes, sizes[0]), column(texts, wants, own_b, b_bytes, sizes[1])], ["stretch", "a", "b"])
 
     tokens = "array<struct<id:int,len:int>>"
     return stretches.select("stretch").mapInArrow(run, f"stretch string, a {tokens}, b {tokens}")
 
 
 def named(stretch: str = "stretch") -> list[Column]:
-    """128 bits that stand for a stretch in windows and joins, however long it is."""
+    """128 bits that stand for a stretch in joins, however long it is."""
     return [F.xxhash64(F.lit(3), stretch).alias("s_a"), F.xxhash64(F.lit(5), stretch).alias("s_b")]
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
-    """A row for each byte offset at which a token of either side ends: s_a, s_b, end, a_id, b_id, group, a_over, b_over.
+    """A row for each byte offset at which a token of either side ends: s, end, a_id, b_id, group, a_over, b_over.
 
     ``a_id`` and ``b_id`` are the tokens that end there; with both, the row is a
     cut. ``a_over`` and ``b_over`` cover the bytes just before it, so each row
-    is one link. Groups count down to 1. ``tokens`` is what ``encoded`` gives.
+    is one link. Groups count down to 1. ``tokens`` (s, a, b) are dealt by
+    ``s`` while a row still holds all tokens of a stretch; windows and the join
+    of the ends stay in that deal (``COPARTITIONED``).
     """
+    tokens = tokens.repartition("s")
 
     def side(name):
-        rows = tokens.select(*named(), F.posexplode(name).alias("pos", "t"))
-        end = F.sum("t.len").over(W.partitionBy("s_a", "s_b").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
-        return rows.select("s_a", "s_b", end.alias("end"), F.col("t.id").alias(f"{name}_id"))
+        rows = tokens.select("s", F.posexplode(name).alias("pos", "t"))
+        end = F.sum("t.len").over(W.partitionBy("s").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
+        return rows.select("s", end.cast("int").alias("end"), F.col("t.id").alias(f"{name}_id"))
 
-    ends = side("a").join(side("b"), ["s_a", "s_b", "end"], "full")
+    ends = side("a").join(side("b"), ["s", "end"], "full")
     cut = (F.col("a_id").isNotNull() & F.col("b_id").isNotNull()).cast("int")
-    back = W.partitionBy("s_a", "s_b").orderBy(F.desc("end")).rowsBetween(W.unboundedPreceding, 0)
+    back = W.partitionBy("s").orderBy(F.desc("end")).rowsBetween(W.unboundedPreceding, 0)
     return ends.select(
-        "*", F.sum(cut).over(back).alias("group"), F.last("a_id", ignorenulls=True).over(back).alias("a_over"), F.last("b_id", ignorenulls=True).over(back).alias("b_over"))
+        "*", F.sum(cut).over(back).cast("int").alias("group"), F.last("a_id", ignorenulls=True).over(back).alias("a_over"), F.last("b_id", ignorenulls=True).over(back).alias("b_over"))
+
+
+#: With it a join of rows that are dealt by some of its keys does not deal them again.
+COPARTITIONED = {"spark_sql_requireAllClusterKeysForCoPartition": "false"}
 
 
 def grouped(ends: DataFrame) -> DataFrame:
-    """(s_a, s_b, n_a, n_b, n_groups, n_links, groups, links) of ``aligned`` rows.
+    """(s, n_a, n_b, n_groups, n_links, groups, links) of ``aligned`` rows.
 
     ``groups`` is in the order of the bytes; ``links`` are pairs of ids as one
     number each (A's in the upper half), as often as they occur.
@@ -133,13 +147,13 @@ def grouped(ends: DataFrame) -> DataFrame:
     def ids(side):
         return F.array_join(F.transform(of(side), lambda x: x[side].cast("string")), ",")
 
-    one = ends.groupBy("s_a", "s_b", "group").agg(F.sort_array(F.collect_list(F.struct("end", "a_id", "b_id", "a_over", "b_over"))).alias("row"))
+    one = ends.groupBy("s", "group").agg(F.sort_array(F.collect_list(F.struct("end", "a_id", "b_id", "a_over", "b_over"))).alias("row"))
     links = F.transform("row", lambda x: F.shiftleft(x["a_over"].cast("long"), 32) + x["b_over"])
     said = F.concat_ws("|", ids("a_id"), ids("b_id"))
-    one = one.select("s_a", "s_b", F.struct((-F.col("group")).alias("k"), said.alias("said"), links.alias("links"), F.size(of("a_id")).alias("n_a"), F.size(of("b_id")).alias("n_b")).alias("g"))
-    whole = one.groupBy("s_a", "s_b").agg(F.sum("g.n_a").alias("n_a"), F.sum("g.n_b").alias("n_b"), F.sort_array(F.collect_list("g")).alias("g"))
+    one = one.select("s", F.struct((-F.col("group")).alias("k"), said.alias("said"), links.alias("links"), F.size(of("a_id")).alias("n_a"), F.size(of("b_id")).alias("n_b")).alias("g"))
+    whole = one.groupBy("s").agg(F.sum("g.n_a").alias("n_a"), F.sum("g.n_b").alias("n_b"), F.sort_array(F.collect_list("g")).alias("g"))
     links = F.flatten(F.transform("g", lambda x: x["links"]))
-    return whole.select("s_a", "s_b", "n_a", "n_b", F.size("g").cast("long").alias("n_groups"), F.size(links).cast("long").alias("n_links"), F.array_join(F.transform("g", lambda x: x["said"]), ";").alias("groups"), links.alias("links"))
+    return whole.select("s", "n_a", "n_b", F.size("g").cast("long").alias("n_groups"), F.size(links).cast("long").alias("n_links"), F.array_join(F.transform("g", lambda x: x["said"]), ";").alias("groups"), links.alias("links"))
 
 
 def scores(entries: DataFrame, counts: DataFrame) -> DataFrame:
@@ -170,9 +184,12 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, text_col: str = "
 
     # the distinct stretches of each block; the tokens of each stretch of the corpus side by side
     met = written(texts.select("block", F.explode(F.array_distinct(split)).alias("stretch")).distinct(), "met")
-    tokens = written(encoded(met.select("stretch").distinct(), path_a, path_b), "tokens")
-    entries = written(grouped(aligned(tokens)), "entries")
+    tokens = encoded(met.select("stretch").distinct(), path_a, path_b).withColumn("s", F.monotonically_increasing_id())
+    tokens = written(tokens.select("s", *named(), "a", "b"), "tokens")  # stored, as a lost task must not number them anew
+    numbered = written(grouped(aligned(tokens.select("s", "a", "b"))), "numbered", **COPARTITIONED)
+    entries = written(numbered.join(tokens.select("s", "s_a", "s_b"), "s").drop("s"), "entries")
     drop(tokens)
+    drop(numbered)
 
     # documents that hold a pair: its pairs are told apart within a document, which lies in one block
     pairs = met.select("block", *named()).join(entries.select("s_a", "s_b", F.array_distinct("links").alias("pairs")), ["s_a", "s_b"]).repartition(blocks, "block")

@@ -41,19 +41,23 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **settings: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: the cut in the lineage.
 
-    Its shuffle files go as soon as the table is there.
+    Its shuffle files go as soon as the table is there. ``settings`` of Spark,
+    underscores for dots, hold while it is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/siltstone-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEAN_UP, "false")
-    spark.conf.set(CLEAN_UP, "true")
+    settings = {CLEAN_UP: "true", **{k.replace("_", "."): v for k, v in settings.items()}}
+    before = {k: spark.conf.get(k, "false") for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(CLEAN_UP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
