@@ -24,7 +24,7 @@ from .common import read_table, repeated, written
 EPOCHS = 3
 WEIGHTS = [1, 2, 3]
 SEED = "mix"
-BUCKET_ROWS = 50_000  # documents that one group sums up in order, about
+BUCKET_ROWS = 10_000  # documents that one group sums up in order, about
 SPACE = " \t\n\x0b\f\r"
 
 
@@ -75,8 +75,8 @@ def mix(docs: DataFrame, weights: list[int] = WEIGHTS, epochs: int = EPOCHS, see
     known = held.select(F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("unnamed"), "source_size", "target")
     rows = rows.withColumn("name", F.coalesce("source", F.lit(""))).withColumn("unnamed", F.col("source").isNull())
     keys = ["name", "unnamed", "bucket"]
-    before = F.coalesce(F.sum("words").over(W.partitionBy("name", "unnamed").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    buckets = rows.groupBy(*keys).agg(F.sum("words").alias("words")).withColumn("before", before).drop("words").join(known, ["name", "unnamed"])
+    buckets = rows.groupBy(*keys).agg(F.sum("words").alias("words"))
+    buckets = running(buckets, [F.col("bucket")], {"before": F.col("words")}, keys=["name", "unnamed"]).drop("words").join(known, ["name", "unnamed"])
     within = W.partitionBy(*keys).orderBy("hash", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     placed = rows.withColumn("own", F.coalesce(F.sum("words").over(within), F.lit(0))).join(buckets, keys)
 
