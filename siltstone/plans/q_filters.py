@@ -174,15 +174,15 @@ def _(s, d):
 _WIRE = "strlen(doc_id::VARCHAR) + 2 + 1 + strlen(text) + 2 + (2 * length(text) - length(replace(text, '\"', '')) - length(replace(text, '\\', ''))) + 5 * (length(text) - length(regexp_replace(text, '[\\x00-\\x1f]', '', 'g'))) + 1 + 64 * 25 + 4"
 
 
-@add("s14_batches", f"""WITH RECURSIVE z AS (SELECT doc_id, doc_id % 8 AS bucket, ({_WIRE})::BIGINT AS size FROM documents WHERE text IS NOT NULL),
-o AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY doc_id) AS n FROM z WHERE size + 128 <= 30000),
-r AS (SELECT doc_id, bucket, n, 1 AS held, 128 + size AS used, 0::BIGINT AS number FROM o WHERE n = 1
-  UNION ALL SELECT o.doc_id, o.bucket, o.n, CASE WHEN r.held >= 20 OR r.used + o.size > 30000 THEN 1 ELSE r.held + 1 END, CASE WHEN r.held >= 20 OR r.used + o.size > 30000 THEN 128 + o.size ELSE r.used + o.size END,
-    CASE WHEN r.held >= 20 OR r.used + o.size > 30000 THEN r.number + 1 ELSE r.number END FROM r JOIN o ON o.bucket = r.bucket AND o.n = r.n + 1)
-SELECT doc_id AS id, bucket * 4294967296 + number AS batch FROM r UNION ALL SELECT doc_id, NULL FROM z WHERE size + 128 > 30000""")
+@add("s14_batches", f"""WITH RECURSIVE z AS (SELECT doc_id, ({_WIRE})::BIGINT AS size FROM documents WHERE text IS NOT NULL),
+o AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS n FROM z WHERE size + 128 <= 30000),
+r AS (SELECT doc_id, n, 1 AS held, 128 + size AS used, 0::BIGINT AS number FROM o WHERE n = 1
+  UNION ALL SELECT o.doc_id, o.n, CASE WHEN r.held >= 20 OR r.used + o.size > 30000 THEN 1 ELSE r.held + 1 END, CASE WHEN r.held >= 20 OR r.used + o.size > 30000 THEN 128 + o.size ELSE r.used + o.size END,
+    CASE WHEN r.held >= 20 OR r.used + o.size > 30000 THEN r.number + 1 ELSE r.number END FROM r JOIN o ON o.n = r.n + 1)
+SELECT doc_id AS id, number AS batch FROM r UNION ALL SELECT doc_id, NULL FROM z WHERE size + 128 > 30000""")
 def _(s, d):
     rows = B.table(s, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.col("text").alias("document"))
-    return C.batches(rows, 20, 30_000, C.record_bytes(F.col("id"), F.col("document"), F.lit(64)), bucket=F.col("id") % 8).select("id", "batch")
+    return C.batches(rows, 20, 30_000, C.record_bytes(F.col("id"), F.col("document"), F.lit(64))).select("id", "batch")
 
 
 @add("s18_prepare", "SELECT p_partkey::VARCHAR AS id, trim(p_name) AS document, trim(p_brand) AS p_brand, trim(p_type) AS p_type FROM part WHERE trim(p_name) <> ''")

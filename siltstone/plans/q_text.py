@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking, sync, tabular, web
+from ..sources import collections as C
 from ..sources import transfer
 from ..streaming import events as E
 from . import tables as B
@@ -302,7 +303,26 @@ r AS (SELECT event_id, client, n, t AS last, 2.0::DOUBLE AS tokens, true AS allo
     least(3.0::DOUBLE, r.tokens + greatest(0.0::DOUBLE, o.t - r.last) * {_RATE}) >= 1 FROM r JOIN o ON o.client = r.client AND o.n = r.n + 1)
 SELECT event_id, client, allowed FROM r""")
 def _(s, d):
-    return E.rate_limited(B.table(s, d, "events"), "user_id", 0.05, 3)
+    return E.rate_limited(B.table(s, d, "events"), "user_id", 0.05, 3).select("event_id", "client", "allowed")
+
+
+def _bucket_sql(name: str, events: str, rate: int, token: int, burst: int) -> str:
+    """CTE ``name`` (event_id, client, t, writes, ok): buckets over rows (event_id, client, t, writes, lot), one a lot, refilled by ``rate`` units a microsecond."""
+    met = f"least({burst * token}, r.units + (o.t - r.t) * {rate})"
+    return f"""{name}_o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lot ORDER BY t, event_id) AS n FROM ({events})),
+{name} AS (SELECT event_id, client, t, writes, lot, n, {burst * token - token}::BIGINT AS units, true AS ok FROM {name}_o WHERE n = 1
+  UNION ALL SELECT o.event_id, o.client, o.t, o.writes, o.lot, o.n, {met} - CASE WHEN {met} >= {token} THEN {token} ELSE 0 END, {met} >= {token} FROM {name} r JOIN {name}_o o ON o.lot = r.lot AND o.n = r.n + 1)"""
+
+
+_ASKED = "SELECT event_id, user_id AS client, epoch_us(ts) AS t, event_type = 'purchase' AS writes, user_id AS lot FROM events"
+
+
+@add("t03_common_limit", f"""WITH RECURSIVE {_bucket_sql("c", _ASKED, 1, 500 * 60_000_000, 3)},
+{_bucket_sql("w", "SELECT event_id, client, t, writes, client AS lot FROM c WHERE ok AND writes", 1, 1000 * 60_000_000, 1)},
+{_bucket_sql("g", "SELECT event_id, client, t, writes, 0 AS lot FROM (SELECT * FROM c WHERE ok AND NOT writes UNION ALL SELECT * FROM w WHERE ok)", 3, 20 * 60_000_000, 10)}
+SELECT event_id, client, false AS allowed, 'client' AS refused_by FROM c WHERE NOT ok UNION ALL SELECT event_id, client, false, 'write' FROM w WHERE NOT ok UNION ALL SELECT event_id, client, ok, CASE WHEN NOT ok THEN 'common' END FROM g""")
+def _(s, d):
+    return E.rate_limited(B.table(s, d, "events"), "user_id", 0.002, 3, writes=F.col("event_type") == "purchase", writes_per_minute=0.001, common=(0.15, 10)).drop("retry_after")
 
 
 @add("t04_daily_quota", "SELECT user_id, ts::DATE AS day, count(*) AS written, greatest(count(*) - 2, 0) AS over FROM events GROUP BY 1, 2")
@@ -317,5 +337,5 @@ def _(s, d):
 
 @add("w06_retention", "SELECT event_id FROM (SELECT event_id, sum(value) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM events) WHERE round(used, 6) <= 100")
 def _(s, d):
-    own = W.partitionBy("user_id").orderBy(F.desc("ts"), "event_id").rowsBetween(W.unboundedPreceding, 0)
-    return B.table(s, d, "events").withColumn("used", F.round(F.sum("value").over(own), 6)).where("used <= 100").select("event_id")
+    rows = B.table(s, d, "events").select(F.col("event_id").alias("id"), "user_id", "ts", F.round(F.col("value") * 100).cast("long").alias("size"))
+    return C.keep_newest(rows, "ts", "size", 10_000, keys=["user_id"]).select(F.col("id").alias("event_id"))

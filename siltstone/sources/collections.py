@@ -12,13 +12,14 @@ import unicodedata
 import uuid
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import text as T
+from ..operators import ordered
 
 METRICS = ("cosine", "l2", "ip")
 
@@ -190,55 +191,106 @@ def record_bytes(id_col, document, numbers, metadata: dict | None = None):
     return out.cast("long")
 
 
-def batches(rows: DataFrame, most_rows: int, most_bytes: int, size, order: str = "id", bucket=None, envelope: int = 128) -> DataFrame:
-    """``rows`` with ``batch``: no batch has more rows than allowed or, with its envelope, more bytes.
+class Filling(ordered.Fold):
+    """Batches filled one after the other: the state is (batches opened, rows and bytes in the open one).
 
-    Rows are taken in order within each bucket (a column of small non-negative
-    numbers, by default a hash of the order) and open a new batch where they no
-    longer fit; a row too large for any batch gets none (null). A task passes
-    through its buckets and holds one batch's totals.
+    A stretch is noted by where its first new batch may open. Each of these
+    places leads to a chain of batches, and chains from neighbouring places soon
+    run together, so places that end alike are noted once: (place, bytes before
+    it, batches opened, rows and bytes in the last). The last entry is the end
+    of the stretch, for a batch that takes it whole.
     """
-    bucket = F.pmod(F.xxhash64(order), F.lit(64)) if bucket is None else bucket
-    keyed = rows.select("*", bucket.cast("long").alias("_bucket"), size.cast("long").alias("_size"))
 
-    def run(parts):
+    start = (0, 0, 0)
+    adds = "batch long"
+
+    def __init__(self, most_rows: int, most_bytes: int, envelope: int):
+        self.most_rows, self.room = most_rows, most_bytes - envelope
+
+    def _sizes(self, batch) -> tuple[np.ndarray, np.ndarray]:
+        """(which rows fit a batch, bytes before each of those and at the end)."""
+        sizes = batch.column(0).to_numpy(zero_copy_only=False)
+        fits = sizes <= self.room
+        return fits, np.concatenate([[0], np.cumsum(sizes[fits])]).astype(np.int64)
+
+    def _next(self, before: np.ndarray) -> np.ndarray:
+        """For a batch opened at each row, the first row that it cannot take."""
+        at = np.arange(len(before) - 1)
+        return np.minimum(np.searchsorted(before, before[:-1] + self.room, "right") - 1, np.minimum(at + self.most_rows, len(at)))
+
+    def note(self, batch) -> list[tuple]:
+        _, before = self._sizes(batch)
+        m, out = len(before) - 1, []
+        if m:
+            follow = self._next(before).tolist()
+            opened, last = [0] * m, [0] * m
+            for i in range(m - 1, -1, -1):
+                j = follow[i]
+                opened[i], last[i] = (1, i) if j == m else (opened[j] + 1, last[j])
+            for c in range(min(follow[0], m - 1) + 1):
+                if not out or (opened[c], m - last[c]) != out[-1][2:4]:
+                    out.append((c, int(before[c]), opened[c], m - last[c], int(before[m] - before[last[c]])))
+        return [*out, (m, int(before[m]), 0, 0, 0)]
+
+    def after(self, note: list[tuple], state: tuple) -> tuple:
+        opened, n, used = state
+        c = len(note) - 1
+        if not opened:
+            c = 0
+        while c and (n + note[c][0] > self.most_rows or used + note[c][1] > self.room):
+            c -= 1
+        place, size, more, rows, left = note[c]
+        return (opened + more, rows, left) if more else (opened, n + place, used + size)
+
+    def then(self, note: list[tuple], later: list[tuple]) -> list[tuple]:
+        out = []
+        for place, size, more, rows, left in note[:-1]:
+            out.append((place, size, *self.after(later, (more, rows, left))))
+        place, size = note[-1][:2]
+        out += [(place + c, size + s, *end) for c, s, *end in later]
+        whole, kept = out.pop(), []
+        for entry in out:
+            if not kept or kept[-1][2:] != entry[2:]:
+                kept.append(entry)
+        return [*kept, whole]
+
+    def apply(self, batch, state: tuple):
         import pyarrow as pa
 
-        now, number, n, used = None, 0, 0, envelope
-        for b in parts:
-            out = []
-            for k, own in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
-                if k != now:
-                    now, number, n, used = k, 0, 0, envelope
-                if own + envelope > most_bytes:
-                    out.append(None)
-                    continue
-                if n and (n >= most_rows or used + own > most_bytes):
-                    number, n, used = number + 1, 0, envelope
-                n, used = n + 1, used + own
-                out.append((k << 32) + number)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(out, pa.int64())], [*b.schema.names[:-2], "batch"])
-
-    kinds = StructType([*rows.schema.fields, StructField("batch", LongType())])
-    return keyed.repartition("_bucket").sortWithinPartitions("_bucket", order).mapInArrow(run, kinds)
-
-
-def keep_newest(rows: DataFrame, at: str, size: str, most_bytes: int, oldest=None, keys: list[str] = (), spans: int = 1024) -> DataFrame:
-    """Retention: rows from ``oldest`` on, newest first until the bytes are used up.
-
-    Time is cut into ``spans``; a row's running total is what all later spans
-    hold and what precedes it in its own, so no task orders all rows.
+        fits, before = self._sizes(batch)
+        m, (opened, n, used) = len(before) - 1, state
+        c = min(int(np.searchsorted(before, self.room - used, "right")) - 1, self.most_rows - n, m) if opened else 0
+        places, follow = [], self._next(before).tolist()
+        while c < m:
+            places.append(c)
+            c = follow[c]
+        number = np.full(len(fits), -1, np.int64)
+        number[fits] = opened - 1 + np.searchsorted(places, np.arange(m), "right")
+        state = (opened + len(places), m - places[-1], int(before[m] - before[places[-1]])) if places else (opened, n + m, used + int(before[m]))
+        return state, [pa.array(number, pa.int64(), mask=~fits)]
+
+
+def batches(rows: DataFrame, most_rows: int, most_bytes: int, size, order: str | None = "id", envelope: int = 128, parts: int | None = None) -> DataFrame:
+    """``rows`` with ``batch``: no batch has more rows than allowed or, with its envelope, more bytes.
+
+    Rows are taken in the order of a column, or as they come where ``order`` is
+    None, and open a new batch where they no longer fit, counted from 0 on; a
+    row too large for any batch gets none (null). Batches go on from one part of
+    the scan to the next, so the order alone decides, not how rows are dealt.
+    """
+    keyed = rows.withColumn("_size", size.cast("long"))
+    return ordered.scan(keyed, [F.col(order)] if order else [], Filling(most_rows, most_bytes, envelope), ["_size"], parts=parts).drop("_size")
+
+
+def keep_newest(rows: DataFrame, at: str, size: str, most_bytes: int, oldest=None, keys: list[str] = (), parts: int | None = None) -> DataFrame:
+    """Retention: rows from ``oldest`` on, newest first until the bytes are used up, by ``keys`` if given.
+
+    Sums run along the order part by part; rows of one time are told apart by
+    id, so neither a busy moment nor a large key falls to one task.
     """
     out = rows if oldest is None else rows.where(F.col(at) >= oldest)
-    seconds = F.col(at).cast("timestamp").cast("double") if dict(rows.dtypes)[at] in ("date", "timestamp", "timestamp_ntz") else F.col(at).cast("double")
-    ends = out.agg(F.min(seconds).alias("_low"), F.max(seconds).alias("_high"))  # one row
-    placed = out.crossJoin(F.broadcast(ends)).withColumn("_span", F.when(F.col("_high") > F.col("_low"), F.floor((seconds - F.col("_low")) / (F.col("_high") - F.col("_low")) * spans)).otherwise(0)).drop("_low", "_high")
-    totals = placed.groupBy(*keys, "_span").agg(F.sum(size).alias("_total"))
-    own = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))  # over at most ``spans`` rows
-    later = totals.withColumn("_later", F.coalesce(F.sum("_total").over(own.orderBy(F.desc("_span")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_total")
-    order = W.partitionBy(*keys, "_span").orderBy(F.desc(at), "id").rowsBetween(W.unboundedPreceding, 0)
-    summed = placed.withColumn("_used", F.sum(size).over(order)).join(later, [*keys, "_span"])
-    return summed.where(F.col("_used") + F.col("_later") <= most_bytes).select(*rows.columns)
+    summed = ordered.running(out, [F.col(at).desc(), F.col("id")], {"_before": F.col(size)}, parts, list(keys))
+    return summed.where(F.col("_before") + F.col(size) <= most_bytes).select(*rows.columns)
 
 
 def file_chunks(chunks: DataFrame, file: str | None = None, file_id: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
