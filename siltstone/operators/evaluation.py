@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import patterns
 from .inspection import upper_median
 
 
@@ -106,19 +107,8 @@ def coverage(hits: DataFrame, keys: list[str] = ("variant",)) -> DataFrame:
 
 
 def containing(docs: DataFrame, fragments: DataFrame) -> DataFrame:
-    """(item_id, doc_id): which documents (doc_id, t) contain which fragments (item_id, f), both folded.
-
-    A fragment's longest inner word stands whole in whatever contains it, so
-    they meet on it and only then are compared. Fragments without an inner word
-    are compared with every document.
-    """
-    inner = F.slice(F.split("f", " "), 2, F.greatest(F.size(F.split("f", " ")) - 2, F.lit(0)))
-    asked = fragments.withColumn("word", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
-    words = docs.select("doc_id", "t", F.explode(F.array_distinct(F.split("t", " "))).alias("word"))
-    wanted = asked.where("word is not null").select("word").distinct()
-    met = words.join(wanted, "word", "left_semi").join(asked, "word")
-    bare = docs.join(asked.where("word is null"), F.contains("t", "f"))
-    return met.where(F.contains("t", "f")).select("item_id", "doc_id").unionByName(bare.select("item_id", "doc_id"))
+    """(item_id, doc_id): which documents (doc_id, t) contain which fragments (item_id, f), both folded; one pass finds all fragments of a text."""
+    return patterns.containing(docs, fragments)
 
 
 def median_lengths(hits: DataFrame) -> DataFrame:

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
+from . import ordered
 
+FEW_VALUES = 4096  # distinct values of a key that one task sorts
+BUCKETS = 1024  # spans of a histogram
 LENGTH_BOUNDS = [0, 100, 200, 500, 1000, 2000, 4000]
 FACET_VALUES = 15
 
@@ -48,12 +51,41 @@ def length_histogram(df: DataFrame, text: str = "document", bounds: list[int] =
     return every.join(counted, "low", "left").select("low", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def upper_median(values: DataFrame, column: str, keys: list[str] = ()) -> DataFrame:
-    """(keys, median): of n sorted values the one at n div 2. Counted by value, so a window sees distinct values only."""
-    counted = values.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("_count"))
+def upper_median(values: DataFrame, column: str, keys: list[str] = (), few: int = FEW_VALUES) -> DataFrame:
+    """(keys, median): of n sorted values the one at n div 2; found by histograms, so no task sorts a key's values.
+
+    Each pass counts the values of a key in ``BUCKETS`` equal spans and goes on
+    within the span that holds the median, until at most ``few`` distinct values
+    are left there. Values are numbers; equal ones are counted once before.
+    """
+    counted = values.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
+    ordered.with_checkpoints(values.sparkSession)
+    counted = counted.checkpoint()
+    kinds = [F.sum("_n").alias("_n"), F.count("*").alias("_distinct"), F.min("_v").alias("_low"), F.max("_v").alias("_high")]
     own = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    run = counted.withColumn("_upto", F.sum("_count").over(own.orderBy(column))).withColumn("_all", F.sum("_count").over(own))
-    return run.where(F.col("_upto") > F.floor(F.col("_all") / 2)).groupBy(*keys).agg(F.min(column).alias("median"))
+    left = counted.groupBy(*keys).agg(*kinds).select(*keys, F.floor(F.col("_n") / 2).alias("_rank"), "_distinct", "_low", "_high").checkpoint()
+
+    def within(spans: DataFrame) -> DataFrame:
+        """The values between the ends of their key's span."""
+        named = spans.select(*(F.col(k).alias(f"_{k}") for k in keys), "_rank", "_low", "_high")
+        on = F.col("_v").between(F.col("_low"), F.col("_high"))
+        for k in keys:
+            on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        return counted.join(named if keys else F.broadcast(named), on).drop(*(f"_{k}" for k in keys))  # without keys it is one row
+
+    done = left.where(F.col("_distinct") <= few)
+    wide = left.where(F.col("_distinct") > few)
+    while not wide.isEmpty():
+        v, low, high = (F.col(c).cast("double") / 2 for c in ("_v", "_low", "_high"))
+        bucket = F.least(F.floor((v - low) / (high - low) * BUCKETS), F.lit(BUCKETS - 1))
+        spans = within(wide).groupBy(*keys, "_rank", bucket.alias("_bucket")).agg(*kinds)
+        upto = F.sum("_n").over(own.orderBy("_bucket"))  # at most BUCKETS rows
+        spans = spans.withColumn("_before", upto - F.col("_n")).where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_n")))
+        spans = spans.select(*keys, (F.col("_rank") - F.col("_before")).alias("_rank"), "_distinct", "_low", "_high").checkpoint()
+        done = done.unionByName(spans.where(F.col("_distinct") <= few))
+        wide = spans.where(F.col("_distinct") > few)
+    last = within(done).withColumn("_upto", F.sum("_n").over(own.orderBy("_v")))  # at most ``few`` rows
+    return last.where(F.col("_upto") > F.col("_rank")).groupBy(*keys).agg(F.min("_v").alias("median"))
 
 
 def duplicates(df: DataFrame, text: str = "document", files: str | None = None) -> DataFrame:
