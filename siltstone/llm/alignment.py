@@ -22,7 +22,7 @@ import json
 import os
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -103,11 +103,6 @@ def encoded(stretches: DataFrame, path_a: str, path_b: str) -> DataFrame:
     return stretches.select("stretch").mapInArrow(run, f"stretch string, a {tokens}, b {tokens}")
 
 
-def named(stretch: str = "stretch") -> list[Column]:
-    """128 bits that stand for a stretch in joins, however long it is."""
-    return [F.xxhash64(F.lit(3), stretch).alias("s_a"), F.xxhash64(F.lit(5), stretch).alias("s_b")]
-
-
 def aligned(tokens: DataFrame) -> DataFrame:
     """A row for each byte offset at which a token of either side ends: s, end, a_id, b_id, group, a_over, b_over.
 
@@ -157,10 +152,10 @@ def grouped(ends: DataFrame) -> DataFrame:
 
 
 def scores(entries: DataFrame, counts: DataFrame) -> DataFrame:
-    """(s_a, s_b, n_best, count_sum) by the links of ``entries`` and counts (pair, docs, best)."""
-    links = entries.select("s_a", "s_b", F.explode("links").alias("pair"))
+    """(stretch, n_best, count_sum) by the links of ``entries`` and counts (pair, docs, best)."""
+    links = entries.select("stretch", F.explode("links").alias("pair"))
     n = entries.agg(F.sum("n_links")).first()[0] or 0
-    return join_unevenly(links, counts, "pair", n).groupBy("s_a", "s_b").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("docs").alias("count_sum"))
+    return join_unevenly(links, counts, "pair", n).groupBy("stretch").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("docs").alias("count_sum"))
 
 
 def align_documents(docs: DataFrame, path_a: str, path_b: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -177,37 +172,40 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, text_col: str = "
     taken = F.coalesce((F.col("text") != "") & ~F.contains("text", F.lit(SPACE_MARK)), F.lit(False))
     rows = written(rows.select(*row_key("doc_id", "text"), "doc_id", F.when(taken, F.col("text")).alias("text"), "copies"), "texts")
     size, parts = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0, int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = 1 + max(size // BLOCK_BYTES, min(2 * parts, size // LEAST_BYTES))
+    blocks = 1 + max(size // BLOCK_BYTES, min(parts, size // LEAST_BYTES))
     texts = rows.where("text is not null").withColumn("block", F.pmod("key_a", F.lit(blocks)).cast("int")).repartition(blocks, "block")
     split = F.split("text", SPLIT_AT)
-    one = ["block", "key_a", "key_b", "copies"]
 
     # the distinct stretches of each block; the tokens of each stretch of the corpus side by side
     met = written(texts.select("block", F.explode(F.array_distinct(split)).alias("stretch")).distinct(), "met")
     tokens = encoded(met.select("stretch").distinct(), path_a, path_b).withColumn("s", F.monotonically_increasing_id())
-    tokens = written(tokens.select("s", *named(), "a", "b"), "tokens")  # stored, as a lost task must not number them anew
+    tokens = written(tokens, "tokens")  # stored, as a lost task must not number them anew
     numbered = written(grouped(aligned(tokens.select("s", "a", "b"))), "numbered", **COPARTITIONED)
-    entries = written(numbered.join(tokens.select("s", "s_a", "s_b"), "s").drop("s"), "entries")
+    entries = written(numbered.join(tokens.select("s", "stretch"), "s").drop("s"), "entries")
     drop(tokens)
     drop(numbered)
 
     # documents that hold a pair: its pairs are told apart within a document, which lies in one block
-    pairs = met.select("block", *named()).join(entries.select("s_a", "s_b", F.array_distinct("links").alias("pairs")), ["s_a", "s_b"]).repartition(blocks, "block")
-    seen = texts.select(*one, F.explode(F.array_distinct(split)).alias("stretch")).select(*one, *named())
-    held = seen.join(pairs.hint("shuffle_hash"), ["block", "s_a", "s_b"]).select(*one, F.explode("pairs").alias("pair")).distinct()
+    pairs = met.join(entries.select("stretch", F.array_distinct("links").alias("pairs")), "stretch").repartition(blocks, "block")
+    seen = texts.select("block", "key_a", "key_b", "copies", F.explode(F.array_distinct(split)).alias("stretch"))
+    held = seen.join(pairs.hint("shuffle_hash"), ["block", "stretch"]).select("block", "key_a", "key_b", "copies", F.explode("pairs").alias("pair")).distinct()
     documents = written(held.groupBy("pair").agg(F.sum("copies").alias("docs")), "documents")
     a_id = F.shiftright("pair", 32).alias("a_id")
     most = documents.groupBy(a_id).agg(F.max("docs").alias("most"))
     counts = written(documents.select(a_id, "pair", "docs").join(most, "a_id").select("pair", "docs", (F.col("docs") == F.col("most")).alias("best")), "counts")
+    drop(documents)
 
     # every document's stretches in order, with what was found of each
     sums = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    found = written(entries.drop("links").join(scores(entries, counts), ["s_a", "s_b"]), "found")
-    drop(entries)
-    found = met.select("block", *named()).join(found, ["s_a", "s_b"]).repartition(blocks, "block")
-    occurring = texts.select(*one, "doc_id", F.posexplode(split).alias("pos", "stretch")).select(*one, "doc_id", "pos", *named())
+    scored = written(scores(entries, counts), "scored")
+    found = written(entries.drop("links").join(scored, "stretch"), "found")
+    for table in (entries, counts, scored):
+        drop(table)
+    found = met.join(found, "stretch").repartition(blocks, "block")
+    one = ["block", "key_a", "key_b", "copies", "doc_id"]
+    occurring = texts.select(*one, F.posexplode(split).alias("pos", "stretch"))
     in_order = F.transform(F.sort_array(F.collect_list(F.struct("pos", "groups"))), lambda x: x["groups"])
-    whole = occurring.join(found.hint("shuffle_hash"), ["block", "s_a", "s_b"]).groupBy(*one, "doc_id").agg(
+    whole = occurring.join(found.hint("shuffle_hash"), ["block", "stretch"]).groupBy(*one).agg(
         *(F.sum(c).alias(c) for c in sums), F.sha2(F.array_join(in_order, ";"), 256).alias("groups_sha256"))
     without = rows.where("text is null").select("doc_id", "copies", *(F.lit(0).cast("long").alias(c) for c in sums), F.lit("").alias("groups_sha256"))
     return repeated(whole.select(without.columns).unionByName(without), "copies")
