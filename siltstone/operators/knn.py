@@ -1,19 +1,31 @@
-"""Exact nearest neighbours: parts of the rows of bounded size, each met by all queries, merged by distance.
+"""Exact nearest neighbours: parts of the rows of bounded size, each met by the queries that need it, merged by distance.
 
-A part's rows are held by one task while the queries stream past; it keeps the
-best of the part for each query, and one window a query merges what the parts
-kept. Rows are shuffled once, queries once a part; nothing is collected.
+A part's rows are held by one task while queries stream past; it keeps the best
+of the part for each query, and what the parts kept is merged by query. Up to
+``PART_ROWS`` rows are one part. Beyond that, rows are dealt to the nearest of a
+few pivots and by rings of distance around it. Every query first meets one part
+close to it; its k-th distance there is a radius, and the triangle inequality
+tells which other parts can hold anything nearer. Equal vectors count once, as
+rows with their smallest ids and as queries with one representative.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import ordered
+
 PART_ROWS = 16_384  # rows that a task holds, about
 QUERY_BATCH = 512  # queries multiplied at once
+MOST_PIVOTS = 1024
+RINGS = 64  # around a pivot, at most
+SLACK = 4e-6  # of chords, relative to the largest component: beyond what rounding can hide
+FREQUENT = 10_000  # a vector on more than one query in so many is joined by broadcast
 
 
 def distances(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
@@ -26,20 +38,8 @@ def distances(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
     return 1 - np.divide(product, n, out=np.zeros_like(product), where=n > 0)
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "id", vector_col: str = "embedding", skip_self: bool = False, max_distance: float | None = None) -> DataFrame:
-    """(query_id, id, distance, position): the ``k`` nearest rows of every query, ties by id.
-
-    Both frames have ``id_col`` (long) and ``vector_col``; rows whose vector is
-    null are passed over, and a query is compared with rows of its dimension.
-    Distances are rounded to twelve digits, so that equal vectors tie.
-    """
-    def usable(df):
-        return df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("v is not null and id is not null")
-
-    kept, asked = usable(rows), usable(queries)
-    parts = max(1, -(-kept.count() // PART_ROWS))
-    own = kept.select(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"), F.lit(0).alias("asks"), "id", "v")
-    sent = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), F.lit(1).alias("asks"), "id", "v")
+def _best_of_parts(own: DataFrame, sent: DataFrame, parts: int, k: int, metric: str, skip_self: bool, max_distance: float | None) -> DataFrame:
+    """(query_id, part, id, distance): the best ``k`` of each part for each query sent there; both frames are (part, asks, id, v)."""
 
     def run(batches):
         import pyarrow as pa
@@ -80,10 +80,207 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
                         matrices[dim] = tuple(np.concatenate(x) for x in zip(*held[dim]))
                     for at in range(0, len(ids) if dim in matrices else 0, QUERY_BATCH):
                         found = best_of(ids[at: at + QUERY_BATCH], v[at: at + QUERY_BATCH], *matrices[dim])
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "id", "distance"])
+                        yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(np.full(len(found[0]), part)), *(pa.array(x) for x in found[1:])], ["query_id", "part", "id", "distance"])
 
     both = own.unionByName(sent).repartition(parts, "part").sortWithinPartitions("part", "asks")
-    found = both.mapInArrow(run, "query_id long, id long, distance double")
+    return both.mapInArrow(run, "query_id long, part long, id long, distance double")
+
+
+@dataclass
+class Parts:
+    """Where rows lie: groups of one pivot and ring, (cell, lo, hi, first part, parts) each; cell -1 holds what has no place among the pivots."""
+
+    pivots: np.ndarray
+    width: float
+    metric: str
+    cell: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+    first: np.ndarray
+    many: np.ndarray
+    rows: np.ndarray
+
+    def points(self, v: np.ndarray) -> np.ndarray:
+        return v / np.linalg.norm(v, axis=1)[:, None] if self.metric == "cosine" else v
+
+    def usual(self, v: np.ndarray) -> np.ndarray:
+        """Rows that have a place among the pivots."""
+        if v.shape[1] != self.pivots.shape[1]:
+            return np.zeros(len(v), bool)
+        return (np.linalg.norm(v, axis=1) > 0) if self.metric == "cosine" else np.ones(len(v), bool)
+
+    def to_pivots(self, v: np.ndarray) -> np.ndarray:
+        p = self.points(v)
+        return np.sqrt(np.maximum((p * p).sum(1)[:, None] + (self.pivots**2).sum(1)[None] - 2 * p @ self.pivots.T, 0))
+
+    def placed(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(cell, distance to its pivot, ring) of each row."""
+        cell, far = np.full(len(v), -1), np.zeros(len(v))
+        usual = self.usual(v)
+        if usual.any():
+            d = self.to_pivots(v[usual])
+            cell[usual] = d.argmin(1)
+            far[usual] = d.min(1)
+        return cell, far, np.minimum(far / self.width, RINGS - 1).astype(int) if self.width > 0 else np.zeros(len(v), int)
+
+    def bounds(self, v: np.ndarray) -> np.ndarray:
+        """For each query and group: no row there is nearer than this, as a chord or length."""
+        out = np.full((len(v), len(self.cell)), np.inf)
+        odd, usual = self.cell < 0, self.usual(v)
+        if usual.any():
+            d = self.to_pivots(v[usual])
+            own, at = d.min(1)[:, None], d[:, self.cell]
+            out[usual] = np.maximum(np.maximum(self.lo - at, at - self.hi), np.maximum((at - own) / 2, 0))
+            # a null vector is at cosine distance 1 from all
+            out[np.ix_(usual, odd)] = np.sqrt(2) if self.metric == "cosine" else np.inf
+        alike = v.shape[1] == self.pivots.shape[1]
+        out[np.ix_(~usual, odd)] = 0
+        if alike:
+            out[np.ix_(~usual, ~odd)] = np.sqrt(2)
+        return out - SLACK * (1 + np.abs(self.points(v[usual])).max(initial=0) + np.abs(self.pivots).max())
+
+    def radius(self, distance: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(distance, 0) * (2 if self.metric == "cosine" else 1))  # l2 is squared
+
+
+def _by_dimension(batch, at: int):
+    """(row numbers, vectors) of a batch for each dimension of its column ``at``."""
+    size = np.asarray(batch.column(at).value_lengths())
+    for dim in np.unique(size).tolist():
+        rows = np.flatnonzero(size == dim)
+        yield rows, np.asarray(batch.column(at).take(rows).flatten(), float).reshape(-1, dim)
+
+
+def dealt_by_pivots(kept: DataFrame, n: int, metric: str) -> tuple[DataFrame, Parts] | None:
+    """((part, asks, id, v), where they lie) of ``n`` rows (id, v); None if no vector can be a pivot."""
+    import pyarrow as pa
+
+    dims = kept.where(F.exists("v", lambda x: x != 0)).groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
+    if dims is None:
+        return None
+    most = min(MOST_PIVOTS, max(8, -(-4 * n // PART_ROWS)))
+    chosen = kept.where((F.size("v") == dims["dim"]) & F.exists("v", lambda x: x != 0)).orderBy(F.xxhash64("id"), "id").limit(most).collect()
+    empty = np.zeros(0)
+    where = Parts(np.array([r["v"] for r in chosen], float), 0.0, metric, *[empty] * 6)
+    where.pivots = where.points(where.pivots)
+    apart = where.to_pivots(where.pivots)
+    np.fill_diagonal(apart, np.inf)
+    near = apart.min(1)
+    where.width = float(np.median(near[np.isfinite(near)])) / 4 if np.isfinite(near).any() else 0.0
+
+    def place(batches):
+        for b in batches:
+            for rows, v in _by_dimension(b, 1):
+                cell, far, ring = where.placed(v)
+                of = b.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([of.column(0), of.column(1), pa.array(cell, pa.int32()), pa.array(far), pa.array(ring, pa.int32())], ["id", "v", "cell", "far", "ring"])
+
+    placed = kept.select("id", "v").mapInArrow(place, "id long, v array<double>, cell int, far double, ring int").checkpoint()
+    groups = placed.groupBy("cell", "ring").agg(F.count("*").alias("n"), F.min("far").alias("lo"), F.max("far").alias("hi")).orderBy("cell", "ring").collect()  # at most RINGS a pivot
+    where.cell, where.lo, where.hi, where.rows = (np.array([g[c] for g in groups]) for c in ("cell", "lo", "hi", "n"))
+    where.many = -(-where.rows // PART_ROWS)
+    where.first = np.concatenate([[0], np.cumsum(where.many)[:-1]])
+    table = kept.sparkSession.createDataFrame([(int(g["cell"]), int(g["ring"]), int(f), int(m)) for g, f, m in zip(groups, where.first, where.many)], "cell int, ring int, first long, many long")
+    own = placed.join(F.broadcast(table), ["cell", "ring"]).select((F.col("first") + F.pmod(F.xxhash64("id"), F.col("many"))).alias("part"), F.lit(0).alias("asks"), "id", "v")
+    return own, where
+
+
+def _first_parts(asked: DataFrame, where: Parts, k: int) -> DataFrame:
+    """Each query (id, v) with one part close to it, of a group of at least ``k`` rows if there is one: (part, asks, id, v)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for rows, v in _by_dimension(b, 1):
+                for lo in range(0, len(rows), 64):
+                    own = rows[lo: lo + 64]
+                    bounds = where.bounds(v[lo: lo + 64])
+                    group = np.where(where.rows >= k, bounds, bounds + 1e300).argmin(1)
+                    of = b.take(pa.array(own))
+                    part = where.first[group] + np.asarray(of.column(0)) % where.many[group]
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(np.ones(len(own)), pa.int32()), of.column(0), of.column(1)], ["part", "asks", "id", "v"])
+
+    return asked.select("id", "v").mapInArrow(run, "part long, asks int, id long, v array<double>")
+
+
+def _other_parts(asked: DataFrame, where: Parts) -> DataFrame:
+    """Queries (id, v, met, reach) with every part but ``met`` that may hold something within ``reach`` (null: anything): (part, asks, id, v)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for rows, v in _by_dimension(b, 1):
+                for lo in range(0, len(rows), 64):
+                    of = b.take(pa.array(rows[lo: lo + 64]))
+                    reach = of.column(3).to_numpy(zero_copy_only=False)
+                    radius = np.where(np.isnan(reach), np.inf, where.radius(reach))
+                    bounds = where.bounds(v[lo: lo + 64])
+                    query, group = np.nonzero((bounds <= radius[:, None]) & np.isfinite(bounds))
+                    query = np.repeat(query, where.many[group])
+                    part = np.concatenate([np.arange(f, f + m) for f, m in zip(where.first[group], where.many[group])]) if len(group) else np.zeros(0, np.int64)
+                    left = part != of.column(2).to_numpy(zero_copy_only=False)[query]
+                    sent = of.take(pa.array(query[left]))
+                    yield pa.RecordBatch.from_arrays([pa.array(part[left], pa.int64()), pa.array(np.ones(int(left.sum())), pa.int32()), sent.column(0), sent.column(1)], ["part", "asks", "id", "v"])
+
+    return asked.select("id", "v", "met", "reach").mapInArrow(run, "part long, asks int, id long, v array<double>")
+
+
+def _searched(kept: DataFrame, asked: DataFrame, n: int, k: int, metric: str, max_distance: float | None) -> DataFrame | None:
+    """(query_id, best) with the ``k`` nearest (distance, id) of each query, by pivots; None if the rows have none."""
+    found = dealt_by_pivots(kept, n, metric)
+    if found is None:
+        return None
+    own, where = found
+    parts = int(where.many.sum())
+    first = _best_of_parts(own, _first_parts(asked, where, k), parts, k, metric, False, max_distance).checkpoint()
+    reach = first.groupBy("query_id").agg(F.max("part").alias("met"), F.when(F.count("*") >= k, F.max("distance")).alias("reach"))
+    met = _first_parts(asked, where, k).select("id", F.col("part").alias("met"))
+    known = asked.join(met, "id").join(reach.select(F.col("query_id").alias("id"), "reach"), "id", "left")
+    known = known.select("id", "v", "met", (F.col("reach") if max_distance is None else F.coalesce("reach", F.lit(float(max_distance)))).alias("reach"))
+    rest = _best_of_parts(own, _other_parts(known, where), parts, k, metric, False, max_distance)
+    every = first.unionByName(rest).select("query_id", "id", "distance")
+    place = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))
+    return every.withColumn("_n", place).where(F.col("_n") <= k).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("distance", "id"))).alias("best"))
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "id", vector_col: str = "embedding", skip_self: bool = False, max_distance: float | None = None) -> DataFrame:
+    """(query_id, id, distance, position): the ``k`` nearest rows of every query, ties by id.
+
+    Both frames have ``id_col`` (long) and ``vector_col``; rows whose vector is
+    null are passed over, and a query is compared with rows of its dimension.
+    Distances are rounded to twelve digits, so that equal vectors tie. An inner
+    product obeys no triangle inequality: there all queries meet all parts.
+    """
+    def usable(df):
+        return df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("v is not null and id is not null")
+
+    kept, asked = usable(rows), usable(queries)
+    n = kept.count()
+    parts = max(1, -(-n // PART_ROWS))
+    if parts > 1 and metric != "ip":
+        ordered.with_checkpoints(rows.sparkSession)
+        most, name = k + bool(skip_self), [F.xxhash64(F.lit(3), "v").alias("v_a"), F.xxhash64(F.lit(5), "v").alias("v_b")]
+        same = W.partitionBy("v_a", "v_b").orderBy("id")
+        few = kept.select("id", "v", *name).withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= most).select("id", "v")  # cut down before the shuffle, too
+        named = asked.select("id", "v", *name)
+        alike = named.groupBy("v_a", "v_b").agg(F.min("id").alias("id"), F.any_value("v").alias("v"), F.count("*").alias("_copies")).checkpoint()
+        found = _searched(few, alike.select("id", "v"), n, most, metric, max_distance)
+        if found is not None:
+            found = alike.select("v_a", "v_b", "_copies", F.col("id").alias("query_id")).join(found, "query_id").drop("query_id")
+            limit = max(1, alike.agg(F.sum("_copies")).first()[0] or 0) // FREQUENT
+            often = found.where(F.col("_copies") > max(1, limit)).drop("_copies")  # fewer than FREQUENT
+            seldom = found.where(F.col("_copies") <= max(1, limit)).drop("_copies")
+            named = named.select(F.col("id").alias("query_id"), "v_a", "v_b")
+            met = named.join(F.broadcast(often), ["v_a", "v_b"]).unionByName(named.join(seldom, ["v_a", "v_b"]))
+            best = F.filter("best", lambda x: x["id"] != F.col("query_id")) if skip_self else F.col("best")
+            out = met.select("query_id", F.posexplode(F.slice(best, 1, k)).alias("at", "b"))
+            return out.select("query_id", F.col("b.id").alias("id"), F.col("b.distance").alias("distance"), (F.col("at") + 1).alias("position"))
+
+    own = kept.select(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"), F.lit(0).alias("asks"), "id", "v")
+    sent = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), F.lit(1).alias("asks"), "id", "v")
+    found = _best_of_parts(own, sent, parts, k, metric, skip_self, max_distance).drop("part")
     place = W.partitionBy("query_id").orderBy("distance", "id")
     return found.withColumn("position", F.row_number().over(place)).where(F.col("position") <= k)
 
