@@ -12,14 +12,17 @@ whole text, is one stretch.
 
 Documents are dealt to blocks of about ``BLOCK_BYTES`` of text. A block meets
 each of its distinct stretches once, so a word in every document is one row a
-block, and a block's documents meet its own small table of stretches.
+block. What was found of them is put together to whole documents within a block,
+by looking its stretches up; exploded, every word of the corpus would be a row.
 """
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import json
 import os
+import re
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -27,9 +30,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .bpe import byte_alphabet
-from .common import drop, join_unevenly, read_table, repeated, row_key, written
+from .common import drop, join_unevenly, read_table, repeated, written
 
-BLOCK_BYTES = 16_000_000  # of text in a block, about
+BLOCK_BYTES = 8_000_000  # of text in a block, about
 LEAST_BYTES = 1_000_000  # of text in a block, if there are fewer blocks than tasks
 #: A single space between two characters that no tokenizer takes for white space.
 SPLIT_AT = r"(?U) (?<=[^\s\x1c-\x1f\u0085\u180e\u200b\ufeff] )(?=[^\s\x1c-\x1f\u0085\u180e\u200b\ufeff])"
@@ -158,6 +161,48 @@ def scores(entries: DataFrame, counts: DataFrame) -> DataFrame:
     return join_unevenly(links, counts, "pair", n).groupBy("stretch").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("docs").alias("count_sum"))
 
 
+def _looked_up(found):
+    """(place of each stretch in ``found``, a function from a text to its stretches in order)."""
+    split = re.compile(SPLIT_AT.removeprefix("(?U)")).split
+    return {stretch: i for i, stretch in enumerate(found.column("stretch").to_pylist())}.__getitem__, split
+
+
+def _pairs_held(texts, found):
+    """(pair, docs): how many documents of a block hold each pair of ids; a pair counts once a document."""
+    import pyarrow as pa
+
+    place, split = _looked_up(found)
+    lists = found.column("pairs").combine_chunks()
+    bounds = np.asarray(lists.offsets, np.int64) - (lists.offsets[0].as_py() if len(lists) else 0)
+    names, own = np.unique(np.asarray(lists.flatten()), return_inverse=True)
+    docs = np.zeros(len(names), np.int64)
+    for text, copies in zip(texts.column("text").to_pylist(), texts.column("copies").to_pylist()):
+        at = np.fromiter(map(place, set(split(text))), np.int64)
+        n = bounds[at + 1] - bounds[at]
+        held = own[np.repeat(bounds[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
+        docs[np.unique(held)] += copies
+    return pa.table({"pair": pa.array(names, pa.int64()), "docs": docs})
+
+
+SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+
+
+def _put_together(texts, found):
+    """The documents of a block from what was found of their stretches: doc_id, copies, sums, groups_sha256."""
+    import pyarrow as pa
+
+    place, split = _looked_up(found)
+    table = np.stack([np.asarray(found.column(c)) for c in SUMS], 1)
+    groups, sums, digests = found.column("groups").to_pylist(), [], []
+    for text in texts.column("text").to_pylist():
+        at = list(map(place, split(text)))
+        sums.append(table[at].sum(0))
+        digests.append(hashlib.sha256(";".join(map(groups.__getitem__, at)).encode()).hexdigest())
+    sums = np.array(sums, np.int64).reshape(-1, len(SUMS))
+    columns = {"doc_id": texts.column("doc_id"), "copies": texts.column("copies"), **{c: sums[:, i] for i, c in enumerate(SUMS)}, "groups_sha256": pa.array(digests, pa.string())}
+    return pa.table(columns)
+
+
 def align_documents(docs: DataFrame, path_a: str, path_b: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
 
@@ -170,14 +215,14 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, text_col: str = "
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
     taken = F.coalesce((F.col("text") != "") & ~F.contains("text", F.lit(SPACE_MARK)), F.lit(False))
-    rows = written(rows.select(*row_key("doc_id", "text"), "doc_id", F.when(taken, F.col("text")).alias("text"), "copies"), "texts")
+    rows = written(rows.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", F.when(taken, F.col("text")).alias("text"), "copies"), "texts")
     size, parts = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0, int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = 1 + max(size // BLOCK_BYTES, min(parts, size // LEAST_BYTES))
-    texts = rows.where("text is not null").withColumn("block", F.pmod("key_a", F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    texts = rows.where("text is not null").select("doc_id", "text", "copies", F.pmod("key", F.lit(blocks)).cast("int").alias("block"))
     split = F.split("text", SPLIT_AT)
 
     # the distinct stretches of each block; the tokens of each stretch of the corpus side by side
-    met = written(texts.select("block", F.explode(F.array_distinct(split)).alias("stretch")).distinct(), "met")
+    met = written(texts.repartition(blocks, "block").select("block", F.explode(F.array_distinct(split)).alias("stretch")).distinct(), "met")
     tokens = encoded(met.select("stretch").distinct(), path_a, path_b).withColumn("s", F.monotonically_increasing_id())
     tokens = written(tokens, "tokens")  # stored, as a lost task must not number them anew
     numbered = written(grouped(aligned(tokens.select("s", "a", "b"))), "numbered", **COPARTITIONED)
@@ -185,29 +230,24 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, text_col: str = "
     drop(tokens)
     drop(numbered)
 
-    # documents that hold a pair: its pairs are told apart within a document, which lies in one block
-    pairs = met.join(entries.select("stretch", F.array_distinct("links").alias("pairs")), "stretch").repartition(blocks, "block")
-    seen = texts.select("block", "key_a", "key_b", "copies", F.explode(F.array_distinct(split)).alias("stretch"))
-    held = seen.join(pairs.hint("shuffle_hash"), ["block", "stretch"]).select("block", "key_a", "key_b", "copies", F.explode("pairs").alias("pair")).distinct()
-    documents = written(held.groupBy("pair").agg(F.sum("copies").alias("docs")), "documents")
+    def by_block(found, run, schema):
+        return texts.groupBy("block").cogroup(met.join(found, "stretch").groupBy("block")).applyInArrow(run, schema)
+
+    # documents that hold a pair
+    held = by_block(entries.select("stretch", F.array_distinct("links").alias("pairs")), _pairs_held, "pair long, docs long")
+    documents = written(held.groupBy("pair").agg(F.sum("docs").alias("docs")), "documents")
     a_id = F.shiftright("pair", 32).alias("a_id")
     most = documents.groupBy(a_id).agg(F.max("docs").alias("most"))
     counts = written(documents.select(a_id, "pair", "docs").join(most, "a_id").select("pair", "docs", (F.col("docs") == F.col("most")).alias("best")), "counts")
     drop(documents)
 
     # every document's stretches in order, with what was found of each
-    sums = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
     scored = written(scores(entries, counts), "scored")
     found = written(entries.drop("links").join(scored, "stretch"), "found")
     for table in (entries, counts, scored):
         drop(table)
-    found = met.join(found, "stretch").repartition(blocks, "block")
-    one = ["block", "key_a", "key_b", "copies", "doc_id"]
-    occurring = texts.select(*one, F.posexplode(split).alias("pos", "stretch"))
-    in_order = F.transform(F.sort_array(F.collect_list(F.struct("pos", "groups"))), lambda x: x["groups"])
-    whole = occurring.join(found.hint("shuffle_hash"), ["block", "stretch"]).groupBy(*one).agg(
-        *(F.sum(c).alias(c) for c in sums), F.sha2(F.array_join(in_order, ";"), 256).alias("groups_sha256"))
-    without = rows.where("text is null").select("doc_id", "copies", *(F.lit(0).cast("long").alias(c) for c in sums), F.lit("").alias("groups_sha256"))
+    whole = by_block(found, _put_together, f"doc_id long, copies long, {', '.join(f'{c} long' for c in SUMS)}, groups_sha256 string")
+    without = rows.where("text is null").select("doc_id", "copies", *(F.lit(0).cast("long").alias(c) for c in SUMS), F.lit("").alias("groups_sha256"))
     return repeated(whole.select(without.columns).unionByName(without), "copies")
 
 
