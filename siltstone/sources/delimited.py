@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from . import xls
 
 DELIMITERS = ",;\t|"
 #: First bytes of container files (fixed values).
@@ -145,10 +146,24 @@ def _column(ref: str) -> int:
     return V.column_index(re.match(r"[A-Z]+", ref)[0])
 
 
-def read_xlsx(data: bytes, epoch_1904: bool | None = None) -> dict[str, list[tuple[int, dict[int, object]]]]:
-    """Rows (number, cells by column) of every sheet; shared strings, booleans, dates by number format, merged ranges filled."""
+def shows_date(number: int, code: str) -> bool:
+    """Whether a number format, built in or with a code of its own, shows a date or time."""
+    return number in DATE_FORMATS or bool(re.search(r"[ymdhs]", re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", code), re.I))
+
+
+def moment(serial: float, late: bool):
+    """The date of a spreadsheet's number, counted from 1904 if ``late``; the day that never was stays a number."""
     import datetime
 
+    if late:
+        return datetime.datetime(1904, 1, 1) + datetime.timedelta(days=serial)
+    if 60 <= serial < 61:
+        return serial
+    return datetime.datetime(1899, 12, 30) + datetime.timedelta(days=serial + (serial < 60))
+
+
+def read_xlsx(data: bytes, epoch_1904: bool | None = None) -> dict[str, list[tuple[int, dict[int, object]]]]:
+    """Rows (number, cells by column) of every sheet; shared strings, booleans, dates by number format, merged ranges filled."""
     n = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships"}
     z = zipfile.ZipFile(io.BytesIO(data))
     part = lambda p: ET.fromstring(z.read(p)) if p in z.namelist() else None
@@ -158,20 +173,12 @@ def read_xlsx(data: bytes, epoch_1904: bool | None = None) -> dict[str, list[tup
         own = {int(f.get("numFmtId")): f.get("formatCode", "") for f in styles.iterfind(".//m:numFmt", n)}
         for xf in styles.iterfind("m:cellXfs/m:xf", n):
             i = int(xf.get("numFmtId", 0))
-            code = re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", own.get(i, ""))
-            dated.append(i in DATE_FORMATS or bool(re.search(r"[ymdhs]", code, re.I)))
+            dated.append(shows_date(i, own.get(i, "")))
     book, rels = part("xl/workbook.xml"), part("xl/_rels/workbook.xml.rels")
     props = book.find("m:workbookPr", n)
     late = epoch_1904 if epoch_1904 is not None else props is not None and props.get("date1904") in ("1", "true")
     target = {r.get("Id"): r.get("Target") for r in rels}
 
-    def date(serial: float):
-        if late:
-            return datetime.datetime(1904, 1, 1) + datetime.timedelta(days=serial)
-        if 60 <= serial < 61:  # a day that never was
-            return serial
-        return datetime.datetime(1899, 12, 30) + datetime.timedelta(days=serial + (serial < 60))
-
     out = {}
     for s in book.iterfind("m:sheets/m:sheet", n):
         path = target[s.get(f"{{{n['r']}}}id")]
@@ -194,7 +201,7 @@ def read_xlsx(data: bytes, epoch_1904: bool | None = None) -> dict[str, list[tup
                         cells[at] = v.text
                     else:
                         x, style = float(v.text), int(c.get("s", 0))
-                        cells[at] = date(x) if style < len(dated) and dated[style] else x
+                        cells[at] = moment(x, late) if style < len(dated) and dated[style] else x
         for m in sheet.iterfind("m:mergeCells/m:mergeCell", n):
             a, b = (m.get("ref").split(":") * 2)[:2]
             r0, r1 = int(re.search(r"\d+", a)[0]), int(re.search(r"\d+", b)[0])
@@ -253,7 +260,7 @@ def sheet_cells(files: DataFrame, kind: str = "xlsx", most_rows: int | None = No
     def run(batches):
         import pyarrow as pa
 
-        read = read_xlsx if kind == "xlsx" else read_ods
+        read = {"xlsx": read_xlsx, "ods": read_ods, "xls": lambda content: xls.read_xls(content, shows_date, moment)}[kind]
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 rows = []
