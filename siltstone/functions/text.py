@@ -21,15 +21,6 @@ BARE = "".join(map(_bare, _MARKED))
 
 #: Signs that begin a list item (fixed values).
 BULLETS = "•●○◦▪▫‣·§–—−"
-#: Letters that a text needs before its language is guessed, and each language's commonest words.
-LEAST_LETTERS = 12
-COMMON_WORDS = {
-    "de": ["der", "die", "das", "und", "ist", "nicht", "ein", "eine", "mit", "den", "von", "zu"],
-    "en": ["the", "and", "of", "to", "in", "is", "that", "for", "with", "on", "was", "it"],
-    "es": ["el", "los", "las", "una", "que", "por", "con", "para", "del", "y", "es", "un"],
-    "fr": ["le", "les", "des", "et", "est", "une", "dans", "pour", "que", "qui", "du", "au"],
-    "ru": ["и", "в", "не", "на", "что", "с", "по", "это", "как", "для", "из", "он"],
-}
 
 
 def collapsed(text: Column) -> Column:
@@ -109,6 +100,11 @@ def estimated_tokens(text: Column, chars: float = 3.5) -> Column:
     return F.greatest(F.lit(1), F.round(F.length(text) / F.lit(chars)).cast("int"))
 
 
+def capitalised(text: Column) -> Column:
+    """Words between spaces with their first letter in upper case, the others in lower case."""
+    return F.array_join(F.transform(F.split(F.lower(text), " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 2**31 - 1))), " ")
+
+
 def has_word(text: Column) -> Column:
     return text.rlike(r"[\p{L}\p{N}]")
 
@@ -139,16 +135,3 @@ def table_row(line: Column) -> Column:
 def table_separator(line: Column) -> Column:
     """Whether a line is what stands below the head of a Markdown table."""
     return line.rlike(r"^[ \t]*\|([ \t]*[-:]+[ \t]*\|)+[ \t]*$")
-
-
-def language_of(text: Column) -> Column:
-    """A guess at the language by its commonest words, null below twelve letters or without any of them; ties by name."""
-    words = F.split(F.lower(text), r"[^\p{L}]+")
-
-    def held(common):
-        return F.size(F.filter(words, lambda w: w.isin(common)))
-
-    counts = [F.struct(held(common).alias("n"), F.lit(-i).alias("order"), F.lit(lang).alias("lang")) for i, (lang, common) in enumerate(sorted(COMMON_WORDS.items()))]
-    best = F.greatest(*counts)
-    enough = F.length(F.regexp_replace(text, r"[^\p{L}]", "")) >= LEAST_LETTERS
-    return F.when(enough & (best["n"] > 0), best["lang"])

@@ -100,6 +100,12 @@ def deltas(before: DataFrame, after: DataFrame, visible: float = 0.005, lower_is
     return out.withColumn("improved", F.when(F.abs("delta") >= visible, sign > 0))
 
 
+def variants(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(variant, side): which variants two runs (variant, …) have: both, or only the one before or after."""
+    a, b = (x.select("variant").distinct().withColumn(n, F.lit(True)) for x, n in ((before, "_a"), (after, "_b")))
+    return a.join(b, "variant", "full").select("variant", F.when(F.col("_b").isNull(), "before").when(F.col("_a").isNull(), "after").otherwise("both").alias("side"))
+
+
 def coverage(hits: DataFrame, keys: list[str] = ("variant",)) -> DataFrame:
     """(keys, hits, graded, relevant, partial, irrelevant)."""
     g = F.col("gain")

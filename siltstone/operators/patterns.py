@@ -60,42 +60,46 @@ def _ids_of(rows) -> dict[str, list]:
     return out
 
 
-def containing(docs: DataFrame, patterns: DataFrame, most: int | None = None) -> DataFrame:
-    """(item_id, doc_id): which documents (doc_id, t) hold which patterns (item_id, f), as often as rows repeat.
+def over(docs: DataFrame, patterns: DataFrame, build, find, schema: str, most: int | None = None) -> DataFrame:
+    """What ``find(build(patterns), ids, texts)`` gives, a record batch, for the patterns (item_id, f) and every batch of documents (doc_id, t).
 
-    A null text or pattern matches nothing. The texts are read once and not
-    shuffled while the patterns fit one automaton.
+    ``build`` gets [(item_id, f)] without null patterns. Texts are read once and
+    not shuffled while the patterns fit one automaton.
     """
     most = most or MOST_CHARACTERS
     asked = patterns.select(F.col("item_id").cast("long"), "f").where("f is not null")
     size = asked.agg(F.sum(F.length("f") + 1)).first()[0] or 0
     texts = docs.select(F.col("doc_id").cast("long"), "t")
-    spark, schema = docs.sparkSession, "item_id long, doc_id long"
     if size <= most:
-        held = spark.sparkContext.broadcast([tuple(r) for r in asked.collect()])  # at most ``most`` characters
-        name = uuid.uuid4().hex
+        held, name = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in asked.collect()]), uuid.uuid4().hex  # at most ``most`` characters
 
         def run(batches):
             if name not in _built:
                 _built.clear()
-                _built[name] = Automaton(_ids_of(held.value))
-            automaton = _built[name]
+                _built[name] = build(held.value)
             for b in batches:
-                yield _matches(automaton, b.column(0).to_pylist(), b.column(1).to_pylist())
+                yield find(_built[name], b.column(0).to_pylist(), b.column(1).to_pylist())
 
         return texts.mapInArrow(run, schema)
 
     groups = -(-2 * size // most)
     lots = 1 + (texts.agg(F.sum(F.length("t"))).first()[0] or 0) // LOT_CHARACTERS
-    one = asked.select("item_id", "f", F.pmod(F.xxhash64("f"), F.lit(groups)).alias("group"))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group")
-    many = texts.select("doc_id", "t", F.pmod(F.xxhash64("doc_id", F.length("t")), F.lit(lots)).alias("lot")).select("doc_id", "t", "lot", every)
-    one = one.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lots - 1).cast("long"))).alias("lot"))
+
+    def each(n):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    many = texts.select("doc_id", "t", F.pmod(F.xxhash64("doc_id", F.length("t")), F.lit(lots)).alias("lot")).select("doc_id", "t", "lot", each(groups).alias("group"))
+    one = asked.select("item_id", "f", F.pmod(F.xxhash64("f"), F.lit(groups)).alias("group"), each(lots).alias("lot"))
 
     def meet(patterns, texts):
         import pyarrow as pa
 
-        automaton = Automaton(_ids_of(zip(patterns.column("item_id").to_pylist(), patterns.column("f").to_pylist())))
-        return pa.Table.from_batches([_matches(automaton, texts.column("doc_id").to_pylist(), texts.column("t").to_pylist())])
+        built = build(list(zip(patterns.column("item_id").to_pylist(), patterns.column("f").to_pylist())))
+        return pa.Table.from_batches([find(built, texts.column("doc_id").to_pylist(), texts.column("t").to_pylist())])
 
     return one.groupBy("group", "lot").cogroup(many.groupBy("group", "lot")).applyInArrow(meet, schema)
+
+
+def containing(docs: DataFrame, patterns: DataFrame, most: int | None = None) -> DataFrame:
+    """(item_id, doc_id): which documents (doc_id, t) hold which patterns (item_id, f), as often as rows repeat; nulls match nothing."""
+    return over(docs, patterns, lambda rows: Automaton(_ids_of(rows)), _matches, "item_id long, doc_id long", most)

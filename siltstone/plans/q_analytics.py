@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import values as V
 from ..operators import clustering, evaluation, inspection, knn
+from ..sources import collections as C
 from . import tables as B
 from .q_retrieval import _knn_sql
 
@@ -253,9 +254,8 @@ def _(s, d):
 @add("j06_runs", "WITH a AS (SELECT DISTINCT event_type FROM events WHERE user_id % 2 = 0), b AS (SELECT DISTINCT event_type FROM events WHERE user_id % 3 = 0 AND event_type <> 'view') SELECT coalesce(a.event_type, b.event_type) AS variant, CASE WHEN b.event_type IS NULL THEN 'before' WHEN a.event_type IS NULL THEN 'after' ELSE 'both' END AS side FROM a FULL JOIN b ON a.event_type = b.event_type")
 def _(s, d):
     e = B.table(s, d, "events")
-    a = e.where("user_id % 2 = 0").select(F.col("event_type").alias("variant")).distinct().withColumn("a", F.lit(1))
-    b = e.where("user_id % 3 = 0 AND event_type != 'view'").select(F.col("event_type").alias("variant")).distinct().withColumn("b", F.lit(1))
-    return a.join(b, "variant", "full").select("variant", F.when(F.col("b").isNull(), "before").when(F.col("a").isNull(), "after").otherwise("both").alias("side"))
+    named = e.select(F.col("event_type").alias("variant"), "user_id")
+    return evaluation.variants(named.where("user_id % 2 = 0"), named.where("user_id % 3 = 0 AND variant != 'view'"))
 
 
 @add("j16_as_of", "SELECT e.event_id, max(p.event_id) AS page FROM events e JOIN events p ON p.user_id = e.user_id AND p.event_type = 'view' AND p.event_id <= e.event_id GROUP BY 1")
@@ -310,9 +310,10 @@ def _(s, d):
     return B.vectors(s, d).withColumn("n", n).where("n <= 3").select("label", F.col("id").alias("vec_id"))
 
 
-@add("o02_file_order", f"{_C} SELECT id, file, chunk_index FROM chunks WHERE file = 'src1/f0' ORDER BY chunk_index NULLS LAST, id LIMIT 20000")
+@add("o02_file_order", f"{_C}, c AS (SELECT id, file, CASE WHEN id % 9 <> 4 THEN chunk_index // 2 END AS chunk_index FROM chunks) SELECT id, file, chunk_index, row_number() OVER (PARTITION BY file ORDER BY chunk_index NULLS LAST, id) - 1 AS place FROM c")
 def _(s, d):
-    return B.chunks(s, d).where("file = 'src1/f0'").orderBy(F.col("chunk_index").asc_nulls_last(), "id").limit(20_000).select("id", "file", "chunk_index")
+    chunks = B.chunks(s, d).select("id", "file", F.when(F.col("id") % 9 != 4, F.floor(F.col("chunk_index") / 2)).alias("chunk_index"))
+    return C.in_file_order(chunks)
 
 
 @add("o05_natural_order", "SELECT source, row_number() OVER (ORDER BY regexp_extract(source, '\\d+')::INT) AS place FROM (SELECT DISTINCT source FROM documents)")

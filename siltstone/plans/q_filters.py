@@ -260,10 +260,9 @@ def _(s, d):
     return docs.select("source", F.size(T.tags(F.concat("t", F.lit(","), F.upper("t")))).cast("long").alias("tags"))
 
 
-@add("n16_masking", "SELECT doc_id, md5(regexp_replace(text, '(?i)((?:api[_-]?key|token|password|secret)\\s*[=:]\\s*\"?)[^\\s\",;]+', '\\1***', 'g')) AS masked FROM documents WHERE NOT regexp_matches(text, '(?i)bearer\\s')")
+@add("n16_masking", "SELECT doc_id, md5(regexp_replace(regexp_replace(text, '(?i)(bearer\\s+)[A-Za-z0-9._~+/=-]+', '\\1***', 'g'), '(?i)((?:api[_-]?key|token|password|secret)\\s*[=:]\\s*\"?)[^\\s\",;]+', '\\1***', 'g')) AS masked FROM documents")
 def _(s, d):
-    docs = B.table(s, d, "documents").where(~F.col("text").rlike(r"(?i)bearer\s"))
-    return docs.select("doc_id", F.md5(T.masked(F.col("text")).cast("binary")).alias("masked"))
+    return B.table(s, d, "documents").select("doc_id", F.md5(T.masked(F.col("text")).cast("binary")).alias("masked"))
 
 
 @add("n17_maps", "SELECT doc_id, CASE WHEN lang = 'en' THEN 1 ELSE 2 END AS kept FROM documents")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import values as V
 from ..functions import vectors as X
-from ..operators import chunking, clustering, evaluation, inspection, knn, retrieval, sync, tabular, web
+from ..operators import chunking, clustering, evaluation, inspection, knn, languages, locating, retrieval, sync, tabular, web
 from ..sources import collections as C
 from ..sources import delimited as D
 from ..streaming import events as E
@@ -42,15 +42,16 @@ def _(s, d):
     return C.page(rows, 50, 100, where=F.col("n_chars") > 200).select("id", "lang")
 
 
-@add("o04_top_k", "SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 25")
+@add("o04_top_k", "SELECT query_id, id, position FROM (SELECT user_id AS query_id, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS position FROM events) WHERE position <= 5")
 def _(s, d):
-    return B.table(s, d, "events").select("event_id", "value").orderBy(F.desc("value"), "event_id").limit(25)
+    hits = B.table(s, d, "events").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("id"), "value")
+    return retrieval.first_n(retrieval.ranked(hits, F.desc("value"), "id"), 5).select("query_id", "id", F.col("position").cast("long").alias("position"))
 
 
 @add("o11_variant_difference", "SELECT DISTINCT event_type AS variant FROM events WHERE user_id % 2 = 0 EXCEPT SELECT event_type FROM events WHERE user_id % 3 = 0 AND event_type <> 'view'")
 def _(s, d):
     e = B.table(s, d, "events").select(F.col("event_type").alias("variant"), "user_id")
-    return e.where("user_id % 2 = 0").select("variant").distinct().join(e.where("user_id % 3 = 0 AND variant != 'view'"), "variant", "left_anti")
+    return evaluation.variants(e.where("user_id % 2 = 0"), e.where("user_id % 3 = 0 AND variant != 'view'")).where("side = 'before'").select("variant")
 
 
 _FILES = f"WITH {B.CHUNKS_SQL}, c AS (SELECT *, substr(sha256(file), 1, 16) AS file_id FROM chunks)"
@@ -274,17 +275,21 @@ def _(s, d):
     return lines.groupBy("p_partkey").agg(F.count_if(T.table_row(F.col("line"))).alias("rows"), F.count_if(T.table_separator(F.col("line"))).alias("separators"))
 
 
-_COMMON = " UNION ALL ".join(f"SELECT '{lang}' AS guess, {i} AS o, {words} AS words" for i, (lang, words) in enumerate(sorted(T.COMMON_WORDS.items())))
-
-
-@add("x07_language", f"WITH w AS (SELECT doc_id, text, regexp_split_to_array(lower(text), '[^\\p{{L}}]+') AS ws, length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) AS letters FROM documents), c AS ({_COMMON}), n AS (SELECT doc_id, letters, guess, o, len(list_filter(ws, lambda x: list_contains(words, x))) AS n FROM w CROSS JOIN c), b AS (SELECT doc_id, any_value(letters) AS letters, arg_max(guess, n * 100 - o) AS guess, max(n) AS n FROM n GROUP BY 1) SELECT doc_id, CASE WHEN letters >= 12 AND n > 0 THEN guess END AS lang FROM b")
+@add("x07_language", r"""WITH d AS (SELECT doc_id, lang, list_filter(list_distinct(regexp_split_to_array(lower(text), '[^\p{L}]+')), lambda w: w <> '') AS ws, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS letters FROM documents),
+t AS (SELECT lang, unnest(ws) AS w FROM d WHERE lang IS NOT NULL AND doc_id % 5 <> 0), v AS (SELECT w FROM t GROUP BY w ORDER BY count(*) DESC, w LIMIT 2000),
+n AS (SELECT lang, count(*) AS docs FROM d WHERE lang IS NOT NULL AND ws IS NOT NULL AND doc_id % 5 <> 0 GROUP BY 1),
+m AS (SELECT v.w, n.lang, ln((count(t.w) + 1)::DOUBLE / (any_value(n.docs) + 2)) AS weight FROM v CROSS JOIN n LEFT JOIN t ON t.w = v.w AND t.lang = n.lang GROUP BY 1, 2),
+s AS (SELECT doc_id, m.lang, sum(weight) AS score FROM (SELECT doc_id, unnest(ws) AS w FROM d WHERE letters >= 12) x JOIN m ON m.w = x.w GROUP BY 1, 2),
+b AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, lang) AS place FROM s)
+SELECT d.doc_id, b.lang FROM d LEFT JOIN b ON d.doc_id = b.doc_id AND place = 1""")
 def _(s, d):
-    return B.table(s, d, "documents").select("doc_id", T.language_of(F.col("text")).alias("lang"))
+    docs = B.table(s, d, "documents").select("doc_id", F.col("text").alias("document"), "lang")
+    return languages.guess(docs, languages.learn(docs.where("doc_id % 5 != 0"), most_words=2000), "doc_id")
 
 
 @add("n02_capitalised", "SELECT p_partkey, list_aggregate(list_transform(string_split(lower(p_name), ' '), lambda w: upper(w[1:1]) || w[2:]), 'string_agg', ' ') AS name FROM part")
 def _(s, d):
-    return B.table(s, d, "part").select("p_partkey", F.initcap("p_name").alias("name"))
+    return B.table(s, d, "part").select("p_partkey", T.capitalised(F.col("p_name")).alias("name"))
 
 
 @add("n03_escaped", "SELECT doc_id, regexp_matches(text, '(?i)[еeё]?t\\. ') AS found FROM documents")
@@ -302,18 +307,19 @@ def _(s, d):
 # ---- tables and files
 
 
-@add("j10_row_diff", "SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN 'added' WHEN p_partkey % 5 = 1 THEN 'changed' ELSE 'unchanged' END AS status FROM part WHERE p_partkey % 7 <> 0 UNION ALL SELECT p_partkey, 'gone' FROM part WHERE p_partkey % 7 = 0 AND p_partkey % 5 <> 0")
+@add("j10_row_diff", """WITH f AS (SELECT p_partkey AS row_number, p_size::VARCHAR AS t, p_brand AS m FROM part WHERE p_partkey % 7 <> 0), o AS (SELECT p_partkey + 100000 AS row_number, p_size::VARCHAR AS t, CASE WHEN p_partkey % 3 = 0 THEN 'other' ELSE p_brand END AS m FROM part WHERE p_partkey % 5 <> 0),
+a AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY row_number) AS n FROM f), b AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY row_number) AS n FROM o)
+SELECT a.row_number, b.row_number AS old_row, CASE WHEN a.row_number IS NULL THEN 'disappeared' WHEN b.row_number IS NULL THEN 'added' WHEN a.m IS DISTINCT FROM b.m THEN 'metadata_only' ELSE 'unchanged' END AS status FROM a FULL JOIN b ON a.t = b.t AND a.n = b.n""")
 def _(s, d):
-    part = B.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.sha2("p_name", 256).alias("hash"))
-    fresh = part.where("id % 7 != 0")
-    old = part.where("id % 5 != 0").withColumn("hash", F.when(F.col("id") % 5 == 1, "old").otherwise(F.col("hash"))).select("id", F.col("hash").alias("was"))
-    status = F.when(F.col("hash").isNull(), "gone").when(F.col("was").isNull(), "added").when(F.col("hash") != F.col("was"), "changed").otherwise("unchanged")
-    return fresh.join(old, "id", "full").select("id", status.alias("status"))
+    part = B.table(s, d, "part").select(F.col("p_partkey").alias("row_number"), F.lit(None).cast("string").alias("row_key"), F.col("p_size").cast("string").alias("text_hash"), F.col("p_brand").alias("metadata_hash"))
+    other = F.when(F.col("row_number") % 3 == 0, "other").otherwise(F.col("metadata_hash"))
+    old = part.where("row_number % 5 != 0").withColumn("metadata_hash", other).withColumn("row_number", F.col("row_number") + 100_000)
+    return sync.row_diff(part.where("row_number % 7 != 0"), old)
 
 
-@add("b03_titles", "SELECT p_partkey, [p_brand, p_brand || ' (2)', 'C', 'Size'] AS titles, [regexp_replace(lower(p_brand), '[^a-z0-9]+', '_', 'g'), 'col_row_number'] AS keys FROM part WHERE p_partkey < 50")
+@add("b03_titles", "SELECT p_partkey, [p_brand, p_brand || ' (2)', 'C', 'Size'] AS titles, [regexp_replace(lower(p_brand), '[^a-z0-9]+', '_', 'g'), 'col_row_number'] AS keys FROM part")
 def _(s, d):
-    rows = B.table(s, d, "part").where("p_partkey < 50").select("p_partkey", "p_brand")
+    rows = B.table(s, d, "part").select("p_partkey", "p_brand")
 
     @F.pandas_udf("struct<titles:array<string>,keys:array<string>>")
     def named(brand):
@@ -332,16 +338,31 @@ def _(s, d):
     return tabular.manifest_after(old, plan, part.where("identity % 4 = 3"))
 
 
-@add("c13_sentences", "SELECT item_id, len(list_filter(list_transform(regexp_extract_all(text, '[^.!?\\n]+[.!?\\n]?'), lambda x: trim(x)), lambda x: length(x) > 1))::INT AS n FROM benchmark WHERE NOT regexp_matches(text, '[.!?\\n]\\s*.?[.!?\\n]') AND NOT regexp_matches(text, '[.!?\\n]\\s*\\S$')")
+_PLAIN = "trim(regexp_replace(replace(regexp_replace({}, '[-‐][ \\t]*\\n\\s*', '', 'g'), chr(173), ''), '\\s+', ' ', 'g'))"
+
+
+@add("c28_located", f"""WITH f AS (SELECT item_id, {_PLAIN.format("text")} AS f FROM benchmark), d AS (SELECT doc_id, {_PLAIN.format("text")} AS t FROM documents),
+p AS (SELECT item_id, doc_id, f, t, strpos(t, f) AS whole, strpos(t, f[:40]) AS a FROM f JOIN d ON f <> '' AND contains(t, f[:40])),
+q AS (SELECT *, strpos(t[a + 40:], f[-40:]) AS z FROM p)
+SELECT item_id, doc_id, CASE WHEN whole > 0 THEN 'exact' ELSE 'edges' END AS how, md5(CASE WHEN whole > 0 THEN f ELSE t[a:a + 40 + z + 38] END) AS said FROM q WHERE whole > 0 OR (length(f) > 80 AND z > 0)""")
 def _(s, d):
-    # plain prose only, where no sentence is a lone mark or letter
-    rows = B.table(s, d, "benchmark").where(~F.col("text").rlike(r"[.!?\n]\s*.?[.!?\n]") & ~F.col("text").rlike(r"[.!?\n]\s*\S$"))
+    docs = B.table(s, d, "documents").select("doc_id", F.col("text").alias("t"))
+    found = locating.located(docs, B.table(s, d, "benchmark").select("item_id", F.col("text").alias("f")))
+    said = F.expr("substring(t, begin + 1, end - begin)")
+    plain = F.trim(F.regexp_replace(F.replace(F.regexp_replace(said, r"[-‐][ \t]*\n\s*", ""), F.lit("\u00ad"), F.lit("")), r"\s+", " "))
+    return found.where("how in ('exact', 'edges')").join(docs, "doc_id").select("item_id", "doc_id", "how", F.md5(plain).alias("said"))
+
 
-    @F.pandas_udf("int")
-    def count(text):
-        return text.map(lambda t: len(chunking.sentences(t)))
+@add("c13_sentences", r"""WITH p AS (SELECT item_id, regexp_extract_all(text, '[^.!?\n]*[.!?\n]|[^.!?\n]+$') AS pieces FROM benchmark),
+r AS (SELECT item_id, list_reduce(list_prepend('', pieces), lambda a, x: CASE WHEN length(regexp_replace(regexp_extract(a, '[^\x01]*$') || x, '^\s+|\s+$', '', 'g')) > 1 AND regexp_matches(x, '[.!?\n]$') THEN a || x || chr(1) ELSE a || x END) AS cut FROM p),
+s AS (SELECT item_id, list_filter(list_transform(string_split(cut, chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS parts FROM r)
+SELECT item_id, len(parts)::INT AS n, md5(array_to_string(parts, '|')) AS said FROM s""")
+def _(s, d):
+    @F.pandas_udf("array<string>")
+    def cut(text):
+        return text.map(chunking.sentences)
 
-    return rows.select("item_id", count("text").alias("n"))
+    return B.table(s, d, "benchmark").select("item_id", cut("text").alias("parts")).select("item_id", F.size("parts").alias("n"), F.md5(F.array_join("parts", "|")).alias("said"))
 
 
 @add("x06_charset", "SELECT p_partkey, 'Größe ' || p_name AS text FROM part")
@@ -379,7 +400,7 @@ def _sheet(s, d):
     m = tabular.Mapping({"p_partkey": "Number", "p_name": "Name", "p_brand": "Brand"}, ["p_name"], {"p_brand": "brand"}, "p_partkey")
     old = part.where("p_partkey % 5 != 0").withColumn("p_name", F.when(F.col("p_partkey") % 5 == 1, "other").otherwise(F.col("p_name"))).withColumn("p_brand", F.when(F.col("p_partkey") % 5 == 2, "other").otherwise(F.col("p_brand")))
     manifest = tabular.row_documents(old, m, "s", "t").select("id", "row_number", "row_key", "text_hash", "metadata_hash")
-    return tabular.sheet_sync(part.where("p_partkey % 7 != 0"), m, manifest, "s", "t")
+    return {**tabular.sheet_sync(part.where("p_partkey % 7 != 0"), m, manifest, "s", "t"), "now": tabular.row_documents(part, m, "s", "t")}
 
 
 @add("b18_sheet_sync", "SELECT p_partkey AS row_number, CASE WHEN p_partkey % 7 = 0 THEN 'disappeared' WHEN p_partkey % 5 = 0 THEN 'added' WHEN p_partkey % 5 = 1 THEN 're_embedded' WHEN p_partkey % 5 = 2 THEN 'metadata_only' ELSE 'unchanged' END AS status FROM part WHERE p_partkey % 7 <> 0 OR p_partkey % 5 <> 0")
@@ -387,27 +408,30 @@ def _(s, d):
     return _sheet(s, d)["plan"].select(F.coalesce("row_number", "old_row").alias("row_number"), "status")
 
 
-@add("b18_sheet_manifest", "SELECT p_partkey AS row_number FROM part WHERE p_partkey % 7 <> 0 OR p_partkey % 5 <> 0")
+@add("b18_sheet_manifest", "SELECT p_partkey AS row_number, p_partkey % 7 <> 0 OR p_partkey % 5 <> 1 AS same_text, p_partkey % 7 <> 0 OR p_partkey % 5 <> 2 AS same_metadata FROM part WHERE p_partkey % 7 <> 0 OR p_partkey % 5 <> 0")
 def _(s, d):
-    return _sheet(s, d)["manifest"].select("row_number")
+    found = _sheet(s, d)
+    now = found["now"].select("row_number", F.col("text_hash").alias("t"), F.col("metadata_hash").alias("m"))
+    return found["manifest"].join(now, "row_number").select("row_number", (F.col("text_hash") == F.col("t")).alias("same_text"), (F.col("metadata_hash") == F.col("m")).alias("same_metadata"))
 
 
-@add("s35_extracted", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'html' WHEN 1 THEN 'plain' END AS extractor, CASE WHEN page_id % 3 = 2 THEN 'no extractor' END AS problem FROM pages WHERE html IS NOT NULL AND length(regexp_replace(html, '<[^>]*>', '', 'g')) > 100")
+@add("s35_extracted", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'html' WHEN 1 THEN 'plain' END AS extractor, CASE WHEN page_id % 3 = 1 THEN md5(html) END AS said, CASE WHEN page_id % 3 = 2 THEN 'no extractor' END AS problem FROM pages WHERE html IS NOT NULL AND length(regexp_replace(html, '<[^>]*>', '', 'g')) > 100")
 def _(s, d):
     from ..sources import extract
 
-    kind = F.element_at(F.array(F.lit("html"), F.lit("txt"), F.lit("pdf")), (F.col("page_id") % 3 + 1).cast("int"))
+    kind = F.element_at(F.array(F.lit("html"), F.lit("txt"), F.lit("xyz")), (F.col("page_id") % 3 + 1).cast("int"))
     pages = B.table(s, d, "pages").where("html is not null").where(F.length(F.regexp_replace("html", "<[^>]*>", "")) > 100)
     files = pages.select(F.concat_ws(".", "page_id", kind).alias("path"), F.encode("html", "UTF-8").alias("content"))
-    return extract.extracted(files).select(F.substring_index("path", ".", 1).cast("long").alias("page_id"), "extractor", "problem")
+    said = F.when(F.col("extractor") == "plain", F.md5("text"))
+    return extract.extracted(files).select(F.substring_index("path", ".", 1).cast("long").alias("page_id"), "extractor", said.alias("said"), "problem")
 
 
-@add("v12_embedded", "SELECT item_id AS id, 64 AS n FROM benchmark")
+@add("v12_embedded", "SELECT doc_id AS id, CASE WHEN doc_id % 10 <> 3 THEN [length(text), length(text) - length(replace(text, 'e', '')), length(text) - length(replace(text, ' ', ''))]::DOUBLE[] END AS embedding FROM documents")
 def _(s, d):
     from ..operators import embedding
 
-    rows = B.table(s, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("document"))
-    return embedding.embedded(rows, chunking.hashing_embedder(64)).select("id", F.size("embedding").alias("n"))
+    rows = B.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 10 != 3, F.col("text")).alias("document"))
+    return embedding.embedded(rows, lambda texts: [[len(t), t.count("e"), t.count(" ")] for t in texts], batch=7).select("id", "embedding")
 
 
 _FIRE = "CASE every WHEN 'hourly' THEN CASE WHEN date_trunc('hour', ts) + INTERVAL (m) MINUTE > ts THEN date_trunc('hour', ts) + INTERVAL (m) MINUTE ELSE date_trunc('hour', ts) + INTERVAL (m) MINUTE + INTERVAL 1 HOUR END WHEN 'daily' THEN CASE WHEN date_trunc('day', ts) + INTERVAL (h * 60 + m) MINUTE > ts THEN date_trunc('day', ts) + INTERVAL (h * 60 + m) MINUTE ELSE date_trunc('day', ts) + INTERVAL (h * 60 + m) MINUTE + INTERVAL 1 DAY END WHEN 'weekly' THEN CASE WHEN date_trunc('day', ts) + INTERVAL (h * 60 + m + ((w - isodow(ts) + 8) % 7) * 1440) MINUTE > ts THEN date_trunc('day', ts) + INTERVAL (h * 60 + m + ((w - isodow(ts) + 8) % 7) * 1440) MINUTE ELSE date_trunc('day', ts) + INTERVAL (h * 60 + m + ((w - isodow(ts) + 8) % 7 + 7) * 1440) MINUTE END END"
@@ -497,11 +521,11 @@ def _(s, d):
     return B.table(s, d, "pages").select("page_id", found[0].alias("page"), found[1].alias("map"))
 
 
-@add("u18_robots", "WITH p AS (SELECT page_id, regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1) AS path FROM pages) SELECT page_id, CASE WHEN starts_with(path, '/de/1') THEN true WHEN regexp_matches(path, '^/[a-z]+/2') THEN false WHEN starts_with(path, '/de/') THEN false ELSE true END AS allowed FROM p WHERE NOT regexp_matches(path, '^/de/2')")
+@add("u18_robots", "WITH p AS (SELECT page_id, regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1) AS path FROM pages) SELECT page_id, CASE WHEN starts_with(path, '/de/1') THEN true WHEN starts_with(path, '/de/') OR regexp_matches(path, '^/.*/2') THEN false ELSE true END AS allowed FROM p")
 def _(s, d):
     rules = web.robots_rules("User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /de/  # all\nAllow: /de/1\nDisallow: /*/2\nDisallow:\n")
     pages = B.table(s, d, "pages").select("page_id", F.regexp_extract("url", "^[^:]+://[^/?#]*([^?#]*)", 1).alias("path"))
-    return pages.where(~F.col("path").rlike("^/de/2")).select("page_id", _of("boolean", lambda p: web.robots_allows(rules, p))("path").alias("allowed"))
+    return pages.select("page_id", _of("boolean", lambda p: web.robots_allows(rules, p))("path").alias("allowed"))
 
 
 @add("c08_formats", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'markdown' WHEN 1 THEN 'html' WHEN 2 THEN 'code' WHEN 3 THEN 'code' END AS format FROM part")
@@ -527,12 +551,12 @@ def _(s, d):
     return tabular.spread_merged(cells, merged)
 
 
-@add("b07_unknown_placeholders", "SELECT p_partkey, 'x' || p_partkey AS unknown FROM part WHERE p_partkey < 200")
+@add("b07_unknown_placeholders", "SELECT p_partkey, 'x' || p_partkey AS unknown FROM part")
 def _(s, d):
     template = F.concat(F.lit("{Name} of {x"), "p_partkey", F.lit("} and {Name}"))
     m = tabular.Mapping({"p_name": "Name"}, ["p_name"])
     find = _of("string", lambda t: ",".join(tabular.unknown_placeholders(tabular.Mapping(m.titles, m.text, template=t))))
-    return B.table(s, d, "part").where("p_partkey < 200").select("p_partkey", find(template).alias("unknown"))
+    return B.table(s, d, "part").select("p_partkey", find(template).alias("unknown"))
 
 
 @add("r01_pool", "SELECT DISTINCT least(greatest(p_size, 1), 100) AS n, greatest(least(greatest(p_size, 1), 100), 20, least(greatest(p_size, 1), 100) * 5) AS pool, least(greatest(p_size, 1), 100) AS plain FROM part")
@@ -541,12 +565,12 @@ def _(s, d):
     return sizes.select("n", _of("int", lambda n: retrieval.pool_size(n, True))("n").alias("pool"), _of("int", lambda n: retrieval.pool_size(n, False))("n").alias("plain"))
 
 
-@add("r10_text_gate", "SELECT item_id, len(list_filter(regexp_split_to_array(trim(text[1:40]), '\\s+'), lambda w: regexp_matches(w, '[\\p{L}\\p{N}]'))) <= 5 AS runs FROM benchmark")
+@add("r10_text_gate", "SELECT item_id, len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: regexp_matches(w, '[\\p{L}\\p{N}]'))) <= 5 AS runs FROM benchmark")
 def _(s, d):
     from . import search
 
     profile = search.SearchProfile(text_max_words=5)
-    return B.table(s, d, "benchmark").select("item_id", _of("boolean", profile.text_runs)(F.substring("text", 1, 40)).alias("runs"))
+    return B.table(s, d, "benchmark").select("item_id", _of("boolean", profile.text_runs)("text").alias("runs"))
 
 
 @add("j15_deleted", "SELECT doc_id AS id, 'kept' AS what FROM documents WHERE doc_id NOT IN (SELECT c_custkey * 3 FROM customer) UNION ALL SELECT c_custkey * 3, 'missing' FROM customer WHERE c_custkey * 3 NOT IN (SELECT doc_id FROM documents)")

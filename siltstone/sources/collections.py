@@ -302,6 +302,12 @@ def file_chunks(chunks: DataFrame, file: str | None = None, file_id: str | None
     return own.orderBy(F.col("chunk_index").asc_nulls_last(), "id").offset(offset).limit(limit)
 
 
+def in_file_order(chunks: DataFrame, parts: int | None = None) -> DataFrame:
+    """``chunks`` with ``place``, from 0 on in their file, in order of index and id, chunks without an index last; a file may fill many parts."""
+    one = F.lit(1).cast("long")
+    return ordered.running(chunks, [F.col("chunk_index").asc_nulls_last(), F.col("id")], {"place": one}, parts, ["file"])
+
+
 def similar_files(chunks: DataFrame, path: str, most: int = 5) -> DataFrame:
     """(file, n): files whose name, case and marks aside, is that of ``path``, or holds it; what to offer where a path was not found."""
     name = T.fold_word(path.rsplit("/", 1)[-1])

@@ -172,7 +172,6 @@ def test_chunkers(spark):
     assert all(len(t) <= 85 for t in chunking.fit_to_limit(["word " * 100], 100))
     assert chunking.lead_ins("Things to buy:\n- a\n- b") == {1: "Things to buy:", 2: "Things to buy:"}
     assert chunking.locate("aa bb aa", [chunking.Chunk("aa"), chunking.Chunk("aa")]) == [(0, 2), (6, 8)]
-    assert chunking.find_fragment("one hyphen-\nated word", "hyphenated") == (4, 16)
     assert chunking.parse_model_chunks('```json\n["a", {"text": "b"}]\n```') == ["a", "b"]
     assert chunking.parse_model_chunks("no") is None
     noted = chunking.model_based("some text here", lambda w: "?", chunking.Config())

@@ -45,3 +45,35 @@ def test_upper_medians(spark, monkeypatch, few):
     assert inspection.upper_median(df.limit(0), "v", ["k"], few).collect() == []
     whole = inspection.upper_median(spark.range(1000).select((F.col("id") * 3).alias("v")), "v", few=few).collect()
     assert [r["median"] for r in whole] == [1500]
+
+
+def test_languages_of_texts_that_taught_nothing(spark, sf):
+    from siltstone.operators import languages
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet".replace("sf0.001", "sf0.01")).select("doc_id", F.col("text").alias("document"), "lang")
+    model = languages.learn(docs.where("doc_id % 5 != 0"))
+    held = docs.where("doc_id % 5 = 0 and lang is not null").withColumnRenamed("lang", "known").join(languages.guess(docs, model, "doc_id"), "doc_id")
+    right, n = held.where("known = lang").count(), held.where("lang is not null").count()
+    assert n > 20 and right >= 0.95 * n
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "a b c"), (4, "xqzxqz wvkwvk zzxzzx")], "doc_id long, document string")
+    assert {r["lang"] for r in languages.guess(odd, model, "doc_id").collect()} == {None}
+    assert languages.guess(odd, languages.learn(docs.limit(0)), "doc_id").where("lang is not null").count() == 0
+
+
+def test_fragments_are_located_in_changed_texts(spark, rows):
+    from siltstone.operators import locating
+
+    first, middle, last = "The quick brown fox jumps over the lazy dog once more. ", "Nothing of this stays as it is, whatever may happen to it. ", "In the end there is a sentence that everybody can find again."
+    whole = first + middle + last
+    texts = {
+        1: "Intro. " + whole.replace(" ", "  \n"), 2: first + "something else entirely " + last, 3: "Only: " + last + " and more",
+        4: "pre " + whole.replace("quick", "qu-\n  ick").replace("Nothing", "No-thing") + " post", 5: "ﬁnd the oﬃce", 6: "nothing at all", 7: None, 8: "", 9: "soft\u00adware is well-\nknown and semi-\nfinal",
+    }
+    asked = {1: whole, 2: "find the office", 3: " ", 4: None, 5: "software is wellknown", 6: "semi-final"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, t string")
+    wanted = spark.createDataFrame(list(asked.items()), "item_id long, f string")
+    got = {(r["item_id"], r["doc_id"]): (r["how"], texts[r["doc_id"]][r["begin"]: r["end"]]) for r in locating.located(docs, wanted).collect()}
+    assert got == {
+        (1, 1): ("exact", whole.replace(" ", "  \n")), (1, 2): ("edges", texts[2]), (1, 3): ("sentence", last), (1, 4): ("edges", texts[4][4:-5]),
+        (2, 5): ("exact", "ﬁnd the oﬃce"), (5, 9): ("exact", "soft\u00adware is well-\nknown"), (6, 9): ("without_hyphens", "semi-\nfinal")}
+    assert rows(locating.located(docs, wanted, 200)) == rows(locating.located(docs, wanted))
