@@ -41,7 +41,7 @@ SLICE = 1 << 19  # bytes of text hashed at once
 FREQUENT = 8  # shingles in more documents than this come last in the order
 LIST = 1_000_000  # frequent shingles that are sent to the tasks, at most; all others only come earlier in the order
 BUCKET = 1_500_000  # block entries that a task sorts
-TILE = 20_000  # members of a block compared in one task
+TILE = 5_000  # members of a block, or of each side of a pair of tiles, compared in one task
 TILE_SHINGLES = 2_000_000  # of the members of a cluster compared in one task, about
 #: Sizes of similar sets differ by a factor of 1.25 at most, so by one step of this factor.
 STEP = 1.26
