@@ -45,13 +45,25 @@ class Catalog:
     def _entry(self, name: str) -> str:
         return f"{self.root}/catalog/{name}.json"
 
-    def _save(self, c: Collection) -> None:
+    def holds(self, path: str) -> bool:
+        return self._fs.exists(self._path(path))
+
+    def put(self, path: str, text: str) -> None:
+        """Write a small file of the catalog."""
         if self.read_only:
             raise PermissionError("the catalog is read-only")
-        out = self._fs.create(self._path(self._entry(c.name)), True)
-        out.write(json.dumps(c.__dict__).encode())
+        out = self._fs.create(self._path(path), True)
+        out.write(text.encode())
         out.close()
 
+    def remove(self, path: str) -> None:
+        if self.read_only:
+            raise PermissionError("the catalog is read-only")
+        self._fs.delete(self._path(path), True)
+
+    def _save(self, c: Collection) -> None:
+        self.put(self._entry(c.name), json.dumps(c.__dict__))
+
     def create(self, name: str, metric: str = "cosine", metadata: dict | None = None, get_or_create: bool = False) -> Collection:
         if metric not in METRICS:
             raise ValueError(f"unknown metric {metric}")
@@ -144,7 +156,7 @@ def dimension(rows: DataFrame, vector: str = "embedding") -> DataFrame:
 
 def last_of_each(rows: DataFrame) -> DataFrame:
     """One row an id; of repeated ones an arbitrary but stable one."""
-    order = F.xxhash64(*[c for c in rows.columns])
+    order = F.xxhash64(*(F.array_sort(F.map_entries(c)) if kind.startswith("map<") else F.col(c) for c, kind in rows.dtypes))  # maps have no hash
     return rows.withColumn("_n", F.row_number().over(W.partitionBy("id").orderBy(order))).where("_n = 1").drop("_n")
 
 
