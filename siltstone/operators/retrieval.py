@@ -69,15 +69,17 @@ def text_candidates(docs: DataFrame, query: str, pool: int | None = None, whole:
     return out.withColumn("relevance", F.col("score") / F.col("_most")).drop("_most")
 
 
-def fuse(lists: list[tuple[DataFrame, float]], k: int = RRF_K, key: list[str] | None = None) -> DataFrame:
+def fuse(lists: list[tuple[DataFrame, float]], k: int = RRF_K, key: list[str] | None = None, keep: list[str] = ()) -> DataFrame:
     """Reciprocal-rank fusion of ranked lists with weights: query_id, id, score, relevance, position, placements.
 
-    Ties go to what was seen first: list by list, then by position.
+    Ties go to what was seen first: list by list, then by position. Columns of
+    ``keep``, which at most one list has, come along.
     """
     key = key or ["query_id", "id"]
-    union = reduce(DataFrame.unionByName, [df.select(*key, "position", F.lit(i).alias("list"), F.lit(float(w)).alias("weight")) for i, (df, w) in enumerate(lists)])
+    held = [df.select(*key, "position", F.lit(i).alias("list"), F.lit(float(w)).alias("weight"), *(c for c in keep if c in df.columns)) for i, (df, w) in enumerate(lists)]
+    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), held)
     placed = F.struct("list", "position")
-    fused = union.groupBy(*key).agg(F.sum(F.col("weight") / (F.lit(k) + F.col("position"))).alias("score"), F.min(placed).alias("_first"), F.array_sort(F.collect_list(placed)).alias("placements"))
+    fused = union.groupBy(*key).agg(F.sum(F.col("weight") / (F.lit(k) + F.col("position"))).alias("score"), F.min(placed).alias("_first"), F.array_sort(F.collect_list(placed)).alias("placements"), *(F.max(c).alias(c) for c in keep if c in union.columns))
     fused = fused.withColumn("score", F.round("score", 12))
     return ranked(fused, F.desc("score"), "_first").withColumn("relevance", F.col("score") / F.max("score").over(W.partitionBy("query_id"))).drop("_first")
 

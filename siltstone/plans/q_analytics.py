@@ -60,11 +60,16 @@ def _(s, d):
     return inspection.upper_median(_docs(s, d).withColumn("n", F.length("document")), "n", ["lang"])
 
 
-@add("a04_duplicates", "SELECT sha256(trim(text)) AS text_hash, count(*) AS n, list_sort(list(doc_id)) AS ids, list_sort(list_distinct(list(source)))[1:3] AS files FROM documents WHERE trim(text) <> '' GROUP BY 1 HAVING count(*) > 1")
+@add("a04_duplicates", "SELECT sha256(trim(text)) AS text_hash, count(*) AS n, min(doc_id) AS first, list_sort(list_distinct(list(source)))[1:3] AS files FROM documents WHERE trim(text) <> '' GROUP BY 1 HAVING count(*) > 1")
 def _(s, d):
     return inspection.duplicates(_docs(s, d), files="source")
 
 
+@add("a04_members", "SELECT id, text_hash, n FROM (SELECT doc_id AS id, sha256(trim(text)) AS text_hash, count(*) OVER (PARTITION BY sha256(trim(text))) AS n FROM documents WHERE trim(text) <> '') WHERE n > 1")
+def _(s, d):
+    return inspection.duplicate_members(_docs(s, d))
+
+
 @add("a05_chunk_gaps", f"{_C}, k AS (SELECT file, chunk_index, lag(chunk_index, 1, -1) OVER (PARTITION BY file ORDER BY chunk_index) AS before FROM chunks WHERE chunk_index % 7 <> 2 AND chunk_index % 5 <> 0) SELECT file, unnest(generate_series(before + 1, chunk_index - 1)) AS missing FROM k WHERE chunk_index - before > 1")
 def _(s, d):
     return inspection.chunk_gaps(B.chunks(s, d).where("chunk_index % 7 != 2 AND chunk_index % 5 != 0"))

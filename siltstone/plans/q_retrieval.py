@@ -266,9 +266,32 @@ SELECT id, round(score, 6) AS score, position FROM r WHERE position <= 10"""
 @add("hybrid_search", _HYBRID_SQL)
 def hybrid(s, d):
     docs = B.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("document"), "lang")
-    both = docs.join(B.vectors(s, d).select("id", "embedding"), "id", "left")  # a document without a vector is found by its text
-    query = B.vectors(s, d).orderBy("id").limit(1)
-    return search.hybrid_search(both, WORDS, query, search.SearchProfile()).select("id", F.round("score", 6).alias("score"), "position")
+    query = B.vectors(s, d).orderBy("id").limit(1)  # a document without a vector is found by its text
+    found = search.hybrid_search(docs, WORDS, query, search.SearchProfile(), vectors=B.vectors(s, d))
+    return found.select("id", F.round("score", 6).alias("score"), "position")
+
+
+def _lettered(text: str) -> list[float]:
+    """A vector for a text that SQL can give as well."""
+    return [1.0 + text.count("e") % 5 if i == 0 else (len(text) + i) % 7 - 3.0 for i in range(64)]
+
+
+_PREFIXED = "find: " + WORDS
+
+
+@add("hybrid_search_context_rerank", _HYBRID_SQL.split("\nr AS")[0].replace("SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1", f"SELECT {[1.0 + _PREFIXED.count('e') % 5 if i == 0 else (len(_PREFIXED) + i) % 7 - 3.0 for i in range(64)]}::DOUBLE[] AS embedding") + f"""
+r AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, first) AS position FROM f),
+{B.CHUNKS_SQL}, t AS (SELECT r.*, file, chunk_index, CASE WHEN position <= 6 THEN length(document) % 97 END AS grade FROM r JOIN chunks USING (id)),
+o AS (SELECT *, row_number() OVER (ORDER BY position > 6, grade DESC NULLS LAST, position) AS place FROM t)
+SELECT o.id, o.place AS position, coalesce(grade, -1)::INT AS grade, coalesce((SELECT string_agg(c.id, ',' ORDER BY c.chunk_index) FROM chunks c WHERE c.file = o.file AND abs(c.chunk_index - o.chunk_index) = 1 AND c.id NOT IN (SELECT id FROM t)), '') AS around FROM o WHERE place <= 10""")
+def _(s, d):
+    docs = B.chunks(s, d).select("id", "document", "file", "chunk_index")
+    profile = search.SearchProfile(context_window=1, rerank_head=6, query_prefix="find: ")
+    judge = lambda hits: hits.select("query_id", "id", (F.length("document") % 97).alias("score"))
+    found = search.hybrid_search(docs, WORDS, None, profile, embed=lambda texts: [_lettered(t) for t in texts], judge=judge, vectors=B.vectors(s, d))
+    around = F.array_join(F.transform(F.coalesce("context", F.array()), lambda c: c["id"].cast("string")), ",")
+    grade = F.when(F.col("rerank_score").isNull(), -1).otherwise(F.col("rerank_score")).cast("int")
+    return found.select("id", "position", grade.alias("grade"), around.alias("around"))
 
 
 @add("hybrid_search_profile")

@@ -54,9 +54,13 @@ class SearchProfile:
         return self.use_text and (self.text_max_words is None or T.word_count(query) <= self.text_max_words)
 
 
-def hybrid_search(docs: DataFrame, query_text: str, query_vector: DataFrame | None, profile: SearchProfile = SearchProfile(), parents: DataFrame | None = None, query_id: int = 0, embed=None, judge=None) -> DataFrame:
+def hybrid_search(docs: DataFrame, query_text: str, query_vector: DataFrame | None, profile: SearchProfile = SearchProfile(), parents: DataFrame | None = None, query_id: int = 0, embed=None, judge=None, vectors: DataFrame | None = None) -> DataFrame:
     """Ranked hits of one query over ``docs`` (id, document, embedding, metadata): query_id, position, id, document, distance, relevance, sources.
 
+    Where vectors are stored apart, ``vectors`` (id, embedding) gives them: then
+    they meet the documents by id only, and payloads are fetched for the fused
+    hits alone, which are at most two pools and are broadcast.
+
     ``query_vector`` has id and embedding (one row). Without it ``embed``, a
     function of a list of texts, is asked for the vector of the query behind the
     profile's prefix; without either only the text is searched. ``judge`` turns
@@ -71,19 +75,20 @@ def hybrid_search(docs: DataFrame, query_text: str, query_vector: DataFrame | No
         rows = rows.where(filters.level_scope(profile.level_scope, F.col("chunk_level")))
     if profile.minimum_length:
         rows = retrieval.long_enough(rows, profile.minimum_length)
-    pool, lists, near = profile.pool(), [], None
+    pool, lists = profile.pool(), []
     if query_vector is not None:
-        near = knn.nearest(rows, query_vector, pool, profile.metric).withColumn("query_id", F.lit(query_id).cast("long"))
-        lists.append((near.select("query_id", "id", "position"), profile.vector_weight))
+        kept = rows.select("id", "embedding") if vectors is None else vectors.select("id", "embedding").join(rows.select("id"), "id", "left_semi")
+        near = knn.nearest(kept, query_vector, pool, profile.metric).withColumn("query_id", F.lit(query_id).cast("long"))
+        lists.append((near.select("query_id", "id", "position", "distance"), profile.vector_weight))
     if profile.text_runs(query_text) or query_vector is None:
         found = retrieval.text_candidates(rows, query_text, pool, headings="heading_path" if "heading_path" in rows.columns else None)
         lists.append((found.select(F.lit(query_id).cast("long").alias("query_id"), "id", "position"), profile.text_weight))
-    hits = retrieval.fuse(lists, profile.rrf_k)
-    if near is not None:
-        hits = hits.join(near.select("query_id", "id", "distance"), ["query_id", "id"], "left")
-    else:
+    hits = retrieval.fuse(lists, profile.rrf_k, keep=["distance"])
+    if query_vector is None:
         hits = hits.withColumn("distance", F.lit(None).cast("double"))
-    hits = hits.join(rows, "id")
+    hits = rows.join(F.broadcast(hits), "id")
+    if vectors is not None and profile.diversity is not None:
+        hits = vectors.select("id", "embedding").join(F.broadcast(hits), "id", "right")
     if profile.length_target:
         hits = retrieval.prefer_length(hits, profile.length_target, profile.length_power)
     if profile.collapse_parents:

@@ -15,6 +15,7 @@ from collections.abc import Callable
 from urllib.parse import unquote
 from xml.etree import ElementTree as ET
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -174,8 +175,8 @@ def extracted(files: DataFrame, registry: list[Extractor] | None = None) -> Data
 def slide_chunks(files: DataFrame) -> DataFrame:
     """(path, slide, document): a chunk for each slide with a text, numbered from 1."""
 
-    @F.udf("array<string>")
-    def of(content):
-        return slides(bytes(content))
+    @F.pandas_udf("array<string>")
+    def of(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda c: slides(bytes(c)))
 
     return files.select("path", F.posexplode(of("content")).alias("slide", "document")).where("document != ''").withColumn("slide", F.col("slide") + 1)
