@@ -317,6 +317,23 @@ def _(s, d):
     return sync.row_diff(part.where("row_number % 7 != 0"), old)
 
 
+@add("b01_sheet_modes", "SELECT p_partkey AS sheet, CASE WHEN p_partkey % 5 = 0 THEN 'data_table' ELSE 'document' END AS mode, CASE WHEN p_partkey % 5 IN (0, 2, 4) THEN 1 END AS header, ['rows of one kind', 'no header row', 'mixed columns', 'one column', 'no rows'][1 + p_partkey % 5] AS reason FROM part")
+def _(s, d):
+    way = F.col("p_partkey") % 5
+    odd = F.when(way == 2, True).otherwise(False)
+
+    def cell(row, col, kind, value):
+        return F.struct(F.lit(row).cast("long").alias("row_number"), F.lit(col).alias("col"), kind.alias("kind"), value.cast("string").alias("value"))
+
+    text, number = F.lit("str"), F.lit("int")
+    cells = F.array(
+        cell(1, 0, text, F.lit("Name")), cell(1, 1, F.when(way == 1, number).otherwise(text), F.lit("7")), cell(2, 0, text, F.col("p_name")), cell(2, 1, number, F.col("p_size")),
+        cell(3, 0, F.when(odd, number).otherwise(text), F.col("p_partkey")), cell(3, 1, F.when(odd, text).otherwise(number), F.col("p_size")))
+    kept = F.filter(cells, lambda c: ((way != 3) | (c["col"] == 0)) & ((way != 4) | (c["row_number"] == 1)))
+    rows = B.table(s, d, "part").select(F.lit("f").alias("path"), F.col("p_partkey").alias("sheet"), F.explode(kept).alias("c")).select("path", "sheet", "c.*")
+    return tabular.sheet_modes(rows).select("sheet", "mode", F.col("header").cast("int").alias("header"), "reason")
+
+
 @add("b03_titles", "SELECT p_partkey, [p_brand, p_brand || ' (2)', 'C', 'Size'] AS titles, [regexp_replace(lower(p_brand), '[^a-z0-9]+', '_', 'g'), 'col_row_number'] AS keys FROM part")
 def _(s, d):
     rows = B.table(s, d, "part").select("p_partkey", "p_brand")

@@ -197,15 +197,19 @@ def test_sync_names(spark):
 
 
 def test_tabular(spark, rows):
-    sheet = [["Name", "Age"], ["Ann", 3], ["Bob", 4]]
-    assert tabular.sheet_mode(sheet) == {"mode": "data_table", "header": 0, "reason": "rows of one kind"}
-    assert tabular.sheet_mode(sheet, hidden=True)["mode"] == "skip"
-    spaced = [[], ["Name", None, "Age", ""], ["Ann", None, 3], ["Bob", None, 4]]  # an empty column between
-    assert tabular.sheet_mode(spaced) == {"mode": "data_table", "header": 1, "reason": "rows of one kind"}
-    assert tabular.sheet_mode([["Report", 2024], ["a", "b"]])["reason"] == "no header row"
-    assert tabular.sheet_mode([["a", "b"], ["x", 1], [2, "y"]]) == {"mode": "document", "header": 0, "reason": "mixed columns"}
-    assert tabular.sheet_mode([["just text"]])["mode"] == "document"
-    assert tabular.sheet_mode([[None, ""]])["mode"] == "skip"
+    sheets = {
+        "plain": [["Name", "Age"], ["Ann", 3], ["Bob", 4]], "spaced": [[], ["Name", None, "Age", ""], ["Ann", None, 3], ["Bob", None, 4]], "report": [["Report", 2024], ["a", "b"]],
+        "mixed": [["a", "b"], ["x", 1], [2, "y"]], "text": [["just text"]], "blank": [[None, " "]], "bare": [["a", "b"]], "hidden": [["Name", "Age"], ["Ann", 3]],
+        "long": [["a", "b"]] + [["x", 1]] * 20 + [["x", "y"]] * 9, "half": [["a", None, "c"], ["x", "y", "z"]]}
+    cells = [("f", name, i + 1, j, type(v).__name__, str(v)) for name, table in sheets.items() for i, row in enumerate(table) for j, v in enumerate(row) if v is not None]
+    cells = spark.createDataFrame(cells, "path string, sheet string, row_number long, col int, kind string, value string")
+    known = spark.createDataFrame([("f", name, name == "hidden") for name in sheets], "path string, sheet string, hidden boolean")
+    got = {r["sheet"]: (r["mode"], r["header"], r["reason"]) for r in tabular.sheet_modes(cells, known).collect()}
+    assert got == {
+        "plain": ("data_table", 1, "rows of one kind"), "spaced": ("data_table", 2, "rows of one kind"), "report": ("document", None, "no header row"), "mixed": ("document", 1, "mixed columns"),
+        "text": ("document", None, "one column"), "blank": ("skip", None, "empty"), "bare": ("document", 1, "no rows"), "hidden": ("skip", None, "hidden"), "long": ("data_table", 1, "rows of one kind"),
+        "half": ("document", None, "no header row")}
+    assert {r["sheet"] for r in tabular.sheet_modes(cells).collect()} == set(sheets) - {"blank"}
     assert tabular.titles(["A", None, "A"]) == ["A", "B", "A (2)"]
     assert tabular.keys(["Full Name", "full-name", "row_number", "1st"]) == ["full_name", "full_name_2", "col_row_number", "col_1st"]
     assert tabular.suggested_roles(["id", "Title", "price"]) == ({"id": "metadata", "Title": "text", "price": "metadata"}, "id")
