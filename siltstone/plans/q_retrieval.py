@@ -84,7 +84,19 @@ def _(s, d):
     return B.vectors(s, d).where(X.usable(F.col("embedding"), 64)).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@add("v10_mmr")
+def _diverse_sql(n: int, weight: float, relevance: str, k: int = 30) -> str:
+    """The first ``n`` of ``k`` hits chosen one after the other, each step a CTE over what was chosen before."""
+    out = f"WITH {_knn_sql(k=k)}, p AS MATERIALIZED (SELECT h.query_id, h.id, h.position, {weight}::DOUBLE * ({relevance}) AS own, v.embedding::DOUBLE[] AS e FROM hits h JOIN embeddings v ON v.vec_id = h.id)"
+    for i in range(1, n + 1):
+        before = " UNION ALL ".join(f"SELECT * FROM c{j}" for j in range(1, i))
+        near = f"(SELECT max(list_cosine_similarity(p.e, c.e)) FROM ({before}) c WHERE c.query_id = p.query_id)" if before else "0"
+        left = f"WHERE NOT EXISTS (SELECT 1 FROM ({before}) c WHERE c.query_id = p.query_id AND c.id = p.id)" if before else ""
+        score = f"round(own - {1 - weight}::DOUBLE * {near}, 12)"
+        out += f", c{i} AS MATERIALIZED (SELECT query_id, id, {i} AS position, e FROM (SELECT p.*, row_number() OVER (PARTITION BY query_id ORDER BY {score} DESC, p.position) AS turn FROM p {left}) WHERE turn = 1)"
+    return out + " " + " UNION ALL ".join(f"SELECT query_id, id, position FROM c{i}" for i in range(1, n + 1))
+
+
+@add("v10_mmr", _diverse_sql(5, 0.7, "least(1.0, greatest(0.0, 1 - h.distance))"))
 def _(s, d):
     hits = _hits(s, d, 30).join(B.vectors(s, d), "id").withColumn("relevance", X.similarity(F.col("distance")))
     return diversity.diversify(hits, 5)
@@ -172,7 +184,7 @@ def _(s, d):
     return docs.withColumn("n", first).where("n = 1").select("id")
 
 
-@add("r14_diversity")
+@add("r14_diversity", _diverse_sql(10, 0.5, "1 - (h.position - 1) / 30.0::DOUBLE"))
 def _(s, d):
     hits = _hits(s, d, 30).join(B.vectors(s, d), "id").withColumn("relevance", F.lit(None).cast("double"))
     return diversity.diversify(hits, 10, 0.5)
