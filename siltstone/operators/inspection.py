@@ -92,24 +92,28 @@ def _by_text(df: DataFrame, text: str, *more: str) -> DataFrame:
     return df.where(F.trim(text) != "").select(F.sha2(F.trim(text), 256).alias("text_hash"), "id", *more)
 
 
+def _groups(df: DataFrame, text: str, *more: Column) -> DataFrame:
+    return _by_text(df, text).groupBy("text_hash").agg(F.count("*").alias("n"), *more).where("n > 1")
+
+
 def duplicates(df: DataFrame, text: str = "document", files: str | None = None) -> DataFrame:
-    """(text_hash, n, first, files): groups of equal texts (ends trimmed), empty ones aside, with their smallest id; the first 3 files are named.
+    """(text_hash, n, ids, files): groups of equal texts (ends trimmed), empty ones aside, with all their ids in order; the first 3 files are named.
 
-    A group may hold any share of the rows: only counts and minima are gathered.
+    A group may hold any share of the rows: of its rows only ids are gathered.
+    ``duplicate_members`` gives the same members a row each.
     """
-    groups = _by_text(df, text).groupBy("text_hash").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
+    groups = _groups(df, text, F.array_sort(F.collect_list("id")).alias("ids"))
     if not files:
         return groups.withColumn("files", F.array().cast("array<string>"))
     each = _by_text(df, text, F.col(files).cast("string").alias("file")).where("file is not null").groupBy("text_hash", "file").agg(F.lit(1).alias("_one"))
     place = F.row_number().over(W.partitionBy("text_hash").orderBy("file"))
     named = each.withColumn("_n", place).where("_n <= 3").groupBy("text_hash").agg(F.array_sort(F.collect_list("file")).alias("files"))
-    return groups.join(named, "text_hash", "left").select("text_hash", "n", "first", F.coalesce("files", F.array().cast("array<string>")).alias("files"))
+    return groups.join(named, "text_hash", "left").select("text_hash", "n", "ids", F.coalesce("files", F.array().cast("array<string>")).alias("files"))
 
 
 def duplicate_members(df: DataFrame, text: str = "document") -> DataFrame:
     """(id, text_hash, n): every row whose text others have too, with its group. Hashes alone are joined, a large group's by Spark's skew join."""
-    groups = duplicates(df, text).select("text_hash", "n")
-    return _by_text(df, text).join(groups, "text_hash").select("id", "text_hash", "n")
+    return _by_text(df, text).join(_groups(df, text), "text_hash").select("id", "text_hash", "n")
 
 
 def chunk_gaps(chunks: DataFrame, file: str = "file", index: str = "chunk_index") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import text as T
 from siltstone.functions import values as V
 from siltstone.functions import vectors as X
-from siltstone.operators import chunking, clustering, diversity, embedding, evaluation, filters, retrieval, sync, tabular, web
+from siltstone.operators import chunking, clustering, diversity, embedding, evaluation, filters, inspection, retrieval, sync, tabular, web
 from siltstone.plans import search
 from siltstone.sources import collections as C
 from siltstone.sources import delimited as D
@@ -477,3 +477,9 @@ def test_semantic_chunks_turn_where_the_meaning_does():
     text = "Cats purr. Cats sleep. Cats eat. Stars shine. Stars burn. Stars fade."
     embed = lambda parts: [[1.0, 0.0] if "Cats" in p else [0.0, 1.0] for p in parts]
     assert chunking.semantic(text, embed, 5, 200, 0.9, 0) == ["Cats purr. Cats sleep. Cats eat.", "Stars shine. Stars burn. Stars fade."]
+
+
+def test_duplicate_groups_name_all_their_members(spark, rows):
+    df = spark.createDataFrame([(i, " same " if i % 2 else "same", "f") for i in (5, 3, 9, 1)] + [(2, "other", "f"), (4, "", "f"), (6, " ", "f"), (7, None, "f")], "id long, document string, source string")
+    assert rows(inspection.duplicates(df, files="source"), "n", "ids", "files") == [(4, [1, 3, 5, 9], ["f"])]
+    assert rows(inspection.duplicate_members(df), "id", "n") == [(1, 4), (3, 4), (5, 4), (9, 4)]
