@@ -483,3 +483,16 @@ def test_duplicate_groups_name_all_their_members(spark, rows):
     df = spark.createDataFrame([(i, " same " if i % 2 else "same", "f") for i in (5, 3, 9, 1)] + [(2, "other", "f"), (4, "", "f"), (6, " ", "f"), (7, None, "f")], "id long, document string, source string")
     assert rows(inspection.duplicates(df, files="source"), "n", "ids", "files") == [(4, [1, 3, 5, 9], ["f"])]
     assert rows(inspection.duplicate_members(df), "id", "n") == [(1, 4), (3, 4), (5, 4), (9, 4)]
+
+
+def test_chunks_are_handed_on_in_lots(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(chunking, "LOT_CHARACTERS", 500, raising=False)
+    texts = ["", "one two three. " * 40, None, "four five six. " * 60, "seven"]
+    given = pa.RecordBatch.from_arrays([pa.array(range(5), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    config = chunking.Config("hierarchical", 40)
+    lots = list(chunking._lots([given], config, None))
+    assert len(lots) > 5 and all(b.num_rows == 1 or sum(map(len, b.column(2).to_pylist())) <= 500 for b in lots)
+    got = [tuple(r.values()) for b in lots for r in b.to_pylist()]
+    assert got == [(i, n, c.text, c.level, c.parent, c.note) for i, t in enumerate(texts) for n, c in enumerate(chunking.produce(t or "", config))]
