@@ -496,3 +496,18 @@ def test_chunks_are_handed_on_in_lots(monkeypatch):
     assert len(lots) > 5 and all(b.num_rows == 1 or sum(map(len, b.column(2).to_pylist())) <= 500 for b in lots)
     got = [tuple(r.values()) for b in lots for r in b.to_pylist()]
     assert got == [(i, n, c.text, c.level, c.parent, c.note) for i, t in enumerate(texts) for n, c in enumerate(chunking.produce(t or "", config))]
+
+
+def test_a_word_is_hashed_once_whatever_its_occurrences(monkeypatch):
+    hashed, blake = [], hashlib.blake2b
+    monkeypatch.setattr(chunking.hashlib, "blake2b", lambda data, **k: hashed.append(data) or blake(data, **k))
+    texts = ["Zwölf zwölf elf. " * 50, "elf", "", "..."]
+    got = chunking.hashing_embedder(8)(texts)
+    assert sorted(hashed) == sorted([b"elf", "zwölf".encode()])
+    want = np.zeros((4, 8))
+    for i, words in enumerate([["zwölf", "zwölf", "elf"] * 50, ["elf"], [], []]):
+        for w in words:
+            h = int.from_bytes(blake(w.encode(), digest_size=8).digest(), "big")
+            want[i, h % 8] += 1.0 if h >> 63 else -1.0
+    assert np.array_equal(np.array(got), want)
+    assert chunking.hashing_embedder(8)([]) == []
