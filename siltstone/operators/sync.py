@@ -120,7 +120,7 @@ def row_diff(fresh: DataFrame, manifest: DataFrame) -> DataFrame:
     f, m = identified(fresh), identified(manifest).where(~F.col("_dup"))
     old = m.select("_name", "_n", F.col("row_number").alias("old_row"), F.col("text_hash").alias("old_text"), F.col("metadata_hash").alias("old_meta"))
     dups = f.where("_dup").select("row_number", F.lit(None).cast("long").alias("old_row"), F.lit("duplicate").alias("status"))
-    j = f.where("not _dup").join(old, ["_name", "_n"], "full")
+    j = f.where("not _dup").join(old.hint("shuffle_merge"), ["_name", "_n"], "full")  # neither side is small
     status = (
         F.when(F.col("row_number").isNull(), "disappeared").when(F.col("old_row").isNull(), "added")
         .when(F.col("text_hash") != F.col("old_text"), "re_embedded").when(~F.col("metadata_hash").eqNullSafe(F.col("old_meta")), "metadata_only").otherwise("unchanged")

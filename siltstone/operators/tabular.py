@@ -237,9 +237,10 @@ def sheet_sync(rows: DataFrame, m: Mapping, manifest: DataFrame, source: str, sh
     from .sync import row_diff
 
     fresh = row_documents(rows, m, source, sheet)
+    # both sides may be whole sheets, which Spark takes for small ones by the size of their compressed columns
     plan = row_diff(fresh, manifest)
-    told = fresh.join(plan.where("row_number is not null"), "row_number")
-    gone = manifest.join(plan.where("status = 'disappeared'").select(F.col("old_row").alias("row_number")), "row_number", "left_semi")
+    told = fresh.join(plan.where("row_number is not null").hint("shuffle_merge"), "row_number")
+    gone = manifest.join(plan.where("status = 'disappeared'").select(F.col("old_row").alias("row_number")).hint("shuffle_merge"), "row_number", "left_semi")
     kept = told.where("status != 'duplicate'").select(*manifest.columns)
     return {
         "write": told.where(F.col("status").isin("added", "re_embedded")).drop("status", "old_row"),

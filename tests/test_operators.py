@@ -511,3 +511,15 @@ def test_a_word_is_hashed_once_whatever_its_occurrences(monkeypatch):
             want[i, h % 8] += 1.0 if h >> 63 else -1.0
     assert np.array_equal(np.array(got), want)
     assert chunking.hashing_embedder(8)([]) == []
+
+
+def test_sheet_sync_sends_no_side_through_the_driver(spark):
+    rows = spark.createDataFrame([(i, f"n{i}", "b") for i in range(6)], "row_number long, name string, brand string")
+    m = tabular.Mapping({"name": "Name", "brand": "Brand"}, ["name"], {"brand": "brand"}, "row_number")
+    m.titles["row_number"] = "Number"
+    manifest = tabular.row_documents(rows.where("row_number > 1"), m, "s", "t").select("id", "row_number", "row_key", "text_hash", "metadata_hash")
+    found = tabular.sheet_sync(rows.where("row_number < 5"), m, manifest, "s", "t")
+    for k in ("plan", "manifest", "disappeared"):
+        assert "BroadcastHashJoin" not in found[k]._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["row_number"], r["status"]) for r in found["plan"].where("row_number < 2").collect()) == [(0, "added"), (1, "added")]
+    assert found["manifest"].count() == 6 and found["disappeared"].count() == 1
