@@ -523,3 +523,21 @@ def test_sheet_sync_sends_no_side_through_the_driver(spark):
         assert "BroadcastHashJoin" not in found[k]._jdf.queryExecution().executedPlan().toString()
     assert sorted((r["row_number"], r["status"]) for r in found["plan"].where("row_number < 2").collect()) == [(0, "added"), (1, "added")]
     assert found["manifest"].count() == 6 and found["disappeared"].count() == 1
+
+
+def test_rounds_of_a_fit_do_not_read_the_table_again(spark):
+    rng = np.random.default_rng(5)
+    source = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(200)], "id long, embedding array<double>")
+
+    def reads(rounds):
+        seen = spark.sparkContext.accumulator(0)
+
+        def counted(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        clustering.fit(source.mapInArrow(counted, source.schema), 4, 4, rounds=rounds)
+        return seen.value
+
+    assert reads(2) == reads(4)
