@@ -26,8 +26,9 @@ from .common import read_table, row_key, written
 CAPACITY = 4096
 END_ID = 1
 ROWS_PER_BUCKET = 50_000  # pieces numbered in one group at most, about
-CACHED = 300_000  # entries of a worker's memo of words, emptied when full
+CACHED = 1_000_000  # entries of a worker's memo of words, emptied when full
 LATIN_END = "\u0250"  # letters below are composed and have one lower case
+MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")  # end a word, and are prepared as one stretch
 
 _memos: dict[str, WordIds] = {}  # of this worker, by vocabulary file
 
@@ -130,8 +131,9 @@ class WordIds(dict):
         self.letters = {b: c for c, b in byte_alphabet().items()}
 
     def __missing__(self, word: str) -> bytes:
-        if len(word) > 1 and word[-1] in ".," and word[:-1].isalpha():
-            ids = self[word[:-1]] + self[word[-1]]
+        bare = word.rstrip(MARKS)
+        if bare and len(bare) < len(word) and bare.isalpha() and max(bare) < LATIN_END and bare.lower().isalpha():
+            ids = self[bare] + self[word[len(bare):]]
         elif word.isalpha() and max(word) < LATIN_END and (data := word.lower()).isalpha():  # composed letters of one word: all that the library's steps before the model do is known
             if not data.isascii():
                 data = "".join(map(self.letters.__getitem__, data.encode()))

@@ -356,6 +356,18 @@ def test_plan_packs_all_and_tightly():
     assert sum(t for t, _ in bins) <= -(-sum(k * n for k, n in histogram.items()) // 4096) + 1
 
 
+def test_words_with_marks_at_their_end(monkeypatch):
+    path, library = tokenizers_of("word_bpe_49k.json")
+    memo = packing.WordIds(path)
+    for word in ["İ.", "İ", "ones,###", "it's.", "x''.", "ß!!", "日本.", "a-b.", "..a..", "<|endoftext|>", "a<|endoftext|>", "a1.", "don't!", "a's,", "ŉ,"]:
+        assert memo.encode(word) == struct.pack(f"<{len(ids := library.encode(word, add_special_tokens=False).ids)}I", *ids), word
+    memo.clear()
+    asked = []
+    monkeypatch.setattr(memo, "tokenizer", type("Counting", (), {"encode": lambda self, word, **k: asked.append(word) or library.encode(word, **k)})())
+    memo.encode("ones ones,### ones.### ones!!")
+    assert sorted(asked) == ["!!", ",###", ".###"]  # a word is coded once whatever ends it
+
+
 @pytest.mark.parametrize("bucket", [50_000, 5])
 def test_pack_documents(spark, monkeypatch, bucket):
     path, library = tokenizers_of("word_bpe_49k.json")
