@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.llm import ann, bm25, bpe, compaction, fixity, graph, language, ngram_join, packing, substring_dedup, suffix_array, url_filter
+from siltstone.llm import ann, bm25, bpe, common, compaction, fixity, graph, language, ngram_join, packing, substring_dedup, suffix_array, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -115,6 +115,19 @@ def test_repeated_passages_of_periodic_texts(spark, rows, monkeypatch, group, ru
     assert rows(substring_dedup.deduplicate(frame(spark, alone), 100, 25)) == [(0, *brute_repeats(alone, 100)[0])]
 
 
+@pytest.mark.parametrize("group", [1 << 19, 2])
+def test_repeated_passages_leave_no_bytes_behind(spark, rows, monkeypatch, group):
+    monkeypatch.setattr(substring_dedup, "GROUP", group)
+    made = []
+    written = substring_dedup.written
+    monkeypatch.setattr(substring_dedup, "written", lambda df, name: made.append(written(df, name)) or made[-1])
+    texts = sample_texts()
+    found = substring_dedup.deduplicate(frame(spark, texts))
+    there = [t for t in made if t.written_to in common._written]
+    assert len(there) == 2 and not any("data" in t.columns for t in there)  # where pieces lie, and their runs
+    assert rows(found) == sorted(((i, *r) for i, r in enumerate(brute_repeats(texts, 400))), key=repr)
+
+
 def test_strip_repeats_keeps_rows_and_columns(spark):
     texts = sample_texts()
     out = substring_dedup.strip_repeats(frame(spark, texts).withColumn("spans", F.lit("mine")).withColumn("Key_A", F.lit(1)))
