@@ -3,7 +3,8 @@
 Fragments and documents are compared in a plain form, and what is found there
 is told in characters of the document as it is. Short seeds of all fragments,
 edges and longest sentences, are looked up in a document by one automaton, and
-only fragments with a seed in it are tried.
+only fragments with a seed in it are tried. Where characters stand is noted only
+of documents that hold a fragment.
 """
 
 from __future__ import annotations
@@ -19,6 +20,20 @@ EDGE = 40  # characters of a fragment's begin and end
 LEAST_SENTENCE = 24  # a shorter one could be anywhere
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 CHANGED = re.compile(r"[-‐][ \t]*\n\s*|­|\s+|[" + "".join(LIGATURES) + "]|[-‐]")
+JOINED = re.compile(r"[-‐][ \t]*\n\s*")  # a word's halves on two lines
+
+
+def plain(text: str, bare: bool = False) -> str:
+    """``Plain(text, bare).value``, without the places of its characters."""
+    if "\n" in text:
+        text = JOINED.sub("\u00ad", text)  # as a soft hyphen: it parts two runs of white space
+    if not text.isascii():
+        for ligature, letters in LIGATURES.items():
+            text = text.replace(ligature, letters)
+    text = " ".join(text.split())
+    for hyphen in "-‐":
+        text = text.replace(hyphen, "" if bare else "-")
+    return text.replace("\u00ad", "").lstrip(" ")
 
 
 class Plain:
@@ -69,7 +84,7 @@ class Fragments:
     def __init__(self, rows: list[tuple[int, str]]):
         self.forms = []
         for bare in (False, True):
-            needles = [(i, Plain(f, bare).value) for i, f in rows]
+            needles = [(i, plain(f, bare)) for i, f in rows]
             needles = [(n, i, f) for n, (i, f) in enumerate(needles) if f]
             seeds: dict[str, list] = {}
             for n, _, f in needles:
@@ -93,12 +108,13 @@ class Fragments:
         """(fragment, begin, end, how) of the fragments in a text."""
         out, done = [], set()
         for bare, seeds, needles in self.forms if text else ():
-            plain = Plain(text, bare)
-            for n in sorted(set(seeds.found(plain.value)) - done):
-                hit = self._tried(plain.value, needles[n][1])
+            value, places = plain(text, bare), None
+            for n in sorted(set(seeds.found(value)) - done):
+                hit = self._tried(value, needles[n][1])
                 if hit:
                     done.add(n)
-                    out.append((needles[n][0], *plain.span(hit[0], hit[1]), "without_hyphens" if bare else hit[2]))
+                    places = places or Plain(text, bare)
+                    out.append((needles[n][0], *places.span(hit[0], hit[1]), "without_hyphens" if bare else hit[2]))
         return out
 
 

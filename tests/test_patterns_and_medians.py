@@ -77,3 +77,18 @@ def test_fragments_are_located_in_changed_texts(spark, rows):
         (1, 1): ("exact", whole.replace(" ", "  \n")), (1, 2): ("edges", texts[2]), (1, 3): ("sentence", last), (1, 4): ("edges", texts[4][4:-5]),
         (2, 5): ("exact", "ﬁnd the oﬃce"), (5, 9): ("exact", "soft\u00adware is well-\nknown"), (6, 9): ("without_hyphens", "semi-\nfinal")}
     assert rows(locating.located(docs, wanted, 200)) == rows(locating.located(docs, wanted))
+
+
+def test_places_are_noted_only_where_a_fragment_lies(monkeypatch):
+    from siltstone.operators import locating
+
+    rng = random.Random(3)
+    letters = ["a", "b", " ", "\n", "\t", "-", "‐", "\u00ad", "ﬁ", "\u2003", "é"]
+    for _ in range(3000):
+        text = "".join(rng.choices(letters, k=rng.randrange(9)))
+        assert [locating.plain(text, bare) for bare in (False, True)] == [locating.Plain(text, bare).value for bare in (False, True)], repr(text)
+    held, made, whole = locating.Fragments([(7, "a fragment of some words")]), [], locating.Plain
+    monkeypatch.setattr(locating, "Plain", lambda text, bare=False: made.append(text) or whole(text, bare))
+    texts = ["nothing of it  here", "here\na  fragment of some  words", None, "", "- \u00ad a fragment of some words -"]
+    assert [[f[:3] for f in held.found(t)] for t in texts] == [[], [(7, 5, 31)], [], [], [(7, 4, 28)]]
+    assert made == [texts[1], texts[4]]
