@@ -54,12 +54,15 @@ class SearchProfile:
         return self.use_text and (self.text_max_words is None or T.word_count(query) <= self.text_max_words)
 
 
-def hybrid_search(docs: DataFrame, query_text: str, query_vector: DataFrame | None, profile: SearchProfile = SearchProfile(), parents: DataFrame | None = None, query_id: int = 0, embed=None, judge=None, vectors: DataFrame | None = None) -> DataFrame:
+def hybrid_search(docs: DataFrame, query_text: str, query_vector: DataFrame | None, profile: SearchProfile = SearchProfile(), parents: DataFrame | None = None, query_id: int = 0, embed=None, judge=None, vectors: DataFrame | None = None, places: DataFrame | None = None, with_vector: bool = False) -> DataFrame:
     """Ranked hits of one query over ``docs`` (id, document, embedding, metadata): query_id, position, id, document, distance, relevance, sources.
 
     Where vectors are stored apart, ``vectors`` (id, embedding) gives them: then
     they meet the documents by id only, and payloads are fetched for the fused
-    hits alone, which are at most two pools and are broadcast.
+    hits alone, which are at most two pools and are broadcast. ``with_vector``
+    then leaves out documents without one. ``places`` (id and columns such as
+    file, chunk_index and parent_id) are given apart where they are numbered over
+    many rows, which need not carry their texts for that.
 
     ``query_vector`` has id and embedding (one row). Without it ``embed``, a
     function of a list of texts, is asked for the vector of the query behind the
@@ -81,11 +84,14 @@ def hybrid_search(docs: DataFrame, query_text: str, query_vector: DataFrame | No
         near = knn.nearest(kept, query_vector, pool, profile.metric).withColumn("query_id", F.lit(query_id).cast("long"))
         lists.append((near.select("query_id", "id", "position", "distance"), profile.vector_weight))
     if profile.text_runs(query_text) or query_vector is None:
-        found = retrieval.text_candidates(rows, query_text, pool, headings="heading_path" if "heading_path" in rows.columns else None)
+        texts = rows.join(vectors.select("id"), "id", "left_semi") if with_vector and vectors is not None else rows
+        found = retrieval.text_candidates(texts, query_text, pool, headings="heading_path" if "heading_path" in texts.columns else None)
         lists.append((found.select(F.lit(query_id).cast("long").alias("query_id"), "id", "position"), profile.text_weight))
     hits = retrieval.fuse(lists, profile.rrf_k, keep=["distance"])
     if query_vector is None:
         hits = hits.withColumn("distance", F.lit(None).cast("double"))
+    if places is not None:
+        hits = places.join(F.broadcast(hits), "id")
     hits = rows.join(F.broadcast(hits), "id")
     if vectors is not None and profile.diversity is not None:
         hits = vectors.select("id", "embedding").join(F.broadcast(hits), "id", "right")

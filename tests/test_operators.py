@@ -541,3 +541,17 @@ def test_rounds_of_a_fit_do_not_read_the_table_again(spark):
         return seen.value
 
     assert reads(2) == reads(4)
+
+
+def test_search_numbers_places_without_texts(spark):
+    from siltstone.plans import search
+
+    docs = spark.createDataFrame([(i, f"alpha beta {i}", "en") for i in range(6)] + [(9, "alpha alpha", "en")], "id long, document string, lang string")
+    vectors = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(6)], "id long, embedding array<double>")
+    places = docs.selectExpr("id", "concat('p', id div 2) AS parent_id")
+    query = vectors.where("id = 0")
+    profile = search.SearchProfile(collapse_parents=True, diversity=0.5)
+    joined = docs.join(vectors, "id").join(places, "id")
+    want = search.hybrid_search(joined, "alpha", query, profile).select("id", "position", "parent_id").collect()
+    got = search.hybrid_search(docs, "alpha", query, profile, vectors=vectors, places=places, with_vector=True).select("id", "position", "parent_id").collect()
+    assert sorted(got) == sorted(want) and len(got) == 3  # nothing without a vector
