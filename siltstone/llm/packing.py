@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .bpe import byte_alphabet
-from .common import read_table, row_key, written
+from .common import FEW_ROWS, read_table, row_key, written
 
 CAPACITY = 4096
 END_ID = 1
 ROWS_PER_BUCKET = 50_000  # pieces numbered in one group at most, about
-CACHED = 1_000_000  # entries of a worker's memo of words, emptied when full
+CACHED = 300_000  # words of each of the two generations of a worker's memo
 LATIN_END = "\u0250"  # letters below are composed and have one lower case
 MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")  # end a word, and are prepared as one stretch
 
@@ -110,7 +110,8 @@ class WordIds(dict):
 
     For tokenizers that drop white space and split at it, a text's ids are those
     of its stretches end to end. Vocabularies of which that is not known, or
-    that prepare words in another way, are refused.
+    that prepare words in another way, are refused. Words met since the memo was
+    last full stay, with those met in the time before it: frequent ones never go.
     """
 
     #: How a vocabulary must prepare texts (fixed values).
@@ -129,23 +130,35 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = {b: c for c, b in byte_alphabet().items()}
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        bare = word.rstrip(MARKS)
-        if bare and len(bare) < len(word) and bare.isalpha() and max(bare) < LATIN_END and bare.lower().isalpha():
-            ids = self[bare] + self[word[len(bare):]]
-        elif word.isalpha() and max(word) < LATIN_END and (data := word.lower()).isalpha():  # composed letters of one word: all that the library's steps before the model do is known
-            if not data.isascii():
-                data = "".join(map(self.letters.__getitem__, data.encode()))
-            ids = array("I", [t.id for t in self.model.tokenize(data)]).tobytes()
-        else:
-            ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes() if word else b""
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.coded(word)
         if len(word) <= 48:
             if len(self) >= CACHED:
+                self.older = {}  # gone before its place is taken
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
 
+    def coded(self, word: str) -> bytes:
+        if word.isalpha():
+            if word.isascii():
+                return self.plain(word.lower())
+            if max(word) < LATIN_END and (data := word.lower()).isalpha():  # composed letters of one word: all that the library's steps before the model do is known
+                return self.plain("".join(map(self.letters.__getitem__, data.encode())))
+        else:
+            bare = word.rstrip(MARKS)
+            if len(bare) < len(word) and bare.isalpha() and max(bare) < LATIN_END and bare.lower().isalpha():
+                return self[bare] + self[word[len(bare):]]
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes() if word else b""
+
+    def plain(self, letters: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
@@ -181,7 +194,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (with ``length`` from 1 to ``capacity``) with sequence_id and offset."""
     spark = pieces.sparkSession
-    pieces = written(pieces, "pieces")
+    pieces = written(pieces, "pieces", **FEW_ROWS)
     n = pieces.count()
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
     sent = spark.sparkContext.broadcast(Slots(plan(histogram, capacity)))

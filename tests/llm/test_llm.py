@@ -381,6 +381,32 @@ def test_words_with_marks_at_their_end(monkeypatch):
     assert sorted(asked) == ["!!", ",###", ".###"]  # a word is coded once whatever ends it
 
 
+def test_memo_of_words_is_bounded_and_keeps_frequent_ones(monkeypatch):
+    path, library = tokenizers_of("word_bpe_49k.json")
+    monkeypatch.setattr(packing, "CACHED", 20)
+    memo, coded = packing.WordIds(path), []
+    plain = memo.plain
+    memo.plain = lambda letters: coded.append(letters) or plain(letters)
+    for i in range(500):
+        text = "often " + "".join(chr(97 + int(c)) for c in str(i))
+        assert memo.encode(text) == struct.pack(f"<{len(ids := library.encode(text, add_special_tokens=False).ids)}I", *ids)
+        assert len(memo) <= 20 and len(memo.older) <= 20
+    assert coded.count("often") == 1
+
+
+def test_a_text_goes_to_the_tasks_once(spark):
+    docs = frame(spark, ["a" * 500, None])
+    row = substring_dedup._with_spans(docs, 400, 64).schema["row"].dataType
+    assert row["text"].dataType.typeName() == "boolean"  # not the text again
+    assert sorted((r["doc_id"], r["text"]) for r in substring_dedup.strip_repeats(docs).collect()) == [(0, ""), (1, None)]
+
+
+def test_settings_of_a_written_table_are_put_back(spark):
+    before = spark.conf.get(RECORDS := "spark.sql.execution.arrow.maxRecordsPerBatch")
+    common.written(spark.range(3), "three", **common.FEW_ROWS)
+    assert spark.conf.get(RECORDS) == before
+
+
 @pytest.mark.parametrize("bucket", [50_000, 5])
 def test_pack_documents(spark, monkeypatch, bucket):
     path, library = tokenizers_of("word_bpe_49k.json")
