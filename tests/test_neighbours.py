@@ -77,3 +77,15 @@ def test_no_rows_and_no_pivots(spark, monkeypatch):
     df = frame(spark, [[0.0, 0.0]] * 5)
     assert knn.nearest(df, df, 2).where(F.col("distance") == 1).count() == 10
     assert knn.nearest(df.limit(0), df, 2).collect() == [] and knn.nearest(df, df.limit(0), 2).collect() == []
+
+
+def test_single_components_travel_as_such(spark, monkeypatch):
+    monkeypatch.setattr(knn, "PART_ROWS", 16)
+    vectors = np.random.default_rng(4).normal(size=(40, 4)).astype(np.float32)
+    single = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "id long, embedding array<float>")
+    double = single.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    kinds, best = [], knn._best_of_parts
+    monkeypatch.setattr(knn, "_best_of_parts", lambda own, sent, *rest: kinds.append({f.schema["v"].dataType.simpleString() for f in (own, sent)}) or best(own, sent, *rest))
+    found = [sorted(map(tuple, knn.nearest(rows, single, 3, skip_self=True).select("query_id", "id", "distance").collect())) for rows in (single, double)]
+    assert found[0] == found[1] and len(found[0]) == 120
+    assert kinds[0] == {"array<float>"} and kinds[-1] == {"array<double>"}
