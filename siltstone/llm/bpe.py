@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, slices, text_bytes
 
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 RUNS = [regex.compile(x) for x in (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+", r"\s+")]
@@ -31,6 +31,8 @@ BLOCK = 4096  # bytes or characters handled at once beyond the lookahead
 CACHED = 500_000  # entries of a worker's memo of words, emptied when full
 LONGEST = 48  # characters of a memoised word
 PART = 65_536  # characters of a text coded at once
+SHORT = 64  # bytes of a stretch that is merged pair by pair, or together with others
+LEARNT = 1_000_000  # bytes of texts whose words are coded together
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -51,7 +53,7 @@ class Merges:
 
     def __init__(self, tokens: dict[int, bytes], pairs: list[tuple[int, int, int]], special: dict[str, int] | None = None):
         self.tokens, self.special = tokens, special or {}
-        self.rank = {(a, b): (r, c) for r, (a, b, c) in enumerate(pairs)}
+        self.order = {(a, b): r for r, (a, b, _) in enumerate(pairs)}
         self.first = [0] * 256
         made = set()
         for i, t in tokens.items():
@@ -63,6 +65,7 @@ class Merges:
                 raise ValueError("the merge list must be in order of training")
             made.add(c)
         self.pairs = pairs
+        self.memo = self.table = None
         self.lookahead = self._lookahead()
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.longest_special = max(map(len, self.special), default=0)
@@ -95,38 +98,102 @@ class Merges:
     def merge(self, data: bytes) -> list[int]:
         """Ids of one stretch of bytes."""
         ids = [self.first[b] for b in data]
-        if len(ids) > 64:
+        if len(ids) > SHORT:
             return self._merge_long(ids)
-        rank = self.rank
-        while len(ids) > 1:
-            best = None
-            for i in range(len(ids) - 1):
-                found = rank.get((ids[i], ids[i + 1]))
-                if found is not None and (best is None or found[0] < best[0]):
-                    best, at = found, i
-            if best is None:
+        order, none = self.order.get, len(self.pairs)
+        ranks = [order(pair, none) for pair in zip(ids, ids[1:])]  # only a merge's neighbours change theirs
+        while ranks:
+            best = min(ranks)
+            if best == none:
                 break
-            ids[at:at + 2] = [best[1]]
+            at = ranks.index(best)
+            ids[at:at + 2] = [self.pairs[best][2]]
+            del ranks[at]
+            if at < len(ranks):
+                ranks[at] = order((ids[at], ids[at + 1]), none)
+            if at:
+                ranks[at - 1] = order((ids[at - 1], ids[at]), none)
         return ids
 
+    def merge_many(self, words: list[bytes]) -> list[bytes]:
+        """Little-endian ids of many short stretches, each round of merges made in all of them at once.
+
+        A round takes one token from every stretch that is not done, so those
+        of one length stay one table; shorter stretches join it when it has
+        come down to theirs.
+        """
+        if self.table is None:
+            width = max(self.tokens) + 1
+            keys = np.array([a * width + b for a, b, _ in self.pairs], np.int64)
+            by = np.argsort(keys)
+            self.table = width, np.append(keys[by], -1), np.append(by, 0), np.array([c for _, _, c in self.pairs] or [0]), np.array(self.first)
+        width, keys, ranks, made, first = self.table
+        none = len(self.pairs)
+
+        def rank(left, right):
+            key = left * width + right
+            at = np.searchsorted(keys[:-1], key)
+            return np.where(keys[at] == key, ranks[at], none)
+
+        out = [b""] * len(words)
+        by_length: dict[int, list[int]] = {}
+        for i, word in enumerate(words):
+            by_length.setdefault(len(word), []).append(i)
+        ids, order, place = np.zeros((0, 0), np.int64), np.zeros((0, 0), np.int64), np.zeros(0, np.int64)
+
+        def done(ids, place):
+            size, data = 4 * ids.shape[1], ids.astype("<u4").tobytes()
+            for n, i in enumerate(place.tolist()):
+                out[i] = data[n * size:(n + 1) * size]
+
+        for length in range(max(by_length, default=0), 0, -1):
+            if own := by_length.get(length):
+                more = first[np.frombuffer(b"".join([words[i] for i in own]), np.uint8)].reshape(-1, length)
+                if len(place):
+                    ids, order = np.concatenate([ids, more]), np.concatenate([order, rank(more[:, :-1], more[:, 1:])])
+                else:
+                    ids, order = more, rank(more[:, :-1], more[:, 1:])
+                place = np.concatenate([place, own])
+            if not len(place):
+                continue
+            if length == 1:
+                done(ids, place)
+                break
+            row = np.arange(len(place))
+            at = order.argmin(1)
+            best = order[row, at]
+            if (ended := best == none).any():
+                done(ids[ended], place[ended])
+                ids, order, place, at, best, row = ids[~ended], order[~ended], place[~ended], at[~ended], best[~ended], row[: len(row) - ended.sum()]
+            ids[row, at] = made[best]
+            kept = np.ones(ids.shape, bool)
+            kept[row, at + 1] = False
+            ids = ids[kept].reshape(len(place), length - 1)
+            kept = np.ones(order.shape, bool)
+            kept[row, at] = False
+            order = order[kept].reshape(len(place), length - 2)
+            for side in (at - 1, at):  # the pairs beside what was merged
+                r = np.flatnonzero((side >= 0) & (side < length - 2))
+                order[r, side[r]] = rank(ids[r, side[r]], ids[r, side[r] + 1])
+        return out
+
     def _merge_long(self, ids: list[int]) -> list[int]:
-        n, rank = len(ids), self.rank
+        n, order = len(ids), self.order
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(*rank[pair], i) for i, pair in enumerate(zip(ids, ids[1:])) if pair in rank]
-        heap = [(r, i, c) for r, c, i in heap]
+        heap = [(order[pair], i) for i, pair in enumerate(zip(ids, ids[1:])) if pair in order]
         heapq.heapify(heap)
         while heap:
-            r, i, c = heapq.heappop(heap)
+            r, i = heapq.heappop(heap)
             j = right[i]
-            if ids[i] < 0 or j < 0 or rank.get((ids[i], ids[j])) != (r, c):
+            if ids[i] < 0 or j < 0 or order.get((ids[i], ids[j])) != r:
                 continue
-            ids[i], ids[j] = c, -1
+            ids[i], ids[j] = self.pairs[r][2], -1
             right[i] = right[j]
             if right[j] >= 0:
                 left[right[j]] = i
             for a, b in ((left[i], i), (i, right[i])):
-                if a >= 0 and b >= 0 and (found := rank.get((ids[a], ids[b]))):
-                    heapq.heappush(heap, (found[0], a, found[1]))
+                if a >= 0 and b >= 0 and (found := order.get((ids[a], ids[b]))) is not None:
+                    heapq.heappush(heap, (found, a))
         return [i for i in ids if i >= 0]
 
 
@@ -253,22 +320,31 @@ class WordMemo(dict):
     """Little-endian ids that the transducer gives for words, as they follow a single space.
 
     A word holds no space at its ends, so the pre-tokens before and after it
-    are split from it whatever they are. The memo has a bounded number of
-    entries, each of a bounded length.
+    are split from it whatever they are. Other pre-tokens of short words have a
+    memo of their own. Both have a bounded number of entries, each of a bounded
+    length.
     """
 
     def __init__(self, merges: Merges):
         super().__init__()
         self.merges, self.transducer = merges, Transducer(merges)
         self.cuts = not any(c.isspace() for token in merges.special for c in token)
+        self.parts: dict[str, bytes] = {}
+
+    @classmethod
+    def of(cls, merges: Merges) -> WordMemo:
+        """The one memo of ``merges`` in this process, so that a worker's next task finds what its last one coded."""
+        if merges.memo is None:
+            merges.memo = cls(merges)
+        return merges.memo
 
     def __missing__(self, word: str) -> bytes:
         if not word or word[0].isspace() or word[-1].isspace():
             raise KeyError(word)
-        if len(word) > 1 and word[-1] in ".," and word[:-1].isalpha():
-            ids = self[word[:-1]] + self.plain(word[-1])
-        elif word.isalpha():  # one pre-token
-            ids = np.array(self.transducer.feed(b" " + word.encode()) + self.transducer.finish(), "<u4").tobytes()
+        if word.isalpha():  # one pre-token
+            ids = self._coded(" " + word)
+        elif len(word) <= LONGEST and not (self.merges.split and self.merges.split.search(word)):
+            ids = b"".join(map(self._part, PATTERN.findall(" " + word)))
         else:
             ids = self.plain(" " + word)
         if len(word) <= LONGEST:
@@ -277,6 +353,43 @@ class WordMemo(dict):
             self[word] = ids
         return ids
 
+    def learn(self, texts: list[str]) -> None:
+        """Take in the short words of ``texts`` together; what is left out is coded when it is met."""
+        words = set().union(*(text.split(" ") for text in texts))
+        unseen = [w for w in words if w not in self]
+        if len(self) + len(unseen) > CACHED:
+            self.clear()
+            unseen = words
+        split = {}
+        for w in unseen:
+            if w.isalpha():
+                if len(w) <= LONGEST:
+                    split[w] = (" " + w,)
+            elif w and len(w) <= LONGEST and not w[0].isspace() and not w[-1].isspace() and not (self.merges.split and self.merges.split.search(w)):
+                split[w] = PATTERN.findall(" " + w)
+        parts = list({p for of in split.values() for p in of})
+        coded = [p.encode() for p in parts]
+        short = [i for i, x in enumerate(coded) if len(x) <= SHORT]
+        ids = dict(zip([parts[i] for i in short], self.merges.merge_many([coded[i] for i in short])))
+        for w, of in split.items():
+            if len(self) >= CACHED:
+                break
+            self[w] = b"".join([ids[p] if p in ids else self._part(p) for p in of])
+
+    def _coded(self, part: str) -> bytes:
+        return np.array(self.transducer.feed(part.encode()) + self.transducer.finish(), "<u4").tobytes()
+
+    def _part(self, part: str) -> bytes:
+        """Ids of a pre-token of a short word."""
+        if part[0] == " " and part[1:].isalpha():
+            return self[part[1:]]
+        ids = self.parts.get(part)
+        if ids is None:
+            if len(self.parts) >= CACHED // 4:
+                self.parts.clear()
+            ids = self.parts[part] = self._coded(part)
+        return ids
+
     def plain(self, text: str) -> bytes:
         encoder = StreamEncoder(self.merges)
         return np.array(encoder.feed(text) + encoder.finish(), "<u4").tobytes()
@@ -310,6 +423,8 @@ class WordMemo(dict):
                 yield np.array(encoder.finish(), "<u4").tobytes()
             else:
                 part = text[lo:hi]
+                if len(text) > PART:
+                    self.learn([part])
                 words = part.split(" ")
                 try:
                     first = b"" if lo and not words[0] else self._first(words[0])
@@ -340,19 +455,22 @@ def encode_documents(docs: DataFrame, path: str, text_col: str = "text", id_col:
         import pyarrow as pa
 
         merges = sent.value
-        memo = WordMemo(merges)
+        memo = WordMemo.of(merges)
         for b in batches:
             counts, ids_hash, text_hash = [], [], []
-            for value in b.column(1):
-                n, ids, decoded, back = 0, hashlib.sha256(), hashlib.sha256(), ByteToText(merges)
-                for part in memo.encode(value.as_py() or ""):
-                    n += len(part) // 4
-                    ids.update(part)
-                    decoded.update(back.feed(np.frombuffer(part, "<u4").tolist()).encode())
-                decoded.update(back.finish().encode())
-                counts.append(n)
-                ids_hash.append(ids.hexdigest())
-                text_hash.append(decoded.hexdigest())
+            for first, last in slices(text_bytes(b.column(1))[1], LEARNT):
+                texts = [value or "" for value in b.column(1).slice(first, last - first).to_pylist()]
+                memo.learn([text for text in texts if len(text) <= PART])
+                for text in texts:
+                    n, ids, decoded, back = 0, hashlib.sha256(), hashlib.sha256(), ByteToText(merges)
+                    for part in memo.encode(text):
+                        n += len(part) // 4
+                        ids.update(part)
+                        decoded.update(back.feed(np.frombuffer(part, "<u4").tolist()).encode())
+                    decoded.update(back.finish().encode())
+                    counts.append(n)
+                    ids_hash.append(ids.hexdigest())
+                    text_hash.append(decoded.hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -308,6 +308,27 @@ def test_lookahead_on_random_merge_lists():
             assert t.feed(data) + t.finish() == whole
 
 
+def test_words_are_merged_together(monkeypatch):
+    path, library = tokenizers_of("byte_bpe_50k.json")
+    merges = bpe.Merges.load(path)
+    memo = bpe.WordMemo.of(merges)
+    assert memo is bpe.WordMemo.of(merges)  # the worker's next task finds it
+    rng = random.Random(5)
+    letters = "abcdeéßnrst漢,.\n1*"
+    texts = odd_texts() + [" ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 30))) for _ in range(300))]
+    short = [w.encode() for t in texts for w in t.split(" ") if len(w.encode()) <= bpe.SHORT]
+    assert [np.frombuffer(x, "<u4").tolist() for x in merges.merge_many(short)] == [merges.merge(x) for x in short]
+    assert merges.merge_many([]) == [] and merges.merge_many([b""]) == [b""]
+    memo.learn(texts)
+    calls, alone = [], merges.merge
+    monkeypatch.setattr(merges, "merge", lambda data: calls.append(data) or alone(data))
+    for t in texts:
+        assert np.frombuffer(b"".join(memo.encode(t)), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+    before, plain = len(calls), [w for w in texts[-1].split(" ") if not w[0].isspace() and not w[-1].isspace()]
+    b"".join(memo.encode(" ".join(["x", *plain])))
+    assert len(calls) - before <= 2  # the first word alone
+
+
 def test_encode_documents(spark, rows):
     path, library = tokenizers_of("byte_bpe_50k.json")
     texts = [None, *odd_texts()[:40]]
