@@ -558,6 +558,37 @@ def test_bm25(spark, monkeypatch):
         assert [(d, pytest.approx(-s)) for s, d in want] == [(d, s) for _, d, s in sorted(got[q])]
 
 
+def test_bm25_queries_go_through_the_blocks_together(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "CELLS", 4000)
+    rng = random.Random(3)
+    texts = [words(rng, rng.randrange(1, 90), 70).lower() for _ in range(150)] + [None, "", "w1 w1", "w1 w1"] + ["w2 w3 w4 w5"] * 30
+    df = frame(spark, texts)
+    index = bm25.build_index(df.coalesce(1))
+    for rare in (2, 16, 1000):  # few lists are common, or all
+        monkeypatch.setattr(bm25, "COMMON", rare)
+        terms = bm25.query_terms(bm25.term_counts(df.where("doc_id % 3 = 0")), bm25.document_frequencies(index), len(texts)).collect()
+        idf = {np.int64(r["term"]).view(np.uint64): r["idf"] for r in terms}
+        asked = np.array(sorted(idf), np.uint64)
+        by_query = collections.defaultdict(list)
+        for r in terms:
+            by_query[r["query_id"]].append(np.int64(r["term"]).view(np.uint64))
+        queries = [(q, np.array(sorted(t), np.uint64)) for q, t in by_query.items()]
+        for row in index.collect():
+            shard = bm25.Shard(row.asDict(), 40.0, asked, np.array([idf[t] for t in asked]))
+            assert shard.blocks == 3
+            alone = [shard.search(q, t, 7) for q, t in queries]
+            monkeypatch.setattr(shard, "search", None)  # none goes alone
+            for (ids, scores), (want, best) in zip(shard.search_many(queries, [0.0] * len(queries), 7), alone):
+                assert ids.tolist() == want.tolist() and scores.tolist() == best.tolist()
+            beaten = [s[len(s) // 2] if len(s) else 0.0 for _, s in alone]
+            for (ids, scores), (want, best), least in zip(shard.search_many(queries, beaten, 7), alone, beaten):
+                assert [x for x in zip(ids, scores) if x[1] >= least] == [x for x in zip(want, best) if x[1] >= least]
+    # where rows share ids each still comes once
+    twice = df.unionByName(df.where("doc_id < 20")).coalesce(1)
+    found = bm25.search_by_document(twice, df.where("doc_id < 9")).collect()
+    assert len({(r["query_id"], r["doc_id"]) for r in found}) == len(found) == 90
+
+
 def test_bm25_by_document_and_empty(spark):
     df = frame(spark, ["a b c"] * 6 + ["d e"] * 6)
     got = bm25.search_by_document(df, df.where("doc_id in (0, 6)"), 3)
