@@ -23,6 +23,7 @@ import itertools
 import json
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -38,11 +39,13 @@ LEAST_BYTES = 1_000_000  # of text in a block, if there are fewer blocks than ta
 SPLIT_AT = r"(?U) (?<=[^\s\x1c-\x1f\u0085\u180e\u200b\ufeff] )(?=[^\s\x1c-\x1f\u0085\u180e\u200b\ufeff])"
 SPACE_MARK = "▁"
 
-_coders: dict[tuple[str, str], tuple] = {}  # of this worker, by vocabulary files
-
-
+@lru_cache(maxsize=2)
 def _load(path_a: str, path_b: str) -> tuple:
-    """(tokenizer A, bytes of its ids, tokenizer B, bytes of its ids); files of another kind are refused."""
+    """(tokenizer A, bytes of its ids, tokenizer B, bytes of its ids); files of another kind are refused.
+
+    Read once a worker: the cache belongs to this function, which tasks get by
+    name. A dict named in a task's own function would come to each task empty.
+    """
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2
     from tokenizers import Tokenizer
@@ -75,8 +78,7 @@ def encoded(stretches: DataFrame, path_a: str, path_b: str) -> DataFrame:
         import pyarrow as pa
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        key = path_a, path_b
-        a, a_bytes, b, b_bytes = _coders[key] if key in _coders else _coders.setdefault(key, _load(*key))
+        a, a_bytes, b, b_bytes = _load(path_a, path_b)
         sizes = [np.zeros(max(t) + 1, np.int32) for t in (a_bytes, b_bytes)]
         for size, table in zip(sizes, (a_bytes, b_bytes)):
             for i, x in table.items():
@@ -155,10 +157,13 @@ def grouped(ends: DataFrame) -> DataFrame:
 
 
 def scores(entries: DataFrame, counts: DataFrame) -> DataFrame:
-    """(stretch, n_best, count_sum) by the links of ``entries`` and counts (pair, docs, best)."""
-    links = entries.select("stretch", F.explode("links").alias("pair"))
+    """(s, n_best, count_sum) by the links of ``entries`` and counts (pair, docs, best).
+
+    A link carries its stretch's number: the stretch itself would pass both shuffles once a link.
+    """
+    links = entries.select("s", F.explode("links").alias("pair"))
     n = entries.agg(F.sum("n_links")).first()[0] or 0
-    return join_unevenly(links, counts, "pair", n).groupBy("stretch").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("docs").alias("count_sum"))
+    return join_unevenly(links, counts, "pair", n).groupBy("s").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("docs").alias("count_sum"))
 
 
 def _looked_up(found):
@@ -226,7 +231,7 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, text_col: str = "
     tokens = encoded(met.select("stretch").distinct(), path_a, path_b).withColumn("s", F.monotonically_increasing_id())
     tokens = written(tokens, "tokens")  # stored, as a lost task must not number them anew
     numbered = written(grouped(aligned(tokens.select("s", "a", "b"))), "numbered", **COPARTITIONED)
-    entries = written(numbered.join(tokens.select("s", "stretch"), "s").drop("s"), "entries")
+    entries = written(numbered.join(tokens.select("s", "stretch"), "s"), "entries")
     drop(tokens)
     drop(numbered)
 
@@ -243,7 +248,7 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, text_col: str = "
 
     # every document's stretches in order, with what was found of each
     scored = written(scores(entries, counts), "scored")
-    found = written(entries.drop("links").join(scored, "stretch"), "found")
+    found = written(entries.drop("links").join(scored, "s").drop("s"), "found")
     for table in (entries, counts, scored):
         drop(table)
     whole = by_block(found, _put_together, f"doc_id long, copies long, {', '.join(f'{c} long' for c in SUMS)}, groups_sha256 string")

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import pickle
 import random
 import re
 
@@ -124,6 +125,24 @@ def test_alignment_of_blocks_repeats_and_clashing_columns(spark, monkeypatch):
     assert aligned_rows(df) == sorted(((i, *r) for i, r in zip(ids, brute_alignment(texts))), key=repr)
 
 
+def test_vocabularies_are_read_once_and_links_carry_numbers(spark):
+    import public_tokenizers
+    from pyspark import cloudpickle
+
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    assert alignment._load(*paths) is alignment._load(*paths)
+
+    def task():
+        return alignment._load(*paths)
+
+    load = alignment._load
+    assert pickle.loads(cloudpickle.dumps(task))() is load(*paths)
+    assert pickle.loads(cloudpickle.dumps(load)) is load  # the worker's own, with what it holds
+    entries = spark.createDataFrame([(1, "x", [5, 5, 6], 3), (2, "y", [6], 1)], "s long, stretch string, links array<long>, n_links long")
+    counts = spark.createDataFrame([(5, 9, True), (6, 2, False)], "pair long, docs long, best boolean")
+    assert sorted(map(tuple, alignment.scores(entries, counts).select("s", "n_best", "count_sum").collect())) == [(1, 2, 20), (2, 0, 2)]
+
+
 def test_alignment_of_nothing(spark):
     assert aligned_rows(spark.createDataFrame([], DOCS)) == []
     assert aligned_rows(frame(spark, [None, "", "▁"])) == [(i, 0, 0, 0, 0, 0, 0, "") for i in range(3)]
