@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 RRF_K = 60
+LEAST = 5e-324  # the least positive double: a count divided by it is infinite, and 0 stays 0
 
 
 def pool_size(n: int, discards: bool, multiplier: int = 5, least: int = 20) -> int:
@@ -33,7 +34,8 @@ def text_candidates(docs: DataFrame, query: str, pool: int | None = None, whole:
     A term's weight is its inverse document frequency among the matches (1 for a
     single term). A document scores its occurrences, a heading that holds the
     term counts twice, over the square root of the length; a term asked twice
-    counts twice. All matches are ranked before the pool is cut; without a pool
+    counts twice. An empty text is found by its heading only, with an infinite
+    score. All matches are ranked before the pool is cut; without a pool
     whoever reads ``position`` has all of them numbered in one task.
     """
     words = T.query_terms(query, whole)
@@ -43,7 +45,9 @@ def text_candidates(docs: DataFrame, query: str, pool: int | None = None, whole:
     head = F.coalesce(T.folded(F.col(headings)), F.lit("")) if headings else F.lit("")
     # white space matters only to terms that hold some
     body = T.folded(F.col("document")) if any(w.split() != [w] for w in distinct) else T.unmarked(F.col("document"))
-    texts = F.array(F.struct(body.alias("body"), head.alias("head"), F.sqrt(F.length("document").cast("double")).alias("n")))
+    # what a heading gives to an empty text is beyond all finite scores
+    n = F.length("document").cast("double")
+    texts = F.array(F.struct(body.alias("body"), head.alias("head"), F.when(n > 0, F.sqrt(n)).otherwise(F.lit(LEAST)).alias("n")))
 
     def counted(t):
         return F.array(*[(T.occurrences(t["body"], F.lit(w)) + 2 * F.contains(t["head"], F.lit(w)).cast("int")) / t["n"] for w in distinct])

@@ -107,6 +107,16 @@ def test_text_score_counts_repeated_terms(spark):
     assert single[2] == pytest.approx(1 / 3**0.5)
 
 
+def test_text_score_of_empty_documents(spark):
+    docs = spark.createDataFrame([(1, "dog", "bird"), (2, "", "bird"), (3, "", "a dog"), (4, None, "a dog"), (5, "cat dog", "dog")], "id long, document string, heading string")
+    for query in ("dog", "cat dog"):
+        assert {r["id"] for r in retrieval.text_candidates(docs, query).collect()} == {1, 5}
+        assert {r["id"] for r in retrieval.text_candidates(docs, query, 10).collect()} == {1, 5}
+        found = {r["id"]: r for r in retrieval.text_candidates(docs, query, headings="heading").collect()}
+        assert set(found) == {1, 3, 5} and found[3]["position"] == 1 and found[3]["score"] == float("inf") and found[1]["relevance"] == 0
+        assert [r["id"] for r in retrieval.text_candidates(docs, query, 1, headings="heading").collect()] == [3]
+
+
 def test_stages(spark, rows):
     hits = spark.createDataFrame([(0, 1, 1, "aa  b", "p", 0.3, "none"), (0, 2, 2, "aa b", "p", 0.1, "pinned"), (0, 3, 3, "c", None, 0.5, "stale")], "query_id long, id long, position int, document string, parent_id string, distance double, mark string")
     assert rows(retrieval.collapse_parents(hits), "id", "collapsed", "distance") == [(1, 1, 0.1), (3, 0, 0.5)]
