@@ -589,6 +589,20 @@ def test_bm25_queries_go_through_the_blocks_together(spark, monkeypatch):
     assert len({(r["query_id"], r["doc_id"]) for r in found}) == len(found) == 90
 
 
+def test_bm25_shards_are_read_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "SHARD_WORDS", 50)
+    monkeypatch.setattr(bm25, "SLICE", 200)
+    rng = random.Random(4)
+    df = frame(spark, [words(rng, 30, 40).lower() for _ in range(60)]).coalesce(1)
+    index = bm25.build_index(df)
+    assert index.count() > 5 and index.select(F.input_file_name()).distinct().count() == index.count()
+    assert len(index.first()["tf"]) == np.frombuffer(index.first()["start"], np.uint32)[-1]  # a byte a count
+    for most in (0, 255, 256, 65_536):
+        a = np.array([most, 0, most // 2], np.uint32)
+        assert bm25.widths(bm25.narrowed(a).tobytes(), 3).tolist() == a.tolist()
+    assert bm25.widths(b"", 0).tolist() == []
+
+
 def test_bm25_by_document_and_empty(spark):
     df = frame(spark, ["a b c"] * 6 + ["d e"] * 6)
     got = bm25.search_by_document(df, df.where("doc_id in (0, 6)"), 3)
