@@ -89,3 +89,30 @@ def test_single_components_travel_as_such(spark, monkeypatch):
     found = [sorted(map(tuple, knn.nearest(rows, single, 3, skip_self=True).select("query_id", "id", "distance").collect())) for rows in (single, double)]
     assert found[0] == found[1] and len(found[0]) == 120
     assert kinds[0] == {"array<float>"} and kinds[-1] == {"array<double>"}
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2", "ip"])
+def test_queries_that_meet_all_parts_go_in_rounds(spark, rows, monkeypatch, metric):
+    monkeypatch.setattr(knn, "PART_ROWS", 25)
+    monkeypatch.setattr(knn, "SENT_ROWS", 100, raising=False)
+    vectors = np.random.default_rng(6).normal(size=(300, 12)).tolist()  # nothing can be ruled out
+    sent, best = [], knn._best_of_parts
+    monkeypatch.setattr(knn, "_best_of_parts", lambda own, asked, parts, *more: sent.append((asked.count(), parts)) or best(own, asked, parts, *more))
+    df = frame(spark, vectors)
+    got = knn.nearest(df, df, 4, metric, skip_self=True)
+    assert rows(got, "query_id", "id", "position") == brute(vectors, vectors, 4, metric, True)
+    assert max(n for n, _ in sent) < 1.5 * 300 and {parts for _, parts in sent} <= set(range(12, 30))
+    assert sum(n for n, _ in sent) > 0.8 * 300 * 12
+
+
+def test_pairs_within_a_distance_are_those_of_all_distances():
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(60, 5)), np.zeros((2, 5)), 1e-9 * rng.normal(size=(20, 5)), 1e9 * rng.normal(size=(20, 5))])
+    x = np.concatenate([x, x[:30]])
+    for metric in ("cosine", "l2", "ip"):
+        d = np.round(knn.distances(x, x, metric), 12)
+        for share in (0.0, 0.05, 0.5, 1.0):
+            for most in (np.quantile(d, share, axis=1), np.full(len(x), np.inf)):
+                query, at, far = knn.within(x, x, metric, most)
+                assert set(zip(query.tolist(), at.tolist())) == set(zip(*(i.tolist() for i in np.nonzero(d <= most[:, None]))))
+                assert far.tolist() == d[query, at].tolist()
