@@ -105,14 +105,38 @@ def test_queries_that_meet_all_parts_go_in_rounds(spark, rows, monkeypatch, metr
     assert sum(n for n, _ in sent) > 0.8 * 300 * 12
 
 
-def test_pairs_within_a_distance_are_those_of_all_distances():
+def odd_rows():
     rng = np.random.default_rng(8)
     x = np.concatenate([rng.normal(size=(60, 5)), np.zeros((2, 5)), 1e-9 * rng.normal(size=(20, 5)), 1e9 * rng.normal(size=(20, 5))])
-    x = np.concatenate([x, x[:30]])
-    for metric in ("cosine", "l2", "ip"):
-        d = np.round(knn.distances(x, x, metric), 12)
-        for share in (0.0, 0.05, 0.5, 1.0):
-            for most in (np.quantile(d, share, axis=1), np.full(len(x), np.inf)):
-                query, at, far = knn.within(x, x, metric, most)
-                assert set(zip(query.tolist(), at.tolist())) == set(zip(*(i.tolist() for i in np.nonzero(d <= most[:, None]))))
-                assert far.tolist() == d[query, at].tolist()
+    return np.concatenate([x, x[:30]])
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+def test_pairs_within_a_distance_are_those_of_all_distances(metric):
+    x = odd_rows()
+    d = np.round(knn.distances(x, x, metric), 12)
+    for share in (0.0, 0.05, 0.5, 1.0):
+        for most in (np.quantile(d, share, axis=1), np.full(len(x), np.inf)):
+            query, at, far = knn.within(x, x, metric, most)
+            assert set(zip(query.tolist(), at.tolist())) == set(zip(*(i.tolist() for i in np.nonzero(d <= most[:, None]))))
+            assert far.tolist() == d[query, at].tolist()
+
+
+def test_angles_are_told_apart_in_single_precision_and_computed_in_double(monkeypatch):
+    monkeypatch.setattr(knn, "PAIRS", 100)
+    x = np.concatenate([odd_rows(), [[1e200] * 5, [np.nan] * 5, [1.0, 1.0, 1.0, 1.0, 1.0 + 1e-9]]])
+    with np.errstate(all="ignore"):
+        d = knn.distances(x, x, "cosine")
+        for k in (1, 3, 40, len(x)):
+            for most in (0.0, 1e-9, 0.3, 1.0, 2.0, np.inf):
+                query, at, far = knn.nearest_angles(x, x, *knn.units(x), np.full(len(x), most), k)
+                assert np.allclose(far, d[query, at], rtol=0, atol=2e-12) and (far <= most).all()
+                got = np.full(d.shape, np.inf)
+                got[query, at] = far
+                want = np.where(np.isfinite(d) & (d <= most - 1e-11), d, np.inf)
+                want, got = np.sort(want, 1)[:, :k], np.sort(got, 1)[:, :k]
+                assert np.allclose(got[np.isfinite(want)], want[np.isfinite(want)], rtol=0, atol=2e-12)
+    # equal rows are equally far, whatever stands beside them
+    query, at, far = knn.nearest_angles(x, x, *knn.units(x), np.full(len(x), np.inf), len(x))
+    held = dict(zip(zip(query.tolist(), at.tolist()), far.tolist()))
+    assert all(held[q, i] == held[q, 102 + i] for q in range(60) for i in range(30))
